@@ -131,24 +131,22 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def repeats(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each key, within its text: is it found twice or more; is an equal one earlier."""
-    many, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    """Of each key, within its text: is it found twice or more; is it one of those beyond the first (which one isn't fixed)."""
+    many, spare = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     if len(keys):
-        doc = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((keys, doc))  # stable: equal keys stay in their order
-        k, d = keys[order], doc[order]
-        same = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
-        later[order[1:]] = same
+        own = keys ^ (np.repeat(np.arange(len(counts), dtype=U), counts) * U(0x9FB21C651E98DF25))
+        order = np.argsort(own)
+        k = own[order]
+        same = k[1:] == k[:-1]
+        spare[order[1:]] = same
         many[order[1:]] = same
         many[order[:-1]] |= same
-    return many, later
+    return many, spare
 
 
 def per_text(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sum of flags over each text's span."""
-    c = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=c[1:])
-    return c[offs[1:]] - c[offs[:-1]]
+    return np.diff(np.searchsorted(np.flatnonzero(flags), offs))
 
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_digits", "n_upper", "n_punct", "n_beyond_ascii", "n_same_word", "n_distinct_words", "n_short_words", "n_repeat_lines", "n_shout"]
@@ -168,13 +166,12 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     p = prefix_hashes(buf)
     words = span_hashes(p, starts, ends)
     kinds = _classes()[buf]
-    point = (kinds & 2) == 0
     out[:, 0] = n
-    out[:, 1] = per_text(point & ((kinds & 1) == 0), offs)
+    out[:, 5] = np.diff(offs) - per_text((kinds & 2) != 0, offs)
+    out[:, 1] = out[:, 5] - per_text((kinds & 1) != 0, offs)
     for i, bit in ((2, 4), (7, 8), (8, 16), (9, 32)):
         out[:, i] = per_text((kinds & bit) != 0, offs)
-    out[:, 10] = per_text(((kinds & 64) != 0) & point, offs)
-    out[:, 5] = per_text(point, offs)
+    out[:, 10] = per_text((kinds & 66) == 64, offs)
 
     # lines
     newline = np.flatnonzero(buf == 10)
@@ -187,9 +184,9 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     wordy = np.searchsorted(starts, le) > np.searchsorted(starts, ls)
     ls, le = ls[wordy], le[wordy]
     lines = np.diff(np.searchsorted(ls, offs))
-    many, later = repeats(span_hashes(p, ls, le), lines)
+    many, spare = repeats(span_hashes(p, ls, le), lines)
     loffs = np.concatenate([[0], np.cumsum(lines)])
-    out[:, 6], out[:, 3], out[:, 14] = lines, per_text(later, loffs), per_text(many, loffs)
+    out[:, 6], out[:, 3], out[:, 14] = lines, per_text(spare, loffs), per_text(many, loffs)
 
     # windows of five words
     five = np.maximum(n - 4, 0)
@@ -199,18 +196,18 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         h, m = shingles(words[keep], n[long], 5)
         many, _ = repeats(h, m)
         begin = np.repeat((woffs[:-1][long]) - (np.cumsum(m) - m), m) + np.arange(len(h))
-        change = np.zeros(len(words) + 6, np.int32)
-        np.add.at(change, begin[many], 1)
-        np.add.at(change, begin[many] + 5, -1)
-        out[:, 4] = per_text(np.cumsum(change)[: len(words)] > 0, woffs)
+        inside = np.zeros(len(words), bool)
+        for k in range(5):
+            inside[begin[many] + k] = True
+        out[:, 4] = per_text(inside, woffs)
 
     if len(words):
         doc = np.repeat(np.arange(len(n)), n)
         same = np.zeros(len(words), bool)
         same[1:] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
         out[:, 11] = per_text(same, woffs)
-        _, later = repeats(words, n)
-        out[:, 12] = n - per_text(later, woffs)
+        _, spare = repeats(words, n)
+        out[:, 12] = n - per_text(spare, woffs)
         out[:, 13] = per_text(ends - starts <= 1, woffs)
         out[:, 15] = per_text((buf[ends - 1] == 33) & ((kinds[starts] & 16) != 0), woffs)
     return out
