@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from weftline.llm import quality
+from weftline.llm import licences, quality, records, warc
 
 
 def queries() -> dict:
     return {
         "op2_quality_classifier": quality.op2_quality_classifier,
+        "op6_binary_records": records.op6_binary_records,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_license_scan": licences.op8_license_scan,
+        "op10_warc_derivatives": warc.op10_warc_derivatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": licences.OP8_SQL, "op10_warc_derivatives": warc.OP10_SQL}
