@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import licences, quality, records, warc
+from weftline.llm import licences, pagetext, quality, records, warc
 
 
 def queries() -> dict:
     return {
         "op2_quality_classifier": quality.op2_quality_classifier,
+        "op4_page_text": pagetext.op4_page_text,
         "op6_binary_records": records.op6_binary_records,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_license_scan": licences.op8_license_scan,
