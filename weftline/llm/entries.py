@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from weftline.llm import licences, pagetext, quality, records, warc
+from weftline.llm import contain, licences, packing, pagetext, quality, records, warc
 
 
 def queries() -> dict:
     return {
+        "op1_length_buckets": packing.op1_length_buckets,
         "op2_quality_classifier": quality.op2_quality_classifier,
         "op4_page_text": pagetext.op4_page_text,
+        "op5_benchmark_leaks": contain.op5_benchmark_leaks,
         "op6_binary_records": records.op6_binary_records,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_license_scan": licences.op8_license_scan,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": licences.OP8_SQL, "op10_warc_derivatives": warc.OP10_SQL}
+    return {"op1_length_buckets": packing.OP1_SQL, "op5_benchmark_leaks": contain.OP5_SQL, "op8_license_scan": licences.OP8_SQL, "op10_warc_derivatives": warc.OP10_SQL}
