@@ -27,3 +27,21 @@ def base(text):
     count = Counter(grams)
     inside = {i + j for i, g in enumerate(grams) if count[g] > 1 for j in range(5)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside)
+
+
+def removal(texts, size=200):
+    """(bytes, removed, spans, sha256 of the rest) of each text."""
+    import hashlib
+
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(r[i : i + size] for r in raw for i in range(len(r) - size + 1))
+    out = []
+    for r in raw:
+        gone = bytearray(len(r))
+        for i in range(len(r) - size + 1):
+            if count[r[i : i + size]] > 1:
+                gone[i : i + size] = b"\1" * size
+        kept = bytes(b for b, g in zip(r, gone) if not g)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(r), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out

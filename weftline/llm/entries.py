@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import contain, licences, packing, pagetext, quality, records, warc
+from weftline.llm import contain, licences, packing, pagetext, quality, records, suffixes, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_binary_records": records.op6_binary_records,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_license_scan": licences.op8_license_scan,
+        "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_warc_derivatives": warc.op10_warc_derivatives,
     }
 
