@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.llm import contain, licences, packing, pagetext, quality, records, suffixes, warc
+from weftline.llm import contain, licences, neardup, packing, pagetext, quality, records, suffixes, warc
 
 
 def queries() -> dict:
     return {
         "op1_length_buckets": packing.op1_length_buckets,
         "op2_quality_classifier": quality.op2_quality_classifier,
+        "op3_ngram_jaccard_join": neardup.op3_ngram_jaccard_join,
         "op4_page_text": pagetext.op4_page_text,
         "op5_benchmark_leaks": contain.op5_benchmark_leaks,
         "op6_binary_records": records.op6_binary_records,

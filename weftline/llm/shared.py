@@ -49,6 +49,14 @@ def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], sc
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod3(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 3; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3, F.lit(0))

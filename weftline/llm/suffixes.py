@@ -306,5 +306,39 @@ def removal(docs: DataFrame) -> DataFrame:
     return shared.by_batch(rows, work, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the repeated bytes taken out of text and n_chars, if there is one, counted anew; other columns stay.
+
+    Bytes of a character that is cut in two go with the rest of it. Rows that lose their whole text are left out.
+    """
+    _, found = spans(docs)
+    names = docs.columns
+    text = F.coalesce(F.col("text"), F.lit(""))
+    k, tk, where = (shared.fresh(docs, n) for n in ("key_id", "key_text", "repeated_spans"))
+    rows = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), tk: F.hash(text, F.col("doc_id").isNull())})
+    rows = rows.join(found.select(F.col("k").alias(k), F.col("tk").alias(tk), F.col("spans").alias(where)), [k, tk], "left").select(*names, where)
+    at = names.index("text")
+    count = next((i for i, n in enumerate(names) if n == "n_chars"), None)
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                texts = part.column(at).to_pylist()
+                keep = np.ones(len(texts), bool)
+                for i, w in enumerate(part.column(len(names)).to_pylist()):
+                    if w:
+                        raw = texts[i].encode()
+                        texts[i] = np.frombuffer(raw, np.uint8)[~removed_bytes(len(raw), w)].tobytes().decode(errors="ignore")
+                        keep[i] = bool(texts[i])
+                columns = [part.column(i) for i in range(len(names))]
+                columns[at] = pa.array(texts, columns[at].type)
+                if count is not None:
+                    columns[count] = pa.array([None if t is None else len(t) for t in texts], columns[count].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal(shared.table(spark, sf_dir, "documents"))
