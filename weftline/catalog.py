@@ -336,10 +336,10 @@ def findings_by_priority(spark, sf_dir):
     return findings.top_by_priority(findings.scan(rel.source_lines(spark, sf_dir)), 60)
 
 
-@_query("SELECT day, n, delta, CASE WHEN delta IS NULL THEN NULL WHEN delta = 0 THEN 'stable' WHEN delta > 0 THEN 'improved' ELSE 'degraded' END AS direction, event_type FROM (SELECT *, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2))")
+@_query("SELECT day, n, coalesce(delta, 0) AS delta, CASE WHEN delta IS NULL THEN NULL WHEN delta = 0 THEN 'stable' WHEN delta > 0 THEN 'improved' ELSE 'degraded' END AS direction, event_type FROM (SELECT *, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2))")
 def metric_trend(spark, sf_dir):
     series = rel.table(spark, sf_dir, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return snapshots.trend(series, "event_type", "day", "n", up_is_good=True)
+    return snapshots.trend(series, "event_type", "day", "n", up_is_good=True).fillna(0, ["delta"])
 
 
 @_query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -416,7 +416,7 @@ def config_drift(spark, sf_dir):
     return dependencies.drift(versions(part.where("p_partkey % 7 <> 0 AND p_brand <> 'Brand#11'")), versions(part.where("p_partkey % 5 <> 0 AND p_brand <> 'Brand#12'")))
 
 
-@_query("""WITH v AS (SELECT p_partkey AS id, p_size // 10 AS a, p_size % 10 AS b, p_partkey % 12 AS c FROM part) SELECT 'pypi' AS ecosystem, 'part' AS name, a || '.' || b || '.' || c AS version, id, 'ADV-1' AS advisory, '>=1.2.10,<3.0' AS range FROM v WHERE [a, b, c] >= [1, 2, 10] AND [a, b, c] < [3, 0, 0]""")
+@_query("""WITH v AS (SELECT p_partkey AS id, p_size // 10 AS a, p_size % 10 AS b, p_partkey % 12 AS c FROM part) SELECT 'pypi' AS ecosystem, 'part' AS name, a || '.' || b || '.' || c AS version, id, 'ADV-1' AS advisory, '>=1.2.10,<3.0' AS range FROM v WHERE a * 10000 + b * 100 + c >= 10210 AND a * 10000 + b * 100 + c < 30000""")
 def version_ranges(spark, sf_dir):
     part = rel.table(spark, sf_dir, "part")
     version = F.concat_ws(".", F.floor(F.col("p_size") / 10).cast("string"), (F.col("p_size") % 10).cast("string"), (F.col("p_partkey") % 12).cast("string"))
