@@ -51,6 +51,32 @@ def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 5, direction:
     return seen.where("depth > 0")
 
 
+def trace(edges: DataFrame, starts: DataFrame, max_depth: int = 5, direction: str = "callees", most: int | None = 500) -> DataFrame:
+    """start, node_id, depth and path (names joined by ' -> ', of the least parents), the start at depth 0; at most ``most`` rows by depth."""
+    found = traverse(edges, starts, max_depth, direction)
+    out = starts.select(F.col("node_id").alias("start"), "node_id", F.lit(0).alias("depth"), F.col("node_id").alias("path")).distinct()
+    level = out
+    for depth in range(1, max_depth + 1):
+        step = found.where(F.col("depth") == depth)
+        level = step.join(level.select("start", F.col("node_id").alias("parent"), F.col("path").alias("before")), ["start", "parent"]).select("start", "node_id", "depth", F.concat_ws(" -> ", "before", "node_id").alias("path"))
+        out = out.unionByName(level)
+    return out if most is None else out.orderBy("depth", "start", "node_id").limit(most)
+
+
+def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, longest: int = 8) -> DataFrame:
+    """Simple paths of up to ``longest`` edges from any source to any sink: source, sink, length, path. Only nodes between them take part."""
+    forward, back = traverse(edges, sources, longest, "callees"), traverse(edges, sinks, longest, "callers")
+    inner = forward.select("node_id").unionByName(sources.select("node_id")).distinct().join(back.select("node_id").unionByName(sinks.select("node_id")).distinct(), "node_id", "left_semi")
+    hops = edges.where("source_id != target_id").select("source_id", "target_id").distinct()
+    hops = saved(hops.join(inner.select(F.col("node_id").alias("source_id")), "source_id", "left_semi").join(inner.select(F.col("node_id").alias("target_id")), "target_id", "left_semi"))
+    grown, out = sources.select(F.array("node_id").alias("nodes"), F.col("node_id").alias("end")).distinct(), None
+    for length in range(1, longest + 1):
+        grown = grown.join(hops, F.col("end") == F.col("source_id")).where(~F.array_contains("nodes", F.col("target_id"))).select(F.concat("nodes", F.array("target_id")).alias("nodes"), F.col("target_id").alias("end"))
+        done = grown.join(sinks.select(F.col("node_id").alias("end")).distinct(), "end", "left_semi").select(F.col("nodes")[0].alias("source"), F.col("end").alias("sink"), F.lit(length).alias("length"), F.array_join("nodes", " -> ").alias("path"))
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
 def revisits(edges: DataFrame, found: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """(start, node_id, depth): nodes that a level reaches again after an earlier level had them (cyclic rows); the start counts from
     depth 2 on."""
