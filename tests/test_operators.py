@@ -172,33 +172,32 @@ def test_plugins():
             r.add(kind, name, value, needs)
 
 
-def test_streams(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    (folder / "a.py").write_text("x = 1\n")
-    q = watch.staleness(watch.watch_files(spark, str(folder))).writeStream.format("memory").queryName("stale").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
+def once(writer):
+    """Run a stream over what there is, and end it."""
+    q = writer.trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
-        (folder / "b.py").write_text("y = 1\n")
-        q.processAllAvailable()
-        got = [(r.path.rsplit("/", 1)[1], r.version, r.state) for r in spark.sql("SELECT * FROM stale WHERE state != 'expired'").collect()]
+        assert q.awaitTermination(60)
     finally:
         q.stop()
+
+
+def test_staleness_stream(spark, tmp_path):
+    folder, got = tmp_path / "in", []
+    folder.mkdir()
+    for name, text in (("a.py", "x = 1\n"), ("b.py", "y = 1\n")):
+        (folder / name).write_text(text)
+        keep = lambda df, _: got.extend((r.path.rsplit("/", 1)[1], r.version, r.state) for r in df.where("state != 'expired'").collect())
+        once(watch.staleness(watch.watch_files(spark, str(folder)), ttl_ms=600_000).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", str(tmp_path / "c1")))
     assert sorted(got) == [("a.py", 1, "new"), ("b.py", 1, "new")]
 
 
 def test_refresh_stream_equals_full_run(spark, tmp_path):
     folder, target = tmp_path / "in", str(tmp_path / "out")
     folder.mkdir()
-    (folder / "a.py").write_text("def a():\n  pass\n")
     parse = lambda df: code.definitions(code.lines(df.withColumn("language", code.language(F.col("path")))))
-    q = watch.refresh_each(watch.watch_files(spark, str(folder)), parse, target, str(tmp_path / "c2")).start()
-    try:
-        q.processAllAvailable()
-        (folder / "b.py").write_text("def b():\n  pass\n")
-        q.processAllAvailable()
-    finally:
-        q.stop()
+    for name in "ab":
+        (folder / f"{name}.py").write_text(f"def {name}():\n  pass\n")
+        once(watch.refresh_each(watch.watch_files(spark, str(folder)), parse, target, str(tmp_path / "c2")))
     assert {r.name for r in spark.read.parquet(target).collect()} == {"a", "b"}
 
 
