@@ -187,7 +187,7 @@ def test_staleness_stream(spark, tmp_path):
     for name, text in (("a.py", "x = 1\n"), ("b.py", "y = 1\n")):
         (folder / name).write_text(text)
         keep = lambda df, _: got.extend((r.path.rsplit("/", 1)[1], r.version, r.state) for r in df.where("state != 'expired'").collect())
-        once(watch.staleness(watch.watch_files(spark, str(folder)), ttl_ms=600_000).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", str(tmp_path / "c1")))
+        once(watch.staleness(watch.watch_files(spark, str(folder)), ttl_ms=None).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", str(tmp_path / "c1")))
     assert sorted(got) == [("a.py", 1, "new"), ("b.py", 1, "new")]
 
 

@@ -21,9 +21,9 @@ def watch_files(spark: SparkSession, root: str, max_per_trigger: int = 1000) ->
     return raw.select("path", F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("content"))
 
 
-def staleness(changes: DataFrame, ttl_ms: int = 5_000) -> DataFrame:
+def staleness(changes: DataFrame, ttl_ms: int | None = 5_000) -> DataFrame:
     """Of changes (path, mtime, content_hash): path, version and state (new, changed) where the hash differs from the last one that the
-    stream has seen; what isn't seen again within ``ttl_ms`` of processing time is forgotten (state expired)."""
+    stream has seen; what isn't seen again within ``ttl_ms`` of processing time is forgotten (state expired); None: never."""
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -40,10 +40,11 @@ def staleness(changes: DataFrame, ttl_ms: int = 5_000) -> DataFrame:
                     out.append((key[0], version, "new" if known is None else "changed"))
                     known = h
         state.update((known, version))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["path", "version", "state"])
 
-    return changes.select("path", "mtime", "content_hash").groupBy("path").applyInPandasWithState(step, "path string, version int, state string", "hash string, version int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return changes.select("path", "mtime", "content_hash").groupBy("path").applyInPandasWithState(step, "path string, version int, state string", "hash string, version int", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def refresh_each(changes: DataFrame, parse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
