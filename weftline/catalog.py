@@ -458,3 +458,34 @@ def event_sessions(spark, sf_dir):
     from weftline.streaming.watch import sessions
 
     return sessions(rel.table(spark, sf_dir, "events"))
+
+
+# --- finders that the tables can feed --------------------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {G}, c AS (SELECT target_id, count(*) AS n FROM edges GROUP BY 1) SELECT file, count(*) AS definitions, sum(coalesce(n, 0))::BIGINT AS refs, (count(*) + 2 * sum(coalesce(n, 0)))::BIGINT AS score FROM nodes LEFT JOIN c ON node_id = target_id WHERE file IS NOT NULL GROUP BY 1 ORDER BY 4 DESC, 1 LIMIT 10")
+def start_here(spark, sf_dir):
+    from weftline.operators import finders
+
+    return finders.start_here(rel.nodes(spark, sf_dir), rel.edges(spark, sf_dir), 10)
+
+
+@_query(f"WITH {LINES}, s AS (SELECT *, trim(text) AS t FROM lines WHERE trim(text) <> ''), b AS (SELECT file, line, list(t) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS b FROM s), g AS (SELECT b, count(*) AS n, min((file, line)) AS f FROM b WHERE len(b) = 3 GROUP BY b HAVING count(*) > 1) SELECT n, f[1] AS file, f[2] AS line FROM g".replace("min((file, line)) AS f", "min(file || '|' || lpad(line::VARCHAR, 9, '0')) AS f").replace("f[1] AS file, f[2] AS line", "string_split(f, '|')[1] AS file, string_split(f, '|')[2]::BIGINT AS line"))
+def duplicate_stretches(spark, sf_dir):
+    from weftline.operators import finders
+
+    return finders.duplicate_lines(rel.source_lines(spark, sf_dir), 3).select("n", "file", "line")
+
+
+@_query(f"WITH {_FOUND}, c AS (SELECT *, CASE category WHEN 'secrets' THEN 0.9 WHEN 'injection' THEN 0.8 WHEN 'debug' THEN 0.85 WHEN 'smell' THEN 0.7 WHEN 'performance' THEN 0.6 ELSE 0.5 END AS x FROM found) SELECT CASE WHEN x >= 0.8 THEN 'high' WHEN x >= 0.5 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM c GROUP BY 1")
+def confidence_bands(spark, sf_dir):
+    from weftline.operators import finders
+
+    return finders.confidence_bands(finders.confidence(findings.scan(rel.source_lines(spark, sf_dir))))
+
+
+@_query("SELECT lang AS language, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1")
+def language_histogram(spark, sf_dir):
+    from weftline.operators import finders
+
+    return finders.languages(rel.table(spark, sf_dir, "documents").select(F.col("lang").alias("language")))
