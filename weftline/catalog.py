@@ -60,7 +60,7 @@ _pattern("pattern_hop_right", "MATCH (o:Function)-[:CALLS]->(c:Class) WHERE c.li
 _pattern("pattern_hop_left", "MATCH (n:File)<-[:USES_TYPE]-(c:Class) WHERE n.name = 'NATION_3' OR n.line = 4 RETURN n.id, c.id", """SELECT n.node_id AS "n.id", c.node_id AS "c.id" FROM nodes n JOIN edges e ON n.node_id = e.target_id JOIN nodes c ON c.node_id = e.source_id WHERE n.node_type = 'file' AND c.node_type = 'class' AND e.edge_type = 'USES_TYPE' AND (n.name = 'NATION_3' OR n.line = 4)""")
 _pattern("pattern_hop_both", "MATCH (a)-[:DEFINES]-(b) RETURN a.id, b.id", """SELECT a.node_id AS "a.id", b.node_id AS "b.id" FROM nodes a JOIN edges e ON a.node_id = e.source_id OR a.node_id = e.target_id JOIN nodes b ON (a.node_id = e.source_id AND b.node_id = e.target_id) OR (a.node_id = e.target_id AND b.node_id = e.source_id) WHERE e.edge_type = 'DEFINES'""")
 _pattern("pattern_two_hops", "MATCH (c:Class)-[:USES_TYPE]->(n:File)-[:DEFINES]->(r:Module) WHERE c.line < 30 RETURN c.name, r.name", """SELECT c.name AS "c.name", r.name AS "r.name" FROM nodes c JOIN edges e ON c.node_id = e.source_id AND e.edge_type = 'USES_TYPE' JOIN nodes n ON n.node_id = e.target_id JOIN edges f ON n.node_id = f.source_id AND f.edge_type = 'DEFINES' JOIN nodes r ON r.node_id = f.target_id WHERE c.node_type = 'class' AND n.node_type = 'file' AND r.node_type = 'module' AND c.line < 30""")
-_pattern("pattern_not_exists", "MATCH (c:Class) WHERE c.id CONTAINS 'customer' AND NOT EXISTS { ()-[:CALLS]->(c) } RETURN c.name", """SELECT name AS "c.name" FROM nodes c WHERE node_type = 'class' AND node_id LIKE '%customer%' AND NOT EXISTS (SELECT 1 FROM edges e JOIN nodes s ON s.node_id = e.source_id WHERE e.edge_type = 'CALLS' AND e.target_id = c.node_id)""")
+_pattern("pattern_not_exists", "MATCH (c:Class) WHERE c.line < 400 AND NOT EXISTS { ()-[:CALLS]->(c) } RETURN c.name", """SELECT name AS "c.name" FROM nodes c WHERE node_type = 'class' AND line < 400 AND NOT EXISTS (SELECT 1 FROM edges e JOIN nodes s ON s.node_id = e.source_id WHERE e.edge_type = 'CALLS' AND e.target_id = c.node_id)""")
 _pattern("pattern_exists", "MATCH (c:Class) WHERE EXISTS { (c)-[:IMPORTS]->(p:Type) WHERE p.line < 5 } RETURN c.id", """SELECT node_id AS "c.id" FROM nodes c WHERE node_type = 'class' AND EXISTS (SELECT 1 FROM edges e JOIN nodes p ON p.node_id = e.target_id WHERE e.edge_type = 'IMPORTS' AND p.node_type = 'type' AND p.line < 5 AND e.source_id = c.node_id)""")
 _pattern("pattern_exists_or", "MATCH (c:Class) WHERE EXISTS { (c)-[:IMPORTS]->(p:Type) WHERE p.line < 3 } OR c.line = 7 RETURN c.id", """SELECT node_id AS "c.id" FROM nodes c WHERE node_type = 'class' AND (EXISTS (SELECT 1 FROM edges e JOIN nodes p ON p.node_id = e.target_id WHERE e.edge_type = 'IMPORTS' AND p.node_type = 'type' AND p.line < 3 AND e.source_id = c.node_id) OR c.line = 7)""")
 _pattern("pattern_default_edge", "MATCH (a:Function)-[]->(b) WHERE b.line = 11 RETURN a.id, b.id", """SELECT a.node_id AS "a.id", b.node_id AS "b.id" FROM nodes a JOIN edges e ON a.node_id = e.source_id AND e.edge_type = 'CALLS' JOIN nodes b ON b.node_id = e.target_id WHERE a.node_type = 'function' AND b.line = 11""")
