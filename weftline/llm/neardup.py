@@ -5,11 +5,11 @@
 2. Each bucket has a pivot, the member with most companions over all its buckets, and every other member is compared with it: as many
    pairs as members, never all pairs. Pivots that are alike in several buckets count once.
 3. Bayesian pruning: MinHash values are compared STEP at a time; with a uniform prior, a pair is dropped as soon as the posterior
-   probability of THRESHOLD or more falls below TOLERANCE. The rest are verified exactly on their whole texts.
+   probability of THRESHOLD or more falls below the tolerance. The rest are verified exactly on their whole texts.
 4. Verified links make classes, by connected components. A bucket whose members are in one class has nothing left to find.
-5. In other buckets the members of different classes are compared with each other, pruned in the same way where the bucket is read; of a
-   member's candidates in another class the likeliest is verified first, and all others once classes have merged. Large buckets are
-   dealt out in pairs of blocks of BLOCK members. So no link between different texts that share a bucket is lost, and no class that is
+5. In other buckets the members of different classes are compared with each other, pruned in the same way where the bucket is read, each
+   pair in the first bucket that it shares; a member's likeliest candidate is verified first, and all others once classes have merged.
+   Large buckets are dealt out in pairs of blocks of BLOCK members. So no link between different texts that share a bucket is lost, and no class that is
    already one is compared with itself.
 
 Result: a row for each row of documents: doc_id, class_id (least doc_id of the class) and n_links: the other copies of its text, plus the
@@ -31,7 +31,9 @@ from weftline.llm import contain, shared, textscan
 from weftline.llm.suffixes import NO_ID
 from weftline.llm.textscan import U
 
-THRESHOLD, TOLERANCE, STEP = 0.8, 1e-4, 32
+THRESHOLD, STEP = 0.8, 32
+#: For pairs with a pivot, and for those within a bucket of several classes.
+TOLERANCE, TOLERANCE_WITHIN = 1e-4, 1e-3
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BLOCK = 2048
@@ -154,16 +156,16 @@ def components(links: DataFrame) -> DataFrame:
 
 def _rest(buckets: DataFrame, roots: DataFrame, pivots: DataFrame, sigs: DataFrame, likeliest: bool) -> DataFrame:
     """Pairs (a, b) within a bucket, of different classes, that may reach the threshold and have not been compared yet (none is with a
-    pivot). likeliest: for each member and other class only the pair with most matches."""
-    stages = least_matches()
-    named = buckets.join(roots, "v", "left").select("band", "n", "v", F.coalesce("root", "v").alias("root"))
+    pivot). likeliest: for each member only the pair with most matches."""
+    stages = least_matches(tolerance=TOLERANCE_WITHIN)
+    named = buckets.join(roots, "v", "left").select("band", "at", "n", "v", F.coalesce("root", "v").alias("root"))
     open_bands = named.where("n > 2").groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
     members = named.join(open_bands, "band", "left_semi").join(pivots, "band").where("v != pivot").join(sigs, "v")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("v"), blocks).cast("int")
     # a member of block i meets all blocks j: in the task (min, max) of the two
-    dealt = members.select("band", "v", "root", "sig", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    dealt = dealt.select("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "v", "root", "sig")
+    dealt = members.select("band", "at", "v", "root", "sig", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+    dealt = dealt.select("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "v", "root", "sig", "at")
 
     def solve(rows):
         rows.sort(key=lambda r: (r[4]["k"], r[4]["tk"]))
@@ -171,20 +173,18 @@ def _rest(buckets: DataFrame, roots: DataFrame, pivots: DataFrame, sigs: DataFra
         sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(-1, HASHES)
         names = {x: k for k, x in enumerate(dict.fromkeys(root))}
         cls, block = np.array([names[x] for x in root]), np.array([r[3] for r in rows])
-        lo, hi = rows[0][1], rows[0][2]
-        for x in range(len(rows) - 1):
-            other = np.arange(x + 1, len(rows))
-            other = other[(cls[other] != cls[x]) & ((block[other] != block[x]) | (lo == hi))]
-            if not len(other):
-                continue
+        lo, hi, at = rows[0][1], rows[0][2], rows[0][7]
+        banded = sig.reshape(-1, BANDS, ROWS)
+        for x in range(len(rows)):
+            other = np.flatnonzero(cls != cls[x])
+            other = other[(other > x) | likeliest]
+            other = other[(block[other] != block[x]) | (lo == hi)]
             left, matches = survivors(np.broadcast_to(sig[x], (len(other), HASHES)), sig[other], stages)
             found = other[left]
-            if likeliest and len(found):
-                order = np.lexsort((found, -matches, cls[found]))
-                found = found[order]
-                found = found[np.concatenate([[True], cls[found][1:] != cls[found][:-1]])]
-            for y in found:
-                yield v[x], v[y]
+            first = (banded[found] == banded[x]).all(2).argmax(1) == at  # else another bucket sees to the pair
+            found, matches = found[first], matches[first]
+            for y in found[np.lexsort((found, -matches))[: 1 if likeliest else None]]:
+                yield min(v[x], v[y]), max(v[x], v[y])
 
     def run(batches):
         group, rows, out = None, [], []
@@ -219,9 +219,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Data
     rows = keyed(docs)
     nodes = shared.stored(rows.groupBy("x1", "x2").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("copies")))
     sigs = shared.stored(signatures(rows).join(nodes.select("v"), "v", "left_semi").dropDuplicates(["v"]))
-    band = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)])).alias("band")
+    band = F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)])).alias("at", "band")
     banded = sigs.select("v", band)
-    buckets = shared.stored(banded.join(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
+    # counts are written out before they are joined, so that Spark can split the hot keys of the join
+    sizes = shared.stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    buckets = shared.stored(banded.join(sizes, "band"))
     score = buckets.groupBy("v").agg(F.sum("n").alias("score"))
     best = F.max(F.struct("score", F.col("v"))).alias("best")
     pivots = shared.stored(buckets.join(score, "v").groupBy("band").agg(best).select("band", F.col("best.v").alias("pivot")))
