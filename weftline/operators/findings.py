@@ -127,3 +127,40 @@ def convention(names: DataFrame, group: str, name: str = "name") -> DataFrame:
     style = F.when(F.col(name).rlike(r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$"), "UPPER_SNAKE").when(F.col(name).rlike(r"^[a-z][a-z0-9]*(_[a-z0-9]+)+$"), "snake_case").when(F.col(name).rlike(r"^[a-z]+[a-z0-9]*([A-Z][a-z0-9]*)+$"), "camelCase").when(F.col(name).rlike(r"^([A-Z][a-z0-9]+)+$"), "PascalCase").otherwise("other")
     n = names.groupBy(group, style.alias("style")).agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy(group).agg(F.max_by("style", F.struct("n", F.expr("-ascii(style)"))).alias("style"), F.round(F.max("n") / F.sum("n"), 4).alias("share"))
+
+
+def match_truth(found: list[dict], truth: list[dict], near: int = 3) -> dict:
+    """Greedy one-to-one matching of a few findings with known truths, on the driver: same file, then line distance and name. Counts and
+    shares as in ``accuracy``; truths without a line match any line of the file."""
+    scored = []
+    for i, f in enumerate(found):
+        for j, t in enumerate(truth):
+            if f.get("file") == t.get("file"):
+                gap = 0 if t.get("line") is None else abs((f.get("line") or 0) - t["line"])
+                if gap <= near:
+                    scored.append((-(f.get("name") is not None and f.get("name") == t.get("name")), gap, i, j))
+    used_f, used_t = set(), set()
+    for _, _, i, j in sorted(scored):
+        if i not in used_f and j not in used_t:
+            used_f.add(i)
+            used_t.add(j)
+    tp, fp, fn = len(used_t), len(found) - len(used_f), len(truth) - len(used_t)
+    share = lambda a, b: round(a / b, 4) if b else 0.0
+    return {"tp": tp, "fp": fp, "fn": fn, "precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)}
+
+
+def cvss_severity(vector: str) -> str | None:
+    """Severity of a CVSS 3 base vector; None where it can't be read. Weights and steps are the standard's (fixed values)."""
+    weights = {"AV": {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2}, "AC": {"L": 0.77, "H": 0.44}, "UI": {"N": 0.85, "R": 0.62}, "C": {"H": 0.56, "L": 0.22, "N": 0.0}}
+    try:
+        m = dict(p.split(":") for p in vector.split("/") if ":" in p)
+        changed = m["S"] == "C"
+        pr = {"N": 0.85, "L": 0.68 if changed else 0.62, "H": 0.5 if changed else 0.27}[m["PR"]]
+        iss = 1 - (1 - weights["C"][m["C"]]) * (1 - weights["C"][m["I"]]) * (1 - weights["C"][m["A"]])
+        impact = 7.52 * (iss - 0.029) - 3.25 * (iss - 0.02) ** 15 if changed else 6.42 * iss
+        ease = 8.22 * weights["AV"][m["AV"]] * weights["AC"][m["AC"]] * pr * weights["UI"][m["UI"]]
+    except (KeyError, ValueError, AttributeError):
+        return None
+    score = 0.0 if impact <= 0 else min(10.0, (1.08 if changed else 1.0) * (impact + ease))
+    score = -(-round(score * 100_000) // 10_000) / 10
+    return "none" if score == 0 else "low" if score < 4 else "medium" if score < 7 else "high" if score < 9 else "critical"

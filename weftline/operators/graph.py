@@ -238,3 +238,42 @@ def taint_fixpoint(flows: DataFrame, sources: DataFrame, sanitized: DataFrame |
     own = sources.select(F.col("node_id").alias("start"), "node_id", F.lit(0).alias("depth")).distinct()
     every = own.unionByName(found.select("start", "node_id", "depth"))
     return every.select("node_id", F.col("start").alias("origin"), F.col("depth").alias("hops"), F.round(F.pow(F.lit(decay), F.col("depth")), 6).alias("confidence"))
+
+
+def error_trace(edges: DataFrame, start: DataFrame, handlers: DataFrame, max_depth: int = 10) -> DataFrame:
+    """How far an error in ``start`` goes up: callers until one that handles it. node_id, depth and handled."""
+    caught = handlers.select(F.col("node_id").alias("target_id")).distinct()
+    open_edges = edges.join(caught, "target_id", "left_anti")  # nothing goes up beyond a handler
+    found = traverse(open_edges, start, max_depth, "callers")
+    return found.join(handlers.select("node_id", F.lit(True).alias("handled")).distinct(), "node_id", "left").select("start", "node_id", "depth", F.coalesce("handled", F.lit(False)).alias("handled"))
+
+
+def cycle_severity(found: DataFrame, test_pattern: str = r"(?i)(^|/)tests?/|test_|\.test\.") -> DataFrame:
+    """cycles with severity: info for self edges, cycles of more than eight nodes, or those of tests only; else warning."""
+    names = F.split("cycle", " -> ")
+    info = (F.col("length") == 1) | (F.col("length") > 8) | F.forall(names, lambda n: n.rlike(test_pattern))
+    return found.withColumn("severity", F.when(info, "info").otherwise("warning"))
+
+
+def within(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges with both ends among members (node_id)."""
+    m = members.select("node_id").distinct()
+    return edges.join(m.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(m.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
+
+
+def receivers(calls: DataFrame, types: DataFrame, methods: DataFrame) -> DataFrame:
+    """Resolve ``variable.method`` calls (call_id, file, to_fn) through what is known of variables (file, variable, type) and methods of
+    types (type, name, node_id, line): call_id and target_id, the first by line."""
+    parts = F.split("to_fn", r"\.")
+    c = calls.where(F.size(parts) == 2).select("call_id", "file", parts[0].alias("variable"), parts[1].alias("name"))
+    best = c.join(types, ["file", "variable"]).join(methods, ["type", "name"]).groupBy("call_id").agg(F.min(F.struct("line", "node_id")).alias("b"))
+    return best.select("call_id", F.col("b.node_id").alias("target_id"))
+
+
+def message_calls(invokes: DataFrame, commands: DataFrame) -> DataFrame:
+    """Edges from calls by message name (source_id, command) to the functions that answer (node_id, name), in either case of the name;
+    confidence 0.9."""
+    from weftline.functions.text import alternate_case
+
+    asked = invokes.select("source_id", F.explode(F.array_distinct(F.array("command", alternate_case(F.col("command"))))).alias("name"))
+    return asked.join(commands.select("name", F.col("node_id").alias("target_id")), "name").select("source_id", "target_id", F.lit(0.9).alias("confidence")).distinct()
