@@ -262,10 +262,11 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(keyed rows of docs; k, tk, spans) with the repeated windows of each document that has any, as an array of (s, n): n windows from s."""
     keyed = _keyed(docs)
     rows = _run_rows(keyed)
-    anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("found"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("found > 1")
+    # counts are written out before they are joined: a join between two plain exchanges is one whose hot keys Spark can split
+    anchors = shared.stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("found"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("found > 1"))
     many = shared.stored(rows.join(anchors, "anchor").select("anchor", "run", "k", "tk", "s", "n", "off", (F.col("lo") == F.col("hi")).alias("alike")))
     unlike = many.where(~F.col("alike"))
-    kinds = unlike.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("k", "tk", "s", "n", "off")).alias("one"))
+    kinds = shared.stored(unlike.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("k", "tk", "s", "n", "off")).alias("one")))
     whole = unlike.join(kinds.where("found > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select("k", "tk", "s", "n")
     wanted = kinds.select("one.k", "one.tk", F.struct("anchor", "one.s", "one.n", "one.off", (F.col("found") == 1).alias("single")).alias("w")).groupBy("k", "tk").agg(F.collect_list("w").alias("wanted"))
     cut = _cut_runs(keyed.join(wanted, ["k", "tk"]).select("doc_id", "text", "k", "tk", "wanted"))
