@@ -32,8 +32,8 @@ from weftline.llm.suffixes import NO_ID
 from weftline.llm.textscan import U
 
 THRESHOLD, STEP = 0.8, 32
-#: For pairs with a pivot, and for those within a bucket of several classes.
-TOLERANCE, TOLERANCE_WITHIN = 1e-4, 1e-3
+#: For pairs with a pivot and for those within a bucket alike.
+TOLERANCE = 1e-4
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BLOCK = 2048
@@ -157,7 +157,7 @@ def components(links: DataFrame) -> DataFrame:
 def _rest(buckets: DataFrame, roots: DataFrame, pivots: DataFrame, sigs: DataFrame, likeliest: bool) -> DataFrame:
     """Pairs (a, b) within a bucket, of different classes, that may reach the threshold and have not been compared yet (none is with a
     pivot). likeliest: for each member only the pair with most matches."""
-    stages = least_matches(tolerance=TOLERANCE_WITHIN)
+    stages = least_matches()
     named = buckets.join(roots, "v", "left").select("band", "at", "n", "v", F.coalesce("root", "v").alias("root"))
     open_bands = named.where("n > 2").groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
     members = named.join(open_bands, "band", "left_semi").join(pivots, "band").where("v != pivot").join(sigs, "v")
