@@ -1,7 +1,10 @@
 """What operators must not leave out."""
 
+import random
 from math import comb
 
+import brute
+
 from weftline.llm import neardup
 
 
@@ -23,3 +26,25 @@ def test_pairs_at_the_threshold_are_seldom_pruned(spark, monkeypatch):
     monkeypatch.setattr(neardup, "least_matches", lambda *a, **b: used.append(whole(*a, **b)) or used[-1])
     neardup.join(spark.createDataFrame([(i, f"a b c d e {i}") for i in range(4)], "doc_id long, text string"))
     assert len(used) >= 2 and all(missed(stages, 0.8) < 6e-4 for stages in used)
+
+
+def test_all_links_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 16)
+    rnd = random.Random(4)
+    base = [[f"w{rnd.randrange(3000)}" for _ in range(150)] for _ in range(2)]
+
+    def edited(words, n):
+        words = list(words)
+        for _ in range(n):
+            words[rnd.randrange(len(words))] = f"w{rnd.randrange(3000)}"
+        return " ".join(words)
+
+    texts = [edited(base[i % 3 == 0], rnd.randint(0, 5)) for i in range(80)]
+    texts += texts[:5] + ["", "", "one two", "one two", "other words that nothing is like"]
+    sets = [brute.shingles(t) for t in texts]
+    alike = lambda a, b: bool(a and b) and len(a & b) / len(a | b) >= 0.8
+    different = [{t for t, s in zip(texts, sets, strict=True) if t != texts[i] and alike(s, x)} for i, x in enumerate(sets)]
+    want = {i: len(d) + (texts.count(texts[i]) - 1 if sets[i] else 0) for i, d in enumerate(different)}
+    assert max(want.values()) > 20
+    got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.n_links for r in got.collect()} == want

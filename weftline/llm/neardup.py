@@ -9,11 +9,14 @@
 4. Verified links make classes, by connected components. A bucket whose members are in one class has nothing left to find.
 5. In other buckets the members of different classes are compared with each other, pruned in the same way where the bucket is read, each
    pair in the first bucket that it shares; a member's likeliest candidate is verified first, and all others once classes have merged.
-   Large buckets are dealt out in pairs of blocks of BLOCK members. So no link between different texts that share a bucket is lost, and no class that is
-   already one is compared with itself.
+   Large buckets are dealt out in pairs of blocks of BLOCK members. So of links between classes that share a bucket only pruning loses
+   any, and no class that is already one is compared with itself.
+
+6. A link never leaves its class. Within each class every text is compared exactly with every other one, by the shingles that they share;
+   classes are dealt out in pairs of blocks of BLOCK_TEXTS texts or BLOCK_BYTES bytes. Only counts come out, no pairs.
 
 Result: a row for each row of documents: doc_id, class_id (least doc_id of the class) and n_links: the other copies of its text, plus the
-verified links between its text and others that the join needed to find the classes - not all pairs of a class.
+different texts of its class that are linked with its text.
 Texts without words are linked to nothing; texts of one to four words have one shingle of all their words. A null id is an id like
 others (class_id is null only where all ids of a class are). Repeated rows are copies of each other.
 """
@@ -37,6 +40,8 @@ TOLERANCE = 1e-4
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BLOCK = 2048
+#: Where links are counted.
+BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
 _MULTIPLIERS = textscan.mix(np.arange(1, HASHES + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F)) | U(1)
 NODE = "struct<k:bigint,tk:int>"
 
@@ -239,10 +244,78 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Data
     return rows, nodes, links, components(links)
 
 
+def shared_shingles(sets: list[np.ndarray]):
+    """For each set in turn, how many of its members each of the sets has. sets: sorted, without repeats."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, number, found = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = found[number] > 1  # others are shared with no set
+    by = np.argsort(number[several], kind="stable")
+    holders, first = owner[several][by], np.cumsum(np.where(found > 1, found, 0)) - found
+    ends = np.cumsum(size)
+    for x, (end, n) in enumerate(zip(ends, size, strict=True)):
+        own = number[end - n : end][several[end - n : end]]
+        m = found[own]
+        if len(own):
+            yield x, np.bincount(holders[np.repeat(first[own] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))], minlength=len(sets))
+        else:
+            yield x, np.zeros(len(sets), np.int64)
+
+
+def link_counts(texts: DataFrame, roots: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """v and links: how many other nodes of its class each node is linked with. texts: v, text, a row for each node."""
+    named = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
+    size = F.octet_length("text")
+    members = shared.stored(named.join(texts.dropDuplicates(["v"]), "v").select("root", "v", "text"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int")
+    dealt = members.join(shared.stored(members.groupBy("root").agg(blocks.alias("blocks"))), "root")
+    # a member of block i meets all blocks j: in the task (min, max) of the two
+    dealt = dealt.select("root", "v", "text", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    dealt = dealt.select("root", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "v", "text")
+
+    def solve(rows):
+        sets: list[np.ndarray] = []
+        for _, h, m in contain.shingle_sets(pa.array([r[5] for r in rows], pa.string())):
+            sets += [np.unique(x) for x in np.split(h, np.cumsum(m)[:-1])]
+        size, block = np.array([len(x) for x in sets]), np.array([r[3] for r in rows])
+        inside = rows[0][1] == rows[0][2]
+        for x, both in shared_shingles(sets):
+            linked = both / np.maximum(size + size[x] - both, 1) >= threshold
+            linked &= (block != block[x]) | inside
+            linked[x] = False
+            yield rows[x][4], int(linked.sum())
+
+    def run(batches):
+        group, rows, out = None, [], []
+
+        def batch_of():
+            got = pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], node), pa.array([n for _, n in out], pa.int64())], names=["v", "links"])
+            out.clear()
+            return got
+
+        for batch in batches:
+            node = batch.schema.field("v").type
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != group and rows:
+                    out.extend(solve(rows))
+                    rows.clear()
+                    if len(out) > 5000:
+                        yield batch_of()
+                group = row[:3]
+                rows.append(row)
+        if rows:
+            out.extend(solve(rows))
+        if out:
+            yield batch_of()
+
+    counted = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(run, f"v {NODE}, links long")
+    return counted.groupBy("v").agg(F.sum("links").alias("links"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and n_links of every row of docs."""
-    rows, nodes, links, roots = join(docs)
-    ends = links.select(F.col("a").alias("v")).unionAll(links.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
+    rows, nodes, _, roots = join(docs)
+    ends = link_counts(rows.join(nodes.select("v"), "v", "left_semi").select("v", "text"), roots)
     has_words = F.length(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", "")) > 0
     named = nodes.join(roots, "v", "left").join(ends, "v", "left").select("x1", "x2", "copies", F.coalesce("root", "v").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     # the least id that isn't null, over all nodes of a class
