@@ -5,7 +5,7 @@ from math import comb
 
 import brute
 
-from weftline.llm import neardup
+from weftline.llm import neardup, pagetext
 
 
 def missed(stages, similarity):
@@ -48,3 +48,13 @@ def test_all_links_are_counted(spark, monkeypatch):
     assert max(want.values()) > 20
     got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
     assert {r.doc_id: r.n_links for r in got.collect()} == want
+
+
+def test_text_after_odd_tags_stays():
+    for odd, left in (("</>", ""), ("</3 b>", ""), ("</ p>", ""), ("<!odd>", ""), ("<!-->", ""), ("<!--->", ""), ("<!-- c --!>", ""), ("<β ", "<β "), ("<é", "<é"), ("< ", "< "), ("<3", "<3")):
+        assert pagetext.main_text(f"<p>one {odd}and two</p><p>three</p>") == f"one {left}and two\nthree", odd
+    for attributes in ("title=it's", "title='it's'", "don't", "a=\"x\"y\"", "a='>' b=\">\"", "a = 'x'/", "=", "a=", "a==\"b", "a=x/y"):
+        assert pagetext.main_text(f"<p {attributes}>Hello</p><p>don't</p><p>\"so\" it's</p>") == "Hello\ndon't\n\"so\" it's", attributes
+    assert pagetext.main_text("<p>kept</p><a href='x") == "kept"
+    assert pagetext.main_text("<p>kept <β") == "kept <β"
+    assert pagetext.main_text("<p>kept</p><p " + "a " * 20000 + "'\"" * 20000) == "kept"

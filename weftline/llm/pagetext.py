@@ -42,7 +42,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 #: Elements that an opening tag of the same kind, or of a block, closes.
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
-TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|$)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[!?][^>]*>)", re.S)
+#: A quote opens a value only after an equals sign; an end tag without a name is a comment, as "<!" and "<?" are.
+TAG = re.compile(
+    r"<(?:!--(?:-?>|(.*?)(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?)?|=)*+)>|[!?][^>]*>|/(?![a-zA-Z])[^>]*>)", re.S
+)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SIMPLE_TAG = re.compile(r"<(?:(\x00)|(/?)([a-zA-Z][^\s/>]*)([^>]*))>")
 PUNCTUATION = re.compile(r"[.,;:!?¡¿…、。，！？]")
@@ -91,7 +94,7 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[tuple[int
             parts.append(page[pos:at])
         m = TAG.match(page, at) or SIMPLE_TAG.match(page, at)  # quotes may not be paired
         if not m:
-            if page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] in ("/", "!"):
+            if (sign := page[at + 1 : at + 2]).isascii() and sign.isalpha() or sign in ("/", "!"):
                 break  # a tag that the page's end cuts off
             parts.append("<")
             pos = at + 1
