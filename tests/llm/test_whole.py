@@ -5,7 +5,7 @@ from math import comb
 
 import brute
 
-from weftline.llm import neardup, pagetext
+from weftline.llm import licences, neardup, pagetext
 
 
 def missed(stages, similarity):
@@ -58,3 +58,63 @@ def test_text_after_odd_tags_stays():
     assert pagetext.main_text("<p>kept</p><a href='x") == "kept"
     assert pagetext.main_text("<p>kept <β") == "kept <β"
     assert pagetext.main_text("<p>kept</p><p " + "a " * 20000 + "'\"" * 20000) == "kept"
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+BSD = """Copyright (c) 2020, Somebody Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+{} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{} Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """    This program is free software{} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{} either version {} of the License, or
+    (at your option) any later version.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_wrapped_licences(spark):
+    comment = lambda t, mark: "".join(f"{mark} {line}\n" for line in t.split("\n"))
+    plain = [(MIT, "MIT"), (APACHE, "Apache-2.0"), (MPL, "MPL-2.0"), (" ".join(MPL.split()), "MPL-2.0"), (GPL.format(":", ",", 3), "GPL-3.0-or-later"), (GPL.format(";", ";", 2), "GPL-2.0-or-later")]
+    plain += [(BSD.format(*marks), "BSD-3-Clause") for marks in (("1.", "2.", "3."), ("(1)", "(2)", "(3)"), ("a)", "b)", "c)"), ("*", "*", "*"), ("-", "-", "-"))]
+    want = [(c, name) for t, name in plain for c in (t, t.replace("\n", "\r\n"), comment(t, " *"), comment(t, "//"), f"Some words\n{t}\nmore words")]
+    want += [("words\nReleased under the MIT License\nwords", "MIT"), ("Released under\n\nthe MIT License", None), ("A v. Released under the MIT License.", "MIT"), ("not released under the MIT License at all", None)]
+    got = licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, (text, name) in zip(got, want, strict=True):
+        assert r.licence == name, (text, r)
+    assert got[0].sequence == "mit-title mit-grant mit-notice mit-warranty"

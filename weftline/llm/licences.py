@@ -1,8 +1,9 @@
 """License scan by sentence rules (op8): built-in functions only.
 
-A text is cut into sentences at newlines and where a full stop, ``!``, ``?`` or ``;`` is followed by white space. A sentence is
-normalised: lower case, runs of other characters than a-z and 0-9 become one blank, trimmed. Normalised sentences that are known map to
-identifiers; the identifiers of a text, in order, form a sequence. A rule is an ordered list of identifiers; it matches where they
+A text is cut into sentences at blank lines and where a full stop, ``!``, ``?`` or ``;`` is followed by white space. A newline, a list mark
+in brackets and the stop of ``v.`` may end a sentence or stand within it, so that wrapped sentences and one-line notices are both found; the
+longest known sentence that begins at a place counts. A sentence is normalised: lower case, runs of other characters than a-z and 0-9
+become one blank, trimmed. Normalised sentences that are known map to identifiers; the identifiers of a text, in order, form a sequence. A rule is an ordered list of identifiers; it matches where they
 stand next to each other in the sequence. The first rule in RULES that matches anywhere gives ``licence``; ``matched`` lists all rules
 that match, in the order of RULES. Every sentence of every text is looked up; nothing is shuffled, since a text's own row is enough.
 
@@ -77,7 +78,11 @@ RULES = [
     ("MPL-2.0", ["mpl2-ref"]),
 ]
 
-ENDS = r"[.!?;](?=[ \t\r])|\n"
+ENDS = r"(?<!\b[vV]|\b[vV]er)[.!?;](?=\s)"
+#: What may end a sentence or not, besides a newline.
+EITHER = r"(?<=\b[vV]|\b[vV]er)\.\s+|(?<=\n)[^a-zA-Z0-9\n]*\(?(?:[0-9]{1,2}|[a-zA-Z])\)(?=\s)"
+#: A known sentence between marks; a single mark may stand for a blank.
+KNOWN = r"(?<=\|)(?:" + "|".join(s.replace(" ", "[ |]") for s in sorted(SENTENCES, key=len, reverse=True)) + r")(?=\|)"
 
 
 def identifiers(text: Column) -> Column:
@@ -86,8 +91,10 @@ def identifiers(text: Column) -> Column:
     # an identifier is sought only for sentences with a word that all of SENTENCES have one of
     hint = "(?i)licen|warrant|permi|redistribut|copyright|free|compliance|version|neither|reserved"
     near = F.filter(F.split(F.coalesce(text, F.lit("")), ENDS), lambda s: s.rlike(hint))
-    normal = F.transform(near, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    plain = F.transform(near, lambda s: F.regexp_replace(F.lower(F.regexp_replace(s, EITHER, "\n")), "[^a-z0-9\n]+", " "))
+    marked = F.transform(plain, lambda s: F.concat(F.lit("|"), F.regexp_replace(F.trim(s), " *\n *", "|"), F.lit("|")))
+    found = F.flatten(F.transform(marked, lambda s: F.regexp_extract_all(s, F.lit(KNOWN), F.lit(0))))
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "|", " ")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
