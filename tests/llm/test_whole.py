@@ -5,7 +5,7 @@ from math import comb
 
 import brute
 
-from weftline.llm import licences, neardup, pagetext
+from weftline.llm import licences, neardup, pagetext, suffixes
 
 
 def missed(stages, similarity):
@@ -118,3 +118,17 @@ def test_wrapped_licences(spark):
     for r, (text, name) in zip(got, want, strict=True):
         assert r.licence == name, (text, r)
     assert got[0].sequence == "mit-title mit-grant mit-notice mit-warranty"
+
+
+def test_texts_of_equal_short_hashes_stay_apart(spark):
+    text = lambda i, n: " ".join(f"w{i}x{k}" for k in range(1, n + 1))
+    few, many = [text(i, 8) for i in (5047, 229156)], [text(i, 60) for i in (90370, 165305)]
+    frame = lambda texts: spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    for pair in few, many:
+        assert frame(pair).selectExpr("count(distinct hash(text, true)) AS n").first().n == 1
+    assert sorted(r.text for r in neardup.one_of_each(frame(few)).collect()) == sorted(few)
+    assert [r.n_links for r in neardup.classes(frame(few)).collect()] == [0, 0]
+    texts = [*many, "and " + many[0]]
+    got = [tuple(r)[1:] for r in suffixes.removal(frame(texts)).collect()]
+    assert sorted(got) == sorted(brute.removal(texts))
+    assert sorted(r.text for r in suffixes.without_repeats(frame(texts)).collect()) == sorted(["and ", many[1]])

@@ -43,13 +43,13 @@ BLOCK = 2048
 #: Where links are counted.
 BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
 _MULTIPLIERS = textscan.mix(np.arange(1, HASHES + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F)) | U(1)
-NODE = "struct<k:bigint,tk:int>"
+NODE = "struct<k:bigint,t1:bigint,t2:bigint>"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, node key v of each row, and a 128-bit hash of the text (x1, x2)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    v = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.hash(text, F.col("doc_id").isNull()).alias("tk"))
+    v = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), *shared.text_key(text, F.col("doc_id").isNull()))
     return docs.select("doc_id", text.alias("text"), v.alias("v"), F.xxhash64(text).alias("x1"), F.xxhash64(F.lit(1), text).alias("x2"))
 
 
@@ -173,8 +173,8 @@ def _rest(buckets: DataFrame, roots: DataFrame, pivots: DataFrame, sigs: DataFra
     dealt = dealt.select("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "v", "root", "sig", "at")
 
     def solve(rows):
-        rows.sort(key=lambda r: (r[4]["k"], r[4]["tk"]))
-        v, root = [(r[4]["k"], r[4]["tk"]) for r in rows], [(r[5]["k"], r[5]["tk"]) for r in rows]
+        rows.sort(key=lambda r: tuple(r[4].values()))
+        v, root = [tuple(r[4].values()) for r in rows], [tuple(r[5].values()) for r in rows]
         sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(-1, HASHES)
         names = {x: k for k, x in enumerate(dict.fromkeys(root))}
         cls, block = np.array([names[x] for x in root]), np.array([r[3] for r in rows])
@@ -199,7 +199,7 @@ def _rest(buckets: DataFrame, roots: DataFrame, pivots: DataFrame, sigs: DataFra
             rows.clear()
 
         def batch_of():
-            got = pa.RecordBatch.from_arrays([pa.array([{"k": p[s][0], "tk": p[s][1]} for p in out], pa.struct([("k", pa.int64()), ("tk", pa.int32())])) for s in (0, 1)], names=["a", "b"])
+            got = pa.RecordBatch.from_arrays([pa.array([dict(zip(("k", "t1", "t2"), p[s], strict=True)) for p in out], pa.struct([(n, pa.int64()) for n in ("k", "t1", "t2")])) for s in (0, 1)], names=["a", "b"])
             out.clear()
             return got
 
@@ -330,7 +330,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     _, nodes, _, roots = join(docs)
     heads = nodes.select("v").join(roots.select("v"), "v", "left_anti")  # a root is never listed as a member
     key = shared.fresh(docs, "node")
-    v = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.hash(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNull()).alias("tk"))
+    v = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), *shared.text_key(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNull()))
     wordless = F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
     kept = docs.withColumn(key, v).join(heads.withColumnRenamed("v", key), key, "left_semi").dropDuplicates([key]).drop(key)
     return kept.where(~wordless).unionByName(docs.where(wordless))

@@ -57,6 +57,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_key(text, no_id):
+    """(t1, t2): 128 bits of a text's hash, which with the id tell rows apart; t2 is inverted where the id is null."""
+    t2 = F.xxhash64(F.lit(1), text)
+    return F.xxhash64(text).alias("t1"), F.when(no_id, F.bitwise_not(t2)).otherwise(t2).alias("t2")
+
+
 def crc_mod3(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 3; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3, F.lit(0))

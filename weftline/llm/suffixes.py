@@ -177,20 +177,20 @@ def repeated(buf: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key (k, tk) of a row: its id, and a hash of the text that tells rows with the same id apart."""
+    """doc_id, text and the key (k, t1, t2) of a row: its id, and 128 bits of the text's hash that tell rows with the same id apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.hash(text, F.col("doc_id").isNull()).alias("tk"))
+    return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), *shared.text_key(text, F.col("doc_id").isNull()))
 
 
 def _run_rows(keyed: DataFrame) -> DataFrame:
     def work(batch):
-        k, tk = (np.asarray(batch.column(i)) for i in (1, 2))
+        k, t1, t2 = (np.asarray(batch.column(i)) for i in (1, 2, 3))
         for first, _, buf, offs in textscan.chunks(batch.column(0)):
             text, s, n, off, anchor, run = runs(buf, offs)
             if len(text):
-                yield {"anchor": anchor.view(np.int64), "run": run.view(np.int64), "k": k[first + text], "tk": tk[first + text], "s": s, "n": n, "off": off}
+                yield {"anchor": anchor.view(np.int64), "run": run.view(np.int64), "k": k[first + text], "t1": t1[first + text], "t2": t2[first + text], "s": s, "n": n, "off": off}
 
-    return shared.by_batch(keyed.where(F.octet_length("text") >= WINDOW).select("text", "k", "tk"), work, "anchor long, run long, k long, tk int, s int, n int, off int")
+    return shared.by_batch(keyed.where(F.octet_length("text") >= WINDOW).select("text", "k", "t1", "t2"), work, "anchor long, run long, k long, t1 long, t2 long, s int, n int, off int")
 
 
 #: Bytes of runs that are sorted at once; a single anchor's runs may be more.
@@ -198,9 +198,9 @@ SORT_BYTES = 1 << 20
 
 
 def _sort_runs(rows: DataFrame) -> DataFrame:
-    """Windows of single runs that are repeated: k, tk, s, n of each stretch. rows: anchor, k, tk, s, n, off, single, bytes; in order of anchor."""
+    """Windows of single runs that are repeated: k, t1, t2, s, n of each stretch. rows: anchor, k, t1, t2, s, n, off, single, bytes; in order of anchor."""
 
-    def solve(anchor, k, tk, s, n, off, single, data):
+    def solve(anchor, k, t1, t2, s, n, off, single, data):
         size = n + WINDOW - 1
         begin = np.cumsum(size) - size
         buf = np.frombuffer(b"".join(data), np.uint8)
@@ -214,7 +214,7 @@ def _sort_runs(rows: DataFrame) -> DataFrame:
             b = np.flatnonzero(first)
             m = np.diff(np.append(b, len(x)))
             w = which[x[b]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((k[w], pa.int64()), (tk[w], pa.int32()), (s[w] + i[x[b]], pa.int32()), (m, pa.int32()))], names=["k", "tk", "s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((k[w], pa.int64()), (t1[w], pa.int64()), (t2[w], pa.int64()), (s[w] + i[x[b]], pa.int32()), (m, pa.int32()))], names=["k", "t1", "t2", "s", "n"])
 
     def run(batches):
         held: list[list] = []
@@ -222,24 +222,24 @@ def _sort_runs(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and bytes_held > SORT_BYTES and row[0] != held[-1][0]:
-                    yield from solve(*(np.array(c) for c in list(zip(*held, strict=True))[:7]), [r[7] for r in held])
+                    yield from solve(*(np.array(c) for c in list(zip(*held, strict=True))[:8]), [r[8] for r in held])
                     held, bytes_held = [], 0
                 held.append(row)
-                bytes_held += len(row[7])
+                bytes_held += len(row[8])
         if held:
-            yield from solve(*(np.array(c) for c in list(zip(*held, strict=True))[:7]), [r[7] for r in held])
+            yield from solve(*(np.array(c) for c in list(zip(*held, strict=True))[:8]), [r[8] for r in held])
 
-    return rows.select("anchor", "k", "tk", "s", "n", "off", "single", "bytes").mapInArrow(run, "k long, tk int, s int, n int")
+    return rows.select("anchor", "k", "t1", "t2", "s", "n", "off", "single", "bytes").mapInArrow(run, "k long, t1 long, t2 long, s int, n int")
 
 
 def _cut_runs(rows: DataFrame) -> DataFrame:
     """The bytes of runs: rows has text and the array ``wanted`` of (anchor, s, n, off, single)."""
 
     def work(batch):
-        for text, k, tk, wanted in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+        for text, k, t1, t2, wanted in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
             raw = text.encode()
             yield {
-                "anchor": [w["anchor"] for w in wanted], "k": [k] * len(wanted), "tk": [tk] * len(wanted), "s": [w["s"] for w in wanted], "n": [w["n"] for w in wanted], "off": [w["off"] for w in wanted],
+                "anchor": [w["anchor"] for w in wanted], "k": [k] * len(wanted), "t1": [t1] * len(wanted), "t2": [t2] * len(wanted), "s": [w["s"] for w in wanted], "n": [w["n"] for w in wanted], "off": [w["off"] for w in wanted],
                 "single": [w["single"] for w in wanted], "bytes": [raw[w["s"] : w["s"] + w["n"] + WINDOW - 1] for w in wanted],
             }
 
@@ -255,24 +255,24 @@ def _cut_runs(rows: DataFrame) -> DataFrame:
             yield {c: [x for p in parts for x in p[c]] for c in parts[0]}
 
     # with doc_id, so that the texts' exchange is the one that removal() has, and runs once
-    return shared.by_batch(rows.select("doc_id", "text", "k", "tk", "wanted"), grouped, "anchor long, k long, tk int, s int, n int, off int, single boolean, bytes binary")
+    return shared.by_batch(rows.select("doc_id", "text", "k", "t1", "t2", "wanted"), grouped, "anchor long, k long, t1 long, t2 long, s int, n int, off int, single boolean, bytes binary")
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keyed rows of docs; k, tk, spans) with the repeated windows of each document that has any, as an array of (s, n): n windows from s."""
+    """(keyed rows of docs; k, t1, t2, spans) with the repeated windows of each document that has any, as an array of (s, n): n windows from s."""
     keyed = _keyed(docs)
     rows = _run_rows(keyed)
     # counts are written out before they are joined: a join between two plain exchanges is one whose hot keys Spark can split
     anchors = shared.stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("found"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("found > 1"))
-    many = shared.stored(rows.join(anchors, "anchor").select("anchor", "run", "k", "tk", "s", "n", "off", (F.col("lo") == F.col("hi")).alias("alike")))
+    many = shared.stored(rows.join(anchors, "anchor").select("anchor", "run", "k", "t1", "t2", "s", "n", "off", (F.col("lo") == F.col("hi")).alias("alike")))
     unlike = many.where(~F.col("alike"))
-    kinds = shared.stored(unlike.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("k", "tk", "s", "n", "off")).alias("one")))
-    whole = unlike.join(kinds.where("found > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select("k", "tk", "s", "n")
-    wanted = kinds.select("one.k", "one.tk", F.struct("anchor", "one.s", "one.n", "one.off", (F.col("found") == 1).alias("single")).alias("w")).groupBy("k", "tk").agg(F.collect_list("w").alias("wanted"))
-    cut = _cut_runs(keyed.join(wanted, ["k", "tk"]).select("doc_id", "text", "k", "tk", "wanted"))
-    partly = _sort_runs(cut.repartition("anchor").sortWithinPartitions("anchor", "k", "tk", "s"))
-    found = many.where("alike").select("k", "tk", "s", "n").unionByName(whole).unionByName(partly)
-    return keyed, found.groupBy("k", "tk").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    kinds = shared.stored(unlike.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("k", "t1", "t2", "s", "n", "off")).alias("one")))
+    whole = unlike.join(kinds.where("found > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select("k", "t1", "t2", "s", "n")
+    wanted = kinds.select("one.k", "one.t1", "one.t2", F.struct("anchor", "one.s", "one.n", "one.off", (F.col("found") == 1).alias("single")).alias("w")).groupBy("k", "t1", "t2").agg(F.collect_list("w").alias("wanted"))
+    cut = _cut_runs(keyed.join(wanted, ["k", "t1", "t2"]).select("doc_id", "text", "k", "t1", "t2", "wanted"))
+    partly = _sort_runs(cut.repartition("anchor").sortWithinPartitions("anchor", "k", "t1", "t2", "s"))
+    found = many.where("alike").select("k", "t1", "t2", "s", "n").unionByName(whole).unionByName(partly)
+    return keyed, found.groupBy("k", "t1", "t2").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
 
 
 def removed_bytes(size: int, found: list[dict] | None) -> np.ndarray:
@@ -303,7 +303,7 @@ def removal(docs: DataFrame) -> DataFrame:
         size, n, k, sha = zip(*out, strict=True)
         yield {"doc_id": ids, "n_bytes": size, "n_removed": n, "n_spans": k, "kept_sha256": sha}
 
-    rows = keyed.join(found, ["k", "tk"], "left").select("doc_id", "text", "spans")
+    rows = keyed.join(found, ["k", "t1", "t2"], "left").select("doc_id", "text", "spans")
     return shared.by_batch(rows, work, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -315,9 +315,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     _, found = spans(docs)
     names = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
-    k, tk, where = (shared.fresh(docs, n) for n in ("key_id", "key_text", "repeated_spans"))
-    rows = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), tk: F.hash(text, F.col("doc_id").isNull())})
-    rows = rows.join(found.select(F.col("k").alias(k), F.col("tk").alias(tk), F.col("spans").alias(where)), [k, tk], "left").select(*names, where)
+    k, t1, t2, where = (shared.fresh(docs, n) for n in ("key_id", "key_text", "key_text2", "repeated_spans"))
+    rows = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), **dict(zip((t1, t2), shared.text_key(text, F.col("doc_id").isNull()), strict=True))})
+    rows = rows.join(found.select(F.col("k").alias(k), F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("spans").alias(where)), [k, t1, t2], "left").select(*names, where)
     at = names.index("text")
     count = next((i for i, n in enumerate(names) if n == "n_chars"), None)
 
