@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
-def tokens(text: Column, most: int = 4096) -> Column:
-    """Search tokens: cut at camel-case steps and at signs, lower case, two characters or more, no stopwords, the first ``most``."""
+def tokens(text: Column, most: int | None = None) -> Column:
+    """Search tokens: cut at camel-case steps and at signs, lower case, two characters or more, no stopwords; all, or the first ``most``."""
     cut = F.split(F.lower(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+")
-    return F.slice(F.filter(cut, lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS)), 1, most)
+    kept = F.filter(cut, lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
+    return kept if most is None else F.slice(kept, 1, most)
 
 
 def alternate_case(name: Column) -> Column:
