@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from weftline.llm import contain, gbt, neardup, packing, quality, records, shared, suffixes, textscan, warc
+from weftline.llm import contain, gbt, neardup, packing, quality, records, shared, suffixes, textscan, tokens, warc
 
 
 def test_statistics_equal_plain_ones():
@@ -89,19 +89,32 @@ def test_crc32c_and_frames():
     assert records.unframe(records.frame(payloads)[0]) == payloads
 
 
-def test_encoder_equals_library():
-    import array
-
+def test_encoder_equals_library(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    whole, (own, kind) = Tokenizer.from_file(path), records.encoder(path)
+    whole, own = Tokenizer.from_file(path), tokens.encoder(path)
     rnd = random.Random(2)
-    parts = ["a", "b", " ", "\n", "'", "s", "1", "é", "#", "ll", "\t", "日本", " ", "²", "ß", "<|endoftext|>", "<|", "don't"]
-    for _ in range(1500):
-        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25)))
-        assert own.encode(text) == array.array(kind, whole.encode(text, add_special_tokens=False).ids).tobytes(), text
+    parts = ["a", "b", " ", " ", "\n", "'", "'", "s", "t", "m", "r", "e", "l", "v", "1", "é", "#", "ll", "\t", "日本", "\u00a0", "²", "ß", "<|endoftext|>", "<|", "don't", "\x1c", "\x85", "\u2003", "\u3000", "\u2019", "\U0001f600", "e\u0301", "\u200b", "\u180e"]
+    texts = ["", *("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(4000))]
+    for chars in (tokens.CHUNK_CHARS, 50):
+        monkeypatch.setattr(tokens, "CHUNK_CHARS", chars)
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert ids == np.array(whole.encode(text, add_special_tokens=False).ids, own.dtype).tobytes(), text
+    long = " ".join(rnd.choice(("word", "it's", "日本", "\n\n", "42")) for _ in range(20_000))
+    monkeypatch.setattr(tokens, "CHUNK_CHARS", 8192)
+    assert len(list(tokens.pieces(long))) > 5
+    assert own.encode([long]) == [np.array(whole.encode(long, add_special_tokens=False).ids, own.dtype).tobytes()]
+
+
+def test_pretokens_of_equal_hashes_stay_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "mix", lambda x: x * 0)
+    cp = np.frombuffer("ab abc ab xy abc".encode("utf-32-le"), np.uint32)
+    starts = np.array([0, 2, 6, 9, 12])
+    one, group = tokens.groups(cp, starts, np.append(starts[1:], len(cp)))
+    text = [cp[s:e].tobytes() for s, e in zip(starts, [*starts[1:], len(cp)], strict=True)]
+    assert [text[one[g]] for g in group] == text
 
 
 def test_deep_shallow_sort():

@@ -132,3 +132,21 @@ def test_texts_of_equal_short_hashes_stay_apart(spark):
     got = [tuple(r)[1:] for r in suffixes.removal(frame(texts)).collect()]
     assert sorted(got) == sorted(brute.removal(texts))
     assert sorted(r.text for r in suffixes.without_repeats(frame(texts)).collect()) == sorted(["and ", many[1]])
+
+
+def test_records_query_equals_library(spark, sf_dir):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from weftline.llm import records
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, start = [], 0
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect():
+        ids = [*coder.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in records.op6_binary_records(spark, sf_dir).orderBy("doc_id").collect()] == want

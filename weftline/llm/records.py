@@ -11,7 +11,6 @@ in order themselves. A null text is an empty one; it has the end id only. Repeat
 
 from __future__ import annotations
 
-import array
 import re
 import struct
 import uuid
@@ -23,24 +22,19 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import shared
+from weftline.llm import shared, tokens
 
 #: Fixed values of the format: the Castagnoli polynomial, reflected, and the constant of the mask.
 CRC32C_POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 
-#: The split that a byte-level vocabulary of this kind applies before its merges (fixed value).
-PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-#: Pieces that a worker remembers; beyond that it encodes anew.
-MAX_REMEMBERED = 1 << 20
 BLOCK = 64
-_state: dict = {}
 
 
 def _crc_tables() -> tuple[np.ndarray, list[np.ndarray]]:
-    """The byte table, and for each k the four byte tables that move a remainder past BLOCK * 2**k zero bytes."""
-    if "crc" not in _state:
+    """The table of two bytes, and for each k the four byte tables that move a remainder past BLOCK * 2**k zero bytes."""
+    state = tokens.process_state()
+    if "crc" not in state:
         t = np.arange(256, dtype=np.uint32)
         for _ in range(8):
             t = np.where(t & 1, (t >> 1) ^ np.uint32(CRC32C_POLYNOMIAL), t >> 1).astype(np.uint32)
@@ -55,8 +49,10 @@ def _crc_tables() -> tuple[np.ndarray, list[np.ndarray]]:
                     tables[byte, (np.arange(256) >> bit & 1).astype(bool)] ^= basis[8 * byte + bit]
             shifts.append(tables)
             basis = _moved(tables, basis)
-        _state["crc"] = t, shifts
-    return _state["crc"]
+        low, high = np.tile(np.arange(256), 256), np.repeat(np.arange(256), 256).astype(np.uint32)
+        c = t[low] ^ high
+        state["crc"] = t[c & 0xFF] ^ (c >> 8), shifts
+    return state["crc"]
 
 
 def _moved(tables: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -66,18 +62,18 @@ def _moved(tables: np.ndarray, c: np.ndarray) -> np.ndarray:
 def masked_crc32c(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Masked CRC-32C of each buf[offs[i]:offs[i+1]], all at once; each span has 4 bytes at least."""
     table, shifts = _crc_tables()
+    raw, edges = memoryview(np.ascontiguousarray(buf)), offs.tolist()
     size = np.diff(offs)
     blocks = -(-size // BLOCK)
-    ends = np.cumsum(blocks) * BLOCK
-    wide = np.zeros(int(blocks.sum()) * BLOCK, np.uint8)  # zero bytes in front change nothing
-    first = ends - size
-    wide[np.repeat(first - offs[:-1], size) + np.arange(offs[0], offs[-1])] = buf[offs[0] : offs[-1]]
+    # zero bytes in front change nothing
+    wide = np.frombuffer(b"".join(bytes(raw[a:b]).rjust(n * BLOCK, b"\0") for a, b, n in zip(edges[:-1], edges[1:], blocks.tolist(), strict=True)), np.uint8).copy()
+    first = np.cumsum(blocks) * BLOCK - size
     for k in range(4):
         wide[first + k] ^= 0xFF
-    wide = wide.reshape(-1, BLOCK)
-    c = np.zeros(len(wide), np.uint32)
-    for k in range(BLOCK):
-        c = table[(c ^ wide[:, k]) & 0xFF] ^ (c >> 8)
+    pairs = np.ascontiguousarray(wide.view("<u2").reshape(-1, BLOCK // 2).T)
+    c = np.zeros(pairs.shape[1], np.uint32)
+    for row in pairs:
+        c = table[(c ^ row) & 0xFFFF] ^ (c >> 16)
     level = 0
     while len(blocks) and blocks.max() > 1:
         half = -(-blocks // 2)
@@ -90,60 +86,6 @@ def masked_crc32c(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return ((c >> 15) | (c << 17)) + np.uint32(MASK_DELTA)
 
 
-#: Letters of the texts that take the short path: ASCII and the Latin blocks without other signs (all of them letters in Unicode).
-LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-#: All other characters of such texts: blank, newline, ASCII digits and signs.
-PLAIN = f"[^ \n!-~{LATIN}]|<\\|"
-
-
-class Encoder:
-    """Ids of texts as little-endian bytes, by the tokenizers library, with a memory of pre-tokens.
-
-    Texts are split as the vocabulary's pre-tokenizer does; the model of the library encodes each pre-token once. Texts with other
-    characters than LATIN and PLAIN have are split by the same pattern over all of Unicode; those with what may be a special token
-    go through the library's whole path.
-    """
-
-    def __init__(self, path: str, dtype: str = "H"):
-        import regex
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.whole = Tokenizer.from_file(path)
-        self.dtype, self.known = dtype, {}
-        self.unusual = re.compile(PLAIN).search
-        self.short = re.compile(PRETOKENS.replace(r"\s\p{L}\p{N}", rf" \n{LATIN}0-9").replace(r"\p{L}", f"[{LATIN}]").replace(r"\p{N}", "[0-9]")).findall
-        self.long = regex.compile(PRETOKENS).findall
-        # bytes stand for themselves or for letters beyond 255, as the byte-level alphabet has them
-        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in visible]
-        self.letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        assert set(self.letters.values()) == set(pre_tokenizers.ByteLevel.alphabet())
-
-    def _new(self, token: str) -> bytes:
-        ids = array.array(self.dtype, [t.id for t in self.whole.model.tokenize(token.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        if len(self.known) < MAX_REMEMBERED:
-            self.known[token] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        tokens = self.short
-        if self.unusual(text):
-            if "<|" in text:
-                return array.array(self.dtype, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-            tokens = self.long
-        known, new = self.known.get, self._new
-        return b"".join([known(p) or new(p) for p in tokens(text)])
-
-
-def encoder(path: str) -> tuple[Encoder, str]:
-    if path not in _state:
-        from tokenizers import Tokenizer
-
-        dtype = "H" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "I"
-        _state[path] = Encoder(path, dtype), dtype
-    return _state[path]
-
-
 def frame(payloads: list[bytes]) -> tuple[bytes, np.ndarray]:
     """(records one after another, offset of each)."""
     size = np.array([len(p) for p in payloads], np.int64)
@@ -180,12 +122,20 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (pafs.LocalFileSystem(), path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark's default file system has it: executors open the same files as Spark does."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub(r"^file:/+", "file:///", full)
+
+
 def write(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int = 0, partitions: int | None = None) -> list[dict]:
     """Encode every text of docs (doc_id, text) and write shards with their indexes; returns a row for each shard, in order.
 
     Each task writes its shard under a name of its own and moves it into place when complete, so that a task that runs twice does no
     harm. The list that comes back has one row for each partition, whatever the number of documents.
     """
+    out_dir = qualified(docs.sparkSession, out_dir)
     fs, root = _filesystem(out_dir)
     fs.create_dir(root, recursive=True)
     key = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
@@ -195,26 +145,25 @@ def write(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int = 0, parti
     def run(batches):
         from pyspark import TaskContext
 
-        code, dtype = encoder(vocabulary)
+        code = tokens.encoder(vocabulary)
         ctx = TaskContext.get()
-        name = f"shard-{ctx.partitionId():06d}"
+        name = f"shard-{ctx.partitionId():08d}"
         fs, root = _filesystem(out_dir)
         tmp = f"{root}/.{name}-{ctx.taskAttemptId()}-{uuid.uuid4().hex}"
-        width, end = array.array(dtype).itemsize, array.array(dtype, [end_id]).tobytes()
+        width, end = code.dtype.itemsize, np.array([end_id], code.dtype).tobytes()
         n_docs = n_ids = at = 0
         with fs.open_output_stream(f"{tmp}.rec") as out, fs.open_output_stream(f"{tmp}.idx") as idx:
             for batch in batches:
-                for first in range(0, batch.num_rows, 256):
-                    part = batch.slice(first, 256)
-                    payloads = []
-                    for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        payloads.append(struct.pack("<qB", i or 0, (i is None) | 2 * (width == 4)) + code.encode(t or "") + end)
+                for first in range(0, batch.num_rows, 1024):
+                    part = batch.slice(first, 1024)
+                    ids = code.encode([t or "" for t in part.column(1).to_pylist()])
+                    payloads = [struct.pack("<qB", i or 0, (i is None) | 2 * (width == 4)) + x + end for i, x in zip(part.column(0).to_pylist(), ids, strict=True)]
                     data, offs = frame(payloads)
-                    ids = np.array([(len(p) - 9) // width for p in payloads], np.int64)
+                    count = np.array([(len(p) - 9) // width for p in payloads], np.int64)
                     size = np.array([len(p) + 16 for p in payloads], np.int64)
                     out.write(data)
-                    idx.write(np.stack([offs + at, size, ids], 1).astype("<u8").tobytes())
-                    at, n_docs, n_ids = at + len(data), n_docs + len(payloads), n_ids + int(ids.sum())
+                    idx.write(np.stack([offs + at, size, count], 1).astype("<u8").tobytes())
+                    at, n_docs, n_ids = at + len(data), n_docs + len(payloads), n_ids + int(count.sum())
         if n_docs:
             for kind in ("rec", "idx"):
                 fs.move(f"{tmp}.{kind}", f"{root}/{name}.{kind}")
@@ -223,7 +172,7 @@ def write(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int = 0, parti
             for kind in ("rec", "idx"):
                 fs.delete_file(f"{tmp}.{kind}")
 
-    return sorted((r.asDict() for r in rows.mapInArrow(run, "shard string, n_docs long, n_ids long, n_bytes long").collect()), key=lambda r: r["shard"])
+    return sorted((r.asDict() for r in rows.mapInArrow(run, "shard string, n_docs long, n_ids long, n_bytes long").collect()), key=lambda r: (len(r["shard"]), r["shard"]))
 
 
 SHARD = pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
@@ -245,7 +194,7 @@ def read_one(out_dir: str, shard: str, k: int) -> tuple[int | None, np.ndarray]:
 
 def read_back(spark: SparkSession, out_dir: str, shards: list[dict], work, schema: str, fields: pa.Schema) -> DataFrame:
     """One task for each shard; ``work(doc_ids, arrays of ids, number of ids before them)`` gives a dict of columns for each few MB."""
-    start, rows = 0, []
+    out_dir, start, rows = qualified(spark, out_dir), 0, []
     for s in shards:
         rows.append((s["shard"], start))
         start += s["n_ids"]
