@@ -230,3 +230,41 @@ def test_query_equals_sql(spark, sf_dir, name):
     want = sorted(tuple(map(str, (r[names.index(n)] for n in sorted(names)))) for r in result.fetchall())
     df = __spark_entry__.queries()[name](spark, sf_dir)
     assert sorted(tuple(map(str, (r[n] for n in sorted(names)))) for r in df.collect()) == want
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path, sf_dir):
+    """Every query over workers whose path lacks the repository."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+def away(batches):
+    import importlib.util
+    import pyarrow as pa
+    for _ in batches:
+        yield pa.RecordBatch.from_pydict({{"found": [importlib.util.find_spec("weftline") is not None]}})
+assert not spark.range(1).mapInArrow(away, "found boolean").first().found
+import __spark_entry__
+docs = spark.read.parquet({sf_dir!r} + "/documents.parquet").count()
+for name in ("op2_quality_classifier", "op5_benchmark_leaks", "op6_binary_records", "op7_quality_rules"):
+    assert __spark_entry__.queries()[name](spark, {sf_dir!r}).count() in range(1, docs + 1), name
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    session = lambda master, named: SimpleNamespace(conf={"spark.checkpoint.dir": named} if named else {}, sparkContext=SimpleNamespace(master=master))
+    assert shared.shared_dir(session("spark://a", "hdfs://b")) == "hdfs://b" and shared.shared_dir(session("local[4]", None))
+    for master in ("spark://a", "yarn", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError):
+            shared.shared_dir(session(master, None))

@@ -99,7 +99,7 @@ def _indexes(spark: SparkSession, benchmark: DataFrame, block_bytes: int = BLOCK
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = sorted(part.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        yield spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
+        yield shared.sent(spark, Index([r[0] for r in rows], [r[1] for r in rows]))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -110,9 +110,9 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, bl
 
         def work(batch, index=index):
             for first, h, m in shingle_sets(batch.column(1)):
-                if found := list(index.value.hits(h, m, threshold)):
+                if found := list(index().hits(h, m, threshold)):
                     d, k, n, size = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                    yield {"doc_id": batch.column(0).take(pa.array(d + first)), "item_id": [index.value.ids[i] for i in k], "n_shared": n, "n_item": size, "containment": n / size}
+                    yield {"doc_id": batch.column(0).take(pa.array(d + first)), "item_id": [index().ids[i] for i in k], "n_shared": n, "n_item": size, "containment": n / size}
 
         part = shared.by_batch(docs.select("doc_id", "text"), work, f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shared long, n_item long, containment double")
         out = part if out is None else out.unionByName(part)
@@ -128,7 +128,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
                 if batch.num_rows:
                     keep = np.ones(batch.num_rows, bool)
                     for first, h, m in shingle_sets(batch.column(batch.schema.names.index("text"))):
-                        for d, *_ in index.value.hits(h, m, threshold):
+                        for d, *_ in index().hits(h, m, threshold):
                             keep[first + d] = False
                     yield batch.filter(pa.array(keep))
 

@@ -6,8 +6,11 @@ document is scored over its whole text. Scoring is one map over the documents: n
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,18 +60,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", signs: dic
             yield {"id": ids.slice(first, rows), "y": y[first : first + rows], "stats": pa.array(list(stats), pa.list_(pa.int64()))}
 
     got = shared.by_batch(texts.select("_id", "_text", "_y"), work, f"id {dict(texts.dtypes)['_id']}, y int, stats array<bigint>").toArrow()
-    rows = sorted({(str(i), y, tuple(s)) for i, y, s in zip(*(got.column(c).to_pylist() for c in ("id", "y", "stats")), strict=True)})
-    stats = np.array([r[2] for r in rows], np.int64).reshape(-1, len(textscan.STATS))
-    return gbt.fit(features(stats), np.array([r[1] for r in rows], float), [(signs or {}).get(f, 0) for f in RATIOS], **options)
+    stats = np.asarray(pc.list_flatten(got.column("stats").combine_chunks())).reshape(-1, len(textscan.STATS))
+    # in an order of its own, whatever the partitions; repeated rows of a document once
+    rows = np.unique(np.column_stack([np.array([zlib.crc32(str(i).encode()) for i in got.column("id").to_pylist()], np.int64), np.asarray(got.column("y"), np.int64), stats]), axis=0)
+    y, stats = rows[:, 1], rows[:, 2:]
+    return gbt.fit(features(stats), y.astype(float), [(signs or {}).get(f, 0) for f in RATIOS], **options)
 
 
 def classify(docs: DataFrame, model: gbt.Trees) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs (a null or empty text is scored as an empty one)."""
-    model_b = docs.sparkSession.sparkContext.broadcast(model)
+    model_b = shared.sent(docs.sparkSession, model)
 
     def work(batch):
         for first, rows, stats in _stats_of(batch.column(1)):
-            score = model_b.value.score(features(stats))
+            score = model_b().score(features(stats))
             yield {"doc_id": batch.column(0).slice(first, rows), "held_out": batch.column(2).slice(first, rows), "score": score, "predicted": (score >= 0.5).astype(np.int32)}
 
     rows = docs.select("doc_id", "text", (shared.crc_mod3() == 1).alias("held_out"))
@@ -77,11 +82,11 @@ def classify(docs: DataFrame, model: gbt.Trees) -> DataFrame:
 
 def judge(docs: DataFrame, model: gbt.Trees, at: float = 0.5) -> DataFrame:
     """Rule statistics, base_failed and kept of every row of docs; a null text has no words, so that it fails the base rules."""
-    model_b = docs.sparkSession.sparkContext.broadcast(model)
+    model_b = shared.sent(docs.sparkSession, model)
 
     def work(batch):
         for first, rows, stats in _stats_of(batch.column(1)):
-            failed, kept = verdict(stats, model_b.value, at)
+            failed, kept = verdict(stats, model_b(), at)
             yield {"doc_id": batch.column(0).slice(first, rows)} | {c: stats[:, textscan.STATS.index(c)] for c in BASE} | {"base_failed": failed, "kept": kept}
 
     rows = docs.select("doc_id", "text")
@@ -98,12 +103,12 @@ def verdict(stats: np.ndarray, model: gbt.Trees, at: float = 0.5) -> tuple[np.nd
 
 def keep_good(docs: DataFrame, model: gbt.Trees, at: float = 0.5) -> DataFrame:
     """The rows of docs that the quality rules keep, with all their columns. The text is judged where it stands, without a join."""
-    model_b = docs.sparkSession.sparkContext.broadcast(model)
+    model_b = shared.sent(docs.sparkSession, model)
 
     def run(batches):
         for batch in batches:
             text = batch.column(batch.schema.names.index("text"))
-            kept = [verdict(stats, model_b.value, at)[1] for _, _, stats in _stats_of(text)]
+            kept = [verdict(stats, model_b(), at)[1] for _, _, stats in _stats_of(text)]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 

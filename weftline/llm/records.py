@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import shared, tokens
+from weftline.llm import shared, textscan, tokens
 
 #: Fixed values of the format: the Castagnoli polynomial, reflected, and the constant of the mask.
 CRC32C_POLYNOMIAL = 0x82F63B78
@@ -33,7 +33,7 @@ BLOCK = 64
 
 def _crc_tables() -> tuple[np.ndarray, list[np.ndarray]]:
     """The table of two bytes, and for each k the four byte tables that move a remainder past BLOCK * 2**k zero bytes."""
-    state = tokens.process_state()
+    state = textscan.process_state()
     if "crc" not in state:
         t = np.arange(256, dtype=np.uint32)
         for _ in range(8):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; one of our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a local session, all of it in one process, may
+    leave it unset; a cluster without the setting is refused."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/weftline-shared"
 
 
 def stored(df: DataFrame, *by: str) -> DataFrame:
@@ -49,6 +58,18 @@ def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], sc
     return df.mapInArrow(run, schema)
 
 
+def sent(spark: SparkSession, value) -> Callable[[], object]:
+    """Broadcast a value whose class the executors may not have: classes of this subpackage travel by value. Its size is the caller's to bound."""
+    packed, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def got():
+        if not held:
+            held.append(pickle.loads(packed.value))
+        return held[0]
+
+    return got
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that df doesn't have."""
     taken = {c.lower() for c in df.columns}

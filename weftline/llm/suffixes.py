@@ -44,17 +44,32 @@ def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def seed_hashes(buf: np.ndarray) -> np.ndarray:
+    """64-bit hash of each SEED-byte substring; where two different ones share it, the sort tells them apart."""
+    state = textscan.process_state()
+    if len(state.get("seed_powers", ((),))[0]) <= len(buf):
+        both = []
+        for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)):
+            power = np.full(max(len(buf), textscan.CHUNK_BYTES) + 1, base, U)
+            power[0] = 1
+            both.append(np.multiply.accumulate(power))
+        state["seed_powers"] = tuple(both)
+    power, inverse = state["seed_powers"]
+    letters = textscan.mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
+    p = np.zeros(len(buf) + 1, U)
+    np.cumsum(letters[buf] * power[: len(buf)], out=p[1:])
+    h = (p[SEED:] - p[:-SEED]) * inverse[: len(p) - SEED]
+    h ^= h >> U(32)
+    h *= U(0xD6E8FEB86659FD93)
+    return h ^ (h >> U(29))
+
+
 def runs(buf: np.ndarray, offs: np.ndarray):
     """Runs of a chunk of texts: (text, start within it, number of windows, anchor's offset in the run, anchor's hash, run's hash)."""
     empty = np.zeros(0, np.int64)
     if len(buf) < WINDOW:
         return empty, empty, empty, empty, empty.astype(U), empty.astype(U)
-    p = textscan.prefix_hashes(buf)
-    _, inv = textscan._powers(len(p))
-    h = (p[SEED:] - p[:-SEED]) * inv[: len(p) - SEED]
-    h ^= h >> U(32)
-    h *= U(0xD6E8FEB86659FD93)
-    h ^= h >> U(29)
+    p, h = textscan.prefix_hashes(buf), seed_hashes(buf)
     anchor = least_in_windows(h, WINDOW - SEED + 1)
     mark = np.zeros(len(buf) + 1, np.int8)
     long = np.diff(offs) >= WINDOW

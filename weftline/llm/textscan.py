@@ -1,18 +1,28 @@
 """Vectorised scans over many texts at once: a chunk of texts is one byte buffer, words and shingles are arrays.
 
-Words are runs of bytes other than space and \\t..\\r, that is ``[^\\x20\\x09-\\x0D]+``. Hashes are 64 bits wide: a polynomial of
-the word's bytes modulo 2**64, through a table of random values, then mixed.
+Words are runs of bytes other than space and \\t..\\r, that is ``[^\\x20\\x09-\\x0D]+``. The hash of a span joins two polynomials of its
+bytes modulo the prime 2**31 - 1, with different bases and tables of random values; unlike a polynomial modulo 2**64 it has no strings
+that collide for every base.
 """
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_state: dict = {}
+#: The modulus of the hashes, and a base for each of the two polynomials.
+PRIME = (1 << 31) - 1
+BASES = (0x2545F491, 0x5BD1E995)
+
+
+def process_state() -> dict:
+    """What a worker process keeps between tasks; functions that travel by value have new globals in each task."""
+    return sys.modules.setdefault("weftline_process_state", types.ModuleType("weftline_process_state")).__dict__
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,31 +35,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_state.get("pow", ())) < n:
+def fold(x: np.ndarray) -> np.ndarray:
+    """A number of the same remainder modulo PRIME, below 2**34 for any 64-bit x."""
+    return (x & U(PRIME)) + (x >> U(31))
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers modulo PRIME of each base and of its inverse, at least n of each."""
+    state = process_state()
+    if len(state["hash_powers"][0][0] if "hash_powers" in state else ()) < n:
         m = max(n, CHUNK_BYTES + 1)
-        for name, base in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
-            p = np.empty(m, U)
-            p[0] = 1
-            done = 1
+
+        def powers(base):
+            p, done = np.ones(m, U), 1
             while done < m:
                 more = min(done, m - done)
-                p[done : done + more] = p[:more] * U(pow(base, done, 1 << 64))
+                p[done : done + more] = p[:more] * U(pow(base, done, PRIME)) % U(PRIME)
                 done += more
-            _state[name] = p
-    return _state["pow"], _state["inv"]
+            return p
 
+        state["hash_powers"] = [(powers(base % PRIME), powers(pow(base, -1, PRIME))) for base in BASES]
+    return state["hash_powers"]
 
-def _table() -> np.ndarray:
-    if "table" not in _state:
-        _state["table"] = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
-    return _state["table"]
+
+def _tables() -> list[np.ndarray]:
+    state = process_state()
+    if "hash_tables" not in state:
+        state["hash_tables"] = [mix(np.arange(1, 257, dtype=U) * U(odd)) % U(PRIME) for odd in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)]
+    return state["hash_tables"]
 
 
 def _classes() -> np.ndarray:
     """Bits by byte: 1 white space, 2 continuation byte, 4 one of #*$%&|<>, 8 digit, 16 upper case, 32 ASCII punctuation, 64 not ASCII."""
-    if "classes" not in _state:
+    state = process_state()
+    if "byte_classes" not in state:
         c = np.zeros(256, np.uint8)
         c[[0x20, *range(9, 14)]] |= 1
         c[0x80:0xC0] |= 2
@@ -58,8 +77,8 @@ def _classes() -> np.ndarray:
         c[list(range(65, 91))] |= 16
         c[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] |= 32
         c[0x80:] |= 64
-        _state["classes"] = c
-    return _state["classes"]
+        state["byte_classes"] = c
+    return state["byte_classes"]
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES):
@@ -95,18 +114,22 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.diff(np.searchsorted(starts, offs))
 
 
-def prefix_hashes(buf: np.ndarray) -> np.ndarray:
-    """p with p[e] - p[s] = hash of buf[s:e] times the base to the power s."""
-    pw, _ = _powers(len(buf) + 1)
-    p = np.zeros(len(buf) + 1, U)
-    np.cumsum(_table()[buf] * pw[: len(buf)], out=p[1:])
-    return p
+def prefix_hashes(buf: np.ndarray) -> list[np.ndarray]:
+    """For each base p with p[e] - p[s] = hash of buf[s:e] times the base to the power s, not yet reduced."""
+    out = []
+    for (power, _), table in zip(_powers(len(buf) + 1), _tables(), strict=True):
+        p = np.zeros(len(buf) + 1, U)
+        np.cumsum(fold(table[buf] * power[: len(buf)]), out=p[1:])  # below 2**33 each: sums hold for texts up to 2 GB
+        out.append(p)
+    return out
 
 
-def span_hashes(p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(p: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each buf[start:end], alike wherever the bytes stand."""
-    _, inv = _powers(len(p))
-    return mix((p[ends] - p[starts]) * inv[starts] + (ends - starts).astype(U))
+    halves = []
+    for one, (_, inverse) in zip(p, _powers(len(p[0])), strict=True):
+        halves.append(fold(fold(one[ends] - one[starts])) % U(PRIME) * inverse[starts] % U(PRIME))
+    return mix((halves[0] << U(32) | halves[1]) + mix((ends - starts).astype(U)))
 
 
 _STEP = U(0xA0761D6478BD642F)

@@ -10,12 +10,10 @@ from __future__ import annotations
 
 import array
 import re
-import sys
-import types
 
 import numpy as np
 
-from weftline.llm.textscan import U, mix
+from weftline.llm.textscan import U, mix, process_state
 
 #: Pre-tokens that a worker remembers: between this many and twice as many.
 MAX_REMEMBERED = 1 << 19
@@ -26,15 +24,10 @@ _BASE = 0x9E3779B97F4A7C15
 ONE, TWO = "stmd", ("re", "ve", "ll")
 
 
-def process_state() -> dict:
-    """What a worker process keeps between tasks; functions that travel by value have new globals in each task."""
-    return sys.modules.setdefault("weftline_process_state", types.ModuleType("weftline_process_state")).__dict__
-
-
 def classes() -> np.ndarray:
     """Class of each code point."""
     state = process_state()
-    if "classes" not in state:
+    if "character_classes" not in state:
         import regex
 
         every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "?" for c in range(0x110000))
@@ -42,8 +35,8 @@ def classes() -> np.ndarray:
         for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
             for m in regex.finditer(pattern, every):
                 table[m.start() : m.end()] = kind
-        state["classes"] = table
-    return state["classes"]
+        state["character_classes"] = table
+    return state["character_classes"]
 
 
 def pretoken_starts(cp: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -76,14 +69,14 @@ def pretoken_starts(cp: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     state = process_state()
-    if len(state.get("powers", ((),))[0]) < n:
+    if len(state.get("token_powers", ((),))[0]) < n:
         both = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(max(n, CHUNK_CHARS * 2), base, U)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        state["powers"] = tuple(both)
-    return state["powers"]
+        state["token_powers"] = tuple(both)
+    return state["token_powers"]
 
 
 def groups(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
