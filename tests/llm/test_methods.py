@@ -71,6 +71,43 @@ def test_boundaries_are_the_best():
         assert cost(packing.boundaries(*map(np.array, (lengths, counts, sums)), k)) == best
 
 
+def test_boundaries_break_ties_downwards():
+    def plain(m, counts, k):
+        c, s = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(np.array(counts) * m)])
+        best, back = [0] + [1 << 60] * len(m), []
+        for _ in range(min(k, len(m))):
+            steps = [min((best[i] + m[j - 1] * (c[j] - c[i]) - (s[j] - s[i]), i) for i in range(j)) for j in range(1, len(m) + 1)]
+            best, came = [1 << 60, *(x for x, _ in steps)], [0, *(i for _, i in steps)]
+            back.append(came)
+        out, j = [], len(m)
+        for came in reversed(back):
+            out.append(m[j - 1])
+            j = came[j]
+        return out[::-1]
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        m = sorted(rnd.sample(range(rnd.choice((12, 60, 100_000))), rnd.randint(1, 12)))
+        counts, k = [rnd.randint(1, rnd.choice((1, 3, 50))) for _ in m], rnd.randint(1, 6)
+        assert packing.boundaries(np.array(m), np.array(counts), np.array(m) * np.array(counts), k) == plain(m, counts, k)
+
+
+def test_long_texts_get_boundaries_of_their_own(spark):
+    lengths = [5000, 5001, 5002, 9000, 9001]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long"), buckets=5).collect()
+    assert sorted((r.length, r.bucket_length) for r in rows) == [(n, n) for n in lengths]
+
+
+def test_token_lengths(spark, sf_dir):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, docs = Tokenizer.from_file(path), shared.table(spark, sf_dir, "documents").limit(40)
+    got = {r.doc_id: r.length for r in packing.token_lengths(docs, path).collect()}
+    assert got == {r.doc_id: len(whole.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+
+
 def test_crc32c_and_frames():
     def crc(data):
         c = 0xFFFFFFFF

@@ -1,15 +1,18 @@
 """Packing into optimal length buckets (op1).
 
-1. Histogram of all lengths. Lengths up to EXACT have a bin each, longer ones FINE bins an octave, so that the histogram has a few
-   thousand rows however large the corpus is.
-2. Dynamic programming over the bins chooses the boundaries of at most ``buckets`` buckets with the least padding, every text padded to
-   the longest of its bucket. Equal costs: the lower boundary.
+1. Histogram of all lengths, a row for each different one. The driver reads it: N units in all have at most sqrt(2 N) different lengths,
+   a few million rows for 100 TB of text if no two texts were alike in length, and in practice some ten thousand.
+2. Dynamic programming over the different lengths chooses the boundaries of at most ``buckets`` buckets with the least padding, every text
+   padded to the longest of its bucket. The least cost over all earlier boundaries is read off the lower envelope of lines, so that a bucket
+   takes one pass over the histogram. Equal costs: the lower boundary.
 3. Inside a bucket texts stand in the order of doc_id (nulls first, then length) and are cut into batches of as many texts as the token
    budget holds at the bucket's length, one at least.
 
 Positions come from a range partition by (bucket, doc_id, length): each partition numbers its own rows, and the counts of partitions and
 buckets, partitions x buckets rows in all, give the offsets. No bucket is ever in one task. Only ids and lengths move, never texts.
-An empty or null text has length 0 and is packed like any other; repeated rows each take a place.
+An empty or null text has length 0 and is packed like any other; repeated rows each take a place; of rows with equal id and length it
+doesn't matter which takes which place. ``pack`` takes lengths in any unit: ``word_lengths`` counts words, which SQL can check,
+``token_lengths`` the ids of a vocabulary.
 """
 
 from __future__ import annotations
@@ -19,49 +22,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm import shared
+from weftline.llm import shared, tokens
 
-EXACT, FINE = 4096, 64
 BUCKETS, BUDGET = 8, 65_536
 
 
-def bin_of(length):
-    """Bin of a length: itself up to EXACT, beyond it FINE bins for each doubling."""
-    return F.when(length <= EXACT, length).otherwise(EXACT + F.floor(F.log2(length / F.lit(float(EXACT))) * FINE).cast("long") + 1)
-
-
 def boundaries(longest: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
-    """Longest length of each bucket, ascending, with the least padding over all texts; bins come in ascending order."""
-    n = len(longest)
+    """Longest length of each bucket, ascending, with the least padding over all texts; bins come in ascending order.
+
+    With c and s as running sums of counts and lengths, ending a bucket at bin j after one that ends at bin i costs
+    best[i] + m[j] * (c[j] - c[i]) - (s[j] - s[i]): for each i a line in m[j], with falling slopes -c[i], asked at rising m[j].
+    """
+    m = [int(x) for x in longest]
+    n = len(m)
     if not n:
         return []
-    c, s = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (counts, sums))
-    m = np.asarray(longest, np.int64)
-    best = np.full(n + 1, np.iinfo(np.int64).max // 2)
-    best[0] = 0
+    c, s = ([0, *(int(x) for x in np.cumsum(x, dtype=np.int64))] for x in (counts, sums))
+    best: list[int | None] = [0] + [None] * n
     back = []
     for _ in range(min(buckets, n)):
-        new, came = np.full(n + 1, np.iinfo(np.int64).max // 2), np.zeros(n + 1, np.int64)
+        new: list[int | None] = [None] * (n + 1)
+        came = [0] * (n + 1)
+        lines: list[tuple[int, int, int]] = []  # count, value at 0, bin
+        at = 0
         for j in range(1, n + 1):
-            cost = best[:j] + m[j - 1] * (c[j] - c[:j]) - (s[j] - s[:j])
-            came[j] = i = int(np.argmin(cost))
-            new[j] = cost[i]
+            if (cost := best[j - 1]) is not None:
+                slope, value = c[j - 1], cost + s[j - 1]
+                while len(lines) > 1 and _hidden(lines[-2], lines[-1], slope, value):
+                    lines.pop()
+                lines.append((slope, value, j - 1))
+                at = min(at, len(lines) - 1)
+            if not lines:
+                continue
+            x = m[j - 1]
+            while at + 1 < len(lines) and lines[at + 1][1] - x * lines[at + 1][0] < lines[at][1] - x * lines[at][0]:
+                at += 1
+            slope, value, came[j] = lines[at]
+            new[j] = value - x * slope + x * c[j] - s[j]
         back.append(came)
         best = new
     out, j = [], n
     for came in reversed(back):
-        out.append(int(m[j - 1]))
-        j = int(came[j])
+        out.append(m[j - 1])
+        j = came[j]
     return out[::-1]
 
 
+def _hidden(one: tuple[int, int, int], two: tuple[int, int, int], slope: int, value: int) -> bool:
+    """Is the second of three lines nowhere below both others?"""
+    return (value - one[1]) * (two[0] - one[0]) <= (two[1] - one[1]) * (slope - one[0])
+
+
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """lengths has doc_id and length. Returns doc_id, length, bucket (from 0), bucket_length, batch (from 0, in its bucket) and slot."""
-    bins = (
-        lengths.groupBy(bin_of(F.col("length")).alias("bin"))
-        .agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).orderBy("bin").collect()
-    )
-    tops = boundaries(*(np.array([r[k] for r in bins], np.int64) for k in ("longest", "n", "total")), buckets)
+    bins = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").toArrow()
+    longest, counts = (np.asarray(bins.column(c), np.int64) for c in ("length", "n"))
+    tops = boundaries(longest, counts, longest * counts, buckets)
     bucket = F.lit(max(0, len(tops) - 1))
     for k in range(len(tops) - 2, -1, -1):
         bucket = F.when(F.col("length") <= tops[k], k).otherwise(bucket)
@@ -81,6 +97,19 @@ def word_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long").alias("length"))
 
 
+def token_lengths(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id and length of every row: the number of ids that the tokenizers library gives for the text by the vocabulary at this path."""
+
+    def work(batch):
+        code = tokens.encoder(vocabulary)
+        for first in range(0, batch.num_rows, 1000):
+            part = batch.slice(first, 1000)
+            ids = code.encode([t or "" for t in part.column(1).to_pylist()])
+            yield {"doc_id": part.column(0), "length": np.array([len(x) // code.dtype.itemsize for x in ids], np.int64)}
+
+    return shared.by_batch(docs.select("doc_id", "text"), work, f"doc_id {dict(docs.dtypes)['doc_id']}, length long")
+
+
 def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(word_lengths(shared.table(spark, sf_dir, "documents")))
 
@@ -97,9 +126,8 @@ def _sql(buckets: int, budget: int) -> str:
     last = " UNION ALL ".join(f"SELECT {k} AS k, came FROM d{k} WHERE j = (SELECT max(j) FROM bins)" for k in range(1, buckets + 1))
     return f"""
 WITH lengths AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '{shared.WORD}')), 0)::BIGINT AS length FROM documents),
-binned AS (SELECT length, CASE WHEN length <= {EXACT} THEN length ELSE {EXACT} + floor(log2(length / {EXACT}.0) * {FINE})::BIGINT + 1 END AS bin FROM lengths),
-hist AS (SELECT bin, max(length) AS m, count(*) AS n, sum(length) AS total FROM binned GROUP BY bin),
-bins AS (SELECT row_number() OVER (ORDER BY bin) AS j, m::HUGEINT AS m, sum(n) OVER (ORDER BY bin) AS c, sum(total) OVER (ORDER BY bin) AS s FROM hist),
+hist AS (SELECT length AS m, count(*) AS n, sum(length) AS total FROM lengths GROUP BY length),
+bins AS (SELECT row_number() OVER (ORDER BY m) AS j, m::HUGEINT AS m, sum(n) OVER (ORDER BY m) AS c, sum(total) OVER (ORDER BY m) AS s FROM hist),
 {', '.join(steps)},
 best AS (SELECT came FROM ({last}) ORDER BY k DESC LIMIT 1),
 cuts AS (SELECT row_number() OVER (ORDER BY m) - 1 AS bucket, m::BIGINT AS bucket_length, coalesce(lag(m) OVER (ORDER BY m), -1)::BIGINT AS below FROM bins WHERE list_contains((SELECT came FROM best), j)),
