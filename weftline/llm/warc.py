@@ -1,33 +1,40 @@
 """WARC derivatives (op10): metadata and plain-text conversion records from responses.
 
-``responses`` makes response records of web pages. ``derive`` gives, for each response, a metadata record and a conversion record,
-both linked to it by WARC-Refers-To and sharing its target URI and date; the metadata record keeps the source's HTTP headers and
-digests as ``application/warc-fields``, the conversion record holds the plain text. Identifiers are derived from the content, so that
-a task that runs again gives the same records. ``encode``, ``write`` and ``parse`` are the file side: gzip members, one a record.
-
-A null html is an empty body, a null url an empty URI; repeated rows give records with the same identifiers; other columns are ignored.
+``read_responses`` reads response records from WARC files; ``responses`` makes them of a table of web pages. ``derive`` gives, for each
+response, a metadata record and a conversion record, both linked to it by WARC-Refers-To and sharing its target URI and date; the metadata
+record keeps the source's HTTP headers and digests as ``application/warc-fields``, the conversion record holds the plain text. Identifiers
+follow from page id, URI and content, so that a task that runs again gives the same records. ``encode``, ``write`` and ``parse`` are the
+file side: gzip members, one a record.
+
+A page is scanned once, tag by tag, in time that grows with its length. Comments, scripts, styles, titles, templates and noscript go,
+block tags break lines, white space is squeezed, all character references of HTML are decoded. A tag or comment that the page's end cuts
+off goes to the end.
+
+A null html is an empty body, a null url an empty URI; rows repeated in page id, url and html are one capture, whose records have the same
+identifiers; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
+import html as htmllib
 import io
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import shared
+from weftline.llm import pagetext, shared
 
 CRLF = "\r\n"
-#: Character references that the plain text resolves, in this order (fixed values).
-REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-#: What the plain text drops with all inside, what becomes a newline, and other markup (patterns without look-around or back references).
-DROPPED = r"(?is)<!--.*?-->|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>|<title\b.*?</title[^>]*>"
-BREAKS = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|body|html|head|blockquote|pre|hr)\b[^>]*>"
-MARKUP = r"<[/a-zA-Z!][^>]*>"
+#: Elements that break lines, and those that go with all inside (fixed values, from the HTML standard).
+BREAKING = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer body html head blockquote pre hr aside main dl dt dd figure figcaption form fieldset address details summary".split())
+DROPPED = frozenset("script style title noscript template".split())
+SPACE = re.compile(r"[ \t\r\n\f\xa0]+")
 
 
 def digest(body: Column) -> Column:
@@ -40,15 +47,36 @@ def identifier(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and the title go, block tags break lines, white space is squeezed, empty lines go."""
-    t = F.regexp_replace(html, DROPPED, " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\r\n\f]+", " "), BREAKS, "\n")
-    t = F.regexp_replace(t, MARKUP, "")
-    for ref, char in REFERENCES:
-        t = F.replace(t, F.lit(ref), F.lit(char))
-    t = F.regexp_replace(t, " +", " ")
-    return F.regexp_replace(F.regexp_replace(t, " ?\n[ \n]*", "\n"), "^[ \n]+|[ \n]+$", "")
+def plain_text(page: str | None) -> str:
+    """Text of a page, a line for each stretch between block tags."""
+    page, parts, pos = page or "", [], 0
+
+    def add(text):
+        parts.append(SPACE.sub(" ", htmllib.unescape(text)))
+
+    while (at := page.find("<", pos)) >= 0:
+        add(page[pos:at])
+        m = pagetext.TAG.match(page, at) or pagetext.SIMPLE_TAG.match(page, at)  # quotes may not be paired
+        if not m:
+            sign = page[at + 1 : at + 2]
+            if sign.isascii() and sign.isalpha() or sign in ("/", "!"):
+                pos = len(page)
+                break  # a tag that the page's end cuts off
+            parts.append("<")
+            pos = at + 1
+            continue
+        pos = m.end()
+        if not (name := (m[3] or "").lower()):
+            parts.append(" ")
+        elif name in BREAKING:
+            parts.append("\n")
+        elif name in DROPPED and not m[2]:
+            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos)
+            pos = close.end() if close else len(page)
+            parts.append(" ")
+    add(page[pos:])
+    lines = (SPACE.sub(" ", line).strip(" ") for line in "".join(parts).split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", server: str = "example") -> DataFrame:
@@ -56,13 +84,27 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", server: str
     body, uri = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     size = F.octet_length(body).cast("string")
     headers = F.concat(F.lit(f"HTTP/1.1 200 OK\r\nServer: {server}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(CRLF))
-    return pages.select("page_id", identifier(F.lit("response"), uri, digest(body)).alias("record_id"), uri.alias("target_uri"), F.lit(date).alias("date"), headers.alias("http_headers"), body.alias("body"))
+    return pages.select("page_id", identifier(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri, digest(body)).alias("record_id"), uri.alias("target_uri"), F.lit(date).alias("date"), headers.alias("http_headers"), body.alias("body"))
+
+
+SOURCE = ["record_id", "target_uri", "date", "http_headers", "body"]
 
 
 def derive(source: DataFrame) -> DataFrame:
-    """Two records for each response: type, record_id, refers_to, concurrent_to, target_uri, date, content_type, payload_digest, block_digest, block."""
-    body, head = F.col("body"), F.col("http_headers")
-    both = source.select("*", digest(body).alias("_payload"), digest(F.concat(head, F.lit(CRLF), body)).alias("_source_block"), plain_text(body).alias("_text"))
+    """Two records for each response: type, record_id, refers_to, concurrent_to, target_uri, date, content_type, source_digest, block_digest,
+    content_length, block; page_id first, if the source has it."""
+    body, head, page = F.col("body"), F.col("http_headers"), [c for c in source.columns if c == "page_id"]
+    names = [*page, *SOURCE]
+    at = names.index("body")
+
+    def work(batch):
+        for first in range(0, batch.num_rows, 500):
+            part = batch.slice(first, 500)
+            yield dict(zip(names, part.columns, strict=True)) | {"_text": [plain_text(t) for t in part.column(at).to_pylist()]}
+
+    rows = source.select(*names)
+    both = shared.by_batch(rows, work, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", _text string")
+    both = both.select("*", digest(body).alias("_payload"), digest(F.concat(head, F.lit(CRLF), body)).alias("_source_block"))
     both = both.select("*", identifier(F.lit("conversion"), F.col("record_id"), digest(F.col("_text"))).alias("_conversion"), identifier(F.lit("metadata"), F.col("record_id")).alias("_metadata"))
     fields = F.concat(
         F.lit("source-payload-digest: "), F.col("_payload"), F.lit(f"{CRLF}source-block-digest: "), F.col("_source_block"), F.lit(f"{CRLF}source-content-length: "), F.octet_length(body).cast("string"),
@@ -72,35 +114,107 @@ def derive(source: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("type"), F.col("_metadata").alias("record_id"), F.col("_conversion").alias("concurrent_to"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("type"), F.col("_conversion").alias("record_id"), F.col("_metadata").alias("concurrent_to"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("_text").alias("block")),
     )
-    rows = both.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("_payload").alias("source_digest"), F.inline(records))
-    return rows.select("page_id", "type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "source_digest", digest(F.col("block")).alias("block_digest"), F.octet_length("block").cast("long").alias("content_length"), "block")
+    rows = both.select(*page, F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("_payload").alias("source_digest"), F.inline(records))
+    return rows.select(*page, "type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "source_digest", digest(F.col("block")).alias("block_digest"), F.octet_length("block").cast("long").alias("content_length"), "block")
 
 
 def encode(record: dict) -> bytes:
-    """One record as it stands in a file, before compression; keys as ``derive`` names them."""
+    """One record as it stands in a file, before compression; keys as ``derive`` or ``responses`` names them."""
+    if "body" in record:
+        record = record | {"type": "response", "content_type": "application/http; msgtype=response", "block": record["http_headers"] + CRLF + record["body"]}
     block = record["block"].encode()
-    lines = ["WARC/1.1", f"WARC-Type: {record['type']}", f"WARC-Record-ID: {record['record_id']}", f"WARC-Date: {record['date']}", f"WARC-Target-URI: {record['target_uri']}"]
-    lines += [f"WARC-Refers-To: {record['refers_to']}", f"WARC-Concurrent-To: {record['concurrent_to']}", f"WARC-Block-Digest: {record['block_digest']}"]
+    lines = ["WARC/1.1"]
+    for name, key in (("Type", "type"), ("Record-ID", "record_id"), ("Date", "date"), ("Target-URI", "target_uri"), ("Refers-To", "refers_to"), ("Concurrent-To", "concurrent_to"), ("Block-Digest", "block_digest")):
+        if key in record:
+            lines.append(f"WARC-{name}: {record[key]}")
     lines += [f"Content-Type: {record['content_type']}", f"Content-Length: {len(block)}"]
     return CRLF.join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> list[dict]:
-    """Records of a gzip file of records: their header fields by lower-case name, and ``block``."""
-    raw, at, out = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, 0, []
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode().split(CRLF)
-        if not re.match(r"WARC/1\.", lines[0]):
-            raise ValueError(f"no record at byte {at}")
-        record = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-        size = int(record["content-length"])
-        if len(raw) < end + 4 + size + 4:
+def stream(file) -> Iterator[tuple[dict, bytes]]:
+    """(header fields by lower-case name, block) of each record of a file, plain or of gzip members; one record is held at a time."""
+    file = io.BufferedReader(file) if not hasattr(file, "peek") else file
+    source = gzip.GzipFile(fileobj=file) if file.peek(2)[:2] == b"\x1f\x8b" else file
+    source = io.BufferedReader(source, 1 << 20)
+    while line := source.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError("no record where one should begin")
+        fields = {}
+        while (line := source.readline()).strip():
+            name, _, value = line.decode(errors="replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        size = int(fields["content-length"])
+        block = source.read(size)
+        if len(block) < size:
             raise ValueError("the data end within a record")
-        record["block"] = raw[end + 4 : end + 4 + size].decode()
-        out.append(record)
-        at = end + 4 + size + 4
-    return out
+        yield fields, block
+
+
+def http_parts(block: bytes) -> tuple[str, str]:
+    """HTTP headers (a line each, ended by CRLF) and decoded body of a response's block: chunks joined, gzip and deflate undone, by its charset."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    headers = head.decode("latin-1") + CRLF
+    field = lambda name: (re.search(rf"(?im)^{name}:[ \t]*([^\r\n]*)", headers) or [None, ""])[1].lower()
+    if "chunked" in field("transfer-encoding"):
+        joined, at = [], 0
+        while m := re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r\n").match(body, at):
+            if not (size := int(m[1], 16)):
+                break
+            joined.append(body[m.end() : m.end() + size])
+            at = m.end() + size + 2
+        body = b"".join(joined)
+    try:
+        if "gzip" in field("content-encoding"):
+            body = zlib.decompressobj(47).decompress(body)
+        elif "deflate" in field("content-encoding"):
+            body = zlib.decompressobj(-15 if body[:1] != b"\x78" else 15).decompress(body)
+    except zlib.error:
+        pass  # servers say so of bodies that aren't
+    charset = re.search(r"charset=[\"']?([\w-]+)", field("content-type"))
+    try:
+        return headers, body.decode(charset[1] if charset else "utf-8", errors="replace")
+    except LookupError:
+        return headers, body.decode("utf-8", errors="replace")
+
+
+RESPONSE = pa.schema([(n, pa.string()) for n in SOURCE])
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, target_uri, date, http_headers and body of every response record of the WARC files at ``path``, one task for each file.
+
+    Files are streamed, so that a task holds one record at a time. A file that ends within a record fails the read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+    def run(batches):
+        import pyarrow.fs as pafs
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs, root = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                rows, size = [], 0
+                with fs.open_input_stream(root, compression=None) as file:
+                    for fields, block in stream(file):
+                        if fields.get("warc-type") != "response":
+                            continue
+                        headers, body = http_parts(block)
+                        rows.append((fields.get("warc-record-id", ""), fields.get("warc-target-uri", ""), fields.get("warc-date", ""), headers, body))
+                        size += len(block)
+                        if size > 8 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=RESPONSE)
+                            rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=RESPONSE)
+
+    return files.repartition("path").mapInArrow(run, ", ".join(f"{n} string" for n in SOURCE))
+
+
+def parse(data: bytes) -> list[dict]:
+    """Records of a gzip file of records: their header fields by lower-case name, and ``block`` as text."""
+    return [fields | {"block": block.decode()} for fields, block in stream(io.BytesIO(data))]
 
 
 def write(records: DataFrame, out_dir: str) -> DataFrame:
@@ -142,12 +256,16 @@ def _sql_uuid(h: str) -> str:
 
 
 def _sql_text() -> str:
+    """The plain text of pages of simple markup: tags without signs in their attributes, eight character references."""
+
     def g(t, pattern, to):
         return f"regexp_replace({t}, '{pattern}', {to}, 'g')"
 
-    t = g(g(g(g("body", DROPPED, "' '"), r"[ \t\r\n\f]+", "' '"), BREAKS, "chr(10)"), MARKUP, "''")
-    for ref, char in REFERENCES:
-        t = f"replace({t}, '{ref}', '{char.replace(chr(39), chr(39) * 2)}')"
+    dropped = r"(?is)<!--.*?-->|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>|<title\b.*?</title[^>]*>"
+    breaks = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|body|html|head|blockquote|pre|hr)\b[^>]*>"
+    t = g(g(g(g("body", dropped, "' '"), r"[ \t\r\n\f]+", "' '"), breaks, "chr(10)"), r"<[/a-zA-Z!][^>]*>", "''")
+    for ref, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        t = f"replace({t}, '{ref}', '{char}')"
     return g(g(g(t, " +", "' '"), r" ?\n[ \n]*", "chr(10)"), r"\A[ \n]+|[ \n]+\z", "''")
 
 
@@ -155,7 +273,7 @@ OP10_SQL = f"""
 WITH r0 AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS body FROM pages),
 r1 AS (SELECT *, 'sha256:' || sha256(body) AS payload, strlen(body) AS n,
   ['HTTP/1.1 200 OK', 'Server: example', 'Content-Type: text/html; charset=utf-8', 'Content-Length: ' || strlen(body)] AS head FROM r0),
-r2 AS (SELECT *, md5('response' || chr(10) || target_uri || chr(10) || payload) AS h, {_sql_text()} AS plain,
+r2 AS (SELECT *, md5('response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || target_uri || chr(10) || payload) AS h, {_sql_text()} AS plain,
   'sha256:' || sha256(list_aggregate(list_append(head, ''), 'string_agg', chr(13) || chr(10)) || chr(13) || chr(10) || body) AS source_block FROM r1),
 r3 AS (SELECT *, {_sql_uuid('h')} AS refers_to, 'sha256:' || sha256(plain) AS plain_digest FROM r2),
 r4 AS (SELECT *, md5('conversion' || chr(10) || refers_to || chr(10) || plain_digest) AS hc, md5('metadata' || chr(10) || refers_to) AS hm FROM r3),
