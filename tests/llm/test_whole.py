@@ -108,12 +108,28 @@ You may obtain a copy of the License at
 """
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.
+"""
+
+
+def test_every_identifier_has_a_rule():
+    used = {i for _, ids in licences.RULES for i in ids}
+    assert used == {*licences.SENTENCES.values(), *licences.NOTICES}
+
+
 def test_wrapped_licences(spark):
     comment = lambda t, mark: "".join(f"{mark} {line}\n" for line in t.split("\n"))
     plain = [(MIT, "MIT"), (APACHE, "Apache-2.0"), (MPL, "MPL-2.0"), (" ".join(MPL.split()), "MPL-2.0"), (GPL.format(":", ",", 3), "GPL-3.0-or-later"), (GPL.format(";", ";", 2), "GPL-2.0-or-later")]
     plain += [(BSD.format(*marks), "BSD-3-Clause") for marks in (("1.", "2.", "3."), ("(1)", "(2)", "(3)"), ("a)", "b)", "c)"), ("*", "*", "*"), ("-", "-", "-"))]
     want = [(c, name) for t, name in plain for c in (t, t.replace("\n", "\r\n"), comment(t, " *"), comment(t, "//"), f"Some words\n{t}\nmore words")]
     want += [("words\nReleased under the MIT License\nwords", "MIT"), ("Released under\n\nthe MIT License", None), ("A v. Released under the MIT License.", "MIT"), ("not released under the MIT License at all", None)]
+    want += [("This project is released under the MIT License.", "MIT"), ("Released under the MIT License, see LICENSE.", "MIT"), ("This project is not released under the MIT License.", None), ("Copyright 2020.\nSPDX-License-Identifier: Apache-2.0", "Apache-2.0")]
+    want += [("This work is licensed under a\nCreative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"), ("All of the code here is distributed under the terms of the GNU GPL v2 or later.", "GPL-2.0-or-later")]
+    want += [("Licensed under the BSD 3-Clause License", "BSD-3-Clause"), ("The mitigation is provided by the committee", None), ("All rights reserved.", None), ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"), (f"{ISC}", "ISC"), (comment(ISC, "#"), "ISC")]
     got = licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).orderBy("doc_id").collect()
     for r, (text, name) in zip(got, want, strict=True):
         assert r.licence == name, (text, r)
