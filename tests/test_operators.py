@@ -113,9 +113,11 @@ def test_manifests(name, content, want):
 
 
 def test_findings(spark):
-    lines = spark.createDataFrame([("f", 1, "# nolens-next: eval"), ("f", 2, "eval(x)"), ("f", 3, "exec(y)  # nolens"), ("f", 4, "eval(z) # nolens: other")], "file string, line long, text string")
+    lines = spark.createDataFrame([("f", 1, "# ignore-finding-next: eval -- checked by hand"), ("f", 2, "eval(x)"), ("f", 3, "exec(y)  # ignore-finding"), ("f", 4, "eval(z) # ignore-finding: other")], "file string, line long, text string")
     found = findings.suppress(findings.scan(lines), lines)
     assert {(r.line, r.suppressed) for r in found.collect()} == {(2, True), (3, True), (4, False)}
+    assert {r.line: r.reason for r in found.collect()} == {2: "checked by hand", 3: None, 4: None}
+    assert findings.suppress(findings.scan(lines), lines, ("no-such-mark",)).where("suppressed").count() == 0
     assert findings.gate(found.where("NOT suppressed"), "critical").first().passed is False
     doc = json.loads(formats.sarif(formats.rows_of(found)))
     assert len(doc["runs"][0]["results"]) == 3

@@ -1,0 +1,145 @@
+"""Graph walks, findings, finders and text functions on small inputs."""
+
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.functions import text as fn
+from weftline.operators import findings, finders, graph, search
+
+
+def edges_of(spark, pairs):
+    return spark.createDataFrame(pairs, "source_id string, target_id string")
+
+
+def ids(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "node_id string")
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(f"n{i}", f"n{(i + 1) % 9}") for i in range(9)]
+    e = edges_of(spark, [*ring, ("n8", "x"), ("y", "n0"), ("s", "s"), ("u", None)])
+    assert {(r.length, r.cycle) for r in graph.cycles(e).collect()} == {(9, " -> ".join(f"n{i}" for i in range(9))), (1, "s")}
+    assert {(r.length, r.cycle) for r in graph.cycles(e, 4).collect()} == {(1, "s")}
+    assert graph.cycles(e.where("false")).count() == 0
+
+
+def test_cyclic_groups(spark):
+    e = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("g", "g"), ("k", "b"), ("p", "q"), ("q", "r"), ("r", "q"), ("r", "p")])
+    got = {r.node_id: r.group for r in graph.cyclic_groups(e).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "p": "p", "q": "p", "r": "p"}
+    assert graph.cyclic_groups(edges_of(spark, [("a", "b")])).count() == 0
+
+
+def test_cycles_that_another_graph_has_go(spark):
+    found = spark.createDataFrame([(2, "a -> b"), (2, "c -> d")], "length int, cycle string")
+    assert [r.cycle for r in graph.without_cycles_of(found, found.where("cycle = 'a -> b'")).collect()] == ["c -> d"]
+
+
+def test_unresolved_callees_are_reported(spark):
+    e = spark.createDataFrame([("a", "b", "b"), ("a", None, "lost"), ("b", None, "gone"), ("b", "c", "c"), ("c", None, "far")], "source_id string, target_id string, to_fn string")
+    got = {(r.node_id, r.depth, r.parent, r.to_fn) for r in graph.traverse(e, ids(spark, "a"), 2, unresolved=True).collect()}
+    assert got == {("b", 1, "a", None), ("c", 2, "b", None), (None, 1, "a", "lost"), (None, 2, "b", "gone")}
+
+
+def test_nearest_has_one_row_a_node(spark):
+    e = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("x", "c"), ("d", "a")])
+    assert {(r.node_id, r.depth) for r in graph.nearest(e, ids(spark, "a", "x")).collect()} == {("a", 0), ("x", 0), ("b", 1), ("c", 1), ("d", 2)}
+    assert {(r.node_id, r.depth) for r in graph.nearest(e, ids(spark, "d"), 1, "callers").collect()} == {("d", 0), ("c", 1)}
+
+
+def test_tree_of_a_trace(spark):
+    e = edges_of(spark, [("a", "b"), ("a", "c"), ("b", "d")])
+    rows = [r.asDict() for r in graph.trace(e, ids(spark, "a"), 3).collect()]
+    leaf = lambda n, d: {"node_id": n, "depth": d, "children": []}
+    assert graph.tree(rows) == [{"node_id": "a", "depth": 0, "children": [{"node_id": "b", "depth": 1, "children": [leaf("d", 2)]}, leaf("c", 1)]}]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    session = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    for master in ("spark://a", "yarn", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError):
+            graph.saved(SimpleNamespace(sparkSession=session(master)))
+
+
+def test_place_of_whole_words(spark):
+    lines = spark.createDataFrame([("f", 1, "concat the cat"), ("f", 2, "Cat|cat"), ("f", 3, "concat")], "file string, line int, text string")
+    assert {(r.line, r.col) for r in search.regex_lines(lines, "cat", whole_word=True).collect()} == {(1, 12), (2, 5)}
+    assert {(r.line, r.col) for r in search.regex_lines(lines, "x|cat", ignore_case=True).collect()} == {(1, 4), (2, 1), (3, 4)}
+
+
+def test_images_with_alternative_text_are_fine(spark):
+    tags = {"<img src='a'>": True, '<img src="a" alt="a cat">': False, '<img alt="">': False, "<img>": True, "<img class=x data-alt='y' src=a />": True, "<img src=a alt=b>": False, "<image>": False}
+    lines = spark.createDataFrame([("f", k, t) for k, t in enumerate(tags)], "file string, line int, text string")
+    hit = {r.line for r in findings.scan(lines).where("rule_id = 'missing-alt'").collect()}
+    assert hit == {k for k, bad in enumerate(tags.values()) if bad}
+
+
+def test_files_are_scanned_as_their_lines(spark):
+    texts = ["eval(x)\nplain\n  debugger;\nx = 12345", "nothing", "", None, "// TODO\nvar q = \"select a \" + b", "password: 'abcdefghijklmnop1234'"]
+    files = spark.createDataFrame([(f"f{k}", t) for k, t in enumerate(texts)], "file string, content string")
+    lines = files.where("content IS NOT NULL").select("file", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("file", (F.col("at") + 1).cast("long").alias("line"), "text")
+    want = {tuple(r) for r in findings.scan(lines).collect()}
+    assert {tuple(r) for r in findings.scan_files(files).collect()} == want and len(want) == 6
+
+
+def test_health_bands(spark):
+    def score(severities, files):
+        found = spark.createDataFrame([(s,) for s in severities], "severity string")
+        return findings.health(found, spark.createDataFrame([(files,)], "files long")).first().score
+
+    assert score([], 10) == 100 and score(["info"], 10) == 100 and score(["warning"] * 6, 10) == 90
+    assert score(["critical"], 100) == 95 - 5 - 5 and score(["critical"] + ["info"] * 20, 100) == 95 - 5 + 5
+    assert score(["critical"] * 30, 1) == 20 - 15 - 5 and score(["critical"] * 100, 1) == 0
+    assert score([], 0) == 100
+
+
+def test_risk_and_ranks(spark):
+    found = spark.createDataFrame([("a", "low"), ("a", "odd"), ("b", "odd"), ("c", "CRITICAL")], "k string, severity string")
+    assert {r.k: r.risk for r in findings.overall_risk(found, "k").collect()} == {"a": "low", "b": "unknown", "c": "critical"}
+    assert findings.overall_risk(found.where("false")).first().risk == "none"
+    assert findings.gate(found.where("k = 'b'"), "info").first().passed is True
+
+
+def test_upper_median(spark):
+    for values in ([3], [1, 2], [5, 1, 4, 2], [7, 7, 7, 1], [None, 2, None], list(range(1001)), [1] * 50 + [2] * 50):
+        kept = sorted(v for v in values if v is not None)
+        got = findings.upper_median(spark.createDataFrame([(v,) for v in values], "v long").repartition(3), "v").first().median
+        assert got == kept[len(kept) // 2], values
+    assert findings.upper_median(spark.createDataFrame([], "v long"), "v").first().median is None
+
+
+def test_confidence(spark):
+    rows = [("dead_code", "unreachable", None, None, None, "return", 0.98), ("dead_code", "zombie_css", True, "library_api", True, None, 0.1), ("secrets", "entropy", None, "test", None, None, 0.35), ("secrets", "odd", None, None, None, None, 0.5), ("other", "x", True, None, None, None, 0.5)]
+    df = spark.createDataFrame(rows, "engine string, kind string, in_test boolean, source string, downgraded boolean, after string, want double")
+    assert all(r.confidence == r.want for r in finders.confidence(df).collect())
+
+
+def test_types_and_tags(spark):
+    lines = spark.createDataFrame([("f", k, t) for k, t in enumerate(["x: int = 3", "name = 'a'", "let p = new Point(1)", "q = [1]", "r = {}", "t = True", "u = 1.5", "foo(x)", "# @FLOW: login", "def login():", "def other():"])], "file string, line int, text string")
+    assert {(r.name, r.type) for r in finders.types(lines).collect()} == {("x", "int"), ("name", "str"), ("p", "Point"), ("q", "list"), ("r", "dict"), ("t", "bool"), ("u", "float")}
+    assert [(r.line, r.tag, r.value) for r in finders.tags(lines).collect()] == [(8, "FLOW", "login")]
+    defs = spark.createDataFrame([("a", "login", "f", 9), ("b", "other", "f", 10)], "node_id string, name string, file string, line int")
+    assert {(r.name, r.tagged) for r in finders.tag_audit(lines, defs).collect()} == {("login", True), ("other", False)}
+
+
+def test_paths(spark):
+    cases = {"a/b.py": True, "/work/a": True, "/work": True, "../x": False, "a/../../x": False, "a/./../b": True, "/workshop/a": False, "..\\x": False, "/work/../etc": False}
+    df = spark.createDataFrame([(p,) for p in cases], "p string").select("p", fn.is_within(F.col("p"), "/work").alias("inside"))
+    assert {r.p: r.inside for r in df.collect()} == cases
+    globs = {"*.py": {"a.py", "x/a.py"}, "x/*.py": {"x/a.py"}, "**/a.py": {"a.py", "x/a.py", "x/y/a.py"} & {"a.py", "x/a.py"}, "x/**": {"x/a.py", "x/b.js"}, "?.js": {"x/b.js"}}
+    paths = spark.createDataFrame([(p,) for p in ("a.py", "x/a.py", "x/b.js", "axpy")], "path string")
+    for glob, want in globs.items():
+        assert {r.path for r in finders.matching_paths(paths, glob=glob).collect()} == want, glob
+
+
+def test_code_text(spark):
+    one = spark.range(1)
+    first = lambda c: one.select(c.alias("v")).first().v
+    assert first(fn.code_lines(F.lit("a\n\n// b\n/* c\nd */ e\n# f\n  * g\nh"))) == 3
+    assert first(fn.code_lines(F.lit("/* never closed\nx"))) == 0
+    assert first(fn.without_strings(F.lit("f('a\\'b', \"c\")"))) == 'f("", "")'
+    assert first(fn.truncated(F.lit("abcdef"), 5)) == "ab..." and first(fn.truncated(F.lit("abc"), 3)) == "abc"
+    assert first(fn.relative_path(F.lit("C:\\w\\a\\b.py"), "C:\\w")) == "a/b.py"
+    assert first(fn.json_field(F.lit("{broken"), "a")) is None

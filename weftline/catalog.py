@@ -32,11 +32,15 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from weftline import catalog_code
+
+    return _QUERIES | catalog_code.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from weftline import catalog_code
+
+    return _SQL | catalog_code.SQL
 
 
 # --- the pattern language -------------------------------------------------------------------------------------------------------------
@@ -53,14 +57,14 @@ def _pattern(name: str, text: str, sql: str) -> None:
 _pattern("pattern_label", "MATCH (n:Module) RETURN n.name, n.node_type, n.id, n.file, n.line", """SELECT name AS "n.name", node_type AS "n.node_type", node_id AS "n.id", file AS "n.file", line AS "n.line" FROM nodes WHERE node_type = 'module'""")
 _pattern("pattern_contains", "MATCH (n:Class) WHERE n.name CONTAINS 'CUSTOMER#00000001' RETURN n.name", """SELECT name AS "n.name" FROM nodes WHERE node_type = 'class' AND name ILIKE '%CUSTOMER#00000001%'""")
 _pattern("pattern_contains_wildcard", "MATCH (n:Class) WHERE n.name CONTAINS '#%_7' RETURN n.name", """SELECT name AS "n.name" FROM nodes WHERE node_type = 'class' AND name ILIKE '%#%_7%'""")
-_pattern("pattern_null", "MATCH (n) WHERE n.file IS NULL AND n.line < 20 RETURN n.name, n.line", """SELECT name AS "n.name", line AS "n.line" FROM nodes WHERE file IS NULL AND line < 20""")
+_pattern("pattern_null", "MATCH (n) WHERE n.file IS NULL RETURN n.name, n.line", """SELECT name AS "n.name", line AS "n.line" FROM nodes WHERE file IS NULL""")
 _pattern("pattern_compare", "MATCH (n:Class) WHERE n.line >= 10 AND n.line <> 12 AND n.line < '20' RETURN n.id", """SELECT node_id AS "n.id" FROM nodes WHERE node_type = 'class' AND line >= 10 AND line <> 12 AND line < 20""")
 _pattern("pattern_left_to_right", "MATCH (n:Class) WHERE n.line = 1 OR n.line = 2 AND n.name CONTAINS 'cust' RETURN n.name", """SELECT name AS "n.name" FROM nodes WHERE node_type = 'class' AND (line = 1 OR line = 2) AND name ILIKE '%cust%'""")
-_pattern("pattern_hop_right", "MATCH (o:Function)-[:CALLS]->(c:Class) WHERE c.line < 50 RETURN o.name, c.name", """SELECT o.name AS "o.name", c.name AS "c.name" FROM nodes o JOIN edges e ON o.node_id = e.source_id JOIN nodes c ON c.node_id = e.target_id WHERE o.node_type = 'function' AND c.node_type = 'class' AND e.edge_type = 'CALLS' AND c.line < 50""")
+_pattern("pattern_hop_right", "MATCH (o:Function)-[:CALLS]->(c:Class) RETURN o.name, c.name", """SELECT o.name AS "o.name", c.name AS "c.name" FROM nodes o JOIN edges e ON o.node_id = e.source_id JOIN nodes c ON c.node_id = e.target_id WHERE o.node_type = 'function' AND c.node_type = 'class' AND e.edge_type = 'CALLS'""")
 _pattern("pattern_hop_left", "MATCH (n:File)<-[:USES_TYPE]-(c:Class) WHERE n.name = 'NATION_3' OR n.line = 4 RETURN n.id, c.id", """SELECT n.node_id AS "n.id", c.node_id AS "c.id" FROM nodes n JOIN edges e ON n.node_id = e.target_id JOIN nodes c ON c.node_id = e.source_id WHERE n.node_type = 'file' AND c.node_type = 'class' AND e.edge_type = 'USES_TYPE' AND (n.name = 'NATION_3' OR n.line = 4)""")
 _pattern("pattern_hop_both", "MATCH (a)-[:DEFINES]-(b) RETURN a.id, b.id", """SELECT a.node_id AS "a.id", b.node_id AS "b.id" FROM nodes a JOIN edges e ON a.node_id = e.source_id OR a.node_id = e.target_id JOIN nodes b ON (a.node_id = e.source_id AND b.node_id = e.target_id) OR (a.node_id = e.target_id AND b.node_id = e.source_id) WHERE e.edge_type = 'DEFINES'""")
-_pattern("pattern_two_hops", "MATCH (c:Class)-[:USES_TYPE]->(n:File)-[:DEFINES]->(r:Module) WHERE c.line < 30 RETURN c.name, r.name", """SELECT c.name AS "c.name", r.name AS "r.name" FROM nodes c JOIN edges e ON c.node_id = e.source_id AND e.edge_type = 'USES_TYPE' JOIN nodes n ON n.node_id = e.target_id JOIN edges f ON n.node_id = f.source_id AND f.edge_type = 'DEFINES' JOIN nodes r ON r.node_id = f.target_id WHERE c.node_type = 'class' AND n.node_type = 'file' AND r.node_type = 'module' AND c.line < 30""")
-_pattern("pattern_not_exists", "MATCH (c:Class) WHERE c.line < 400 AND NOT EXISTS { ()-[:CALLS]->(c) } RETURN c.name", """SELECT name AS "c.name" FROM nodes c WHERE node_type = 'class' AND line < 400 AND NOT EXISTS (SELECT 1 FROM edges e JOIN nodes s ON s.node_id = e.source_id WHERE e.edge_type = 'CALLS' AND e.target_id = c.node_id)""")
+_pattern("pattern_two_hops", "MATCH (c:Class)-[:USES_TYPE]->(n:File)-[:DEFINES]->(r:Module) RETURN c.name, r.name", """SELECT c.name AS "c.name", r.name AS "r.name" FROM nodes c JOIN edges e ON c.node_id = e.source_id AND e.edge_type = 'USES_TYPE' JOIN nodes n ON n.node_id = e.target_id JOIN edges f ON n.node_id = f.source_id AND f.edge_type = 'DEFINES' JOIN nodes r ON r.node_id = f.target_id WHERE c.node_type = 'class' AND n.node_type = 'file' AND r.node_type = 'module'""")
+_pattern("pattern_not_exists", "MATCH (c:Class) WHERE NOT EXISTS { ()-[:CALLS]->(c) } RETURN c.name", """SELECT name AS "c.name" FROM nodes c WHERE node_type = 'class' AND NOT EXISTS (SELECT 1 FROM edges e JOIN nodes s ON s.node_id = e.source_id WHERE e.edge_type = 'CALLS' AND e.target_id = c.node_id)""")
 _pattern("pattern_exists", "MATCH (c:Class) WHERE EXISTS { (c)-[:IMPORTS]->(p:Type) WHERE p.line < 5 } RETURN c.id", """SELECT node_id AS "c.id" FROM nodes c WHERE node_type = 'class' AND EXISTS (SELECT 1 FROM edges e JOIN nodes p ON p.node_id = e.target_id WHERE e.edge_type = 'IMPORTS' AND p.node_type = 'type' AND p.line < 5 AND e.source_id = c.node_id)""")
 _pattern("pattern_exists_or", "MATCH (c:Class) WHERE EXISTS { (c)-[:IMPORTS]->(p:Type) WHERE p.line < 3 } OR c.line = 7 RETURN c.id", """SELECT node_id AS "c.id" FROM nodes c WHERE node_type = 'class' AND (EXISTS (SELECT 1 FROM edges e JOIN nodes p ON p.node_id = e.target_id WHERE e.edge_type = 'IMPORTS' AND p.node_type = 'type' AND p.line < 3 AND e.source_id = c.node_id) OR c.line = 7)""")
 _pattern("pattern_default_edge", "MATCH (a:Function)-[]->(b) WHERE b.line = 11 RETURN a.id, b.id", """SELECT a.node_id AS "a.id", b.node_id AS "b.id" FROM nodes a JOIN edges e ON a.node_id = e.source_id AND e.edge_type = 'CALLS' JOIN nodes b ON b.node_id = e.target_id WHERE a.node_type = 'function' AND b.line = 11""")
@@ -98,16 +102,16 @@ def fan_metrics(spark, sf_dir):
     return graph.fan_metrics(rel.nodes(spark, sf_dir), rel.edges(spark, sf_dir))
 
 
-@_query(f"WITH {G}, c AS (SELECT target_id, count(*) AS n FROM edges GROUP BY 1) SELECT node_id, name, coalesce(n, 0) AS ref_count, CASE WHEN n > 0 OR node_type = 'module' THEN 'active' ELSE 'dead' END AS status FROM nodes LEFT JOIN c ON node_id = target_id WHERE node_type <> 'function'")
+@_query(f"WITH {G}, c AS (SELECT target_id, count(*) AS n FROM edges GROUP BY 1) SELECT node_id, name, coalesce(n, 0) AS ref_count, CASE WHEN n > 0 OR node_type = 'module' THEN 'active' ELSE 'dead' END AS status FROM nodes LEFT JOIN c ON node_id = target_id")
 def reference_counts(spark, sf_dir):
-    nodes = rel.nodes(spark, sf_dir).where("node_type <> 'function'")
+    nodes = rel.nodes(spark, sf_dir)
     return graph.reference_counts(nodes, rel.edges(spark, sf_dir), nodes.where("node_type = 'module'"))
 
 
-@_query(f"""WITH {G}, e AS (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type IN ('USES_TYPE', 'DEFINES'))
+@_query(f"""WITH {G}, e AS (SELECT DISTINCT source_id, target_id FROM edges)
 SELECT DISTINCT source_id AS node_id, 'root' AS role FROM e WHERE source_id NOT IN (SELECT target_id FROM e) UNION ALL SELECT DISTINCT target_id, 'leaf' FROM e WHERE target_id NOT IN (SELECT source_id FROM e)""")
 def roots_and_leaves(spark, sf_dir):
-    return graph.roots_and_leaves(rel.edges(spark, sf_dir).where("edge_type IN ('USES_TYPE', 'DEFINES')"))
+    return graph.roots_and_leaves(rel.edges(spark, sf_dir))
 
 
 def _lookup(text: str) -> str:
@@ -157,13 +161,50 @@ def mutual_pairs(spark, sf_dir):
     return graph.mutual_pairs(rel.event_calls(spark, sf_dir))
 
 
-@_query(f"""WITH {CALLS}, e AS (SELECT * FROM calls WHERE source_id <> target_id)
-SELECT 1 AS length, source_id AS cycle FROM calls WHERE source_id = target_id
-UNION ALL SELECT 2, a.source_id || ' -> ' || a.target_id FROM e a JOIN e b ON b.source_id = a.target_id AND b.target_id = a.source_id WHERE a.source_id < a.target_id
-UNION ALL SELECT 3, a.source_id || ' -> ' || a.target_id || ' -> ' || b.target_id FROM e a JOIN e b ON b.source_id = a.target_id JOIN e c ON c.source_id = b.target_id AND c.target_id = a.source_id WHERE a.source_id < a.target_id AND a.source_id < b.target_id
-UNION ALL SELECT 4, a.source_id || ' -> ' || a.target_id || ' -> ' || b.target_id || ' -> ' || c.target_id FROM e a JOIN e b ON b.source_id = a.target_id JOIN e c ON c.source_id = b.target_id JOIN e d ON d.source_id = c.target_id AND d.target_id = a.source_id WHERE a.source_id < a.target_id AND a.source_id < b.target_id AND a.source_id < c.target_id AND c.target_id <> a.target_id""")
+_ALL_CYCLES = """p(path, z) AS (SELECT [source_id, target_id], target_id FROM e WHERE source_id < target_id UNION ALL SELECT list_append(path, e.target_id), e.target_id FROM p JOIN e ON e.source_id = p.z WHERE e.target_id > path[1] AND NOT list_contains(path, e.target_id)),
+closed AS (SELECT path FROM p JOIN e ON e.source_id = p.z AND e.target_id = path[1])"""
+
+
+@_query(f"""WITH RECURSIVE {CALLS}, e AS (SELECT * FROM calls WHERE source_id <> target_id), {_ALL_CYCLES}
+SELECT 1 AS length, source_id AS cycle FROM calls WHERE source_id = target_id UNION ALL SELECT len(path), array_to_string(path, ' -> ') FROM closed""")
 def simple_cycles(spark, sf_dir):
-    return graph.cycles(rel.event_calls(spark, sf_dir), 4)
+    return graph.cycles(rel.event_calls(spark, sf_dir))
+
+
+@_query(f"""WITH RECURSIVE {CALLS}, e AS (SELECT * FROM calls WHERE source_id <> target_id), w(s, t) AS (SELECT source_id, target_id FROM e UNION SELECT s, target_id FROM w JOIN e ON source_id = t)
+SELECT a.s AS node_id, min(a.t) AS "group" FROM w a JOIN w b ON a.s = b.t AND a.t = b.s GROUP BY a.s HAVING bool_or(a.s <> a.t)""")
+def cyclic_groups(spark, sf_dir):
+    return graph.cyclic_groups(rel.event_calls(spark, sf_dir))
+
+
+_MODULES = f"{G}, e AS (SELECT DISTINCT s.file AS source_id, t.file AS target_id FROM edges x JOIN nodes s ON s.node_id = x.source_id JOIN nodes t ON t.node_id = x.target_id WHERE s.file <> t.file UNION SELECT 'region:' || n_regionkey, 'nation:' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0)"
+
+
+@_query(f"WITH RECURSIVE {_MODULES}, {_ALL_CYCLES} SELECT len(path) AS length, array_to_string(path, ' -> ') AS cycle FROM closed")
+def module_cycles(spark, sf_dir):
+    back = rel.table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").selectExpr("concat('region:', n_regionkey) AS source_id", "concat('nation:', n_nationkey) AS target_id")
+    return graph.cycles(graph.module_edges(rel.nodes(spark, sf_dir), rel.edges(spark, sf_dir)).unionByName(back).distinct())
+
+
+@_query(f"""WITH RECURSIVE {G}, e AS (SELECT source_id, CASE WHEN edge_type = 'IMPORTS' AND line % 3 = 0 THEN NULL ELSE target_id END AS target_id, 'fn' || line AS to_fn FROM edges), {_walk('supplier:3', 3, 'source_id', 'target_id').replace('e.source_id <> e.target_id', 'e.source_id <> e.target_id AND e.target_id IS NOT NULL')}
+SELECT node_id, min(depth) AS depth, NULL AS to_fn FROM w WHERE node_id <> 'supplier:3' GROUP BY 1 UNION ALL SELECT DISTINCT NULL, m.depth + 1, to_fn FROM (SELECT node_id, min(depth) AS depth FROM w GROUP BY 1) m JOIN e ON e.source_id = m.node_id WHERE e.target_id IS NULL AND m.depth < 3""")
+def bfs_unresolved(spark, sf_dir):
+    edges = rel.edges(spark, sf_dir).withColumn("to_fn", F.concat(F.lit("fn"), F.col("line").cast("string"))).withColumn("target_id", F.when(~((F.col("edge_type") == "IMPORTS") & (F.col("line") % 3 == 0)), F.col("target_id")))
+    return graph.traverse(edges, rel.nodes(spark, sf_dir).where("node_id = 'supplier:3'"), 3, "callees", unresolved=True).select("node_id", "depth", "to_fn")
+
+
+@_query(f"""WITH RECURSIVE {CALLS}, e AS (SELECT * FROM calls WHERE source_id <> target_id), p(path, z, n) AS (SELECT [source_id], source_id, 0 FROM (SELECT DISTINCT source_id FROM e WHERE source_id LIKE '%/click') UNION ALL SELECT list_append(path, target_id), target_id, n + 1 FROM p JOIN e ON source_id = z WHERE n < 4 AND NOT list_contains(path, target_id))
+SELECT path[1] AS source, z AS sink, n::INT AS length, array_to_string(path, ' -> ') AS path FROM p WHERE n > 0 AND z LIKE '%/purchase'""")
+def source_sink_paths(spark, sf_dir):
+    calls = rel.event_calls(spark, sf_dir)
+    names = calls.select(F.col("source_id").alias("node_id")).union(calls.select("target_id")).distinct()
+    return graph.paths(calls, names.where("node_id LIKE '%/click'"), names.where("node_id LIKE '%/purchase'"), 4)
+
+
+@_query(f"""WITH RECURSIVE {G}, e AS (SELECT DISTINCT source_id, target_id FROM edges WHERE source_id <> target_id), w(node_id, depth, path) AS (SELECT 'order:1', 0, 'order:1' UNION ALL SELECT t, d, path || ' -> ' || t FROM (SELECT w.depth + 1 AS d, e.target_id AS t, w.path, row_number() OVER (PARTITION BY e.target_id ORDER BY w.node_id) AS k FROM w JOIN e ON e.source_id = w.node_id WHERE w.depth < 3) WHERE k = 1)
+SELECT 'order:1' AS start, node_id, depth, path FROM w""")
+def trace_down(spark, sf_dir):
+    return graph.trace(rel.edges(spark, sf_dir), rel.nodes(spark, sf_dir).where("node_id = 'order:1'"), 3, "callees", most=None)
 
 
 @_query(f"WITH RECURSIVE {G}, e AS (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type <> 'CALLS'), w(s, t, d) AS (SELECT source_id, target_id, 1 FROM e UNION SELECT s, target_id, d + 1 FROM w JOIN e ON source_id = t WHERE d < 10) SELECT s AS source_id, t AS target_id, min(d) AS dist FROM w GROUP BY 1, 2")
@@ -185,13 +226,13 @@ def affected_files(spark, sf_dir):
     return graph.affected_files(rel.nodes(spark, sf_dir), rel.edges(spark, sf_dir), changed)
 
 
-@_query(f"""WITH {G}, raw AS (SELECT o_orderkey AS call_id, 'nation:' || (o_orderkey % 25) AS file, CASE WHEN o_orderkey % 5 = 0 THEN 'Supplier#000000' || lpad((o_orderkey % 150)::VARCHAR, 3, '0') WHEN o_orderkey % 5 = 1 THEN 'print' ELSE 'pkg.NATION_' || (o_orderkey % 30) END AS to_fn FROM orders),
+@_query(f"""WITH {G}, raw AS (SELECT o_orderkey AS call_id, 'nation:' || (o_orderkey % 25) AS file, CASE WHEN o_orderkey % 5 = 0 THEN 'Supplier#000000' || lpad((o_orderkey % 150)::VARCHAR, 3, '0') WHEN o_orderkey % 5 = 1 THEN ['print', 'println', 'unwrap_or_else', 'forEach', 'isinstance', 'Print'][o_orderkey % 6 + 1] ELSE 'pkg.NATION_' || (o_orderkey % 30) END AS to_fn FROM orders),
 w AS (SELECT call_id, file AS ff, 1 AS rank, to_fn AS name FROM raw UNION ALL SELECT call_id, file, 3, string_split(to_fn, '.')[-1] FROM raw),
 c AS (SELECT call_id, n.node_id, row_number() OVER (PARTITION BY call_id ORDER BY rank, NOT coalesce(n.file = ff, false), n.file NULLS FIRST, n.line, n.node_id) AS k FROM w JOIN nodes n USING (name))
-SELECT call_id, file, to_fn, node_id AS target_id, CASE WHEN node_id IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM raw LEFT JOIN (SELECT * FROM c WHERE k = 1) USING (call_id) WHERE to_fn <> 'print'""")
+SELECT call_id, file, to_fn, node_id AS target_id, CASE WHEN node_id IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN node_id IS NOT NULL THEN 'resolved' WHEN to_fn IN ('print', 'println', 'unwrap_or_else', 'forEach', 'isinstance') THEN 'std_lib' ELSE 'unresolved' END AS status FROM raw LEFT JOIN (SELECT * FROM c WHERE k = 1) USING (call_id)""")
 def resolved_calls(spark, sf_dir):
     k = F.col("o_orderkey")
-    to_fn = F.when(k % 5 == 0, F.concat(F.lit("Supplier#000000"), F.lpad((k % 150).cast("string"), 3, "0"))).when(k % 5 == 1, "print").otherwise(F.concat(F.lit("pkg.NATION_"), (k % 30).cast("string")))
+    to_fn = F.when(k % 5 == 0, F.concat(F.lit("Supplier#000000"), F.lpad((k % 150).cast("string"), 3, "0"))).when(k % 5 == 1, F.element_at(F.array(*[F.lit(x) for x in ("print", "println", "unwrap_or_else", "forEach", "isinstance", "Print")]), (k % 6 + 1).cast("int"))).otherwise(F.concat(F.lit("pkg.NATION_"), (k % 30).cast("string")))
     raw = rel.table(spark, sf_dir, "orders").select(k.alias("call_id"), F.concat(F.lit("nation:"), (k % 25).cast("string")).alias("file"), to_fn.alias("to_fn"))
     return graph.resolve_calls(rel.nodes(spark, sf_dir), raw)
 
@@ -214,7 +255,7 @@ def taint_fixpoint(spark, sf_dir):
 # --- search -----------------------------------------------------------------------------------------------------------------------------
 
 
-@_query(f"WITH {LINES} SELECT file, line, text, instr(text, regexp_extract(text, '\\bLicensed\\b')) AS col FROM lines WHERE regexp_matches(text, '\\bLicensed\\b')")
+@_query(f"WITH {LINES} SELECT file, line, text, length(regexp_extract(text, '^(.*?)\\bLicensed\\b', 1)) + 1 AS col FROM lines WHERE regexp_matches(text, '\\bLicensed\\b')")
 def regex_lines(spark, sf_dir):
     return search.regex_lines(rel.source_lines(spark, sf_dir), "Licensed", whole_word=True)
 
@@ -230,7 +271,7 @@ def symbol_search(spark, sf_dir):
 
 
 _STOP = ", ".join(f"'{w}'" for w in fn.STOPWORDS)
-_TFIDF = f"""t0 AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: strlen(x) >= 2 AND NOT list_contains([{_STOP}], x))[1:4096] AS t FROM documents),
+_TFIDF = f"""t0 AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: strlen(x) >= 2 AND NOT list_contains([{_STOP}], x)) AS t FROM documents),
 t1 AS (SELECT doc_id, len(t) AS total, unnest(t) AS term FROM t0), tf AS (SELECT doc_id, term, count(*) / any_value(total) AS tf FROM t1 GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
 w AS (SELECT doc_id, term, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (term), n)"""
 
@@ -239,10 +280,10 @@ w AS (SELECT doc_id, term, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN d
 s AS (SELECT doc_id, sum(w * qw) AS dot, sqrt(sum(w * w)) AS norm FROM w LEFT JOIN qw USING (term) GROUP BY 1)
 SELECT doc_id, round(least(1.0, dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM qw))), 4) AS score FROM s WHERE dot > 0 ORDER BY dot / norm DESC, doc_id LIMIT 10""")
 def tfidf_search(spark, sf_dir):
-    return search.tfidf(rel.table(spark, sf_dir, "documents"), "licensed license version public", 10)
+    return search.tfidf(search.build_index(rel.table(spark, sf_dir, "documents")), "licensed license version public", 10)
 
 
-@_query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 4) AS score FROM embeddings WHERE vec_id <> 7 ORDER BY 2 DESC, 1 LIMIT 10")
+@_query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 4) AS score FROM embeddings WHERE vec_id <> 7 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) DESC, vec_id LIMIT 10")
 def cosine_top(spark, sf_dir):
     return search.cosine_top(rel.table(spark, sf_dir, "embeddings"), 7, 10)
 
@@ -279,19 +320,31 @@ def snapshot_edges(spark, sf_dir):
     return snapshots.edge_diff(e.where("l_shipdate < TIMESTAMP '1996-01-01'"), e.where("l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'"))
 
 
-_FOUND = f"""{LINES}, rules(rule_id, category, severity, pattern) AS (VALUES {', '.join("('" + i + "', '" + c + "', '" + s + "', '" + p.replace("'", "''") + "')" for i, c, s, p, _ in findings.LINE_RULES)}),
+#: Rules of the library and some for the documents of the tables.
+RULES = [
+    *findings.LINE_RULES,
+    ("token-line", "secrets", "critical", r"token = \"[0-9a-f]{20,}\"", "a token stands in the text"),
+    ("private-address", "personal", "warning", r"[a-z0-9.]+@[a-z0-9.]+\.[a-z]{2,}", "an e-mail address"),
+    ("phone-number", "personal", "info", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "a telephone number"),
+    ("licence-line", "licence", "low", r"(Licensed|Released|licensed) under", "a licence notice"),
+    ("signs", "style", "unheard-of", r"(\*\*\*|###|%%%|\$\$\$|&&&)", "runs of signs"),
+]
+_FOUND = f"""{LINES}, rules(rule_id, category, severity, pattern) AS (VALUES {', '.join("('" + i + "', '" + c + "', '" + s + "', '" + p.replace("'", "''") + "')" for i, c, s, p, _ in RULES)}),
 found AS (SELECT file, line, rule_id, category, severity FROM lines JOIN rules ON regexp_matches(text, pattern)),
 ids AS (SELECT *, substr(sha1(rule_id || '|' || file || '|' || line || '|' || severity), 1, 16) AS finding_id FROM found)"""
 
 
+def _scan(spark, sf_dir):
+    return findings.scan_files(rel.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("content")), RULES)
+
+
 def _found(spark, sf_dir):
-    f = findings.scan(rel.source_lines(spark, sf_dir))
-    return f.withColumn("finding_id", fn.finding_id(F.col("rule_id"), F.col("file"), F.col("line"), F.col("severity")))
+    return _scan(spark, sf_dir).withColumn("finding_id", fn.finding_id(F.col("rule_id"), F.col("file"), F.col("line"), F.col("severity")))
 
 
 @_query(f"WITH {_FOUND} SELECT * FROM found")
 def findings_scan(spark, sf_dir):
-    return findings.scan(rel.source_lines(spark, sf_dir))
+    return _scan(spark, sf_dir)
 
 
 @_query(f"WITH {_FOUND} SELECT category, severity, count(*) AS n, count(DISTINCT file) AS files FROM found GROUP BY 1, 2")
@@ -311,29 +364,57 @@ def severity_delta(spark, sf_dir):
     return snapshots.severity_delta(f.where("line % 3 <> 0"), f.where("line % 3 <> 1"))
 
 
-@_query(f"WITH {_FOUND} SELECT count(*) AS total, count(*) FILTER (severity IN ('critical', 'high')) AS blocking, count(*) FILTER (severity IN ('critical', 'high')) = 0 AS passed FROM found")
+@_query(f"WITH {_FOUND} SELECT count(*) AS total, count(*) FILTER (severity IN ('critical', 'high', 'warning', 'low', 'info')) AS blocking, count(*) FILTER (severity IN ('critical', 'high', 'warning', 'low', 'info')) = 0 AS passed FROM found")
 def severity_gate(spark, sf_dir):
-    return findings.gate(_found(spark, sf_dir), "high")
+    return findings.gate(_found(spark, sf_dir), "info")
 
 
-@_query(f"""WITH {_FOUND}, m AS (SELECT file, line + CASE WHEN contains(text, 'version') THEN 1 ELSE 0 END AS line FROM lines WHERE regexp_matches(text, 'Licensed|GNU'))
-SELECT file, line, rule_id, category, severity, EXISTS (SELECT 1 FROM m WHERE m.file = f.file AND m.line = f.line) AS suppressed FROM found f""")
+@_query(f"""WITH {_FOUND}, m AS (SELECT file, line + 1 AS line, 'seen' AS reason, ['licence-line', 'signs'] AS r FROM lines WHERE regexp_matches(text, 'Licensed|GNU') AND contains(text, 'version') UNION ALL SELECT file, line, NULL, NULL FROM lines WHERE regexp_matches(text, 'Licensed|GNU') AND NOT contains(text, 'version'))
+SELECT file, line, rule_id, category, severity, EXISTS (SELECT 1 FROM m WHERE m.file = f.file AND m.line = f.line AND (r IS NULL OR list_contains(r, rule_id))) AS suppressed, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.file = f.file AND m.line = f.line AND (r IS NULL OR list_contains(r, rule_id))) THEN (SELECT min(reason) FROM m WHERE m.file = f.file AND m.line = f.line) END AS reason FROM found f""")
 def suppressed_findings(spark, sf_dir):
     lines = rel.source_lines(spark, sf_dir)
-    mark = F.when(F.col("text").rlike("Licensed|GNU"), F.when(F.col("text").contains("version"), "nolens-next").otherwise("nolens")).otherwise("")
-    return findings.suppress(findings.scan(lines), lines.select("file", "line", mark.alias("text")))
+    mark = F.when(F.col("text").rlike("Licensed|GNU"), F.when(F.col("text").contains("version"), "ignore-finding-next: licence-line, signs -- seen").otherwise("ignore-finding")).otherwise("")
+    return findings.suppress(_scan(spark, sf_dir), lines.select("file", "line", mark.alias("text")))
 
 
-@_query(f"""WITH {_FOUND}, f AS (SELECT coalesce(sum(CASE WHEN severity IN ('critical', 'high') THEN 3.0 WHEN severity IN ('warning', 'medium') THEN 1.0 ELSE 0.1 END), 0)::DOUBLE AS w, count(*) FILTER (severity = 'critical') AS critical FROM found), n AS (SELECT count(DISTINCT file) AS files FROM lines), d AS (SELECT *, w / files AS d FROM f, n)
-SELECT files, critical, round(d, 4) AS density, greatest(0.0, (CASE WHEN d <= 0.1 THEN 100.0 WHEN d <= 0.5 THEN 90.0 WHEN d <= 1 THEN 75.0 WHEN d <= 3 THEN 55.0 ELSE 35.0 END) - least(20.0, critical * 2.0))::DOUBLE AS score FROM d""")
+_HEALTH = """f AS (SELECT coalesce(sum(CASE WHEN severity = 'critical' THEN 3.0 WHEN severity IN ('high', 'warning', 'medium') THEN 1.0 ELSE 0.1 END), 0)::DOUBLE AS w, count(*) FILTER (severity = 'critical') AS critical, count(*) AS total FROM found),
+d AS (SELECT *, w / files AS d, critical / files AS c, critical / greatest(total, 1) AS r FROM f, n)
+SELECT files, critical, round(d, 4) AS density, greatest(0, least(100, (CASE WHEN d <= 0.5 THEN 95 WHEN d <= 2 THEN 85 WHEN d <= 5 THEN 70 WHEN d <= 10 THEN 55 WHEN d <= 20 THEN 40 WHEN d <= 50 THEN 25 WHEN d <= 100 THEN 20 ELSE 8 END)
+- (CASE WHEN critical = 0 THEN 0 WHEN c <= 1 THEN 5 WHEN c <= 5 THEN 10 WHEN c <= 10 THEN 15 WHEN c <= 20 THEN 20 ELSE least(35, floor(c * 0.5)) END) + (CASE WHEN r < 0.1 THEN 5 WHEN r < 0.3 THEN 0 ELSE -5 END)))::BIGINT AS score FROM d"""
+
+
+@_query(f"WITH {_FOUND}, n AS (SELECT count(*) AS files FROM documents), {_HEALTH}")
 def health_score(spark, sf_dir):
-    return findings.health(_found(spark, sf_dir), rel.source_lines(spark, sf_dir))
+    return findings.health(_scan(spark, sf_dir), rel.table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("files")))
+
+
+@_query(f"WITH {_FOUND.replace('found AS (', 'found0 AS (').replace('FROM found)', 'FROM found0)')}, found AS (SELECT * FROM found0 WHERE category = 'secrets'), n AS (SELECT 25 AS files), {_HEALTH}")
+def health_of_critical(spark, sf_dir):
+    return findings.health(_scan(spark, sf_dir).where("category = 'secrets'"), rel.table(spark, sf_dir, "nation").agg(F.count(F.lit(1)).alias("files")))
+
+
+@_query(f"WITH {_FOUND} SELECT category, CASE min(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'warning' THEN 2 WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 5 END) WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'info' ELSE 'unknown' END AS risk FROM found GROUP BY 1")
+def risk_by_category(spark, sf_dir):
+    return findings.overall_risk(_scan(spark, sf_dir), "category")
+
+
+@_query(f"WITH {_FOUND} SELECT category, severity, file, line, rule_id FROM found QUALIFY row_number() OVER (PARTITION BY category, severity ORDER BY file, line, rule_id) = 1")
+def deduplicated_findings(spark, sf_dir):
+    return findings.deduplicated(_scan(spark, sf_dir), ["category", "severity"], ["file", "line", "rule_id"])
+
+
+@_query(f"WITH {_FOUND} SELECT file, line, rule_id, category, severity FROM found WHERE file IN (SELECT 'doc:' || doc_id FROM documents WHERE lang = 'de')")
+def findings_in_changed_files(spark, sf_dir):
+    from weftline.operators import finders
+
+    changed = rel.table(spark, sf_dir, "documents").where("lang = 'de'").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("path"))
+    return finders.in_changed_files(_scan(spark, sf_dir), changed)
 
 
-@_query(f"""WITH {_FOUND}, r AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'info' THEN 3 ELSE 2 END AS rank FROM found), c AS (SELECT count(*) AS n FROM r WHERE rank = 0), o AS (SELECT *, row_number() OVER (ORDER BY rank, file, line, rule_id) AS k FROM r WHERE rank > 0)
+@_query(f"""WITH {_FOUND}, r AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'warning' THEN 2 WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 5 END AS rank FROM found), c AS (SELECT count(*) AS n FROM r WHERE rank = 0), o AS (SELECT *, row_number() OVER (ORDER BY rank, file, line, rule_id) AS k FROM r WHERE rank > 0)
 SELECT file, line, rule_id, category, severity FROM r WHERE rank = 0 UNION ALL SELECT file, line, rule_id, category, severity FROM o, c WHERE k <= greatest(0, 60 - n)""")
 def findings_by_priority(spark, sf_dir):
-    return findings.top_by_priority(findings.scan(rel.source_lines(spark, sf_dir)), 60)
+    return findings.top_by_priority(_scan(spark, sf_dir), 60)
 
 
 @_query("SELECT day, n, coalesce(delta, 0) AS delta, CASE WHEN delta IS NULL THEN NULL WHEN delta = 0 THEN 'stable' WHEN delta > 0 THEN 'improved' ELSE 'degraded' END AS direction, event_type FROM (SELECT *, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2))")
@@ -392,9 +473,9 @@ def ownership_shares(spark, sf_dir):
     return findings.ownership(rel.table(spark, sf_dir, "documents").select(F.col("lang").alias("file"), F.col("doc_id").alias("line"), F.col("source").alias("author"), F.col("doc_id").alias("date")))
 
 
-@_query("SELECT lang AS file, ((doc_id - 1) // 10)::BIGINT AS chunk, count(DISTINCT source) AS authors, CASE WHEN count(DISTINCT source) >= 5 THEN 'high' ELSE 'medium' END AS level FROM documents WHERE doc_id > 0 GROUP BY 1, 2 HAVING count(DISTINCT source) >= 3")
+@_query("SELECT lang AS file, floor((doc_id - 1) / 10)::BIGINT AS chunk, count(DISTINCT source) AS authors, CASE WHEN count(DISTINCT source) >= 5 THEN 'high' ELSE 'medium' END AS level FROM documents GROUP BY 1, 2 HAVING count(DISTINCT source) >= 3")
 def author_chunks(spark, sf_dir):
-    return findings.author_chunks(rel.table(spark, sf_dir, "documents").where("doc_id > 0").select(F.col("lang").alias("file"), F.col("doc_id").alias("line"), F.col("source").alias("author")))
+    return findings.author_chunks(rel.table(spark, sf_dir, "documents").select(F.col("lang").alias("file"), F.col("doc_id").alias("line"), F.col("source").alias("author")))
 
 
 @_query("SELECT list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS median FROM documents")
@@ -432,10 +513,10 @@ def typo_pairs(spark, sf_dir):
     return dependencies.typos(words.union(near), part.select(F.col("p_type").alias("name")))
 
 
-@_query("SELECT decisions, CASE WHEN decisions + 1 <= 5 THEN 'low' WHEN decisions + 1 <= 10 THEN 'moderate' WHEN decisions + 1 <= 20 THEN 'high' WHEN decisions + 1 <= 50 THEN 'very_high' ELSE 'extreme' END AS level, count(*) AS n FROM (SELECT len(regexp_extract_all(text, '\\b(for|in|with|and)\\b')) AS decisions FROM documents WHERE lang = 'en') GROUP BY 1, 2")
+@_query("SELECT decisions, CASE WHEN decisions + 1 <= 5 THEN 'simple' WHEN decisions + 1 <= 10 THEN 'moderate' WHEN decisions + 1 <= 20 THEN 'complex' WHEN decisions + 1 <= 50 THEN 'very_complex' ELSE 'untamable' END AS level, count(*) AS n FROM (SELECT len(regexp_extract_all(text, ' (for|in|with|and)[ ,.]')) AS decisions FROM documents) GROUP BY 1, 2")
 def complexity_levels(spark, sf_dir):
-    n = F.regexp_count("text", F.lit(r"\b(for|in|with|and)\b")).cast("long")
-    d = rel.table(spark, sf_dir, "documents").where("lang = 'en'").select(n.alias("decisions"))
+    n = F.regexp_count("text", F.lit(r" (for|in|with|and)[ ,.]")).cast("long")
+    d = rel.table(spark, sf_dir, "documents").select(n.alias("decisions"))
     return d.groupBy("decisions", fn.complexity_level(F.col("decisions") + 1).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -463,13 +544,6 @@ def event_sessions(spark, sf_dir):
 # --- finders that the tables can feed --------------------------------------------------------------------------------------------------------
 
 
-@_query(f"WITH {G}, c AS (SELECT target_id, count(*) AS n FROM edges GROUP BY 1) SELECT file, count(*) AS definitions, sum(coalesce(n, 0))::BIGINT AS refs, (count(*) + 2 * sum(coalesce(n, 0)))::BIGINT AS score FROM nodes LEFT JOIN c ON node_id = target_id WHERE file IS NOT NULL GROUP BY 1 ORDER BY 4 DESC, 1 LIMIT 10")
-def start_here(spark, sf_dir):
-    from weftline.operators import finders
-
-    return finders.start_here(rel.nodes(spark, sf_dir), rel.edges(spark, sf_dir), 10)
-
-
 @_query(f"WITH {LINES}, s AS (SELECT *, trim(text) AS t FROM lines WHERE trim(text) <> ''), b AS (SELECT file, line, list(t) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS b FROM s), g AS (SELECT b, count(*) AS n, min((file, line)) AS f FROM b WHERE len(b) = 3 GROUP BY b HAVING count(*) > 1) SELECT n, f[1] AS file, f[2] AS line FROM g".replace("min((file, line)) AS f", "min(file || '|' || lpad(line::VARCHAR, 9, '0')) AS f").replace("f[1] AS file, f[2] AS line", "string_split(f, '|')[1] AS file, string_split(f, '|')[2]::BIGINT AS line"))
 def duplicate_stretches(spark, sf_dir):
     from weftline.operators import finders
@@ -477,13 +551,6 @@ def duplicate_stretches(spark, sf_dir):
     return finders.duplicate_lines(rel.source_lines(spark, sf_dir), 3).select("n", "file", "line")
 
 
-@_query(f"WITH {_FOUND}, c AS (SELECT *, CASE category WHEN 'secrets' THEN 0.9 WHEN 'injection' THEN 0.8 WHEN 'debug' THEN 0.85 WHEN 'smell' THEN 0.7 WHEN 'performance' THEN 0.6 ELSE 0.5 END AS x FROM found) SELECT CASE WHEN x >= 0.8 THEN 'high' WHEN x >= 0.5 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM c GROUP BY 1")
-def confidence_bands(spark, sf_dir):
-    from weftline.operators import finders
-
-    return finders.confidence_bands(finders.confidence(findings.scan(rel.source_lines(spark, sf_dir))))
-
-
 @_query("SELECT lang AS language, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1")
 def language_histogram(spark, sf_dir):
     from weftline.operators import finders

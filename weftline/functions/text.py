@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,8 +79,70 @@ def decisions(code: Column) -> Column:
     return F.regexp_count(code, F.lit(r"\b(if|elif|for|while|case|catch|except|and|or)\b|&&|\|\||\?(?![.?:])"))
 
 
+#: Bounds of cyclomatic complexity and their names (fixed values).
+COMPLEXITY_LEVELS = ((5, "simple"), (10, "moderate"), (20, "complex"), (50, "very_complex"))
+
+
 def complexity_level(cyclomatic: Column) -> Column:
-    return F.when(cyclomatic <= 5, "low").when(cyclomatic <= 10, "moderate").when(cyclomatic <= 20, "high").when(cyclomatic <= 50, "very_high").otherwise("extreme")
+    out = F.lit("untamable")
+    for bound, name in reversed(COMPLEXITY_LEVELS):
+        out = F.when(cyclomatic <= bound, name).otherwise(out)
+    return out
+
+
+def code_lines(body: Column) -> Column:
+    """Lines of code in a stretch: blank lines, lines of ``//``, ``#`` or ``*`` and what stands in block comments don't count."""
+    bare = F.regexp_replace(body, r"(?s)/\*.*?(\*/|$)", "")
+    return F.size(F.filter(F.split(bare, "\n"), lambda x: ~x.rlike(r"^\s*(//|#|\*|$)")))
+
+
+def without_strings(code: Column) -> Column:
+    """Code with the contents of its quoted strings taken out; an escaped quote doesn't end one."""
+    return F.regexp_replace(code, r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", '""')
+
+
+def truncated(text: Column, width: int) -> Column:
+    """At most ``width`` characters; what is cut ends in three dots."""
+    return F.when(F.length(text) <= width, text).otherwise(F.concat(text.substr(F.lit(1), F.lit(max(0, width - 3))), F.lit("..."[:width])))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path without the prefix ``root``, where it has that; slashes forward."""
+    clean, top = forward_slashes(path), root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(clean.startswith(top), clean.substr(F.lit(len(top) + 1), F.length(clean))).otherwise(clean)
+
+
+def is_within(path: Column, root: str) -> Column:
+    """Does a path stay below ``root``, when each ``..`` takes back the part before it? Relative paths begin there; null stays null."""
+    top = root.replace("\\", "/").rstrip("/")
+    clean = F.regexp_replace(forward_slashes(path), r"/(\./)+", "/")
+    whole = F.when(clean.startswith("/"), clean).otherwise(F.concat(F.lit(top + "/"), clean))
+    parts = F.filter(F.split(whole, "/"), lambda x: ~x.isin("", "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.lit("/")).startswith(f"{top}/")
+
+
+def glob_pattern(glob: str) -> str:
+    """The regular expression of a glob over whole paths: ``**`` crosses slashes, ``*`` and ``?`` don't; without a slash it is about names."""
+    out, k = "", 0
+    while k < len(glob):
+        if glob[k : k + 3] == "**/":
+            out, k = out + "(?:.*/)?", k + 3
+        elif glob[k : k + 2] == "**":
+            out, k = out + ".*", k + 2
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(glob[k]) or re.escape(glob[k])
+            k += 1
+    return f"^{out}$" if "/" in glob else f"(?:^|/){out}$"
+
+
+def days_between(later: Column, earlier: Column) -> Column:
+    return F.datediff(later, earlier)
+
+
+def json_field(text: Column, name: str) -> Column:
+    """A field of a JSON text, as text; null where the text isn't JSON or has no such field."""
+    return F.get_json_object(text, f"$.{name}")
 
 
 def finding_id(rule: Column, file: Column, line: Column, severity: Column) -> Column:

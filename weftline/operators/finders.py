@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.functions.text import complexity_level, is_test_file
+from weftline.functions.text import complexity_level, glob_pattern, is_test_file, relative_path
 
 #: Routes: framework, pattern with method (or '') and path (fixed values).
 ROUTES = [
@@ -24,8 +24,23 @@ STORES = [("redux", r"createSlice\(|createStore\(|configureStore\("), ("context"
 EFFECTS = [("dom", r"document\.|innerHTML|querySelector"), ("network", r"\bfetch\(|axios|requests\.(get|post|put|delete)|XMLHttpRequest|urllib"), ("io", r"\bopen\(|fs\.|readFile|writeFile|print\(|console\."), ("timer", r"setTimeout\(|setInterval\(|time\.sleep"), ("random", r"Math\.random|random\.\w+\("), ("state", r"localStorage|sessionStorage|\bglobal\s+\w|this\.\w+\s*=[^=]|self\.\w+\s*=[^=]"), ("external", r"subprocess\.|os\.system|child_process")]
 #: Thresholds of smells (fixed values).
 LONG_FUNCTION, MANY_PARAMETERS, DEEP_NESTING, LARGE_FILE, MANY_METHODS = 50, 5, 4, 500, 20
-#: Confidence by category, and what changes it (fixed values).
-CONFIDENCE = {"secrets": 0.9, "injection": 0.8, "debug": 0.85, "smell": 0.7, "performance": 0.6, "dead": 0.6}
+#: Confidence by engine and kind of finding, and what changes it (fixed values); other kinds have 0.5.
+CONFIDENCE = {
+    "dead_code": {"unreachable": 0.95, "unused_vars": 0.70, "dead_listeners": 0.60, "zombie_css": 0.50, "unused_exports": 0.45, "registry_dead": 0.75},
+    "secrets": {"pattern_match": 0.90, "env_exposed": 0.85, "entropy": 0.65},
+}
+#: Changes: in a test, in a configuration, of a public interface, with lowered severity, after return, after throw.
+CONFIDENCE_CHANGES = {"dead_code": (-0.15, -0.10, -0.20, -0.05, 0.03, -0.03), "secrets": (-0.30, 0.0, 0.0, -0.10, 0.0, 0.0)}
+
+#: Files to read first (fixed values): bonuses of names and folders, what is left out.
+FILE_BONUS = {"main": 25, "app": 22, "index": 20, "server": 18, "cli": 15, "run": 15, "start": 15, "entry": 12, "init": 8, "setup": 6, "config": 5}
+FOLDER_BONUS = {"src": 15, "lib": 12, "app": 12, "cmd": 12, "internal": 10, "server": 10, "api": 8, "core": 8, "main": 6, "pages": 5, "routes": 5, "controllers": 5, "handlers": 5}
+LEFT_OUT_NAMES = ("test_", "_test.", ".test.", ".spec.", "_spec.", "conftest.", "fixtures.", "__tests__", ".generated.", ".gen.", ".min.", ".bundle.")
+LEFT_OUT_FOLDERS = (
+    "test tests __tests__ __specs__ spec specs migrations alembic versions dist build out target node_modules vendor .next .nuxt .output .turbo .cache .git .hg .svn __pycache__ .venv venv env coverage .nyc_output "
+    ".pytest_cache .mypy_cache .ruff_cache"
+).split()
+SOURCE_ENDINGS = "py js jsx mjs cjs ts tsx mts cts go rs java kt kts c h cpp hpp cc cxx cs rb php swift scala dart lua sh vue svelte".split()
 
 
 def _kinds(table: list[tuple[str, str]]) -> Column:
@@ -151,13 +166,22 @@ def frameworks(dependencies: DataFrame) -> DataFrame:
 
 
 def confidence(found: DataFrame) -> DataFrame:
-    """found with confidence: by category, less in tests and for masked or example values, within 0 and 1."""
-    base = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in CONFIDENCE.items() for x in p]), F.col("category")), F.lit(0.5))
-    return found.withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - F.when(is_test_file(F.col("file")), 0.2).otherwise(0.0))), 4))
+    """found (engine, kind, and, where known, in_test, source, downgraded, after) with confidence from 0 to 1, 2 places."""
+    have = lambda c: F.col(c) if c in found.columns else F.lit(None)
+    source, after = have("source").cast("string"), have("after").cast("string")
+    checks = [F.coalesce(have("in_test").cast("boolean"), F.lit(False)) | F.coalesce(source == "test", F.lit(False)), source == "config", source == "library_api", have("downgraded").cast("boolean"), after == "return", after == "throw"]
+    out = F.lit(0.5)
+    for engine, kinds in CONFIDENCE.items():
+        base = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("kind")), F.lit(0.5))
+        for check, change in zip(checks, CONFIDENCE_CHANGES[engine], strict=True):
+            base = base + F.when(F.coalesce(check, F.lit(False)), change).otherwise(0.0)
+        out = F.when(F.col("engine") == engine, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(base, 2)))).otherwise(out)
+    return found.withColumn("confidence", out)
 
 
 def confidence_bands(found: DataFrame) -> DataFrame:
-    band = F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.5, "medium").otherwise("low")
+    """Number of findings in each band: high from 0.85, medium from 0.5, low, and unscored."""
+    band = F.when(F.col("confidence").isNull(), "unscored").when(F.col("confidence") >= 0.85, "high").when(F.col("confidence") >= 0.5, "medium").otherwise("low")
     return found.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -167,8 +191,92 @@ def decide(nodes: DataFrame, name: str) -> DataFrame:
     return g.select(F.when(F.col("n") == 0, "CREATE").when(F.col("active") == 0, "LIST_FIRST").when(F.col("n") > 1, "ASK").otherwise("EXTEND").alias("action"), "n")
 
 
-def start_here(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
-    """Files to read first: many definitions and many references into them; score and ties by name."""
-    into = edges.groupBy(F.col("target_id").alias("node_id")).agg(F.count(F.lit(1)).alias("refs"))
-    g = nodes.where("file IS NOT NULL").join(into, "node_id", "left").groupBy("file").agg(F.count(F.lit(1)).alias("definitions"), F.sum(F.coalesce("refs", F.lit(0))).alias("refs"))
-    return g.withColumn("score", F.col("definitions") + 2 * F.col("refs")).orderBy(F.desc("score"), "file").limit(top)
+def start_here(files: DataFrame, top: int = 8) -> DataFrame:
+    """Source files (path, lines) to read first: path and score, by name, folder, depth and length; ties by path. Tests, generated files and
+    folders of tools are left out."""
+    path = F.lower(F.replace("path", F.lit("\\"), F.lit("/")))
+    parts = F.split(path, "/")
+    name, folders = F.element_at(parts, -1), F.slice(parts, F.lit(1), F.size(parts) - 1)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    left_out = F.arrays_overlap(folders, F.array(*[F.lit(x) for x in LEFT_OUT_FOLDERS])) | ~F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*SOURCE_ENDINGS)
+    for x in LEFT_OUT_NAMES:
+        left_out = left_out | name.contains(x)
+    by_name = F.lit(0)
+    for word, bonus in reversed(FILE_BONUS.items()):
+        by_name = F.when((stem == word) | stem.startswith(f"{word}.") | stem.startswith(f"{word}_"), bonus).otherwise(by_name)
+    bonuses = F.create_map(*[F.lit(x) for p in FOLDER_BONUS.items() for x in p])
+    by_folder = F.aggregate(folders, F.lit(0), lambda acc, x: F.greatest(acc, F.coalesce(F.try_element_at(bonuses, x), F.lit(0))))
+    depth, lines = F.size(parts) - 1, F.col("lines")
+    by_depth = F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in (15, 12, 8, 4)]), depth + 1), F.lit(1))
+    by_length = F.when(lines == 0, 0.0).when(lines < 50, lines / 50 * 20).when(lines <= 500, 20.0).otherwise(F.greatest(F.lit(5.0), 20 - F.least(lines - 500, F.lit(2000)) / 2000 * 15))
+    scored = files.where(~left_out).select("path", F.bround(by_name + by_folder + by_depth + by_length).cast("long").alias("score"))
+    return scored.orderBy(F.desc("score"), "path").limit(top)
+
+
+#: Declared or literal types: what a line says of a name (patterns of fixed values).
+TYPE_HINTS = [
+    (r"^\s*(?:const|let|var)?\s*(\w+)\s*:\s*([A-Za-z_][\w.\[\]<>]*)\s*=", None), (r"^\s*(?:const |let |var )?(\w+)\s*=\s*[\"'`]", "str"), (r"^\s*(?:const |let |var )?(\w+)\s*=\s*-?\d+\s*;?\s*$", "int"),
+    (r"^\s*(?:const |let |var )?(\w+)\s*=\s*-?\d+\.\d+\s*;?\s*$", "float"), (r"^\s*(?:const |let |var )?(\w+)\s*=\s*(?:[Tt]rue|[Ff]alse)\b", "bool"), (r"^\s*(?:const |let |var )?(\w+)\s*=\s*\[", "list"),
+    (r"^\s*(?:const |let |var )?(\w+)\s*=\s*\{", "dict"), (r"^\s*(?:const |let |var )?(\w+)\s*=\s*(?:new\s+)?([A-Z]\w*)\(", None),
+]
+
+
+def types(lines: DataFrame) -> DataFrame:
+    """file, line, name and type of assignments that say it: annotations, literals and constructors; the first pattern that fits."""
+    hit = F.lit(None).cast("struct<name:string,type:string>")
+    for pattern, kind in reversed(TYPE_HINTS):
+        said = F.struct(F.regexp_extract("text", pattern, 1).alias("name"), (F.lit(kind) if kind else F.regexp_extract("text", pattern, 2)).alias("type"))
+        hit = F.when(F.col("text").rlike(pattern), said).otherwise(hit)
+    return lines.select("file", "line", hit.alias("hit")).where("hit IS NOT NULL").select("file", "line", "hit.name", "hit.type")
+
+
+def tags(lines: DataFrame) -> DataFrame:
+    """file, line, tag and value of documentation tags such as ``@FLOW: name`` in comments."""
+    at = r"^\s*(?:#|//|\*|--)\s*@([A-Z][A-Z_]+):\s*(.*\S)"
+    return lines.where(F.col("text").rlike(at)).select("file", "line", F.regexp_extract("text", at, 1).alias("tag"), F.regexp_extract("text", at, 2).alias("value"))
+
+
+def tag_audit(lines: DataFrame, definitions: DataFrame) -> DataFrame:
+    """node_id, name and tagged of each definition: does a tag stand after the definition before it and not below its own line?"""
+    marks = tags(lines).select("file", "line", F.lit(None).cast("string").alias("node_id"), F.lit(0).alias("at"))
+    both = marks.unionByName(definitions.select("file", "line", "node_id", F.lit(1).alias("at")))
+    before = F.lag("node_id").over(Window.partitionBy("file").orderBy("line", "at"))
+    first = F.row_number().over(Window.partitionBy("file").orderBy("line", "at"))
+    seen = both.withColumn("tagged", before.isNull() & (first > 1)).where("node_id IS NOT NULL")
+    return definitions.select("node_id", "name").join(seen.select("node_id", "tagged"), "node_id")
+
+
+def registry_mismatches(registry: DataFrame, files: DataFrame) -> DataFrame:
+    """file and state: ``missing`` from disk though the registry has it, or ``unregistered``."""
+    known, there = registry.where("file IS NOT NULL").select("file").distinct(), files.select("file").distinct()
+    gone = known.join(there, "file", "left_anti").withColumn("state", F.lit("missing"))
+    return gone.unionByName(there.join(known, "file", "left_anti").withColumn("state", F.lit("unregistered")))
+
+
+def heavy_folders(files: DataFrame, top: int = 10) -> DataFrame:
+    """Top folders (the first part of a path) by number of files, as candidates for ignore rules: folder, n; ties by name."""
+    folder = F.element_at(F.split("path", "/"), 1)
+    return files.where(F.col("path").contains("/")).groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "folder").limit(top)
+
+
+def matching_paths(df: DataFrame, column: str = "path", contains: str | None = None, glob: str | None = None, regex: str | None = None, exclude: str | None = None) -> DataFrame:
+    """Rows whose path holds a text, fits a glob or a regular expression, and doesn't fit the glob ``exclude``; what isn't given doesn't count."""
+    path = F.replace(column, F.lit("\\"), F.lit("/"))
+    for test in ([path.contains(contains)] if contains else []) + ([path.rlike(glob_pattern(glob))] if glob else []) + ([path.rlike(regex)] if regex else []) + ([~path.rlike(glob_pattern(exclude))] if exclude else []):
+        df = df.where(test)
+    return df
+
+
+def in_changed_files(found: DataFrame, changed: DataFrame, root: str = "") -> DataFrame:
+    """Findings of changed files (path); those without a file go. Both sides are taken relative to ``root``."""
+    name = (lambda c: relative_path(F.col(c), root)) if root else (lambda c: F.replace(c, F.lit("\\"), F.lit("/")))
+    asked = changed.select(name("path").alias("_path")).distinct()
+    return found.where("file IS NOT NULL").withColumn("_path", name("file")).join(asked, "_path", "left_semi").drop("_path")
+
+
+def prefilter_counts(files: DataFrame, literals: list[str]) -> DataFrame:
+    """seen, passed and skipped files of a prefilter by literals, over (file, content)."""
+    hit = F.lit(False)
+    for x in literals:
+        hit = hit | F.col("content").contains(x)
+    return files.agg(F.count(F.lit(1)).alias("seen"), F.count_if(hit).alias("passed"), F.count_if(~hit).alias("skipped"))

@@ -6,31 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Severity ranks and their weights in the health score (fixed values).
-RANKS = {"critical": 0, "high": 1, "warning": 2, "medium": 2, "info": 3, "low": 3}
-WEIGHTS = {"critical": 3.0, "high": 3.0, "warning": 1.0, "medium": 1.0, "info": 0.1, "low": 0.1}
+#: Severities from the worst on, other names for them, and weights in the health score (fixed values).
+SEVERITIES = ("critical", "high", "medium", "low", "info", "unknown")
+RANKS = {s: k for k, s in enumerate(SEVERITIES)} | {"warning": 2}
+WEIGHTS = {"critical": 3.0, "high": 1.0, "warning": 1.0, "medium": 1.0, "info": 0.1, "low": 0.1}
+#: Health score: density of weighted findings and the score up to it; criticals for each file and the penalty up to it (fixed values).
+HEALTH_BANDS = ((0.5, 95), (2, 85), (5, 70), (10, 55), (20, 40), (50, 25), (100, 20))
+LOWEST_HEALTH = 8
+CRITICAL_BANDS = ((1, 5), (5, 10), (10, 15), (20, 20))
 
 #: Line rules: id, category, severity, pattern, message (fixed values; patterns that Java and RE2 read alike).
 LINE_RULES = [
-    ("secret-token", "secrets", "critical", r"token = \"[0-9a-f]{20,}\"", "a token stands in the text"),
-    ("private-address", "personal", "warning", r"[a-z0-9.]+@[a-z0-9.]+\.[a-z]{2,}", "an e-mail address"),
-    ("phone-number", "personal", "info", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "a telephone number"),
-    ("licence-line", "licence", "info", r"(Licensed|Released|licensed) under", "a licence notice"),
-    ("shouting", "style", "warning", r"[A-Z]{3,}!!", "words in capitals"),
-    ("symbols", "style", "info", r"(\*\*\*|###|%%%|\$\$\$|&&&)", "runs of signs"),
-    ("debug-print", "debug", "warning", r"(console\.log|print)\(", "a debugging call"),
+    ("hex-token", "secrets", "critical", r"(?i)(token|secret|api_?key|passw(or)?d)[\"']?\s*[:=]\s*[\"'][0-9a-z_\-]{16,}[\"']", "a secret stands in the text"),
+    ("cloud-key", "secrets", "critical", r"\bAKIA[0-9A-Z]{16}\b", "an access key of a cloud"),
+    ("private-key", "secrets", "critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "a private key"),
+    ("debug-print", "debug", "warning", r"(console\.(log|debug|trace)|print)\(", "a debugging call"),
     ("debugger", "debug", "high", r"^\s*(debugger;|import pdb|breakpoint\(\))", "a breakpoint"),
     ("todo", "debug", "info", r"\b(TODO|FIXME|HACK|XXX)\b", "an open task"),
     ("skipped-test", "debug", "info", r"(it\.skip|describe\.skip|@pytest\.mark\.skip|\.only\()", "a test that is left out"),
     ("eval", "injection", "critical", r"\b(eval|exec)\(", "code from a string"),
     ("sql-concat", "injection", "high", r"(?i)(select|insert|update|delete) .*[\"'] ?\+", "SQL put together from parts"),
+    ("inner-html", "injection", "high", r"(\.innerHTML\s*=|dangerouslySetInnerHTML|document\.write\()", "markup from a string"),
     ("sync-io", "performance", "warning", r"(readFileSync|writeFileSync|execSync)\(", "input or output that blocks"),
+    ("await-in-loop", "performance", "warning", r"(for|while)\s*\(.*\bawait\b", "waiting within a loop"),
     ("mutable-default", "smell", "warning", r"def \w+\(.*=\s*(\[\]|\{\})", "a mutable default"),
     ("magic-number", "smell", "info", r"[=<>]\s*[0-9]{4,}\b", "a number without a name"),
     ("nested-callback", "smell", "warning", r"(function\s*\(.*){3,}", "callbacks within callbacks"),
     ("nested-quantifier", "regex", "high", r"\([^)]*[+*]\)[+*]", "a pattern that may take exponential time"),
     ("vague-link", "accessibility", "info", r">\s*(click here|here|more|read more)\s*</a>", "a link without a meaning"),
-    ("missing-alt", "accessibility", "warning", r"<img[^>]*src=[^>]*>", "an image; see web.images for its alt text"),
+    ("missing-alt", "accessibility", "warning", r"<img(\s+([b-zB-Z][\w-]*|a[a-km-z][\w-]*|al[a-su-z][\w-]*)(=(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*\s*/?>", "an image without alternative text"),
 ]
 
 
@@ -38,26 +42,59 @@ def rule_table(spark: SparkSession, rules=LINE_RULES) -> DataFrame:
     return spark.createDataFrame(rules, "rule_id string, category string, severity string, pattern string, message string")
 
 
+def _hits(rules, text, asked=None):
+    """Array of the rules that a line's text fits; asked: an array of marks, a rule without one isn't tried."""
+    tests = [F.col(text).rlike(p) if asked is None else F.element_at(asked, k + 1) & F.col(text).rlike(p) for k, (_, _, _, p, _) in enumerate(rules)]
+    return F.array_compact(F.array(*[F.when(t, F.struct(F.lit(i).alias("rule_id"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for t, (i, c, s, _, _) in zip(tests, rules, strict=True)]))
+
+
 def scan(lines: DataFrame, rules=LINE_RULES) -> DataFrame:
     """file, line, rule_id, category, severity of each line and rule that match. The rules are literals in one array, so that lines are
     read once and nothing is joined; only matching lines are exploded."""
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for i, c, s, p, _ in rules]))
-    return lines.select("file", "line", hits.alias("hits")).where(F.size("hits") > 0).select("file", "line", F.inline("hits"))
-
-
-def suppress(found: DataFrame, lines: DataFrame, keyword: str = "nolens") -> DataFrame:
-    """found with suppressed: a comment ``keyword[: rule, ... ]`` on the line, or ``keyword-next`` on the line before, names the rule or
-    names none. Only lines with the keyword take part in the join."""
-    at = rf"{keyword}(-next)?\b(?:\s*:\s*([\w\-]+(?:\s*,\s*[\w\-]+)*))?"
-    marks = lines.where(F.col("text").contains(keyword) & F.col("text").rlike(at)).select("file", (F.col("line") + F.when(F.regexp_extract("text", at, 1) == "-next", 1).otherwise(0)).alias("line"), F.filter(F.split(F.regexp_extract("text", at, 2), r"\s*,\s*"), lambda r: r != "").alias("_rules"))
-    marks = marks.groupBy("file", "line").agg(F.flatten(F.collect_list("_rules")).alias("_rules"), F.min(F.size("_rules")).alias("_least"))
+    return lines.select("file", "line", _hits(rules, "text").alias("hits")).where(F.size("hits") > 0).select("file", "line", F.inline("hits"))
+
+
+def scan_files(files: DataFrame, rules=LINE_RULES) -> DataFrame:
+    """``scan`` over files (file, content). A rule is tried on the lines of those files only whose whole text has the rule's longest literal,
+    or, where it has none, fits the rule; files without any such rule aren't cut into lines."""
+    from weftline.operators.search import prefilter
+
+    asked = []
+    for _, _, _, p, _ in rules:
+        literal = "" if "(?i)" in p else prefilter([p])
+        asked.append(F.col("content").contains(literal) if literal else F.col("content").rlike(f"(?m){p}"))
+    marked = files.select("file", "content", F.array(*asked).alias("asked")).where(F.array_contains("asked", True))
+    lines = marked.select("file", "asked", F.posexplode(F.split("content", "\n")).alias("at", "text"))
+    hits = lines.select("file", (F.col("at") + 1).cast("long").alias("line"), _hits(rules, "text", F.col("asked")).alias("hits"))
+    return hits.where(F.size("hits") > 0).select("file", "line", F.inline("hits"))
+
+
+def run_rule_tests(spark: SparkSession, cases: list[tuple[str, str, bool]], rules=LINE_RULES) -> DataFrame:
+    """rule_id, text, expected, found and passed of each case (rule, line of text, whether the rule must find it)."""
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "line int, want string, text string, expected boolean").withColumn("file", F.lit("case"))
+    found = scan(rows, rules).select("line", F.col("rule_id").alias("want"), F.lit(True).alias("found"))
+    out = rows.join(found, ["line", "want"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return out.select(F.col("want").alias("rule_id"), "text", "expected", "found", (F.col("expected") == F.col("found")).alias("passed"))
+
+
+def suppress(found: DataFrame, lines: DataFrame, keywords: tuple[str, ...] = ("ignore-finding",)) -> DataFrame:
+    """found with suppressed and reason: a comment ``keyword[: rule, ...] [-- reason]`` on the line, or ``keyword-next`` on the line before,
+    names the rule or names none. Only lines with a keyword take part in the join."""
+    at = rf"(?:{'|'.join(keywords)})(-next)?\b(?:\s*:\s*([\w\-.]+(?:\s*,\s*[\w\-.]+)*))?(?:\s+--\s*(.*\S))?"
+    has = F.lit(False)
+    for k in keywords:
+        has = has | F.col("text").contains(k)
+    part = lambda k: F.regexp_extract("text", at, k)
+    marks = lines.where(has & F.col("text").rlike(at)).select("file", (F.col("line") + F.when(part(1) == "-next", 1).otherwise(0)).alias("line"), F.filter(F.split(part(2), r"\s*,\s*"), lambda r: r != "").alias("_rules"), F.nullif(part(3), F.lit("")).alias("_reason"))
+    marks = marks.groupBy("file", "line").agg(F.flatten(F.collect_list("_rules")).alias("_rules"), F.min(F.size("_rules")).alias("_least"), F.min("_reason").alias("_reason"))
     hit = F.coalesce((F.col("_least") == 0) | F.array_contains("_rules", F.col("rule_id")), F.lit(False))
-    return found.join(marks, ["file", "line"], "left").withColumn("suppressed", hit).drop("_rules", "_least")
+    return found.join(marks, ["file", "line"], "left").withColumn("suppressed", hit).withColumn("reason", F.when(F.col("suppressed"), F.col("_reason"))).drop("_rules", "_least", "_reason")
 
 
 def severity_rank(column: str = "severity"):
+    """0 for critical to 5; what isn't a severity ranks below info."""
     ranks = F.create_map(*[F.lit(x) for p in RANKS.items() for x in p])
-    return F.coalesce(F.try_element_at(ranks, F.lower(column)), F.lit(3))
+    return F.coalesce(F.try_element_at(ranks, F.lower(column)), F.lit(RANKS["unknown"]))
 
 
 def gate(found: DataFrame, threshold: str = "high", max_findings: int | None = None) -> DataFrame:
@@ -73,15 +110,40 @@ def rollup(found: DataFrame) -> DataFrame:
     return found.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
 
 
-def health(found: DataFrame, files: DataFrame) -> DataFrame:
-    """score from 0 to 100 by severity-weighted density of findings for each file, with a cap where anything is critical."""
+def health(found: DataFrame, n_files: DataFrame) -> DataFrame:
+    """files, critical, density and score from 0 to 100. n_files: one row, column files.
+
+    The density of severity-weighted findings for each file gives a score; criticals take off a penalty by their number for each file, at
+    least 5; their share of all findings adds 5 below a tenth and takes 5 from three tenths on.
+    """
     weights = F.create_map(*[F.lit(x) for p in WEIGHTS.items() for x in p])
-    f = found.agg(F.coalesce(F.sum(F.coalesce(F.try_element_at(weights, F.col("severity")), F.lit(0.1))), F.lit(0.0)).alias("weight"), F.count_if(F.col("severity") == "critical").alias("critical"))
-    n = files.select("file").distinct().agg(F.count(F.lit(1)).alias("files"))
-    both = f.crossJoin(F.broadcast(n)).withColumn("density", F.when(F.col("files") == 0, 0.0).otherwise(F.col("weight") / F.col("files")))
-    base = F.when(F.col("density") <= 0.1, 100.0).when(F.col("density") <= 0.5, 90.0).when(F.col("density") <= 1, 75.0).when(F.col("density") <= 3, 55.0).otherwise(35.0)
-    penalty = F.least(F.lit(20.0), F.col("critical") * F.lit(2.0))
-    return both.select("files", "critical", F.round("density", 4).alias("density"), F.greatest(F.lit(0.0), base - penalty).alias("score"))
+    f = found.agg(F.coalesce(F.sum(F.coalesce(F.try_element_at(weights, F.col("severity")), F.lit(0.1))), F.lit(0.0)).alias("weight"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count(F.lit(1)).alias("n"))
+    both = f.crossJoin(F.broadcast(n_files)).withColumn("_files", F.greatest("files", F.lit(1))).withColumn("density", F.col("weight") / F.col("_files"))
+    base, per_file = F.lit(LOWEST_HEALTH), F.col("critical") / F.col("_files")
+    for bound, score in reversed(HEALTH_BANDS):
+        base = F.when(F.col("density") <= bound, score).otherwise(base)
+    penalty = F.least(F.lit(35), F.floor(per_file * 0.5))
+    for bound, points in reversed(CRITICAL_BANDS):
+        penalty = F.when(per_file <= bound, points).otherwise(penalty)
+    penalty = F.when(F.col("critical") == 0, 0).otherwise(F.greatest(F.lit(5), penalty))
+    ratio = F.col("critical") / F.greatest("n", F.lit(1))
+    bonus = F.when(ratio < 0.1, 5).when(ratio < 0.3, 0).otherwise(-5)
+    return both.select("files", "critical", F.round("density", 4).alias("density"), F.greatest(F.lit(0), F.least(F.lit(100), base - penalty + bonus)).cast("long").alias("score"))
+
+
+def overall_risk(found: DataFrame, by: str | None = None) -> DataFrame:
+    """risk: the worst severity there is, 'none' without findings; for each value of ``by``, if given."""
+    ranks = F.array(*[F.lit(s) for s in SEVERITIES])
+    risk = F.coalesce(F.try_element_at(ranks, F.min(severity_rank()) + 1), F.lit("none")).alias("risk")
+    return found.groupBy(by).agg(risk) if by else found.agg(risk)
+
+
+def deduplicated(found: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row by ``order`` of each combination of keys. The best row is kept while rows are gathered, so that no key's rows are
+    sorted in one task."""
+    cols = found.columns
+    best = F.min_by(F.struct(*cols), F.struct(*order)).alias("row")
+    return found.groupBy(*keys).agg(best).select("row.*")
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:
@@ -109,6 +171,28 @@ def ownership(blame: DataFrame) -> DataFrame:
     return per.join(F.broadcast(total)).select("author", "lines", F.round(100.0 * F.col("lines") / F.col("total"), 2).alias("share"), "first", "last")
 
 
+def primary_owner(blame: DataFrame) -> DataFrame:
+    """file, owner (most lines; ties by name) and share of its lines in percent."""
+    per = blame.groupBy("file", "author").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max(F.struct("n", F.negative(F.ascii("author")).alias("_a"))).alias("best")
+    top = per.groupBy("file").agg(best, F.sum("n").alias("total"))
+    owner = per.join(top, "file").where(F.col("n") == F.col("best.n")).groupBy("file").agg(F.min("author").alias("owner"), F.round(100.0 * F.first("n") / F.first("total"), 2).alias("share"))
+    return owner.select("file", "owner", "share")
+
+
+def stale_lines(blame: DataFrame, today: str, months: int = 6) -> DataFrame:
+    """Lines last changed more than ``months`` times 30 days before today, with their age in days."""
+    age = F.datediff(F.lit(today).cast("date"), F.col("date"))
+    return blame.withColumn("age_days", age).where(F.col("age_days") > months * 30)
+
+
+def ages(blame: DataFrame, today: str) -> DataFrame:
+    """mean, upper median, least and greatest age in days of all lines, and how many are fresh (to 60 days), aging (to 180) and stale."""
+    aged = blame.select(F.datediff(F.lit(today).cast("date"), F.col("date")).alias("age")).where("age IS NOT NULL")
+    counted = aged.agg(F.round(F.avg("age"), 2).alias("mean"), F.min("age").alias("least"), F.max("age").alias("greatest"), F.count_if(F.col("age") <= 60).alias("fresh"), F.count_if((F.col("age") > 60) & (F.col("age") <= 180)).alias("aging"), F.count_if(F.col("age") > 180).alias("stale"))
+    return counted.crossJoin(F.broadcast(upper_median(aged, "age")))
+
+
 def author_chunks(blame: DataFrame, size: int = 10) -> DataFrame:
     """Stretches of ``size`` lines with three or more authors: file, chunk, authors, level (high from five on)."""
     per = blame.groupBy("file", F.floor((F.col("line") - 1) / size).alias("chunk")).agg(F.count_distinct("author").alias("authors"))
@@ -116,10 +200,18 @@ def author_chunks(blame: DataFrame, size: int = 10) -> DataFrame:
 
 
 def upper_median(values: DataFrame, column: str) -> DataFrame:
-    """The middle value, of an even number the upper one, by counts of distinct values instead of a gathered list."""
-    counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    running = counts.select(column, "n", F.sum("n").over(Window.orderBy(column)).alias("upto"), F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
-    return running.where("upto > floor(total / 2)").agg(F.min(column).alias("median"))
+    """The middle value, of an even number the upper one: median. Values are range-partitioned; the counts of partitions, one row each,
+    say which one holds it and at what place, and only that partition's values are numbered."""
+    from weftline.operators.graph import saved
+
+    ordered = saved(values.where(F.col(column).isNotNull()).select(F.col(column).alias("median")).repartitionByRange("median").select("median", F.spark_partition_id().alias("_part")))
+    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_part", "n", F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    place = F.floor(F.col("total") / 2) - F.coalesce("before", F.lit(0))
+    asked = before.where((place >= 0) & (place < F.col("n"))).select("_part", (place + 1).alias("place"))
+    inside = ordered.join(F.broadcast(asked), "_part").groupBy("_part", "place", "median").agg(F.count(F.lit(1)).alias("n"))
+    upto = inside.select("median", "place", F.sum("n").over(Window.partitionBy("_part").orderBy("median")).alias("upto"))
+    return upto.where("upto >= place").agg(F.min("median").alias("median"))
 
 
 def convention(names: DataFrame, group: str, name: str = "name") -> DataFrame:

@@ -7,21 +7,45 @@ come in no particular order, and where several parents lead to a node the least
 
 from __future__ import annotations
 
+import re
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Names of the standard library that call resolution leaves out (fixed values).
-STANDARD_NAMES = ("print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "open", "map", "filter", "console.log", "require", "setTimeout", "parseInt", "parseFloat", "println", "format")
+#: Names of standard libraries that call resolution doesn't count as unresolved (fixed values), by language.
+RUST_NAMES = frozenset(
+    "to_owned to_string into from clone copy default as_ref as_mut borrow borrow_mut deref deref_mut into_iter iter iter_mut next size_hint map filter filter_map flat_map flatten collect fold for_each inspect enumerate "
+    "zip unzip chain take skip take_while skip_while find find_map position any all count sum product min max min_by max_by rev peekable partition fuse expect unwrap unwrap_or unwrap_or_else unwrap_or_default ok err "
+    "is_ok is_err ok_or ok_or_else is_some is_none some none push pop len is_empty clear extend append insert remove contains get get_mut entry capacity reserve shrink_to_fit truncate resize sort sort_by sort_unstable "
+    "sort_unstable_by reverse swap split_at join concat repeat trim trim_start trim_end split split_whitespace lines chars bytes parse format format! print println eprint eprintln debug_assert assert panic todo "
+    "unimplemented unreachable hash eq ne cmp partial_cmp clone_from drop new with_capacity spawn block_on read write close seek flush open create to_vec to_slice as_slice as_str box rc arc cell refcell".split()
+)
+PYTHON_NAMES = frozenset(
+    "len range print type str int float list dict set tuple bool isinstance issubclass hasattr getattr setattr delattr callable enumerate zip map filter sorted reversed any all sum min max abs round pow open input format "
+    "repr id hash dir super property staticmethod classmethod".split()
+)
+SCRIPT_NAMES = frozenset(
+    "toString valueOf hasOwnProperty isPrototypeOf toLocaleString constructor prototype push pop shift unshift splice slice forEach map filter reduce find findIndex some every includes indexOf lastIndexOf join concat "
+    "reverse sort flat flatMap keys values entries length charAt substring toUpperCase toLowerCase trim split replace match search test exec parse stringify assign freeze then catch finally resolve reject all race JSON "
+    "Math Date RegExp Error Promise add delete has get set clear setTimeout setInterval clearTimeout clearInterval execSync execFileSync spawn fork addEventListener removeEventListener dispatchEvent allSettled any isArray "
+    "from of create defineProperty getOwnPropertyNames fetch Request Response Headers require define pipe subscribe observe".split()
+)
+STANDARD_NAMES = tuple(sorted(RUST_NAMES | PYTHON_NAMES | SCRIPT_NAMES))
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; /tmp/checkpoints only where none is set."""
-    context = df.sparkSession.sparkContext
+    """A reliable checkpoint in the folder that the session shares (spark.checkpoint.dir); only a local session, all of it in one process,
+    may leave that unset."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/weftline-shared")
     return df.checkpoint(eager=True)
 
 
@@ -34,11 +58,18 @@ def lookup(nodes: DataFrame, name: str) -> DataFrame:
     return found.join(F.broadcast(first), F.col("tier") == F.col("first")).drop("first")
 
 
-def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 5, direction: str = "callees") -> DataFrame:
-    """Nodes within max_depth of any start, once each: start, node_id, depth, parent. starts: node_id. Self edges are skipped; the start
-    isn't listed. callees follows edges, callers goes against them."""
+def _hops(edges: DataFrame, direction: str, max_depth: int) -> DataFrame:
+    """near and far ends of edges. A walk of a few levels reads the edges where they are; a longer one writes them out once."""
     near, far = ("source_id", "target_id") if direction == "callees" else ("target_id", "source_id")
-    hops = saved(edges.where("source_id != target_id").select(F.col(near).alias("near"), F.col(far).alias("far")).distinct())
+    hops = edges.where("source_id != target_id").select(F.col(near).alias("near"), F.col(far).alias("far"))
+    return saved(hops.distinct()) if max_depth > 3 else hops
+
+
+def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 5, direction: str = "callees", unresolved: bool = False) -> DataFrame:
+    """Nodes within max_depth of any start, once each: start, node_id, depth, parent. starts: node_id. Self edges are skipped; the start
+    isn't listed. callees follows edges, callers goes against them. unresolved: edges without a target give rows with a null node_id and
+    the called name (to_fn, if edges have it) of each node that is reached before max_depth."""
+    hops = _hops(edges, direction, max_depth)
     frontier = starts.select(F.col("node_id").alias("start"), "node_id").distinct()
     seen = saved(frontier.select("start", "node_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
     frontier = seen
@@ -48,7 +79,28 @@ def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 5, direction:
         if frontier.isEmpty():
             break
         seen = saved(seen.unionByName(frontier)) if depth % 4 == 0 else seen.unionByName(frontier)
-    return seen.where("depth > 0")
+    found = seen.where("depth > 0")
+    if not unresolved:
+        return found
+    name = F.col("to_fn") if "to_fn" in edges.columns else F.lit(None).cast("string")
+    loose = edges.where("target_id IS NULL").select(F.col("source_id").alias("node_id"), name.alias("to_fn")).distinct()
+    open_calls = seen.where(F.col("depth") < max_depth).join(loose, "node_id").select("start", F.lit(None).cast("string").alias("node_id"), (F.col("depth") + 1).alias("depth"), F.col("node_id").alias("parent"), "to_fn")
+    return found.withColumn("to_fn", F.lit(None).cast("string")).unionByName(open_calls)
+
+
+def nearest(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, direction: str = "callees") -> DataFrame:
+    """node_id and depth, the least number of edges from any start; starts at 0. One row for each node, however many starts there are."""
+    hops = _hops(edges, direction, max_depth or 1 << 30)
+    seen = frontier = saved(starts.select("node_id").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        step = frontier.select(F.col("node_id").alias("near")).join(hops, "near").select(F.col("far").alias("node_id")).distinct()
+        frontier = saved(step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        seen = saved(seen.unionByName(frontier)) if depth % 4 == 0 else seen.unionByName(frontier)
+    return seen
 
 
 def trace(edges: DataFrame, starts: DataFrame, max_depth: int = 5, direction: str = "callees", most: int | None = 500) -> DataFrame:
@@ -102,29 +154,76 @@ def closure(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
     return paths
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """Simple cycles of up to ``longest`` nodes, each once: length and cycle, the nodes from the least one on, joined by ' -> '.
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges (source_id, target_id), self edges aside, whose ends have both a way in and a way out among them: all that cycles can use."""
+    hops = saved(edges.where("target_id IS NOT NULL AND source_id != target_id").select("source_id", "target_id").distinct())
+    size = -1
+    while (now := hops.count()) != size:
+        size = now
+        ins, outs = hops.select(F.col("target_id").alias("source_id")).distinct(), hops.select(F.col("source_id").alias("target_id")).distinct()
+        hops = saved(hops.join(ins, "source_id", "left_semi").join(outs, "target_id", "left_semi").select("source_id", "target_id"))
+    return hops
+
+
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """Simple cycles, each once: length and cycle, the nodes from the least one on, joined by ' -> '. longest: a bound in nodes, if wanted;
+    there may be exponentially many cycles, for which ``cyclic_groups`` gives one row a node.
 
     A path starts at its least node and grows only through greater ones, so that a cycle is found at one place; self edges are cycles
-    of length 1. Nodes that no cycle can hold (no way in or out) are trimmed first.
+    of length 1. Nodes that no cycle can hold are trimmed first.
     """
-    hops = edges.select("source_id", "target_id").where("target_id IS NOT NULL").distinct()
-    loops = hops.where("source_id = target_id").select(F.lit(1).alias("length"), F.col("source_id").alias("cycle"))
-    hops = hops.where("source_id != target_id")
-    for _ in range(3):
-        hops = hops.join(hops.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi").join(hops.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi")
-    hops = saved(hops.select("source_id", "target_id"))
+    hops = cyclic_core(edges)
+    out = edges.where("source_id = target_id").select(F.lit(1).alias("length"), F.col("source_id").alias("cycle")).distinct()
     paths = hops.where("source_id < target_id").select(F.array("source_id", "target_id").alias("path"), F.col("target_id").alias("end"))
-    out = loops
-    for length in range(2, longest + 1):
+    length = 2
+    while longest is None or length <= longest:
         closing = paths.join(hops, (F.col("end") == F.col("source_id")) & (F.col("target_id") == F.col("path")[0]))
         out = out.unionByName(closing.select(F.lit(length).alias("length"), F.array_join("path", " -> ").alias("cycle")))
-        if length < longest:
-            grown = paths.join(hops, F.col("end") == F.col("source_id")).where((F.col("target_id") > F.col("path")[0]) & ~F.array_contains("path", F.col("target_id")))
-            paths = grown.select(F.concat("path", F.array("target_id")).alias("path"), F.col("target_id").alias("end"))
+        grown = paths.join(hops, F.col("end") == F.col("source_id")).where((F.col("target_id") > F.col("path")[0]) & ~F.array_contains("path", F.col("target_id")))
+        paths = saved(grown.select(F.concat("path", F.array("target_id")).alias("path"), F.col("target_id").alias("end")))
+        length += 1
+        if paths.isEmpty():
+            break
     return out
 
 
+def cyclic_groups(edges: DataFrame) -> DataFrame:
+    """node_id and group (its least node) of each node on a cycle of two or more: strongly connected components. Rounds colour every node
+    with the least one that reaches it, then gather what reaches a colour's own node within the colour."""
+    hops, out = cyclic_core(edges), None
+    while not hops.isEmpty():
+        names = hops.select(F.col("source_id").alias("node_id")).unionByName(hops.select(F.col("target_id").alias("node_id"))).distinct()
+        colour = saved(names.withColumn("colour", F.col("node_id")))
+        while True:
+            came = hops.join(colour.withColumnRenamed("node_id", "source_id"), "source_id").groupBy(F.col("target_id").alias("node_id")).agg(F.min("colour").alias("came"))
+            step = saved(colour.join(came, "node_id", "left").select("node_id", F.least("colour", "came").alias("colour"), (F.col("came") < F.col("colour")).alias("moved")))
+            colour = step.drop("moved")
+            if step.where("moved").isEmpty():
+                break
+        named = hops.join(colour.select(F.col("node_id").alias("source_id"), F.col("colour").alias("c")), "source_id").join(colour.select(F.col("node_id").alias("target_id"), F.col("colour").alias("d")), "target_id")
+        inner = saved(named.where("c = d").select("source_id", "target_id"))
+        roots = colour.where("node_id = colour").select("node_id")
+        back = traverse(inner, roots, 1 << 30, "callers").select("node_id", F.col("start").alias("group"))
+        found = saved(back.unionByName(back.select(F.col("group").alias("node_id"), "group").distinct()))
+        out = found if out is None else saved(out.unionByName(found))
+        done = found.select("node_id").unionByName(roots).distinct()
+        rest = inner.join(done.withColumnRenamed("node_id", "source_id"), "source_id", "left_anti").join(done.withColumnRenamed("node_id", "target_id"), "target_id", "left_anti")
+        hops = cyclic_core(rest)
+    return edges.sparkSession.createDataFrame([], "node_id string, group string") if out is None else out
+
+
+def module_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between files, each once: source_id and target_id are files."""
+    at = nodes.where("file IS NOT NULL").select("node_id", "file")
+    named = edges.join(at.select(F.col("node_id").alias("source_id"), F.col("file").alias("f")), "source_id").join(at.select(F.col("node_id").alias("target_id"), F.col("file").alias("g")), "target_id")
+    return named.where("f != g").select(F.col("f").alias("source_id"), F.col("g").alias("target_id")).distinct()
+
+
+def without_cycles_of(found: DataFrame, others: DataFrame) -> DataFrame:
+    """Cycles that are not also among ``others``, by their nodes from the least one on."""
+    return found.join(others.select("cycle").distinct(), "cycle", "left_anti")
+
+
 def mutual_pairs(edges: DataFrame) -> DataFrame:
     """Pairs of nodes with edges both ways: a < b."""
     e = edges.select("source_id", "target_id").distinct()
@@ -190,31 +289,42 @@ def impact(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 3, actio
 
 def affected_files(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Files that depend on changed files through edges between files, with the least depth; the changed ones at 0. max_depth None: no bound."""
-    at = nodes.where("file IS NOT NULL").select("node_id", "file")
-    between = edges.join(at.select(F.col("node_id").alias("source_id"), F.col("file").alias("f")), "source_id").join(at.select(F.col("node_id").alias("target_id"), F.col("file").alias("g")), "target_id").where("f != g").select(F.col("f").alias("source_id"), F.col("g").alias("target_id")).distinct()
-    found = traverse(between, changed.select(F.col("file").alias("node_id")), 1_000 if max_depth is None else max_depth, "callers")
-    start = changed.select("file", F.lit(0).alias("depth")).distinct()
-    return start.unionByName(found.select(F.col("node_id").alias("file"), "depth")).groupBy("file").agg(F.min("depth").alias("depth"))
+    return nearest(module_edges(nodes, edges), changed.select(F.col("file").alias("node_id")), max_depth, "callers").select(F.col("node_id").alias("file"), "depth")
+
+
+def tree(rows: list) -> list[dict]:
+    """Nested {node_id, depth, children} of the rows of a trace (as ``trace`` bounds and orders them), by their paths."""
+    made: dict[str, dict] = {}
+    tops = []
+    for r in sorted(rows, key=lambda r: (r["depth"], r["path"])):
+        made[r["path"]] = node = {"node_id": r["node_id"], "depth": r["depth"], "children": []}
+        above = made.get(r["path"].rpartition(" -> ")[0])
+        (tops if above is None else above["children"]).append(node)
+    return tops
 
 
 def resolve_calls(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     """Match raw calls (call_id, file, to_fn) with nodes by name. Candidates: the name itself, its other case (snake or camel), the part
-    after the last dot; a better kind wins, then the caller's own file, then least file and line. Calls without a candidate stay, with a
-    null target and confidence 0.5; calls of standard names are left out."""
+    after the last dot; a better kind wins, then the caller's own file, then least file and line. status is resolved, std_lib (no candidate, and
+    the name of a standard library) or unresolved; the latter two have a null target and confidence 0.5."""
     from weftline.functions.text import alternate_case
 
-    raw = calls.where(~F.col("to_fn").isin(*STANDARD_NAMES))
+    raw = calls
     wanted = raw.select("call_id", F.col("file").alias("from_file"), "to_fn", F.explode(F.array_distinct(F.array(F.struct(F.lit(1).alias("rank"), F.col("to_fn").alias("name")), F.struct(F.lit(2).alias("rank"), alternate_case(F.col("to_fn")).alias("name")), F.struct(F.lit(3).alias("rank"), F.element_at(F.split("to_fn", r"\."), -1).alias("name"))))).alias("c"))
     wanted = wanted.select("call_id", "from_file", "to_fn", "c.rank", "c.name")
     found = wanted.join(nodes.select("name", "node_id", "file", "line"), "name")
     best = found.groupBy("call_id").agg(F.min(F.struct("rank", (~F.coalesce(F.col("file") == F.col("from_file"), F.lit(False))).alias("elsewhere"), "file", "line", "node_id")).alias("b"))
-    return raw.join(best, "call_id", "left").select("call_id", "file", "to_fn", F.col("b.node_id").alias("target_id"), F.when(F.col("b").isNull(), 0.5).otherwise(1.0).alias("confidence"))
+    return raw.join(best, "call_id", "left").select("call_id", "file", "to_fn", F.col("b.node_id").alias("target_id"), F.when(F.col("b").isNull(), 0.5).otherwise(1.0).alias("confidence"), F.when(F.col("b").isNotNull(), "resolved").when(F.col("to_fn").isin(*STANDARD_NAMES), "std_lib").otherwise("unresolved").alias("status"))
+
+
+#: Names that frameworks ask for, which may stand several times in a file (fixed values).
+CONVENTION_NAMES = ("Page", "Layout", "Loading", "Error", "NotFound", "Template", "Default", "handler", "GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS", "middleware")
 
 
 def duplicate_definitions(nodes: DataFrame) -> DataFrame:
-    """Nodes beyond the first of their name in a file, by line then id: node_id, nth."""
+    """Nodes beyond the first of their name in a file, by line then id: node_id, nth. CONVENTION_NAMES don't count."""
     nth = F.row_number().over(Window.partitionBy("file", "name").orderBy("line", "node_id"))
-    return nodes.withColumn("nth", nth).where("nth > 1").select("node_id", "nth")
+    return nodes.where(~F.col("name").isin(*CONVENTION_NAMES)).withColumn("nth", nth).where("nth > 1").select("node_id", "nth")
 
 
 def last_definitions(nodes: DataFrame, order: str = "ordinal") -> DataFrame:

@@ -13,9 +13,8 @@ from weftline.functions.text import tokens
 
 def regex_lines(lines: DataFrame, pattern: str, ignore_case: bool = False, whole_word: bool = False, max_results: int | None = None) -> DataFrame:
     """Lines (file, line, text) that match, with the place of the first match (col, from 1). max_results: by file and line."""
-    p = rf"\b{pattern}\b" if whole_word else pattern
-    p = f"(?i){p}" if ignore_case else p
-    found = lines.where(F.col("text").rlike(p)).withColumn("col", F.instr("text", F.regexp_extract("text", p, 0)))
+    p, flag = rf"\b(?:{pattern})\b" if whole_word else f"(?:{pattern})", "(?i)" if ignore_case else ""
+    found = lines.where(F.col("text").rlike(flag + p)).withColumn("col", F.length(F.regexp_extract("text", f"{flag}^(.*?){p}", 1)) + 1)
     return found if max_results is None else found.orderBy("file", "line").limit(max_results)
 
 
@@ -40,29 +39,32 @@ def symbols(nodes: DataFrame, name: str, top: int = 20, fuzzy: int | None = None
     return nodes.where(close).orderBy(*order).limit(top)
 
 
-def weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """TF-IDF weights (key, term, w) and the norm of each document: tf = count / tokens, idf = ln((N + 1) / (df + 1)) + 1."""
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, DataFrame]:
+    """What searches need, written out once: weights (key, term, w), norms (key, norm), terms (term, idf) and n. Build it once for many
+    searches: a search then reads the query's terms only."""
+    from weftline.operators.graph import saved
+
     terms = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("total"), F.explode("t").alias("term"))
-    tf = terms.groupBy(key, "total", "term").agg((F.count(F.lit(1)) / F.first("total")).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = saved(terms.groupBy(key, "total", "term").agg((F.count(F.lit(1)) / F.first("total")).alias("tf")))
     n = docs.select(F.count(F.lit(1)).alias("n"))
-    return tf.join(df, "term").join(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
+    idf = saved(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")))
+    weights = saved(tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w")))
+    norms = saved(weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+    return {"weights": weights, "norms": norms, "terms": idf}
 
 
-def tfidf(docs: DataFrame, query: str, top: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents nearest to the query by cosine: key, score (4 places); ties by key; no zero scores. Only the query's terms and the
-    documents that have one are weighted against each other; norms need all terms of those documents."""
-    w = weights(docs, key, text)
-    spark = docs.sparkSession
+def tfidf(index: dict[str, DataFrame], query: str, top: int = 10, key: str = "doc_id") -> DataFrame:
+    """Documents of an index nearest to the query by cosine: key, score (4 places, rounded after ranking); ties by key; no zero scores.
+    Only rows of the query's terms and the norms of the documents that have one are read; the query's terms are broadcast."""
+    spark = index["terms"].sparkSession
     asked = spark.createDataFrame([(query,)], "q string").select(tokens(F.col("q")).alias("t")).select(F.size("t").alias("total"), F.explode("t").alias("term"))
     q = asked.groupBy("term").agg((F.count(F.lit(1)) / F.first("total")).alias("qtf"))
-    n = docs.select(F.count(F.lit(1)).alias("n"))
-    df = w.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qw = q.join(df, "term").join(F.broadcast(n)).select("term", (F.col("qtf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("qw"))
+    qw = index["terms"].join(F.broadcast(q), "term").select("term", (F.col("qtf") * F.col("idf")).alias("qw"))
     qnorm = qw.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    scored = w.join(F.broadcast(qw), "term", "left").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = index["weights"].join(F.broadcast(qw), "term").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     score = F.least(F.lit(1.0), F.col("dot") / (F.col("norm") * F.col("qn")))
-    return scored.where("dot > 0").join(F.broadcast(qnorm)).select(key, F.round(score, 4).alias("score"), score.alias("_s")).orderBy(F.desc("_s"), key).limit(top).drop("_s")
+    ranked = dots.join(index["norms"], key).join(F.broadcast(qnorm)).select(key, score.alias("_s")).where("_s > 0").orderBy(F.desc("_s"), key).limit(top)
+    return ranked.select(key, F.round("_s", 4).alias("score"))
 
 
 def cosine_top(vectors: DataFrame, query_id: int, top: int = 10) -> DataFrame:
@@ -70,7 +72,7 @@ def cosine_top(vectors: DataFrame, query_id: int, top: int = 10) -> DataFrame:
     q = vectors.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     score = dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q"))
-    return vectors.where(F.col("vec_id") != query_id).join(F.broadcast(q)).select("vec_id", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "vec_id").limit(top)
+    return vectors.where(F.col("vec_id") != query_id).join(F.broadcast(q)).select("vec_id", score.alias("_s")).orderBy(F.desc("_s"), "vec_id").limit(top).select("vec_id", F.round("_s", 4).alias("score"))
 
 
 def comment_runs(lines: DataFrame, least: int = 3) -> DataFrame:
