@@ -2,19 +2,21 @@
 
 Candidates. A window is a 200-byte string of a text. Its anchor is its least SEED-byte substring by hash, the first of equals: a function
 of the window's bytes alone, so that equal windows have equal anchors at equal places. Successive windows of a text that share their
-anchor form a run, about 70 windows. What moves is a row for each run: hash of the anchor, hash of the run's whole bytes, place.
+anchor form a run, about 70 windows. What moves is a row for each run: hash of the anchor, 128 bits of hash of the run's whole bytes, place.
+Runs of the same hash are one string with a multiplicity, as copies of a text are in other operators.
 
 - An anchor found once: its windows are found nowhere else.
-- All runs of an anchor are alike: all their windows are repeated.
-- An anchor stands in unlike runs: a run with an equal one is repeated as a whole. One of each kind of run goes to the suffix sort, which
-  finds out which windows of the single ones are repeated too.
+- All runs of an anchor are one string, found several times: there is nothing to order, and all its windows are repeated.
+- An anchor stands in different strings: one of each goes to the suffix sort. Windows of strings found several times are repeated; the sort
+  finds out which windows of the others are.
 
 Suffix sort. Windows are sorted within their anchor by deep-shallow sorting: multikey quicksort on 8-byte words to SHALLOW bytes, all groups
 in one vectorised pass for each word, then blind tries order what still agrees. Windows next to each other that agree in 200 bytes are
 repeated.
 
 Strings are compared as UTF-8 bytes and never cross texts; a null text is empty; texts under 200 bytes are left as they are. Repeated rows
-are texts of their own, so that both lose what they share. Spans are gathered by document, whose length bounds them.
+are texts of their own, so that both lose what they share; their spans are the same and are gathered once. Spans are gathered by document,
+whose length bounds them.
 """
 
 from __future__ import annotations
@@ -44,8 +46,9 @@ def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def seed_hashes(buf: np.ndarray) -> np.ndarray:
-    """64-bit hash of each SEED-byte substring; where two different ones share it, the sort tells them apart."""
+def seed_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of each SEED-byte substring, and the running sums and inverse powers that it comes from. Where two different substrings
+    share a hash, the sort tells them apart."""
     state = textscan.process_state()
     if len(state.get("seed_powers", ((),))[0]) <= len(buf):
         both = []
@@ -61,15 +64,16 @@ def seed_hashes(buf: np.ndarray) -> np.ndarray:
     h = (p[SEED:] - p[:-SEED]) * inverse[: len(p) - SEED]
     h ^= h >> U(32)
     h *= U(0xD6E8FEB86659FD93)
-    return h ^ (h >> U(29))
+    return h ^ (h >> U(29)), p, inverse
 
 
 def runs(buf: np.ndarray, offs: np.ndarray):
-    """Runs of a chunk of texts: (text, start within it, number of windows, anchor's offset in the run, anchor's hash, run's hash)."""
+    """Runs of a chunk of texts: (text, start within it, number of windows, anchor's offset in the run, anchor's hash, run's two hashes)."""
     empty = np.zeros(0, np.int64)
+    none = empty, empty, empty, empty, empty.astype(U), empty.astype(U), empty.astype(U)
     if len(buf) < WINDOW:
-        return empty, empty, empty, empty, empty.astype(U), empty.astype(U)
-    p, h = textscan.prefix_hashes(buf), seed_hashes(buf)
+        return none
+    p, (h, sums, inverse) = textscan.prefix_hashes(buf), seed_hashes(buf)
     anchor = least_in_windows(h, WINDOW - SEED + 1)
     mark = np.zeros(len(buf) + 1, np.int8)
     long = np.diff(offs) >= WINDOW
@@ -77,14 +81,15 @@ def runs(buf: np.ndarray, offs: np.ndarray):
     mark[offs[1:][long] - WINDOW + 1] -= 1
     at = np.flatnonzero(np.cumsum(mark, dtype=np.int8)[: len(anchor)])
     if not len(at):
-        return empty, empty, empty, empty, empty.astype(U), empty.astype(U)
+        return none
     a = anchor[at]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)]))
     n = np.diff(np.append(first, len(at)))
     s, a = at[first], a[first].astype(np.int64)
     text = np.searchsorted(offs, s, "right") - 1
     run = textscan.mix(textscan.span_hashes(p, s, s + n - 1 + WINDOW) + (a - s).astype(U) * U(0x9E3779B97F4A7C15))
-    return text, s - offs[text], n, a - s, h[a], run
+    other = textscan.mix((sums[s + n - 1 + WINDOW] - sums[s]) * inverse[s] + n.astype(U))
+    return text, s - offs[text], n, a - s, h[a], run, other
 
 
 class BlindTrie:
@@ -201,11 +206,11 @@ def _run_rows(keyed: DataFrame) -> DataFrame:
     def work(batch):
         k, t1, t2 = (np.asarray(batch.column(i)) for i in (1, 2, 3))
         for first, _, buf, offs in textscan.chunks(batch.column(0)):
-            text, s, n, off, anchor, run = runs(buf, offs)
+            text, s, n, off, anchor, run, run2 = runs(buf, offs)
             if len(text):
-                yield {"anchor": anchor.view(np.int64), "run": run.view(np.int64), "k": k[first + text], "t1": t1[first + text], "t2": t2[first + text], "s": s, "n": n, "off": off}
+                yield {"anchor": anchor.view(np.int64), "run": run.view(np.int64), "run2": run2.view(np.int64), "k": k[first + text], "t1": t1[first + text], "t2": t2[first + text], "s": s, "n": n, "off": off}
 
-    return shared.by_batch(keyed.where(F.octet_length("text") >= WINDOW).select("text", "k", "t1", "t2"), work, "anchor long, run long, k long, t1 long, t2 long, s int, n int, off int")
+    return shared.by_batch(keyed.where(F.octet_length("text") >= WINDOW).select("text", "k", "t1", "t2"), work, "anchor long, run long, run2 long, k long, t1 long, t2 long, s int, n int, off int")
 
 
 #: Bytes of runs that are sorted at once; a single anchor's runs may be more.
@@ -239,6 +244,8 @@ def _sort_runs(rows: DataFrame) -> DataFrame:
                 if held and bytes_held > SORT_BYTES and row[0] != held[-1][0]:
                     yield from solve(*(np.array(c) for c in list(zip(*held, strict=True))[:8]), [r[8] for r in held])
                     held, bytes_held = [], 0
+                if held and row[:5] == held[-1][:5]:
+                    continue  # a repeated row of the table
                 held.append(row)
                 bytes_held += len(row[8])
         if held:
@@ -278,16 +285,16 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = _keyed(docs)
     rows = _run_rows(keyed)
     # counts are written out before they are joined: a join between two plain exchanges is one whose hot keys Spark can split
-    anchors = shared.stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("found"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("found > 1"))
-    many = shared.stored(rows.join(anchors, "anchor").select("anchor", "run", "k", "t1", "t2", "s", "n", "off", (F.col("lo") == F.col("hi")).alias("alike")))
+    anchors = shared.stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("found"), F.min("run").alias("lo"), F.max("run").alias("hi"), F.min("run2").alias("lo2"), F.max("run2").alias("hi2")).where("found > 1"))
+    many = shared.stored(rows.join(anchors, "anchor").select("anchor", "run", "run2", "k", "t1", "t2", "s", "n", "off", ((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2"))).alias("alike")))
     unlike = many.where(~F.col("alike"))
-    kinds = shared.stored(unlike.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("k", "t1", "t2", "s", "n", "off")).alias("one")))
-    whole = unlike.join(kinds.where("found > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select("k", "t1", "t2", "s", "n")
+    kinds = shared.stored(unlike.groupBy("anchor", "run", "run2").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("k", "t1", "t2", "s", "n", "off")).alias("one")))
+    whole = unlike.join(kinds.where("found > 1").select("anchor", "run", "run2"), ["anchor", "run", "run2"], "left_semi").select("k", "t1", "t2", "s", "n")
     wanted = kinds.select("one.k", "one.t1", "one.t2", F.struct("anchor", "one.s", "one.n", "one.off", (F.col("found") == 1).alias("single")).alias("w")).groupBy("k", "t1", "t2").agg(F.collect_list("w").alias("wanted"))
     cut = _cut_runs(keyed.join(wanted, ["k", "t1", "t2"]).select("doc_id", "text", "k", "t1", "t2", "wanted"))
     partly = _sort_runs(cut.repartition("anchor").sortWithinPartitions("anchor", "k", "t1", "t2", "s"))
     found = many.where("alike").select("k", "t1", "t2", "s", "n").unionByName(whole).unionByName(partly)
-    return keyed, found.groupBy("k", "t1", "t2").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    return keyed, found.groupBy("k", "t1", "t2").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
 
 
 def removed_bytes(size: int, found: list[dict] | None) -> np.ndarray:
