@@ -1,4 +1,5 @@
-from weftline.operators import findings, graph
+from weftline import plugins
+from weftline.operators import findings, formats, graph
 from weftline.sources import artifacts
 
 
@@ -41,9 +42,63 @@ def test_artifacts(spark, tmp_path):
     assert sorted(tuple(r) for r in back.collect()) == [("k", 2), ("m", 3)]
 
 
-def test_truth_and_cvss():
-    found = [{"file": "a", "line": 10, "name": "x"}, {"file": "a", "line": 11, "name": "y"}, {"file": "b", "line": 1, "name": "z"}]
-    truth = [{"file": "a", "line": 11, "name": "x"}, {"file": "a", "line": None, "name": "q"}, {"file": "c", "line": 1, "name": "w"}]
-    assert findings.match_truth(found, truth) == {"tp": 2, "fp": 1, "fn": 1, "precision": 0.6667, "recall": 0.6667, "f1": 0.6667}
+def test_truth_and_cvss(spark):
+    schema = "id long, file string, line long, name string"
+    found = frame(spark, [(0, "a", 10, "x"), (1, "a", 11, "y"), (2, "b", 1, "z")], schema)
+    truth = frame(spark, [(0, "a", 11, "x"), (1, "a", None, "q"), (2, "c", 1, "w")], schema)
+    assert tuple(findings.match_truth(found, truth).first()) == (2, 1, 1, 0.6667, 0.6667, 0.6667)
+    assert tuple(findings.match_truth(found.where("false"), truth).first()) == (0, 0, 3, 0.0, 0.0, 0.0)
     assert findings.cvss_severity("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H") == "critical"
     assert findings.cvss_severity("CVSS:3.1/AV:L/AC:H/PR:H/UI:R/S:U/C:L/I:N/A:N") == "low" and findings.cvss_severity("x") is None
+
+
+def test_matching_is_greedy(spark):
+    import random
+
+    rnd = random.Random(5)
+    row = lambda k: (k, rnd.choice("ab"), rnd.choice([None, *range(1, 30)]), rnd.choice("xyz"))
+    found, truth = [row(k) for k in range(40)], [row(k) for k in range(35)]
+    pairs = sorted((f[3] != t[3], 0 if t[2] is None else abs((f[2] or 0) - t[2]), f[0], t[0]) for f in found for t in truth if f[1] == t[1] and (t[2] is None or abs((f[2] or 0) - t[2]) <= 3))
+    want, used_f, used_t = set(), set(), set()
+    for _, _, f, t in pairs:
+        if f not in used_f and t not in used_t:
+            used_f.add(f)
+            used_t.add(t)
+            want.add((f, t))
+    schema = "id long, file string, line long, name string"
+    assert {tuple(r) for r in findings.match_pairs(frame(spark, found, schema), frame(spark, truth, schema)).collect()} == want
+
+
+def test_envelope_pages_and_budgets():
+    items = [{"k": k, "severity": s} for k, s in enumerate(["low", "critical", None, "high"] * 10)]
+    page = formats.envelope(items, "x", top=5, offset=38)
+    assert [i["k"] for i in page["items"]] == [38, 39] and not page["has_more"] and formats.envelope(items, "x", top=5)["has_more"]
+    assert [len(formats.envelope(items, "x", max_tokens=n)["items"]) for n in (10_000, 120, 40, 1)] == [40, 10, 3, 0]
+    order = [i["severity"] for i in formats.sorted_items(items[:4], "severity")]
+    assert order == ["critical", "high", "low", None] and [i["severity"] for i in formats.sorted_items(items[:4], "severity", least_severe_first=True)] == ["low", "high", "critical", None]
+    assert "<td>a&lt;b</td>" in formats.dashboard("t", {"score": 1}, [{"severity": "low", "file": "a<b", "line": None}])
+
+
+def test_results_are_kept_for_a_time(spark):
+    now, made = [0.0], []
+    cache = plugins.ResultCache(spark, seconds=10, clock=lambda: now[0])
+    ask = lambda key: cache.get(key, lambda: made.append(key) or frame(spark, [(len(made),)], "n int")).first().n
+    assert [ask("scan:a"), ask("scan:a"), ask("list:b")] == [1, 1, 2]
+    now[0] = 10
+    assert ask("scan:a") == 3 and cache.drop("scan:") == 1 and ask("scan:a") == 4 and set(cache.entries) == {"scan:a", "list:b"}
+
+
+def test_engine_and_hook(spark):
+    engine = plugins.Engine("long", analyse=lambda files: files.where("n > 1"), select=lambda files: files.where("n < 5"), build=lambda found: found.selectExpr("count(*) AS n"))
+    assert engine.run(frame(spark, [(k,) for k in range(9)], "n int")).first().n == 3
+    seen = []
+    hook = plugins.EditHook(seen.append)
+    for path in "abc":
+        hook.edited(path)
+    hook.close()
+    assert sorted(seen) == ["a", "b", "c"]
+
+
+def test_planned_fixes(spark):
+    lines = frame(spark, [("f", 1, "x"), ("f", 2, "print(x)"), ("f", 3, "describe.skip('a', f)")], "file string, line long, text string")
+    assert {(r.line, r.rule_id, r.after) for r in findings.fix_plan(findings.scan(lines), lines).collect()} == {(2, "debug-print", None), (3, "skipped-test", "describe('a', f)")}

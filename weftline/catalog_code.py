@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as fn
-from weftline.operators import dependencies, findings, finders, graph, search, web
+from weftline.operators import dataflow, dependencies, findings, finders, graph, search, web
 from weftline.sources import code, relations as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,6 +256,65 @@ def prefilter_counts(spark, sf_dir):
     return finders.prefilter_counts(rel.table(spark, sf_dir, "documents").select(F.col("text").alias("content")), ["Licensed", "token ="])
 
 
+
+@_query(f"WITH l AS (SELECT {WHERE}, {_of(11)} AS src, {_of(12)} AS snk, {_of(13)} AS cln FROM orders), s AS (SELECT file, min(line) AS source_line, count(*) AS n_sources FROM l WHERE src GROUP BY 1), k AS (SELECT file, min(line) AS sink_line, count(*) AS n_sinks FROM l WHERE snk GROUP BY 1), c AS (SELECT DISTINCT file FROM l WHERE cln), e AS (SELECT DISTINCT 'src/m' || (n_nationkey % {FILES}) || '.js' AS a, 'src/m' || ((n_nationkey + 1) % {FILES}) || '.js' AS b FROM nation) SELECT s.file AS source_file, 'env' AS source, source_line, n_sources, k.file AS sink_file, 'log' AS sink, sink_line, n_sinks, s.file IN (SELECT file FROM c) OR k.file IN (SELECT file FROM c) AS sanitized FROM s JOIN e ON e.a = s.file JOIN k ON k.file = e.b WHERE e.a <> e.b")
+def flows_across_imports(spark, sf_dir):
+    k = F.col("n_nationkey")
+    imports = rel.table(spark, sf_dir, "nation").select(F.concat(F.lit("src/m"), (k % FILES).cast("string"), F.lit(".js")).alias("source_id"), F.concat(F.lit("src/m"), ((k + 1) % FILES).cast("string"), F.lit(".js")).alias("target_id"))
+    return dataflow.across_imports(lines(spark, sf_dir), imports, [("env", r"process\.env\.")], [("log", r"console\.log\(")], [("words", r"only words")])
+
+
+_DEPTHS = "w(origin, node_id, hops) AS (SELECT DISTINCT source_id, source_id, 0 FROM calls WHERE source_id LIKE 'u1%/click' UNION SELECT origin, target_id, hops + 1 FROM w JOIN calls ON source_id = node_id WHERE hops < 3 AND source_id <> target_id), m AS (SELECT origin, node_id, min(hops) AS hops FROM w GROUP BY 1, 2)"
+
+
+@_query(f"WITH RECURSIVE calls AS ({rel.EVENT_CALLS}), {_DEPTHS} SELECT string_split(node_id, '/')[1] AS file, 7 AS line, 'sql' AS sink, origin, hops::INT AS hops, round(power(0.9, hops), 6) AS confidence FROM m WHERE node_id LIKE '%/purchase' QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY hops, origin) = 1")
+def taint_across_calls(spark, sf_dir):
+    calls = rel.event_calls(spark, sf_dir)
+    names = calls.select(F.col("source_id").alias("node_id")).union(calls.select("target_id")).distinct()
+    starts = calls.where("source_id LIKE 'u1%/click'").select(F.col("source_id").alias("node_id")).distinct()
+    sinks = names.where("node_id LIKE '%/purchase'").select("node_id", F.split("node_id", "/")[0].alias("file"), F.lit(7).alias("line"), F.lit("sql").alias("sink"))
+    return dataflow.across_calls(starts, calls, sinks, 3)
+
+
+@_query(f"WITH RECURSIVE calls AS ({rel.EVENT_CALLS}), w(sink, node_id, hops) AS (SELECT DISTINCT target_id, target_id, 0 FROM calls WHERE target_id LIKE '%/purchase' UNION SELECT sink, source_id, hops + 1 FROM w JOIN calls ON target_id = node_id WHERE hops < 2 AND source_id <> target_id) SELECT node_id, sink, min(hops)::INT AS hops, round(power(0.95, min(hops)), 6) AS confidence FROM w GROUP BY 1, 2")
+def taint_reverse(spark, sf_dir):
+    calls = rel.event_calls(spark, sf_dir)
+    return graph.taint_reverse(calls, calls.where("target_id LIKE '%/purchase'").select(F.col("target_id").alias("node_id")).distinct(), 2)
+
+
+_CYCLES = "SELECT CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 9 ELSE 2 END AS length, ['a/x.py:to_text', 'b/test_x.py:run', 'a/x.py:load'][o_orderkey % 3 + 1] || ' -> ' || ['c/z.py:from_text', 'tests/q.py:go', 'c/z.py:save'][o_orderkey % 7 % 3 + 1] AS cycle FROM orders"
+
+
+@_query(f"WITH c AS ({_CYCLES}), n AS (SELECT *, contains(cycle, 'test_x') AS t1, contains(cycle, 'tests/') AS t2, contains(cycle, 'to_text') AND contains(cycle, 'from_text') AS v FROM c) SELECT length, cycle, CASE WHEN length IN (1, 9) OR (t1 AND t2) OR v THEN 'info' ELSE 'warning' END AS severity, CASE WHEN t1 AND t2 THEN 'test_only' WHEN t1 OR t2 THEN 'test_mixed' ELSE 'core' END AS source FROM n")
+def cycle_classes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    pick = lambda n, values: F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
+    rows = rel.table(spark, sf_dir, "orders").select(F.when(k % 4 == 0, 1).when(k % 4 == 1, 9).otherwise(2).alias("length"), F.concat(pick(k % 3, ["a/x.py:to_text", "b/test_x.py:run", "a/x.py:load"]), F.lit(" -> "), pick(k % 7 % 3, ["c/z.py:from_text", "tests/q.py:go", "c/z.py:save"])).alias("cycle"))
+    return graph.cycle_severity(rows)
+
+
+@_query("SELECT o_orderkey AS found_id, o_orderkey + 1000000 AS truth_id FROM orders WHERE o_orderkey % 3 <> 0")
+def truth_pairs(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = rel.table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("f"), (k % 5).cast("string")).alias("file"), (F.floor(k / 5) * 10).alias("line"), F.concat(F.lit("n"), k.cast("string")).alias("name"))
+    # each truth stands a line or two from its finding; the next one is ten lines away
+    truth = rows.where("id % 3 != 0").select((F.col("id") + 1_000_000).alias("id"), "file", (F.col("line") + F.col("id") % 3).alias("line"), F.when(F.col("id") % 2 == 0, F.col("name")).alias("name"))
+    return findings.match_pairs(rows, truth)
+
+
+@_query("SELECT count(*) FILTER (o_orderkey % 3 <> 0) AS tp, count(*) FILTER (o_orderkey % 3 = 0) AS fp, 0::BIGINT AS fn, round(count(*) FILTER (o_orderkey % 3 <> 0) / count(*), 4) AS precision, 1.0::DOUBLE AS recall, round(2 * count(*) FILTER (o_orderkey % 3 <> 0) / (count(*) + count(*) FILTER (o_orderkey % 3 <> 0)), 4) AS f1 FROM orders")
+def truth_accuracy(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = rel.table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("f"), (k % 5).cast("string")).alias("file"), (F.floor(k / 5) * 10).alias("line"), F.lit(None).cast("string").alias("name"))
+    return findings.match_truth(rows, rows.where("id % 3 != 0").withColumn("line", F.col("line") + 2))
+
+
+@_query(f"SELECT {WHERE}, 'debug-print' AS rule_id, '  console.log(''v' || o_orderkey || '''); // TODO' AS before, NULL AS after FROM orders WHERE {_of(12)}")
+def fix_plan(spark, sf_dir):
+    code_lines = lines(spark, sf_dir)
+    return findings.fix_plan(findings.scan(code_lines), code_lines)
+
+
 # --- blame, repositories, names ---------------------------------------------------------------------------------------------------------------
 
 _BLAME = "SELECT 'part:' || (l_partkey % 50) AS file, 's' || (l_suppkey % 17) AS author, l_shipdate::DATE AS date FROM lineitem"
@@ -335,6 +394,23 @@ def missing_references(spark, sf_dir):
     return web.missing_refs(_refs(spark, sf_dir))
 
 
+
+@_query(f"WITH r AS ({_REFS.replace('AS category FROM', "AS category, 'p' || (p_partkey % 11) AS path FROM")}), m AS (SELECT * FROM r WHERE path NOT IN ('p1', 'p5') UNION ALL SELECT 'c' || n_nationkey, 'class', 'html', 'p1' FROM nation) SELECT name, entry_type, count(*) AS ref_count, count(DISTINCT path) AS files, CASE WHEN entry_type = 'id' AND count(DISTINCT path) FILTER (category = 'html') > 1 THEN 'collision' WHEN count(*) FILTER (category <> 'css') = 0 THEN 'dead' WHEN count(DISTINCT path) > 1 THEN 'duplicate_ref' ELSE 'active' END AS status FROM m GROUP BY 1, 2")
+def merged_references(spark, sf_dir):
+    k = F.col("p_partkey")
+    group, name = F.floor(k / 90) % 3, k % 90
+    refs = rel.table(spark, sf_dir, "part").where(name % 7 != group).select(F.concat(F.lit("c"), name.cast("string")).alias("name"), F.when(name % 2 == 0, "class").otherwise("id").alias("entry_type"), F.element_at(F.array(F.lit("html"), F.lit("css"), F.lit("js")), (group + 1).cast("int")).alias("category"), F.concat(F.lit("p"), (k % 11).cast("string")).alias("path"))
+    parsed = rel.table(spark, sf_dir, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("name"), F.lit("class").alias("entry_type"), F.lit("html").alias("category"), F.lit("p1").alias("path"))
+    return web.merge_refs(refs, parsed, spark.createDataFrame([("p1",), ("p5",)], "path string"))
+
+
+@_query("SELECT 'p' || (p_partkey % 9) AS path, count(DISTINCT p_partkey % 6) FILTER (p_partkey % 6 < 4) AS utilities, count(DISTINCT p_partkey % 6) FILTER (p_partkey % 6 >= 4) AS others, round(count(DISTINCT p_partkey % 6) FILTER (p_partkey % 6 < 4) / count(DISTINCT p_partkey % 6), 4) AS share FROM part GROUP BY 1")
+def utility_classes(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("mt-4", "md:hover:bg-red-500", "flex", "-translate-x-1/2", "card", "mt4")]), (k % 6 + 1).cast("int"))
+    return web.utility_classes(rel.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), (k % 9).cast("string")).alias("path"), name.alias("name"), F.lit("class").alias("entry_type")))
+
+
 # --- symbols, functions ------------------------------------------------------------------------------------------------------------------------
 
 _SYMBOLS = "SELECT 'm' || (p_partkey % 30) AS file, p_partkey AS line, p_partkey + p_size * 3 AS end_line, CASE WHEN p_partkey % 4 = 0 THEN 'class' ELSE 'function' END AS kind, 'f' || p_partkey AS name, p_size % 9 AS parameters, p_size AS cyclomatic, p_partkey % 40 AS cognitive, p_size % 7 AS nesting FROM part"

@@ -36,6 +36,30 @@ def flows(lines: DataFrame, sources=SOURCES, sinks=SINKS, sanitizers=SANITIZERS)
     return src.join(ends, ["file", "sink_line"]).select("file", "source_line", "source", "sink_line", "sink", (F.col("clean_upto") > F.col("clean_before")).alias("sanitized"))
 
 
+def across_imports(lines: DataFrame, imports: DataFrame, sources=SOURCES, sinks=SINKS, sanitizers=SANITIZERS) -> DataFrame:
+    """Flows from a file's sources to the sinks of files that it imports (imports: source_id, target_id): source_file, source, source_line and
+    sink_file, sink, sink_line, the first line of each kind, how many lines of each there are, and sanitized (either file has a sanitizer).
+    Kinds are counted before files are joined, so that no source is paired with every sink."""
+    first = lambda table, name: marks(lines, table).groupBy("file", F.col("kind").alias(name)).agg(F.min("line").alias(f"{name}_line"), F.count(F.lit(1)).alias(f"n_{name}s"))
+    clean = marks(lines, sanitizers).select("file").distinct()
+    s, k = first(sources, "source").withColumnRenamed("file", "source_file"), first(sinks, "sink").withColumnRenamed("file", "sink_file")
+    edges = imports.where("source_id != target_id").select(F.col("source_id").alias("source_file"), F.col("target_id").alias("sink_file")).distinct()
+    both = s.join(edges, "source_file").join(k, "sink_file")
+    for side in ("source", "sink"):
+        both = both.join(clean.select(F.col("file").alias(f"{side}_file"), F.lit(True).alias(f"_{side}")), f"{side}_file", "left")
+    return both.select("source_file", "source", "source_line", "n_sources", "sink_file", "sink", "sink_line", "n_sinks", (F.coalesce("_source", F.lit(False)) | F.coalesce("_sink", F.lit(False))).alias("sanitized"))
+
+
+def across_calls(tainted: DataFrame, calls: DataFrame, sinks: DataFrame, max_rounds: int = 20, decay: float = 0.9) -> DataFrame:
+    """Taint that leaves a function by its calls: tainted functions (node_id), call edges (source_id, target_id), sinks in functions (node_id,
+    file, line, sink). file, line, sink, the origin with the highest confidence and that confidence; one row for each place and sink."""
+    from weftline.operators import findings, graph
+
+    reached = graph.taint_fixpoint(calls, tainted, None, max_rounds, decay)
+    found = reached.join(sinks, "node_id").select("file", "line", "sink", "origin", "hops", "confidence")
+    return findings.deduplicated(found, ["file", "line", "sink"], ["hops", "origin"])
+
+
 def python_taint(files: DataFrame) -> DataFrame:
     """Taint within functions and modules of Python files, statement by statement with branches merged: file, line, variable, source, sink."""
 

@@ -154,14 +154,17 @@ def accuracy(pairs: DataFrame) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), share(fp, fp + tn).alias("fpr"))
 
 
-def top_by_priority(found: DataFrame, most: int = 20) -> DataFrame:
-    """All critical findings, then others by rank, file and line until there are ``most``. The sort is a top-k."""
-    rank = severity_rank()
-    rest = found.where(rank > 0).orderBy(rank, "file", "line", "rule_id").limit(most)
+def top_by_priority(found: DataFrame, most: int = 20, categories: list[str] | None = None) -> DataFrame:
+    """All critical findings, then others by rank, category (in the order of ``categories``, others last), file and line until there are
+    ``most``. The sort is a top-k."""
+    rank, place = severity_rank(), []
+    if categories:
+        place = [F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category")), F.lit(0)), F.lit(len(categories) + 1))]
+    order = [rank, *place, "file", "line", "rule_id"]
     critical = found.where(rank == 0)
     n = critical.agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.orderBy(rank, "file", "line", "rule_id"))
-    return critical.unionByName(rest.withColumn("_at", place).join(F.broadcast(n)).where(F.col("_at") <= F.greatest(F.lit(0), F.lit(most) - F.col("n"))).drop("_at", "n"))
+    rest = found.where(rank > 0).orderBy(*order).limit(most).withColumn("_at", F.row_number().over(Window.orderBy(*order)))
+    return critical.unionByName(rest.join(F.broadcast(n)).where(F.col("_at") <= F.greatest(F.lit(0), F.lit(most) - F.col("n"))).drop("_at", "n"))
 
 
 def ownership(blame: DataFrame) -> DataFrame:
@@ -221,24 +224,50 @@ def convention(names: DataFrame, group: str, name: str = "name") -> DataFrame:
     return n.groupBy(group).agg(F.max_by("style", F.struct("n", F.expr("-ascii(style)"))).alias("style"), F.round(F.max("n") / F.sum("n"), 4).alias("share"))
 
 
-def match_truth(found: list[dict], truth: list[dict], near: int = 3) -> dict:
-    """Greedy one-to-one matching of a few findings with known truths, on the driver: same file, then line distance and name. Counts and
-    shares as in ``accuracy``; truths without a line match any line of the file."""
-    scored = []
-    for i, f in enumerate(found):
-        for j, t in enumerate(truth):
-            if f.get("file") == t.get("file"):
-                gap = 0 if t.get("line") is None else abs((f.get("line") or 0) - t["line"])
-                if gap <= near:
-                    scored.append((-(f.get("name") is not None and f.get("name") == t.get("name")), gap, i, j))
-    used_f, used_t = set(), set()
-    for _, _, i, j in sorted(scored):
-        if i not in used_f and j not in used_t:
-            used_f.add(i)
-            used_t.add(j)
-    tp, fp, fn = len(used_t), len(found) - len(used_f), len(truth) - len(used_t)
-    share = lambda a, b: round(a / b, 4) if b else 0.0
-    return {"tp": tp, "fp": fp, "fn": fn, "precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)}
+def match_pairs(found: DataFrame, truth: DataFrame, near: int = 3) -> DataFrame:
+    """Greedy one-to-one matching of findings (id, file, line, name) with known truths (id, file, line, name): found_id, truth_id. Candidates
+    stand in the same file within ``near`` lines (a truth without a line fits any); equal names come first, then short distances, then ids.
+    Rounds accept pairs that are the best of both sides, which is what taking the best pair again and again gives."""
+    from weftline.operators.graph import saved
+
+    f = found.select(F.col("id").alias("found_id"), "file", F.coalesce("line", F.lit(0)).alias("_line"), F.col("name").alias("_name"))
+    t = truth.select(F.col("id").alias("truth_id"), "file", F.col("line").alias("_at"), F.col("name").alias("_called"))
+    # lines of a file are dealt to stretches, so that a file's findings aren't paired with all its truths
+    size = 2 * near + 1
+    cells = F.when(F.col("_at").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.array(F.floor((F.col("_at") - near) / size), F.floor((F.col("_at") + near) / size))))
+    placed = t.withColumn("_cell", F.explode(cells))
+    asked = f.withColumn("_cell", F.explode(F.array(F.floor(F.col("_line") / size), F.lit(-1).cast("long"))))
+    both = asked.join(placed, ["file", "_cell"]).withColumn("_gap", F.when(F.col("_at").isNull(), 0).otherwise(F.abs(F.col("_line") - F.col("_at")))).where(F.col("_gap") <= near)
+    rank = F.struct((~F.coalesce(F.col("_name") == F.col("_called"), F.lit(False))).alias("other"), F.col("_gap").alias("gap"), "found_id", "truth_id").alias("rank")
+    left, out = saved(both.select("found_id", "truth_id", rank).distinct()), None
+    while not left.isEmpty():
+        mine = left.groupBy("found_id").agg(F.min("rank").alias("rank"))
+        best = left.groupBy("truth_id").agg(F.min("rank").alias("rank"))
+        taken = saved(mine.join(best.select("rank"), "rank", "left_semi").select("found_id", F.col("rank.truth_id").alias("truth_id")))
+        out = taken if out is None else out.unionByName(taken)
+        left = saved(left.join(taken.select("found_id"), "found_id", "left_anti").join(taken.select("truth_id"), "truth_id", "left_anti"))
+    return found.sparkSession.createDataFrame([], left.select("found_id", "truth_id").schema) if out is None else out
+
+
+def match_truth(found: DataFrame, truth: DataFrame, near: int = 3) -> DataFrame:
+    """tp, fp, fn, precision, recall and f1 (4 places) of findings against known truths, as ``match_pairs`` matches them."""
+    one = match_pairs(found, truth, near).agg(F.count(F.lit(1)).alias("tp"))
+    counts = one.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("_f")))).crossJoin(F.broadcast(truth.agg(F.count(F.lit(1)).alias("_t"))))
+    share = lambda a, b: F.round(F.when(b == 0, 0.0).otherwise(a / b), 4)
+    tp, f, t = (F.col(x) for x in ("tp", "_f", "_t"))
+    return counts.select("tp", (f - tp).alias("fp"), (t - tp).alias("fn"), share(tp, f).alias("precision"), share(tp, t).alias("recall"), share(2 * tp, f + t).alias("f1"))
+
+
+#: What a planned fix does with a rule's line: take it out, or take out this pattern (fixed values).
+FIXES = {"debug-print": None, "debugger": None, "skipped-test": r"\.(skip|only)\b"}
+
+
+def fix_plan(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Edits that would fix findings of FIXES: file, line, rule_id, before and after (null: the line goes). Nothing is applied."""
+    kinds = F.create_map(*[F.lit(x) for p in FIXES.items() for x in (p[0], p[1] or "")])
+    asked = found.where(F.col("rule_id").isin(*FIXES)).select("file", "line", "rule_id").withColumn("_cut", F.try_element_at(kinds, F.col("rule_id")))
+    both = asked.join(lines.select("file", "line", "text"), ["file", "line"])
+    return both.select("file", "line", "rule_id", F.col("text").alias("before"), F.when(F.col("_cut") != "", F.expr("regexp_replace(text, _cut, '')")).alias("after"))
 
 
 def cvss_severity(vector: str) -> str | None:

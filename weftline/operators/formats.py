@@ -66,10 +66,33 @@ def graphml(nodes: Iterable[dict], edges: Iterable[dict]) -> str:
     return "".join(out) + "</graph></graphml>"
 
 
-def envelope(items: list[dict], command: str, top: int | None = None, max_tokens: int | None = None, lite: list[str] | None = None) -> dict:
-    """status, command, stats, items and truncated; ``max_tokens`` counts four characters a token and halves the list until it fits."""
+def envelope(items: list[dict], command: str, top: int | None = None, max_tokens: int | None = None, lite: list[str] | None = None, offset: int = 0) -> dict:
+    """status, command, stats, items, truncated and has_more. ``offset`` and ``top`` page through the items; ``max_tokens`` counts four
+    characters a token and cuts the list to 10, then to 3, then to none."""
     shown = [{k: i[k] for k in lite if k in i} for i in items] if lite else list(items)
-    shown = shown[:top] if top else shown
-    while max_tokens is not None and shown and len(json.dumps(shown, default=str)) / 4 > max_tokens:
-        shown = shown[: len(shown) // 2]
-    return {"status": "ok", "command": command, "stats": {"total": len(items), "shown": len(shown)}, "items": shown, "truncated": len(shown) < len(items)}
+    shown = shown[offset:][:top] if top is not None else shown[offset:]
+    has_more = offset + len(shown) < len(items)
+    for most in (10, 3, 0):
+        if max_tokens is not None and len(json.dumps(shown, default=str)) // 4 > max_tokens:
+            shown = shown[:most]
+    return {"status": "ok", "command": command, "stats": {"total": len(items), "shown": len(shown), "offset": offset}, "items": shown, "truncated": len(shown) < len(items), "has_more": has_more}
+
+
+#: Severities from the worst on, as lists are sorted (fixed values).
+SEVERITY_ORDER = ("critical", "high", "medium", "warning", "low", "info")
+
+
+def sorted_items(items: list[dict], key: str, descending: bool = True, least_severe_first: bool = False) -> list[dict]:
+    """Items by a field; severities from the worst on, or the other way; items without the field come last."""
+    have, lack = [i for i in items if i.get(key) is not None], [i for i in items if i.get(key) is None]
+    if key == "severity":
+        rank = {s: k for k, s in enumerate(SEVERITY_ORDER)}
+        return sorted(have, key=lambda i: rank.get(str(i[key]).lower(), len(rank)), reverse=least_severe_first) + lack
+    return sorted(have, key=lambda i: i[key], reverse=descending) + lack
+
+
+def dashboard(title: str, metrics: dict[str, object], findings: list[dict]) -> str:
+    """A page with metrics and a table of findings (as many as the caller passes)."""
+    cells = "".join(f"<div><b>{escape(str(v))}</b> {escape(str(k))}</div>" for k, v in metrics.items())
+    rows = "".join("<tr>" + "".join(f"<td>{escape(str(f.get(c, '') if f.get(c) is not None else ''))}</td>" for c in ("severity", "rule_id", "file", "line")) + "</tr>" for f in findings)
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>{cells}<table><tr><th>severity</th><th>rule</th><th>file</th><th>line</th></tr>{rows}</table></body></html>"

@@ -11,7 +11,7 @@ import re
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,16 +36,21 @@ SCRIPT_NAMES = frozenset(
 STANDARD_NAMES = tuple(sorted(RUST_NAMES | PYTHON_NAMES | SCRIPT_NAMES))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; only a local session, all of it in one process, may
+    leave that unset."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/weftline-shared"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session shares (spark.checkpoint.dir); only a local session, all of it in one process,
-    may leave that unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """A reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/weftline-shared")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -350,6 +355,12 @@ def taint_fixpoint(flows: DataFrame, sources: DataFrame, sanitized: DataFrame |
     return every.select("node_id", F.col("start").alias("origin"), F.col("depth").alias("hops"), F.round(F.pow(F.lit(decay), F.col("depth")), 6).alias("confidence"))
 
 
+def taint_reverse(flows: DataFrame, sinks: DataFrame, max_rounds: int = 20, decay: float = 0.95) -> DataFrame:
+    """What may reach the sinks (node_id), against the flows: node_id, sink, hops, confidence = decay to the power of hops."""
+    back = taint_fixpoint(flows.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")), sinks, None, max_rounds, decay)
+    return back.withColumnRenamed("origin", "sink")
+
+
 def error_trace(edges: DataFrame, start: DataFrame, handlers: DataFrame, max_depth: int = 10) -> DataFrame:
     """How far an error in ``start`` goes up: callers until one that handles it. node_id, depth and handled."""
     caught = handlers.select(F.col("node_id").alias("target_id")).distinct()
@@ -358,11 +369,18 @@ def error_trace(edges: DataFrame, start: DataFrame, handlers: DataFrame, max_dep
     return found.join(handlers.select("node_id", F.lit(True).alias("handled")).distinct(), "node_id", "left").select("start", "node_id", "depth", F.coalesce("handled", F.lit(False)).alias("handled"))
 
 
+#: Parts of names that convert between types, whose mutual calls are no design fault (fixed values).
+CONVERSIONS = ("to_", "from_", "into_", "as_", "parse", "format", "convert", "serialize", "deserialize", "encode", "decode")
+
+
 def cycle_severity(found: DataFrame, test_pattern: str = r"(?i)(^|/)tests?/|test_|\.test\.") -> DataFrame:
-    """cycles with severity: info for self edges, cycles of more than eight nodes, or those of tests only; else warning."""
+    """cycles with severity and source. info: self edges, cycles of more than eight nodes, of tests only, or of conversions only; else
+    warning. source: test_only, test_mixed (some nodes are tests) or core."""
     names = F.split("cycle", " -> ")
-    info = (F.col("length") == 1) | (F.col("length") > 8) | F.forall(names, lambda n: n.rlike(test_pattern))
-    return found.withColumn("severity", F.when(info, "info").otherwise("warning"))
+    tests, some = F.forall(names, lambda n: n.rlike(test_pattern)), F.exists(names, lambda n: n.rlike(test_pattern))
+    conversion = F.forall(names, lambda n: F.element_at(F.split(F.lower(n), "[:/.]"), -1).rlike("^(" + "|".join(CONVERSIONS) + ")"))
+    info = (F.col("length") == 1) | (F.col("length") > 8) | tests | conversion
+    return found.withColumn("severity", F.when(info, "info").otherwise("warning")).withColumn("source", F.when(tests, "test_only").when(some, "test_mixed").otherwise("core"))
 
 
 def within(edges: DataFrame, members: DataFrame) -> DataFrame:

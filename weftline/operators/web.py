@@ -68,3 +68,24 @@ def css_findings(sheets: DataFrame) -> DataFrame:
     out = out.unionByName(frames.join(used, "name", "left_anti").select("path", F.lit("orphan_keyframes").alias("category"), "name"))
     out = out.unionByName(every(r"([\w-]+)\s*:[^;}]*!important").select("path", F.lit("important").alias("category"), "name"))
     return out.unionByName(every(r"z-index\s*:\s*(\d{4,})").select("path", F.lit("z_index").alias("category"), "name"))
+
+
+def merge_refs(existing: DataFrame, parsed: DataFrame, changed: DataFrame) -> DataFrame:
+    """Status of all names after the references of changed files (path) have been replaced by newly parsed ones."""
+    kept = existing.join(changed.select("path").distinct(), "path", "left_anti")
+    return frontend_status(kept.unionByName(parsed))
+
+
+#: Classes of a utility vocabulary: prefixes with a value, and whole words (fixed values).
+UTILITIES = (
+    r"^(?:(?:sm|md|lg|xl|2xl|hover|focus|active|dark|group-hover|first|last|odd|even|disabled):)*-?(?:(?:[mp][trblxy]?|w|h|min-w|min-h|max-w|max-h|gap|gap-x|gap-y|space-x|space-y|inset|top|right|bottom|left|z|order|"
+    r"text|bg|border|rounded|shadow|font|leading|tracking|opacity|flex|grid-cols|grid-rows|col-span|row-span|items|justify|content|self|overflow|object|cursor|ring|divide|transition|duration|ease|scale|rotate|translate-[xy]|"
+    r"from|via|to)-[\w./\[\]#%-]+|flex|grid|block|inline|inline-block|inline-flex|hidden|table|contents|static|fixed|absolute|relative|sticky|underline|italic|uppercase|lowercase|capitalize|truncate|border|rounded|shadow|"
+    r"container|antialiased|visible|invisible|sr-only)$"
+)
+
+
+def utility_classes(refs: DataFrame) -> DataFrame:
+    """path, utilities (distinct class names of the utility vocabulary), others and share of the former, for each path."""
+    names = refs.where("entry_type = 'class'").select("path", "name", F.col("name").rlike(UTILITIES).alias("utility")).distinct()
+    return names.groupBy("path").agg(F.count_if("utility").alias("utilities"), F.count_if(~F.col("utility")).alias("others"), F.round(F.avg(F.col("utility").cast("int")), 4).alias("share"))
