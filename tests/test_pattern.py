@@ -55,3 +55,10 @@ def test_no_nested_loops(graph):
     df = pattern.run("MATCH (a)-[:CALLS]-(b) WHERE NOT EXISTS { (b)-[:CALLS]->(c:Class) } OR a.line = 1 RETURN a.name", *graph)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_exists_without_a_shared_variable(graph):
+    names = lambda text: sorted(r[0] for r in pattern.run(text, *graph).collect())
+    assert names("MATCH (x:Class) WHERE NOT EXISTS { (u:Class)-[:INHERITS]->(v) } RETURN x.name") == []
+    assert names("MATCH (x:Class) WHERE NOT EXISTS { (u:Function)-[:INHERITS]->(v) } RETURN x.name") == ["Entity", "Order", "Settings"]
+    assert names("MATCH (x:Class) WHERE EXISTS { (u:Function)-[:INHERITS]->(v) } OR x.line = 3 RETURN x.name") == ["Settings"]

@@ -331,7 +331,10 @@ def _filtered(rows: DataFrame, where: list, places: dict[str, int], prefix: str,
             common = [v for v in inner_places if v in places]
             keys = [F.col(f"{own}{inner_places[v]}_node_id").alias(f"{own}key{j}") for j, v in enumerate(common)]
             if not common:
-                term = F.lit(inner.isEmpty() == p.negated)
+                there = inner.limit(1).agg((F.count(F.lit(1)) > 0).alias(f"{own}there"))  # one row, so that compiling runs no job
+                rows = rows.join(F.broadcast(there))
+                flags.append(f"{own}there")
+                term = ~F.col(f"{own}there") if p.negated else F.col(f"{own}there")
             else:
                 found = inner.select(*keys).distinct()
                 on = [F.col(f"{prefix}{places[v]}_node_id") == F.col(f"{own}key{j}") for j, v in enumerate(common)]
@@ -353,12 +356,16 @@ def run(text: str, nodes: DataFrame, edges: DataFrame, limit: int | None = None)
     return compile_query(query, nodes, edges)
 
 
+#: Rows that an envelope holds at most where neither the query nor the caller sets a limit: they are collected to the driver.
+MOST_ROWS = 100_000
+
+
 def execute(text: str, nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> dict:
-    """Rows in an envelope: status, rows, count, truncated; or status error with the error's code."""
+    """Rows in an envelope: status, rows, count, truncated; or status error with the error's code. ``run`` gives the rows without a bound."""
     try:
         query = parse(text)
-        query.limit = query.limit if limit is None else limit
+        query.limit = next(n for n in (limit, query.limit, MOST_ROWS) if n is not None)
         rows = [r.asDict(recursive=True) for r in compile_query(query, nodes, edges).collect()]
     except PatternError as e:
         return {"status": "error", "error": e.code, "message": str(e)}
-    return {"status": "ok", "rows": rows, "count": len(rows), "truncated": query.limit is not None and len(rows) >= query.limit}
+    return {"status": "ok", "rows": rows, "count": len(rows), "truncated": len(rows) >= query.limit}
