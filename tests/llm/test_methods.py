@@ -174,6 +174,20 @@ def test_removal_equals_plain_one(spark):
     assert [tuple(r)[1:] for r in got] == brute.removal(texts)
 
 
+@pytest.mark.parametrize(("hot", "places"), [(0, 8), (1, 8), (3, 16), (3, 1), (8, 137)])
+def test_removal_with_hot_anchors_equals_plain_one(spark, monkeypatch, hot, places):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "PLACES", places)
+    rnd = random.Random(hot * 100 + places)
+    noise = lambda n: "".join(rnd.choice("abcdefgh é\n") for _ in range(n))
+    passage, other = noise(260), noise(230)
+    texts = [noise(rnd.randint(0, 250)) + passage + noise(rnd.randint(0, 250)) for _ in range(20)] + [noise(60) + other[:210] + noise(60) for _ in range(6)]
+    texts += [passage[:225] + "z" + noise(200), passage[30:], "q" * 450, "ab" * 200, texts[0], texts[0][5:], noise(300)]
+    schema = "doc_id long, text string"
+    got = suffixes.removal(spark.createDataFrame(list(enumerate(texts)), schema).repartition(3)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute.removal(texts)
+
+
 def test_posterior_bounds():
     from math import comb
 

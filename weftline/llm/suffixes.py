@@ -10,6 +10,11 @@ Runs of the same hash are one string with a multiplicity, as copies of a text ar
 - An anchor stands in different strings: one of each goes to the suffix sort. Windows of strings found several times are repeated; the sort
   finds out which windows of the others are.
 
+Hot anchors. An anchor with more than HOT strings is dealt out further. Its strings are cut into pieces of the windows in which it stands at
+PLACES successive places; what all windows of such places share, the core, is hashed, and pieces meet only others with their places and
+core, where equal ones become one again. A group that still has more than HOT pieces is dealt out by single windows, where only equal ones
+meet. So no task sorts more than HOT strings of a group, and what is equal is counted before it moves.
+
 Suffix sort. Windows are sorted within their anchor by deep-shallow sorting: multikey quicksort on 8-byte words to SHALLOW bytes, all groups
 in one vectorised pass for each word, then blind tries order what still agrees. Windows next to each other that agree in 200 bytes are
 repeated.
@@ -32,6 +37,7 @@ from weftline.llm import shared, textscan
 from weftline.llm.textscan import U
 
 WINDOW, SEED, SHALLOW = 200, 64, 64
+HOT, PLACES = 2048, 8
 NO_ID = -(1 << 63)
 
 
@@ -218,15 +224,15 @@ SORT_BYTES = 1 << 20
 
 
 def _sort_runs(rows: DataFrame) -> DataFrame:
-    """Windows of single runs that are repeated: k, t1, t2, s, n of each stretch. rows: anchor, k, t1, t2, s, n, off, single, bytes; in order of anchor."""
+    """Windows of single strings that are repeated: k, t1, t2, s, n of each stretch. rows: PIECE, in order of anchor and part."""
 
-    def solve(anchor, k, t1, t2, s, n, off, single, data):
+    def solve(anchor, part, k, t1, t2, s, n, off, single, data):
         size = n + WINDOW - 1
         begin = np.cumsum(size) - size
         buf = np.frombuffer(b"".join(data), np.uint8)
         which = np.repeat(np.arange(len(n)), n)
         i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        _, number = np.unique(anchor, return_inverse=True)
+        number = np.cumsum(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])]))
         found = repeated(buf, begin[which] + i, number[which] * (2 * WINDOW) + (i - off[which] + WINDOW)) & single[which]
         x = np.flatnonzero(found)
         if len(x):
@@ -237,47 +243,95 @@ def _sort_runs(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((k[w], pa.int64()), (t1[w], pa.int64()), (t2[w], pa.int64()), (s[w] + i[x[b]], pa.int32()), (m, pa.int32()))], names=["k", "t1", "t2", "s", "n"])
 
     def run(batches):
-        held: list[list] = []
+        held: list[tuple] = []
         bytes_held = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and bytes_held > SORT_BYTES and row[0] != held[-1][0]:
-                    yield from solve(*(np.array(c) for c in list(zip(*held, strict=True))[:8]), [r[8] for r in held])
+                if held and bytes_held > SORT_BYTES and row[:2] != held[-1][:2]:
+                    yield from solve(*(np.array(c) for c in list(zip(*held, strict=True))[:9]), [r[9] for r in held])
                     held, bytes_held = [], 0
-                if held and row[:5] == held[-1][:5]:
+                if held and row[:6] == held[-1][:6]:
                     continue  # a repeated row of the table
                 held.append(row)
-                bytes_held += len(row[8])
+                bytes_held += len(row[9])
         if held:
-            yield from solve(*(np.array(c) for c in list(zip(*held, strict=True))[:8]), [r[8] for r in held])
+            yield from solve(*(np.array(c) for c in list(zip(*held, strict=True))[:9]), [r[9] for r in held])
+
+    return rows.select(*PIECE).repartition("anchor", "part").sortWithinPartitions("anchor", "part", "k", "t1", "t2", "s").mapInArrow(run, SPAN)
+
+
+SPAN = "k long, t1 long, t2 long, s int, n int"
+PIECE = ["anchor", "part", "k", "t1", "t2", "s", "n", "off", "single", "bytes"]
+
 
-    return rows.select("anchor", "k", "t1", "t2", "s", "n", "off", "single", "bytes").mapInArrow(run, "k long, t1 long, t2 long, s int, n int")
+def pieces(raw: bytes, s: int, n: int, off: int, places: int | None = None):
+    """(start, windows, anchor's offset, part) of the pieces of a run of n windows from s whose anchor stands at off: windows in which the
+    anchor stands at ``places`` successive places. part: a hash of these places and of the bytes that all windows of such places share."""
+    places = places or PLACES
+    for block in range((off - n + 1) // places, off // places + 1):
+        first, last = max(0, off - (block + 1) * places + 1), min(n - 1, off - block * places)
+        core = raw[s + off - block * places : s + off - (block + 1) * places + 1 + WINDOW]
+        part = int.from_bytes(hashlib.blake2b(block.to_bytes(4, "big") + core, digest_size=8).digest(), "big", signed=True)
+        yield s + first, last - first + 1, off - first, part
 
 
 def _cut_runs(rows: DataFrame) -> DataFrame:
-    """The bytes of runs: rows has text and the array ``wanted`` of (anchor, s, n, off, single)."""
+    """PIECE of the strings that rows (text and the array ``wanted`` of (anchor, s, n, off, single, hot)) ask for; those of hot anchors in
+    pieces, others whole with part 0."""
 
     def work(batch):
         for text, k, t1, t2, wanted in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
             raw = text.encode()
-            yield {
-                "anchor": [w["anchor"] for w in wanted], "k": [k] * len(wanted), "t1": [t1] * len(wanted), "t2": [t2] * len(wanted), "s": [w["s"] for w in wanted], "n": [w["n"] for w in wanted], "off": [w["off"] for w in wanted],
-                "single": [w["single"] for w in wanted], "bytes": [raw[w["s"] : w["s"] + w["n"] + WINDOW - 1] for w in wanted],
-            }
+            for w in wanted:
+                for s, n, off, part in pieces(raw, w["s"], w["n"], w["off"]) if w["hot"] else [(w["s"], w["n"], w["off"], 0)]:
+                    yield w["anchor"], part, k, t1, t2, s, n, off, w["single"], raw[s : s + n + WINDOW - 1]
 
     def grouped(batch):
-        parts, rows = [], 0
-        for columns in work(batch):
-            parts.append(columns)
-            rows += len(columns["k"])
-            if rows > 4000:
-                yield {c: [x for p in parts for x in p[c]] for c in parts[0]}
-                parts, rows = [], 0
-        if parts:
-            yield {c: [x for p in parts for x in p[c]] for c in parts[0]}
+        rows = []
+        for row in work(batch):
+            rows.append(row)
+            if len(rows) >= 4000:
+                yield dict(zip(PIECE, zip(*rows, strict=True), strict=True))
+                rows = []
+        if rows:
+            yield dict(zip(PIECE, zip(*rows, strict=True), strict=True))
 
     # with doc_id, so that the texts' exchange is the one that removal() has, and runs once
-    return shared.by_batch(rows.select("doc_id", "text", "k", "t1", "t2", "wanted"), grouped, "anchor long, k long, t1 long, t2 long, s int, n int, off int, single boolean, bytes binary")
+    return shared.by_batch(rows.select("doc_id", "text", "k", "t1", "t2", "wanted"), grouped, "anchor long, part long, k long, t1 long, t2 long, s int, n int, off int, single boolean, bytes binary")
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """Each window of PIECE rows by itself: anchor, part, place, 128 bits of hash, k, t1, t2, s, single."""
+
+    def work(batch):
+        out = []
+        for anchor, part, k, t1, t2, s, n, off, single, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(n):
+                h = hashlib.blake2b(data[i : i + WINDOW], digest_size=16).digest()
+                out.append((anchor, part, off - i, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), k, t1, t2, s + i, single))
+        if out:
+            yield dict(zip(names, zip(*out, strict=True), strict=True))
+
+    names = ["anchor", "part", "place", "w1", "w2", "k", "t1", "t2", "s", "single"]
+    return shared.by_batch(rows.select(*PIECE), work, "anchor long, part long, place int, w1 long, w2 long, k long, t1 long, t2 long, s int, single boolean")
+
+
+def _spans_of_hot(cut: DataFrame) -> DataFrame:
+    """SPAN of the repeated windows of hot anchors' single strings. cut: PIECE, stored."""
+    same = ["anchor", "part", "off", "n", "h1", "h2"]
+    all_pieces = cut.withColumns({"h1": F.xxhash64("bytes"), "h2": F.xxhash64(F.lit(1), "bytes")})
+    first = F.min(F.struct("k", "t1", "t2", "s")).alias("one")
+    kinds = shared.stored(all_pieces.groupBy(*same).agg(F.count(F.lit(1)).alias("found"), first, F.bool_and("single").alias("alone"), F.first("bytes").alias("bytes")))
+    span = ["k", "t1", "t2", "s", "n"]
+    whole = all_pieces.where("single").join(kinds.where("found > 1").select(*same), same, "left_semi").select(*span)
+    crowded = shared.stored(kinds.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") > HOT).select("anchor", "part"))
+    one_each = kinds.select("anchor", "part", "one.*", "n", "off", (F.col("alone") & (F.col("found") == 1)).alias("single"), "bytes")
+    partly = _sort_runs(one_each.join(crowded, ["anchor", "part"], "left_anti"))
+    place = ["anchor", "part", "place", "w1", "w2"]
+    windows = shared.stored(_windows(one_each.join(crowded, ["anchor", "part"], "left_semi")))
+    several = shared.stored(windows.groupBy(*place).agg(F.count(F.lit(1)).alias("found")).where("found > 1").select(*place))
+    alone = windows.where("single").join(several, place, "left_semi").select("k", "t1", "t2", "s", F.lit(1).alias("n"))
+    return whole.unionByName(partly).unionByName(alone)
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -290,10 +344,15 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     unlike = many.where(~F.col("alike"))
     kinds = shared.stored(unlike.groupBy("anchor", "run", "run2").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("k", "t1", "t2", "s", "n", "off")).alias("one")))
     whole = unlike.join(kinds.where("found > 1").select("anchor", "run", "run2"), ["anchor", "run", "run2"], "left_semi").select("k", "t1", "t2", "s", "n")
-    wanted = kinds.select("one.k", "one.t1", "one.t2", F.struct("anchor", "one.s", "one.n", "one.off", (F.col("found") == 1).alias("single")).alias("w")).groupBy("k", "t1", "t2").agg(F.collect_list("w").alias("wanted"))
-    cut = _cut_runs(keyed.join(wanted, ["k", "t1", "t2"]).select("doc_id", "text", "k", "t1", "t2", "wanted"))
-    partly = _sort_runs(cut.repartition("anchor").sortWithinPartitions("anchor", "k", "t1", "t2", "s"))
-    found = many.where("alike").select("k", "t1", "t2", "s", "n").unionByName(whole).unionByName(partly)
+    hot = shared.stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") > HOT).select("anchor"))
+    asked = kinds.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").select("one.k", "one.t1", "one.t2", F.struct("anchor", "one.s", "one.n", "one.off", (F.col("found") == 1).alias("single"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
+    cut = _cut_runs(keyed.join(asked.groupBy("k", "t1", "t2").agg(F.collect_list("w").alias("wanted")), ["k", "t1", "t2"]).select("doc_id", "text", "k", "t1", "t2", "wanted"))
+    found = many.where("alike").select("k", "t1", "t2", "s", "n").unionByName(whole)
+    if hot.isEmpty():
+        found = found.unionByName(_sort_runs(cut))
+    else:
+        cut = shared.stored(cut)
+        found = found.unionByName(_sort_runs(cut.where("part = 0"))).unionByName(_spans_of_hot(cut.where("part != 0")))
     return keyed, found.groupBy("k", "t1", "t2").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
 
 
