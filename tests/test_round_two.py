@@ -143,3 +143,12 @@ def test_code_text(spark):
     assert first(fn.truncated(F.lit("abcdef"), 5)) == "ab..." and first(fn.truncated(F.lit("abc"), 3)) == "abc"
     assert first(fn.relative_path(F.lit("C:\\w\\a\\b.py"), "C:\\w")) == "a/b.py"
     assert first(fn.json_field(F.lit("{broken"), "a")) is None
+
+
+def test_frameworks_and_generated_files(spark):
+    from weftline.sources import code
+
+    deps = spark.createDataFrame([("react", "18", "package.json"), ("left-pad", "1", "package.json"), ("django", "5", "requirements.txt"), ("react", "18", "package.json")], "name string, version string, source_file string")
+    assert {r.name for r in finders.frameworks(deps).collect()} == {"react", "django"} and finders.frameworks(deps).count() == 2
+    files = spark.createDataFrame([("a.min.js", ""), ("b.js", "// @generated by x"), ("c.js", "x"), ("d_pb2.py", ""), ("yarn.lock", ""), ("e.js", " " * 600 + "@generated")], "path string, content string")
+    assert {r.path for r in files.where(code.generated(F.col("path"), F.col("content"))).collect()} == {"a.min.js", "b.js", "d_pb2.py"} | {r.path for r in files.where("path = 'yarn.lock'").where(code.generated(F.col("path"), F.col("content"))).collect()}
