@@ -33,6 +33,24 @@ LINE_RULES = [
     ("magic-number", "smell", "info", r"[=<>]\s*[0-9]{4,}\b", "a number without a name"),
     ("nested-callback", "smell", "warning", r"(function\s*\(.*){3,}", "callbacks within callbacks"),
     ("nested-quantifier", "regex", "high", r"\([^)]*[+*]\)[+*]", "a pattern that may take exponential time"),
+    ("connection-string", "secrets", "critical", r"\b(postgres|postgresql|mysql|mongodb|redis|amqp)(\+\w+)?://[^\s:/@'\"]+:[^\s:/@'\"]+@", "a password in a connection string"),
+    ("web-token", "secrets", "high", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", "a signed token"),
+    ("shell-true", "injection", "high", r"\bshell\s*=\s*True\b", "a command run by a shell"),
+    ("unsafe-load", "injection", "high", r"\b(yaml\.load\([^)]*\)|pickle\.loads?\(|marshal\.loads?\()", "data that can run code"),
+    ("weak-hash", "crypto", "warning", r"(hashlib\.(md5|sha1)\(|createHash\(['\"](md5|sha1)['\"])", "a weak hash"),
+    ("no-certificate-check", "crypto", "high", r"(verify\s*=\s*False|rejectUnauthorized\s*:\s*false|InsecureSkipVerify\s*:\s*true)", "certificates are not checked"),
+    ("alert", "debug", "warning", r"(^|[^\w.])alert\(", "a dialogue for debugging"),
+    ("debug-macro", "debug", "warning", r"(\bdbg!\(|\bvar_dump\(|\bprintStackTrace\()", "a debugging aid"),
+    ("deep-copy-by-json", "performance", "info", r"JSON\.parse\(\s*JSON\.stringify\(", "a copy by way of text"),
+    ("sync-request", "performance", "warning", r"\.open\(\s*['\"](GET|POST)['\"]\s*,[^,)]+,\s*false\s*\)", "a request that blocks"),
+    ("select-all", "performance", "info", r"(?i)\bselect\s+\*\s+from\b", "all columns are read"),
+    ("bare-except", "smell", "warning", r"^\s*except\s*:", "all errors are caught"),
+    ("empty-catch", "smell", "warning", r"catch\s*(\([^)]*\))?\s*\{\s*\}", "an error is dropped"),
+    ("loose-equality", "smell", "info", r"[^=!<>]==\s*(null|undefined|true|false)\b", "a comparison that converts types"),
+    ("greedy-any", "regex", "info", r"re\.(match|search|compile)\(r?['\"][^'\"]*\.\*[^'\"]*\.\*", "a pattern with several greedy parts"),
+    ("positive-tabindex", "accessibility", "warning", r"tabindex=['\"]?[1-9]", "an order of focus by hand"),
+    ("frame-title", "accessibility", "warning", r"<iframe(\s+([a-su-zA-SU-Z][\w-]*|t[a-hj-z][\w-]*)(=(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*\s*/?>", "a frame without a title"),
+    ("zoom-off", "accessibility", "warning", r"user-scalable\s*=\s*(no|0)\b", "zoom is switched off"),
     ("vague-link", "accessibility", "info", r">\s*(click here|here|more|read more)\s*</a>", "a link without a meaning"),
     ("missing-alt", "accessibility", "warning", r"<img(\s+([b-zB-Z][\w-]*|a[a-km-z][\w-]*|al[a-su-z][\w-]*)(=(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*\s*/?>", "an image without alternative text"),
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 import time
@@ -9,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -53,6 +55,22 @@ class Registry:
     def names(self, kind: str) -> list[str]:
         return sorted(n for k, n in self.items if k == kind)
 
+    def load(self, folder: str) -> list[str]:
+        """Add the rule packs whose manifests (``*.json``: name, kind, needs, rules with the five fields by name) stand in a folder; names of
+        those added. Code is never loaded from files."""
+        added = []
+        for path in sorted(Path(folder).glob("*.json")):
+            try:
+                manifest = json.loads(path.read_text())
+                if manifest.get("kind") != "rule_pack":
+                    raise PluginError(f"{path.name}: only rule packs are loaded from files")
+                rules = [tuple(r[f] for f in ("id", "category", "severity", "pattern", "message")) for r in manifest["rules"]]
+                self.add("rule_pack", manifest["name"], rules, manifest.get("needs", "0.0.0"))
+            except (KeyError, TypeError, AttributeError, json.JSONDecodeError) as e:
+                raise PluginError(f"{path.name}: {e}") from e
+            added.append(manifest["name"])
+        return added
+
     def rules(self) -> list[tuple]:
         return [r for n in self.names("rule_pack") for r in self.items["rule_pack", n]]
 

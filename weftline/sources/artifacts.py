@@ -43,3 +43,11 @@ def import_snapshot(spark: SparkSession, path: str, name: str, schema: str, exis
 
     incoming = spark.read.schema(schema).json(f"{path}/{name}")
     return incoming if existing is None else merge_snapshot(existing, incoming.select(existing.columns), keys or [])
+
+
+def cobertura_lines(reports: DataFrame) -> DataFrame:
+    """file, line and hits of XML coverage reports (path, content) in which classes name a file and hold its lines; the most hits of a line."""
+    classes = F.regexp_extract_all("content", F.lit(r"(?s)(<class\b[^>]*>.*?</class>)"), 1)
+    one = reports.select(F.explode(classes).alias("c")).select(F.regexp_extract("c", r"<class\b[^>]*\bfilename=\"([^\"]*)\"", 1).alias("file"), F.explode(F.regexp_extract_all("c", F.lit(r"(<line\b[^>]*>)"), 1)).alias("l"))
+    found = one.select("file", F.regexp_extract("l", r"\bnumber=\"(\d+)\"", 1).cast("long").alias("line"), F.regexp_extract("l", r"\bhits=\"(\d+)\"", 1).cast("long").alias("hits"))
+    return found.groupBy("file", "line").agg(F.max("hits").alias("hits"))

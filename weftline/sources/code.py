@@ -65,10 +65,19 @@ def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_fil
     return kept.select("path", F.decode("content", "UTF-8").alias("content"), "language", F.unix_micros("modificationTime").alias("mtime"), F.sha2("content", 256).alias("content_hash"))
 
 
-def language(path: Column) -> Column:
+#: Interpreters that a first line names, by language (fixed values).
+INTERPRETERS = {"python": "python", "python2": "python", "python3": "python", "node": "javascript", "deno": "typescript", "bash": "shell", "sh": "shell", "zsh": "shell", "ruby": "ruby", "php": "php", "lua": "lua", "Rscript": "r"}
+
+
+def language(path: Column, content: Column | None = None) -> Column:
+    """By name, by ending, and, where neither tells and the content is given, by the interpreter in its first line; null: unknown."""
     known = F.create_map(*[F.lit(x) for p in LANGUAGES.items() for x in p])
     special = F.when(base_name(path) == "Dockerfile", "docker").when(base_name(path) == "Makefile", "make")
-    return F.coalesce(special, F.try_element_at(known, extension(path)))
+    found = [special, F.try_element_at(known, extension(path))]
+    if content is not None:
+        interpreters = F.create_map(*[F.lit(x) for p in INTERPRETERS.items() for x in p])
+        found.append(F.try_element_at(interpreters, F.regexp_extract(content, r"^#![ \t]*(?:\S*/)?(?:env[ \t]+(?:-\S+[ \t]+)*)?([A-Za-z]+[0-9]?)(?:[.0-9]*)\b", 1)))
+    return F.coalesce(*found)
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:
@@ -85,6 +94,11 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def ignored_in_tiers(path: Column, builtin: list[str], user: list[str], workspace: list[str]) -> Column:
+    """Ignore rules of three sources; of those that fit, the last one of the last source decides."""
+    return ignored(path, [*builtin, *user, *workspace])
+
+
 def generated(path: Column, content: Column) -> Column:
     """Files that a tool wrote: minified, bundled, locked, or marked as generated in their first 500 characters."""
     return path.rlike(r"(?i)(\.min\.(js|css)|\.bundle\.js|[-.]lock(\.json)?|\.generated\.\w+|\.pb\.go|_pb2\.py)$") | F.substring(content, 1, 500).rlike(r"(?i)(@generated|auto-?generated|do not edit)")
