@@ -71,8 +71,8 @@ def test_matching_is_greedy(spark):
 
 def test_envelope_pages_and_budgets():
     items = [{"k": k, "severity": s} for k, s in enumerate(["low", "critical", None, "high"] * 10)]
-    page = formats.envelope(items, "x", top=5, offset=38)
-    assert [i["k"] for i in page["items"]] == [38, 39] and not page["has_more"] and formats.envelope(items, "x", top=5)["has_more"]
+    page = formats.page(items, "x", 5, 38)
+    assert [i["k"] for i in page["items"]] == [38, 39] and not page["has_more"] and page["stats"] == {"total": 40, "shown": 2} and formats.page(items, "x", 5)["has_more"]
     assert [len(formats.envelope(items, "x", max_tokens=n)["items"]) for n in (10_000, 120, 40, 1)] == [40, 10, 3, 0]
     order = [i["severity"] for i in formats.sorted_items(items[:4], "severity")]
     assert order == ["critical", "high", "low", None] and [i["severity"] for i in formats.sorted_items(items[:4], "severity", least_severe_first=True)] == ["low", "high", "critical", None]

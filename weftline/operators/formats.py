@@ -66,16 +66,22 @@ def graphml(nodes: Iterable[dict], edges: Iterable[dict]) -> str:
     return "".join(out) + "</graph></graphml>"
 
 
-def envelope(items: list[dict], command: str, top: int | None = None, max_tokens: int | None = None, lite: list[str] | None = None, offset: int = 0) -> dict:
-    """status, command, stats, items, truncated and has_more. ``offset`` and ``top`` page through the items; ``max_tokens`` counts four
-    characters a token and cuts the list to 10, then to 3, then to none."""
+def envelope(items: list[dict], command: str, top: int | None = None, max_tokens: int | None = None, lite: list[str] | None = None) -> dict:
+    """status, command, stats, items and truncated; ``max_tokens`` counts four characters a token and cuts the list to 10, then to 3, then to
+    none."""
     shown = [{k: i[k] for k in lite if k in i} for i in items] if lite else list(items)
-    shown = shown[offset:][:top] if top is not None else shown[offset:]
-    has_more = offset + len(shown) < len(items)
+    shown = shown[:top] if top else shown
     for most in (10, 3, 0):
         if max_tokens is not None and len(json.dumps(shown, default=str)) // 4 > max_tokens:
             shown = shown[:most]
-    return {"status": "ok", "command": command, "stats": {"total": len(items), "shown": len(shown), "offset": offset}, "items": shown, "truncated": len(shown) < len(items), "has_more": has_more}
+    return {"status": "ok", "command": command, "stats": {"total": len(items), "shown": len(shown)}, "items": shown, "truncated": len(shown) < len(items)}
+
+
+def page(items: list[dict], command: str, size: int, offset: int = 0, **options) -> dict:
+    """The envelope of ``size`` items from ``offset`` on, with offset, the total of all items, and has_more."""
+    out = envelope(items[offset : offset + size], command, **options)
+    out["stats"]["total"] = len(items)
+    return out | {"offset": offset, "has_more": offset + size < len(items), "truncated": len(out["items"]) < len(items)}
 
 
 #: Severities from the worst on, as lists are sorted (fixed values).
