@@ -57,10 +57,11 @@ def test_tree_of_a_trace(spark):
 
 
 def test_a_cluster_must_name_its_shared_folder():
-    session = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    session = lambda master, named=None: SimpleNamespace(conf={"spark.checkpoint.dir": named} if named else {}, sparkContext=SimpleNamespace(master=master))
+    assert graph.shared_folder(session("yarn", "hdfs://x")) == "hdfs://x" and graph.shared_folder(session("local[2]"))
     for master in ("spark://a", "yarn", "local-cluster[2,1,512]"):
         with pytest.raises(ValueError):
-            graph.saved(SimpleNamespace(sparkSession=session(master)))
+            graph.shared_folder(session(master))
 
 
 def test_place_of_whole_words(spark):
