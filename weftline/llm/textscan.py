@@ -13,7 +13,7 @@ import types
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U = np.uint64
 #: The modulus of the hashes, and a base for each of the two polynomials.
 PRIME = (1 << 31) - 1
