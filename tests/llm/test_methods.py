@@ -188,6 +188,33 @@ def test_removal_with_hot_anchors_equals_plain_one(spark, monkeypatch, hot, plac
     assert [tuple(r)[1:] for r in got] == brute.removal(texts)
 
 
+def test_hot_anchors_move_texts_no_second_time(spark, monkeypatch):
+    rnd = random.Random(3)
+    noise = lambda n: "".join(chr(rnd.randint(35, 126)) for _ in range(n))
+    passage = noise(230)
+    texts = [noise(4000) + (passage if i % 4 == 0 else "") + noise(4000) for i in range(40)]
+    plain = sorted(brute.removal(texts))
+    docs = shared.stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+
+    def written():
+        found = stages()
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = []
+        for hot in (1000, 3):
+            monkeypatch.setattr(suffixes, "HOT", hot)
+            before = max(written())
+            got = suffixes.removal(docs).collect()
+            assert sorted(tuple(r)[1:] for r in got) == plain
+            moved.append(sum(size for stage, size in written().items() if stage > before))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved[1] - moved[0] < sum(map(len, texts)) / 3
+
+
 def test_posterior_bounds():
     from math import comb
 

@@ -13,7 +13,8 @@ Runs of the same hash are one string with a multiplicity, as copies of a text ar
 Hot anchors. An anchor with more than HOT strings is dealt out further. Its strings are cut into pieces of the windows in which it stands at
 PLACES successive places; what all windows of such places share, the core, is hashed, and pieces meet only others with their places and
 core, where equal ones become one again. A group that still has more than HOT pieces is dealt out by single windows, where only equal ones
-meet. So no task sorts more than HOT strings of a group, and what is equal is counted before it moves.
+meet. So no task sorts more than HOT strings of a group, and what is equal is counted before it moves. The bytes of these strings come from
+another scan of the texts, one of each in a task: the texts themselves move once, whether anchors are hot or not.
 
 Suffix sort. Windows are sorted within their anchor by deep-shallow sorting: multikey quicksort on 8-byte words to SHALLOW bytes, all groups
 in one vectorised pass for each word, then blind tries order what still agrees. Windows next to each other that agree in 200 bytes are
@@ -27,6 +28,7 @@ whose length bounds them.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from weftline.llm.textscan import U
 
 WINDOW, SEED, SHALLOW = 200, 64, 64
 HOT, PLACES = 2048, 8
+#: Marks by the low bits of an anchor, which say where the scan for hot anchors looks; a join tells which of these are hot.
+MARKS = 1 << 18
 NO_ID = -(1 << 63)
 
 
@@ -208,15 +212,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), *shared.text_key(text, F.col("doc_id").isNull()))
 
 
-def _run_rows(keyed: DataFrame) -> DataFrame:
+RUN = "anchor long, run long, run2 long, k long, t1 long, t2 long, s int, n int, off int"
+
+
+def _run_rows(keyed: DataFrame, marked: Callable[[], np.ndarray] | None = None) -> DataFrame:
+    """The runs of all texts; of marked anchors only, and with their bytes, if marks are given."""
+
     def work(batch):
         k, t1, t2 = (np.asarray(batch.column(i)) for i in (1, 2, 3))
         for first, _, buf, offs in textscan.chunks(batch.column(0)):
-            text, s, n, off, anchor, run, run2 = runs(buf, offs)
+            text, s, n, off, anchor, run, run2 = found = runs(buf, offs)
+            if marked is not None:
+                x = np.flatnonzero(marked()[(anchor & U(MARKS - 1)).astype(np.int64)])
+                text, s, n, off, anchor, run, run2 = (c[x] for c in found)
             if len(text):
-                yield {"anchor": anchor.view(np.int64), "run": run.view(np.int64), "run2": run2.view(np.int64), "k": k[first + text], "t1": t1[first + text], "t2": t2[first + text], "s": s, "n": n, "off": off}
+                columns = {"anchor": anchor.view(np.int64), "run": run.view(np.int64), "run2": run2.view(np.int64), "k": k[first + text], "t1": t1[first + text], "t2": t2[first + text], "s": s, "n": n, "off": off}
+                if marked is not None:
+                    begin = offs[text] + s
+                    columns["bytes"] = [buf[i:j].tobytes() for i, j in zip(begin, begin + n + WINDOW - 1, strict=True)]
+                yield columns
 
-    return shared.by_batch(keyed.where(F.octet_length("text") >= WINDOW).select("text", "k", "t1", "t2"), work, "anchor long, run long, run2 long, k long, t1 long, t2 long, s int, n int, off int")
+    return shared.by_batch(keyed.where(F.octet_length("text") >= WINDOW).select("text", "k", "t1", "t2"), work, RUN if marked is None else f"{RUN}, bytes binary")
 
 
 #: Bytes of runs that are sorted at once; a single anchor's runs may be more.
@@ -275,29 +291,48 @@ def pieces(raw: bytes, s: int, n: int, off: int, places: int | None = None):
         yield s + first, last - first + 1, off - first, part
 
 
+def _in_rows(pieces_of: Callable, rows: DataFrame) -> DataFrame:
+    """PIECE of what ``pieces_of`` gives for each batch."""
+
+    def grouped(batch):
+        out = []
+        for row in pieces_of(batch):
+            out.append(row)
+            if len(out) >= 4000:
+                yield dict(zip(PIECE, zip(*out, strict=True), strict=True))
+                out = []
+        if out:
+            yield dict(zip(PIECE, zip(*out, strict=True), strict=True))
+
+    return shared.by_batch(rows, grouped, "anchor long, part long, k long, t1 long, t2 long, s int, n int, off int, single boolean, bytes binary")
+
+
 def _cut_runs(rows: DataFrame) -> DataFrame:
-    """PIECE of the strings that rows (text and the array ``wanted`` of (anchor, s, n, off, single, hot)) ask for; those of hot anchors in
-    pieces, others whole with part 0."""
+    """PIECE of the strings that rows (text and the array ``wanted`` of (anchor, s, n, off, single)) ask for, whole and with part 0."""
 
     def work(batch):
         for text, k, t1, t2, wanted in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
             raw = text.encode()
             for w in wanted:
-                for s, n, off, part in pieces(raw, w["s"], w["n"], w["off"]) if w["hot"] else [(w["s"], w["n"], w["off"], 0)]:
-                    yield w["anchor"], part, k, t1, t2, s, n, off, w["single"], raw[s : s + n + WINDOW - 1]
-
-    def grouped(batch):
-        rows = []
-        for row in work(batch):
-            rows.append(row)
-            if len(rows) >= 4000:
-                yield dict(zip(PIECE, zip(*rows, strict=True), strict=True))
-                rows = []
-        if rows:
-            yield dict(zip(PIECE, zip(*rows, strict=True), strict=True))
+                yield w["anchor"], 0, k, t1, t2, w["s"], w["n"], w["off"], w["single"], raw[w["s"] : w["s"] + w["n"] + WINDOW - 1]
 
     # with doc_id, so that the texts' exchange is the one that removal() has, and runs once
-    return shared.by_batch(rows.select("doc_id", "text", "k", "t1", "t2", "wanted"), grouped, "anchor long, part long, k long, t1 long, t2 long, s int, n int, off int, single boolean, bytes binary")
+    return _in_rows(work, rows.select("doc_id", "text", "k", "t1", "t2", "wanted"))
+
+
+def _cut_hot(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    """PIECE of the different strings of hot anchors, in pieces. Equal strings are counted where they are read, before any bytes move."""
+    marked = np.zeros(MARKS, bool)
+    marked[hot.select(F.col("anchor").bitwiseAND(F.lit(MARKS - 1)).alias("mark")).distinct().toArrow()["mark"].to_numpy()] = True  # MARKS rows at most
+    one = F.min(F.struct("k", "t1", "t2", "s", "n", "off")).alias("one")
+    kinds = _run_rows(keyed, shared.sent(keyed.sparkSession, marked)).groupBy("anchor", "run", "run2").agg(F.count(F.lit(1)).alias("found"), one, F.first("bytes").alias("bytes"))
+
+    def work(batch):
+        for anchor, k, t1, t2, s, n, off, single, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for begin, m, at, part in pieces(data, 0, n, off):
+                yield anchor, part, k, t1, t2, s + begin, m, at, single, data[begin : begin + m + WINDOW - 1]
+
+    return _in_rows(work, kinds.join(hot, "anchor", "left_semi").select("anchor", "one.*", (F.col("found") == 1).alias("single"), "bytes"))
 
 
 def _windows(rows: DataFrame) -> DataFrame:
@@ -345,14 +380,11 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = shared.stored(unlike.groupBy("anchor", "run", "run2").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("k", "t1", "t2", "s", "n", "off")).alias("one")))
     whole = unlike.join(kinds.where("found > 1").select("anchor", "run", "run2"), ["anchor", "run", "run2"], "left_semi").select("k", "t1", "t2", "s", "n")
     hot = shared.stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") > HOT).select("anchor"))
-    asked = kinds.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").select("one.k", "one.t1", "one.t2", F.struct("anchor", "one.s", "one.n", "one.off", (F.col("found") == 1).alias("single"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
+    asked = kinds.join(hot, "anchor", "left_anti").select("one.k", "one.t1", "one.t2", F.struct("anchor", "one.s", "one.n", "one.off", (F.col("found") == 1).alias("single")).alias("w"))
     cut = _cut_runs(keyed.join(asked.groupBy("k", "t1", "t2").agg(F.collect_list("w").alias("wanted")), ["k", "t1", "t2"]).select("doc_id", "text", "k", "t1", "t2", "wanted"))
-    found = many.where("alike").select("k", "t1", "t2", "s", "n").unionByName(whole)
-    if hot.isEmpty():
-        found = found.unionByName(_sort_runs(cut))
-    else:
-        cut = shared.stored(cut)
-        found = found.unionByName(_sort_runs(cut.where("part = 0"))).unionByName(_spans_of_hot(cut.where("part != 0")))
+    found = many.where("alike").select("k", "t1", "t2", "s", "n").unionByName(whole).unionByName(_sort_runs(cut))
+    if not hot.isEmpty():
+        found = found.unionByName(_spans_of_hot(shared.stored(_cut_hot(keyed, hot))))
     return keyed, found.groupBy("k", "t1", "t2").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
 
 
