@@ -70,13 +70,13 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def by_text(texts: pa.Array, limit: int = textscan.CHUNK_BYTES):
-    """(texts' numbers, terms, counts) in parts; each text's counts are complete and each of its terms comes once."""
+    """(texts' numbers, codes, terms by code, counts) in parts; each text's counts are complete and each of its terms comes once."""
     for row, rows, buf, offs in textscan.chunks(texts, limit):
         if rows > 1 or len(buf) <= 2 * limit:
             text, coded = terms(buf, offs)
             size = max(len(coded.dictionary), 1)
             key, n = summed(text * size + coded.indices.to_numpy(zero_copy_only=False), np.ones(len(text), np.int64))
-            yield row + key // size, coded.dictionary.take(pa.array(key % size)), n
+            yield row + key // size, key % size, coded.dictionary, n
             continue
         held, at = [], 0  # a long text, cut between terms
         part, _ = _tables()
@@ -92,7 +92,7 @@ def by_text(texts: pa.Array, limit: int = textscan.CHUNK_BYTES):
                 held = [_merged(held, ["term"], ["n"])]
             at = end
         whole = _merged(held, ["term"], ["n"])
-        yield np.full(len(whole), row), whole["term"].combine_chunks(), whole["n"].to_numpy()
+        yield np.full(len(whole), row), np.arange(len(whole)), whole["term"].combine_chunks(), whole["n"].to_numpy()
 
 
 def _merged(tables: list[pa.Table], by: list[str], values: list[str]) -> pa.Table:
@@ -100,16 +100,27 @@ def _merged(tables: list[pa.Table], by: list[str], values: list[str]) -> pa.Tabl
     return t.select([*by, *(f"{v}_sum" for v in values)]).rename_columns([*by, *values])
 
 
-def cells(langs: pa.Array, found: pa.Array, bits: int) -> np.ndarray:
-    """A cell in each row of the sketch for each (lang, term): numbers below DEPTH * 2**bits."""
-    coded = langs.dictionary_encode()
-    seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in coded.dictionary.to_pylist()], U)
+def term_hashes(found: pa.Array) -> np.ndarray:
     found = found.cast(pa.large_binary())
+    if not len(found):
+        return np.zeros(0, U)
     offs = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
-    buf = np.frombuffer(found.buffers()[2], np.uint8)[offs[0] : offs[-1]] if len(found) else np.zeros(0, np.uint8)
-    h = textscan.span_hashes(textscan.prefix_hashes(buf), offs[:-1] - offs[0], offs[1:] - offs[0]) ^ seeds[coded.indices.to_numpy(zero_copy_only=False)] if len(found) else np.zeros(0, U)
-    rows = [(textscan.mix(h + U(d + 1) * U(0x9E3779B97F4A7C15)) >> U(64 - bits)) + U(d << bits) for d in range(DEPTH)]
-    return np.stack(rows).astype(np.int64)
+    buf = np.frombuffer(found.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+    return textscan.span_hashes(textscan.prefix_hashes(buf), offs[:-1] - offs[0], offs[1:] - offs[0])
+
+
+def lang_codes(langs: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Each row's code, a seed for each code, the codes' languages."""
+    coded = langs.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    seeds = [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in names]
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.array(seeds, U), names
+
+
+def cells(h: np.ndarray, bits: int) -> np.ndarray:
+    """A cell in each row of the sketch for each hash of (lang, term): numbers below DEPTH * 2**bits."""
+    odd = [U((d + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for d in range(DEPTH)]
+    return np.stack([(textscan.mix(h + c) >> U(64 - bits)) + U(d << bits) for d, c in enumerate(odd)]).astype(np.int64)
 
 
 def sketch_bits(docs: int) -> int:
@@ -126,10 +137,15 @@ def sketch(docs: DataFrame, bits: int, least: int = LEAST_DOCS) -> np.ndarray:
     def run(batches):
         counts = np.zeros(DEPTH << bits, np.uint8)
         for batch in batches:
-            for text, found, _ in by_text(batch.column(1)):
-                at = cells(batch.column(0).take(pa.array(text)), found, bits).ravel()
-                u, n = summed(at, np.ones(len(at), np.int64))
-                counts[u] = np.minimum(counts[u] + n, 255)  # 255 is as good as more
+            lang, seeds, _ = lang_codes(batch.column(0))
+            for text, code, found, _ in by_text(batch.column(1)):
+                # documents by (lang, term) first, then by cell
+                key, n = summed(lang[text] * len(found) + code, np.ones(len(text), np.int64))
+                if len(key):
+                    at = cells(term_hashes(found)[key % len(found)] ^ seeds[key // len(found)], bits)
+                    for row in at:
+                        u, more = summed(row, n)
+                        counts[u] = np.minimum(counts[u] + more, 255)  # 255 is as good as more
         u = np.flatnonzero(counts)
         for k in range(0, len(u), 100_000):
             part = u[k : k + 100_000]
@@ -153,12 +169,20 @@ def counted(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     def run(batches):
         full, held, rows = np.unpackbits(may()).astype(bool), [], 0
         for batch in batches:
-            for text, found, n in by_text(batch.column(2)):
-                langs = batch.column(0).take(pa.array(text))
-                keep = pa.array(full[cells(langs, found, bits)].all(0))
-                sources = batch.column(1).take(pa.array(text))
-                one = pa.table({"lang": langs, "source": sources, "term": found, "n": n, "docs": np.ones(len(n), np.int64)}).filter(keep)
-                held.append(_merged([one], by, values))
+            lang, seeds, langs = lang_codes(batch.column(0))
+            coded = batch.column(1).dictionary_encode()
+            sources, source = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            for text, code, found, n in by_text(batch.column(2)):
+                if not len(text):
+                    continue
+                width = len(found)
+                group = lang[text] * len(sources) + source[text]
+                key, n, docs_of = summed(group * width + code, n, np.ones(len(n), np.int64))
+                group, code = key // width, key % width
+                keep = full[cells(term_hashes(found)[code] ^ seeds[group // len(sources)], bits)].all(0)
+                group, code, n, docs_of = group[keep], code[keep], n[keep], docs_of[keep]
+                names = pa.array(langs, pa.string()).take(pa.array(group // len(sources)))
+                held.append(pa.table({"lang": names, "source": sources.take(pa.array(group % len(sources))), "term": found.take(pa.array(code)), "n": n, "docs": docs_of}))
                 rows += len(held[-1])
                 if rows > HELD_ROWS:
                     held = [_merged(held, by, values)]
@@ -228,7 +252,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, ranks: int = RANKS) -> DataF
 
     by = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     above = named.withColumn("value", F.col("p") - share(F.col("in_lang"), F.col("lang_n"), F.col("v"))).where("value > 0")
-    above = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", F.row_number().over(by).alias("rank")).where(F.col("rank") <= ranks)
+    above = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= ranks)
 
     base = F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.col("group_n"), F.col("v"))).otherwise(0).cast("long")
     alone = groups.select("lang", "at", "blocks", F.explode(F.sequence(F.lit(0), F.col("term_blocks") - 1)).alias("tb"), F.lit(None).cast("string").alias("term"), base.alias("p"))
@@ -241,7 +265,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, ranks: int = RANKS) -> DataF
     far = far.join(one, ["lang", "a"]).join(two, ["lang", "b"])
     far = shared.stored(far.select("lang", "source_a", "source_b", (F.col("value") + F.abs(F.col("p_a") - F.col("p_b")) * (F.col("v") - F.col("seen"))).alias("value")))
     both = far.select("lang", F.col("source_a").alias("source"), F.col("source_b").alias("item"), "value").unionByName(far.select("lang", F.col("source_b").alias("source"), F.col("source_a").alias("item"), "value"))
-    return both.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by).alias("rank")).unionByName(above)
+    return both.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(by)).unionByName(above)
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
