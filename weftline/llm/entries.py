@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import contain, conversations, divergence, licences, neardup, packing, pagetext, quality, records, suffixes, warc
+from weftline.llm import contain, conversations, divergence, licences, neardup, packing, pagetext, quality, records, suffixes, vectors, warc
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_warc_derivatives": warc.op10_warc_derivatives,
         "op11_conversation_repair": conversations.op11_conversation_repair,
         "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_embedding_neardup": vectors.op13_embedding_neardup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_length_buckets": packing.OP1_SQL, "op5_benchmark_leaks": contain.OP5_SQL, "op8_license_scan": licences.OP8_SQL, "op10_warc_derivatives": warc.OP10_SQL, "op11_conversation_repair": conversations.OP11_SQL, "op12_source_divergence": divergence.OP12_SQL}
+    return {"op1_length_buckets": packing.OP1_SQL, "op5_benchmark_leaks": contain.OP5_SQL, "op8_license_scan": licences.OP8_SQL, "op10_warc_derivatives": warc.OP10_SQL, "op11_conversation_repair": conversations.OP11_SQL, "op12_source_divergence": divergence.OP12_SQL, "op13_embedding_neardup": vectors.OP13_SQL}
