@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from weftline.llm import neardup, shared
 
 THRESHOLD = 0.9
-#: Dimensions of a block, at most; vectors of a tile; rows of one comparison.
-BLOCK_DIMS, TILE, STEP = 16, 8192, 512
+#: Dimensions of a block, at most; vectors of a tile; rows of one comparison on either side.
+BLOCK_DIMS, TILE, LEFT, RIGHT = 16, 32768, 256, 2048
 #: What single precision may be wrong by, in a squared distance within a block; how much wider slabs are than the radius.
 SLACK, WIDER = 1e-4, 1 + 1e-6
 
@@ -99,31 +99,37 @@ class Forest:
                     self.edges.append((i, j))
 
 
-def linked(l_unit: np.ndarray, r_unit: np.ndarray, l_turned: np.ndarray, r_turned: np.ndarray, block: int, threshold: float, may) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of left, row of right) that reach the threshold and use least of the budget in the block. may(i, j): are they to be compared."""
-    parts = blocks_of(l_unit.shape[1])
+def linked(unit: np.ndarray, turned: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, threshold: float, may=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of left, of right: numbers of rows) that reach the threshold and use least of the budget in the block. may(x, y): are they to be
+    compared."""
+    parts = blocks_of(unit.shape[1])
     part, dims = parts[block], np.array([p.stop - p.start for p in parts])
-    budget = (2 - 2 * threshold) * dims[block] / dims.sum() + SLACK
-    a, b = l_turned[:, part].astype(np.float32), r_turned[:, part].astype(np.float32)
-    aa, bb = (a * a).sum(1), (b * b).sum(1)
-    out_i, out_j = [], []
-    for s in range(0, len(a), STEP):
-        far = aa[s : s + STEP, None] + bb - 2 * (a[s : s + STEP] @ b.T)
-        i, j = np.nonzero(far <= budget)
-        i += s
-        for k in range(0, len(i), 1 << 16):
-            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            keep = may(x, y)
-            x, y = x[keep], y[keep]
-            keep = (l_unit[x] * r_unit[y]).sum(1) >= threshold
-            x, y = x[keep], y[keep]
-            d = (l_turned[x] - r_turned[y]) ** 2
-            used = np.stack([d[:, p].sum(1) / n for p, n in zip(parts, dims, strict=True)])
-            keep = used.argmin(0) == block
-            out_i.append(x[keep])
-            out_j.append(y[keep])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(out_i or [none]), np.concatenate(out_j or [none])
+    budget = np.float32((2 - 2 * threshold) * dims[block] / dims.sum() + SLACK)
+    near = turned[:, part].astype(np.float32)
+    size = (near * near).sum(1, keepdims=True)
+    one = np.ones_like(size)
+    # squared distances are products of rows of these two
+    a, b = np.hstack([-2 * near, size, one])[left], np.hstack([near, one, size])[right].T.copy()
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for s in range(0, len(left), LEFT):
+        for t in range(0, len(right), RIGHT):
+            within = a[s : s + LEFT] @ b[:, t : t + RIGHT] <= budget
+            if not within.any():
+                continue
+            i, j = np.nonzero(within)
+            for k in range(0, len(i), 1 << 16):
+                x, y = left[s + i[k : k + (1 << 16)]], right[t + j[k : k + (1 << 16)]]
+                if may is not None:
+                    keep = may(x, y)
+                    x, y = x[keep], y[keep]
+                keep = (unit[x] * unit[y]).sum(1) >= threshold
+                x, y = x[keep], y[keep]
+                d = (turned[x] - turned[y]) ** 2
+                used = np.stack([d[:, p].sum(1) / n for p, n in zip(parts, dims, strict=True)])
+                keep = used.argmin(0) == block
+                out.append((x[keep], y[keep]))
+    x, y = zip(*out, strict=True)
+    return np.concatenate(x), np.concatenate(y)
 
 
 def joined(nodes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -160,11 +166,10 @@ def joined(nodes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
                         for other in range(int(n.max(initial=0))):
                             meets = n > other
                             same = mine == other
-                            for side, i, j, take in ((3, mine, mine, meets & same), (1, mine, np.full(len(n), other), meets & ~same), (2, np.full(len(n), other), mine, meets & ~same)):
-                                if is_guest:
-                                    if side == 2:
-                                        continue
-                                    side = 5
+                            that = np.full(len(n), other)
+                            # a guest meets the own vectors of every tile; own vectors of two tiles meet where the first is left
+                            ways = [(5, mine, that, meets)] if is_guest else [(3, mine, mine, meets & same), (1, mine, that, meets & (mine < that)), (2, that, mine, meets & ~same)]
+                            for side, i, j, take in ways:
                                 t = np.flatnonzero(take)
                                 for s in range(0, len(t), 4096):
                                     u = t[s : s + 4096]
@@ -175,14 +180,15 @@ def joined(nodes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
                                     ], names)
 
     def compare(key, table):
-        dims, block = key[0].as_py(), key[1].as_py()
+        dims, block, i, j = (key[k].as_py() for k in (0, 1, 3, 4))
         node, copies, side = table["node"].to_numpy(), table["copies"].to_numpy(), table["side"].to_numpy()
         unit = units(_matrix(table["vector"]))
         turned = unit @ turns()[dims]
-        left, right = np.flatnonzero(side & 1), np.flatnonzero((side & 2) > 0)
-        guest = (side & 4) > 0
-        x, y = linked(unit[left], unit[right], turned[left], turned[right], block, threshold, lambda i, j: guest[left[i]] | (node[left[i]] < node[right[j]])) if len(left) and len(right) else (left[:0], right[:0])
-        x, y = left[x], right[y]
+        own, guests, right = np.flatnonzero((side & 5) == 1), np.flatnonzero((side & 5) == 5), np.flatnonzero((side & 2) > 0)
+        x, y = linked(unit, turned, guests, right, block, threshold)
+        if i <= j:  # two tiles' own vectors meet once
+            u, v = linked(unit, turned, own, right, block, threshold, (lambda a, b: node[a] < node[b]) if i == j else None)
+            x, y = np.append(x, u), np.append(y, v)
         n = np.bincount(x, copies[y], len(node)) + np.bincount(y, copies[x], len(node))
         forest = Forest(len(node))
         forest.link(x, y)
