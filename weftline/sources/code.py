@@ -134,15 +134,11 @@ def imports(code: DataFrame) -> DataFrame:
     return code.withColumn("module", found).where("module IS NOT NULL").select("file", "line", "module")
 
 
-def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges between files for imports (file, module): relative paths and dotted modules, tried with the usual endings."""
-    folder = F.regexp_replace("file", r"/[^/]*$", "")
-    plain = F.regexp_replace(F.regexp_replace("module", r"^(\./)+", ""), r"\\.(js|ts|css|py)$", "")
-    up = F.when(F.col("module").startswith("../"), F.regexp_replace(folder, r"/[^/]*$", "")).otherwise(folder)
-    stem = F.when(F.col("module").startswith("."), F.concat(up, F.lit("/"), F.regexp_replace(plain, r"^(\.\./)", ""))).otherwise(F.concat(folder, F.lit("/"), F.replace(plain, F.lit("."), F.lit("/"))))
-    ends = F.array(*[F.lit(e) for e in ("", ".py", ".js", ".ts", ".tsx", ".jsx", ".css", ".rs", "/__init__.py", "/index.js", "/index.ts")])
-    tried = found.select("file", F.explode(F.transform(ends, lambda e: F.concat(stem, e))).alias("path"))
-    return tried.join(files.select("path"), "path").where("file != path").select(F.col("file").alias("source_id"), F.col("path").alias("target_id")).distinct()
+def resolve_imports(found: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None, roots: tuple[str, ...] = ("", "src")) -> DataFrame:
+    """Edges between files (source_id, target_id) for imports (file, module), as ``imports.resolved`` finds their files."""
+    from weftline.sources import imports
+
+    return imports.resolved(found.select("file", "module"), files, aliases, roots).select(F.col("file").alias("source_id"), F.col("target").alias("target_id")).distinct()
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -182,7 +178,9 @@ def symbols_of(path: str, content: str | None) -> list[dict]:
                     cognitive += 1
                 elif isinstance(n, ast.comprehension):
                     cyclomatic += 1 + len(n.ifs)
-                todo += [(c, inner) for c in ast.iter_child_nodes(n)]
+                # an elif stands as deep as its if
+                chained = n.orelse if isinstance(n, ast.If) and len(n.orelse) == 1 and isinstance(n.orelse[0], ast.If) else []
+                todo += [(c, depth if c in chained else inner) for c in ast.iter_child_nodes(n)]
             a = getattr(node, "args", None)
             n_args = len(a.args) + len(a.kwonlyargs) + len(a.posonlyargs) if a else 0
             out.append({"file": path, "line": node.lineno, "end_line": node.end_lineno, "kind": "class" if a is None else "function", "name": node.name, "parameters": n_args, "cyclomatic": cyclomatic, "cognitive": cognitive, "nesting": deepest})
