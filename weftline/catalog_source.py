@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators import dataflow, taint
 from weftline.operators.graph import saved
 from weftline.sources import imports, lexer, markup, relations as rel
 
@@ -172,6 +173,41 @@ def reexport_chains(spark, sf_dir):
     return imports.definitions_behind(bound, defined).select("file", "name", "target", "origin")
 
 
+# --- taint ------------------------------------------------------------------------------------------------------------------------------------
+
+#: Files of a program for each key of ``supplier``; in a third of them the input is quoted, in a third it goes nowhere.
+PROGRAM = [
+    ("p{k}/ask.py", "def ask1():\n    return input()\ndef ask2():\n    return ask1()\ndef ask3():\n    return ask2()\ndef other():\n    x = input()\n"),
+    ("p{k}/run.py", "import os\ndef start(mode, cmd='ls'):\n    launch(cmd)\ndef launch(c):\n    for i in range(3):\n        b = a\n        a = c\n        os.system(b)\n"),
+    ("p{k}/main.py", "from .ask import ask3\nfrom .run import start\nvalue = ask3()\nstart(1, cmd={v})\n"),
+]
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    value = F.element_at(F.array(F.lit("value"), F.lit("shlex.quote(value)"), F.lit("'x'")), (k % 3 + 1).cast("int"))
+    rows = F.array(*[F.struct(F.replace(F.lit(p), F.lit("{k}"), k.cast("string")).alias("path"), F.replace(F.lit(t), F.lit("{v}"), value).alias("content")) for p, t in PROGRAM])
+    return rel.table(spark, sf_dir, "supplier").select(F.inline(rows))
+
+
+@_query("SELECT 'p' || s_suppkey || '/run.py' AS file, 8::BIGINT AS line, 'b' AS variable, 'input' AS source, 'command' AS sink, 'p' || s_suppkey || '/ask.py' AS source_file, 2::BIGINT AS source_line FROM supplier WHERE s_suppkey % 3 = 0")
+def taint_summaries(spark, sf_dir):
+    return taint.python_flows_across(programs(spark, sf_dir), dataflow.SOURCES, dataflow.SINKS, dataflow.SANITIZERS)
+
+
+#: Lines of two functions for each key of ``orders``: what the first asks for reaches its own sink in every second, never the other's.
+_LINES = ["const a{k} = req.query.id;", "const b{k} = a{k} + 1;", "const c{k} = {q}(b{k});", "db.query({v});", "db.query(a{k});"]
+
+
+@_query("SELECT 'f' || (o_orderkey % 50) AS file, (o_orderkey * 10 + 1)::BIGINT AS source_line, 'request' AS source, (o_orderkey * 10 + 4)::BIGINT AS sink_line, 'sql' AS sink, o_orderkey % 3 = 0 AS sanitized FROM orders WHERE o_orderkey % 2 = 0")
+def variable_flows(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = rel.table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(F.array(*[F.lit(x) for x in _LINES])).alias("i", "text"))
+    text = F.replace(F.replace(F.replace("text", F.lit("{q}"), F.when(k % 3 == 0, "escape").otherwise("twice")), F.lit("{v}"), F.when(k % 2 == 0, F.concat(F.lit("c"), k.cast("string"))).otherwise(F.lit("'x'"))), F.lit("{k}"), k.cast("string"))
+    scope = F.concat(F.when(F.col("i") < 4, "one").otherwise("two"), k.cast("string"))
+    return dataflow.flows(rows.select(F.concat(F.lit("f"), (k % 50).cast("string")).alias("file"), (k * 10 + F.col("i") + 1).alias("line"), text.alias("text"), scope.alias("scope")))
+
+
 # --- pages ------------------------------------------------------------------------------------------------------------------------------------
 
 _BARE = r"regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<(?:script|style|title)\b[^>]*>).*?</(?:script|style|title)>', '\1', 'gis')"

@@ -7,7 +7,6 @@ import ast
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Taint rules: kind, name, pattern (fixed values).
 SOURCES = [("request", r"request\.(args|form|json|query|body|params|GET|POST)|req\.(query|body|params)"), ("input", r"\binput\(|sys\.argv|process\.argv|os\.environ")]
@@ -21,19 +20,43 @@ def marks(lines: DataFrame, table: list[tuple[str, str]]) -> DataFrame:
     return lines.select("file", "line", kinds.alias("kinds")).where(F.size("kinds") > 0).select("file", "line", F.explode("kinds").alias("kind"))
 
 
+#: What a line gives a value: one name, or several in brackets.
+ASSIGNED = r"^\s*(?:(?:export|const|let|var|final|auto|my)\s+)*([A-Za-z_$][\w$]*)\s*(?::\s*[\w.<>\[\], |]+?\s*)?(?:[-+*/%|&]|\|\||\?\?)?=(?![=>])"
+TAKEN_APART = r"^\s*(?:const|let|var)?\s*[{\[(]([^}\])]*)[}\])]\s*=(?![=>])"
+
+
 def flows(lines: DataFrame, sources=SOURCES, sinks=SINKS, sanitizers=SANITIZERS) -> DataFrame:
-    """For each source the first sink after it in its file: file, source_line, source, sink_line, sink, sanitized (a sanitizer stands
-    between). Sources take the next sink by a merge of marked lines; no source is paired with every sink."""
-    s, k, z = marks(lines, sources), marks(lines, sinks), marks(lines, sanitizers)
-    both = s.select("file", "line", F.col("kind").alias("source"), F.lit(None).cast("string").alias("sink"), F.lit(0).alias("clean"))
-    both = both.unionByName(k.select("file", "line", F.lit(None).cast("string").alias("source"), F.col("kind").alias("sink"), F.lit(0).alias("clean")))
-    both = both.unionByName(z.select("file", "line", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("sink"), F.lit(1).alias("clean")))
-    upto = Window.partitionBy("file").orderBy("line").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    named = both.withColumn("next", F.min(F.when(F.col("sink").isNotNull(), F.struct("line", "sink"))).over(Window.partitionBy("file").orderBy("line").rangeBetween(1, Window.unboundedFollowing)))
-    named = named.withColumn("clean_before", F.sum("clean").over(upto))
-    src = named.where("source IS NOT NULL AND next IS NOT NULL").select("file", F.col("line").alias("source_line"), "source", F.col("next.line").alias("sink_line"), F.col("next.sink").alias("sink"), "clean_before")
-    ends = named.where("sink IS NOT NULL").groupBy("file", F.col("line").alias("sink_line")).agg(F.max("clean_before").alias("clean_upto"))
-    return src.join(ends, ["file", "sink_line"]).select("file", "source_line", "source", "sink_line", "sink", (F.col("clean_upto") > F.col("clean_before")).alias("sanitized"))
+    """Sources and the sinks that they reach by variables: file, source_line, source, sink_line, sink, sanitized (a sanitizer stands on every way).
+    A source reaches a sink on its own line, or on a later one that names a variable which got its value from it, by any number of assignments
+    between. lines: file, line, text and maybe scope, the function around each; variables of two scopes are different ones. A variable keeps what
+    it was given; branches and loops aren't looked at."""
+    from weftline.operators.graph import saved
+
+    lines = lines if "scope" in lines.columns else lines.withColumn("scope", F.lit(""))
+    lines = lines.select("file", F.coalesce("scope", F.lit("")).alias("scope"), F.col("line").cast("long").alias("line"), "text")
+    clean = F.array_join(F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit("x")) for _, p in sanitizers])), "") != ""
+    one, several = F.regexp_extract("text", ASSIGNED, 1), F.regexp_extract("text", TAKEN_APART, 1)
+    given = F.filter(F.concat(F.array(one), F.transform(F.split(several, ","), lambda x: F.regexp_extract(x, r"([A-Za-z_$][\w$]*)\s*(?:=.*)?$", 1))), lambda x: x != "")
+    kinds = lambda table: F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in table]))
+    lines = saved(lines.select("file", "scope", "line", "text", clean.alias("clean"), given.alias("given"), kinds(sources).alias("sources"), kinds(sinks).alias("sinks")))
+    assigned = lines.where(F.size("given") > 0).select("file", "scope", F.explode("given").alias("variable")).distinct()
+    named = lines.where((F.size("given") > 0) | (F.size("sinks") > 0)).select("file", "scope", "line", "clean", "given", "sinks", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][\w$]*)"), 1))).alias("variable"))
+    named = saved(named.join(assigned, ["file", "scope", "variable"]))
+    start = lines.where(F.size("sources") > 0).select("file", "scope", "line", "clean", "given", "sinks", F.explode("sources").alias("source"))
+    key = ["file", "scope", "variable", "source_line", "source", "clean"]
+    new = saved(start.select("file", "scope", F.explode("given").alias("variable"), F.col("line").alias("source_line"), "source", "clean", F.col("line").alias("since")).groupBy(*key).agg(F.min("since").alias("since")))
+    total = new
+    while True:
+        # what is given on later lines that name what was reached; of the ways to a variable the earliest line is kept
+        step = new.join(named.withColumnRenamed("clean", "here"), ["file", "scope", "variable"]).where("line > since").select("file", "scope", F.explode("given").alias("variable"), "source_line", "source", (F.col("clean") | F.col("here")).alias("clean"), F.col("line").alias("since"))
+        step = step.groupBy(*key).agg(F.min("since").alias("since"))
+        new = saved(step.join(total.withColumnRenamed("since", "known"), key, "left").where("known IS NULL OR since < known").drop("known"))
+        if new.isEmpty():
+            break
+        total = saved(total.unionByName(new).groupBy(*key).agg(F.min("since").alias("since")))
+    by_name = total.join(named.withColumnRenamed("clean", "here"), ["file", "scope", "variable"]).where("line > since").select("file", "source_line", "source", F.col("line").alias("sink_line"), F.explode("sinks").alias("sink"), (F.col("clean") | F.col("here")).alias("sanitized"))
+    at_once = start.select("file", F.col("line").alias("source_line"), "source", F.col("line").alias("sink_line"), F.explode("sinks").alias("sink"), F.col("clean").alias("sanitized"))
+    return by_name.unionByName(at_once).groupBy("file", "source_line", "source", "sink_line", "sink").agg(F.min("sanitized").alias("sanitized"))
 
 
 def across_imports(lines: DataFrame, imports: DataFrame, sources=SOURCES, sinks=SINKS, sanitizers=SANITIZERS) -> DataFrame:
@@ -61,105 +84,10 @@ def across_calls(tainted: DataFrame, calls: DataFrame, sinks: DataFrame, max_rou
 
 
 def python_taint(files: DataFrame) -> DataFrame:
-    """Taint within functions and modules of Python files, statement by statement with branches merged: file, line, variable, source, sink."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [dict(zip(TAINT.names, (path, *r), strict=True)) for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in taint_of(content)]
-            yield pa.RecordBatch.from_pylist(rows, TAINT)
-
-    return files.select("path", "content").mapInArrow(run, "file string, line long, variable string, source string, sink string")
-
-
-TAINT = pa.schema([("file", pa.string()), ("line", pa.int64()), ("variable", pa.string()), ("source", pa.string()), ("sink", pa.string())])
+    """Taint within and between the functions of each Python file: file, line, variable, source, sink; see ``taint`` for flows across files."""
+    from weftline.operators import taint
 
-
-def _matches(text: str, table) -> str | None:
-    import re
-
-    return next((k for k, p in table if re.search(p, text)), None)
-
-
-class _Flow:
-    """State: variable -> source. Branches are walked apart and merged by union; loops until nothing is added."""
-
-    def __init__(self):
-        self.found: set[tuple] = set()
-        self.returns: dict[str, str] = {}
-
-    def origin(self, node: ast.AST, state: dict) -> tuple[str, str] | None:
-        text = ast.unparse(node)
-        if isinstance(node, ast.Call) and _matches(text.split("(")[0] + "(", SANITIZERS):
-            return None
-        if kind := _matches(text, SOURCES):
-            return "", kind
-        for n in ast.walk(node):
-            if isinstance(n, ast.Name) and n.id in state:
-                return n.id, state[n.id]
-            if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in self.returns:
-                return n.func.id, self.returns[n.func.id]
-        return None
-
-    def check(self, node: ast.AST, state: dict) -> None:
-        for n in ast.walk(node):
-            if isinstance(n, ast.Call) and (sink := _matches(ast.unparse(n.func) + "(", SINKS)) and n.args:
-                # a query whose values come apart from it is safe
-                if o := self.origin(n.args[0], state):
-                    self.found.add((n.lineno, o[0], o[1], sink))
-
-    def block(self, body: list, state: dict, name: str = "") -> dict:
-        for s in body:
-            if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                self.block(s.body, dict(state), s.name)
-            elif isinstance(s, ast.ClassDef):
-                self.block(s.body, dict(state))
-            elif isinstance(s, ast.If):
-                self.check(s.test, state)
-                state = self.block(s.body, dict(state), name) | self.block(s.orelse, dict(state), name)
-            elif isinstance(s, (ast.For, ast.While, ast.AsyncFor)):
-                if not isinstance(s, ast.While) and (o := self.origin(s.iter, state)):
-                    state |= {n.id: o[1] for n in ast.walk(s.target) if isinstance(n, ast.Name)}
-                for _ in range(3):
-                    after = state | self.block(s.body, dict(state), name)
-                    if after == state:
-                        break
-                    state = after
-                state = self.block(s.orelse, state, name)
-            elif isinstance(s, (ast.With, ast.AsyncWith, ast.Try)):
-                if not isinstance(s, ast.Try):
-                    for i in s.items:
-                        self.check(i.context_expr, state)
-                state = self.block(s.body, state, name)
-                for h in getattr(s, "handlers", []):
-                    state = state | self.block(h.body, dict(state), name)
-                state = self.block([*getattr(s, "orelse", []), *getattr(s, "finalbody", [])], state, name)
-            elif isinstance(s, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and s.value is not None:
-                self.check(s.value, state)
-                o = self.origin(s.value, state)
-                for t in s.targets if isinstance(s, ast.Assign) else [s.target]:
-                    for n in ast.walk(t):
-                        if isinstance(n, ast.Name):
-                            if o:
-                                state[n.id] = o[1]
-                            elif not isinstance(s, ast.AugAssign):
-                                state.pop(n.id, None)
-            else:
-                self.check(s, state)
-                if isinstance(s, ast.Return) and s.value is not None and name and (o := self.origin(s.value, state)):
-                    self.returns[name] = o[1]
-        return state
-
-
-def taint_of(content: str | None) -> list[tuple]:
-    """(line, variable, source, sink) in one file; a second pass sees what functions return."""
-    try:
-        tree = ast.parse(content or "")
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    flow = _Flow()
-    for _ in range(2):
-        flow.block(tree.body, {})
-    return sorted(flow.found)
+    return taint.python_flows(files, SOURCES, SINKS, SANITIZERS).select("file", "line", "variable", "source", "sink").distinct()
 
 
 def rule_matches(files: DataFrame, rules: list[dict]) -> DataFrame:

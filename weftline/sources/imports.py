@@ -55,9 +55,10 @@ def _families() -> Column:
 def candidates(found: DataFrame, aliases: dict[str, str] | None = None, roots: tuple[str, ...] = ("", "src")) -> DataFrame:
     """found (file, module and, where it is known, name) with ``paths``, the paths that the module may be, best first. aliases: beginnings of
     modules and what stands for them, as configuration files of projects have them; roots: folders from which bare modules are looked for."""
-    file, module = F.col("file"), F.col("module")
-    here = _folder(file)
-    name = F.col("name") if "name" in found.columns else F.lit(None).cast("string")
+    # what is used several times is a column, so that it is found once a row
+    asked, found = found, found.withColumns({"_here": _folder(F.col("file")), "_family": _families()})
+    file, module, here, family = F.col("file"), F.col("module"), F.col("_here"), F.col("_family")
+    name = F.col("name") if "name" in asked.columns else F.lit(None).cast("string")
     # modules by path
     relative = F.array(_under(here, module))
     aliased = [F.when(module.startswith(a.rstrip("*")), F.concat(F.lit(to.rstrip("*")), module.substr(F.lit(len(a.rstrip("*")) + 1), F.length(module)))) for a, to in sorted((aliases or {}).items(), key=lambda x: -len(x[0]))]
@@ -77,14 +78,14 @@ def candidates(found: DataFrame, aliases: dict[str, str] | None = None, roots: t
     base = F.when(module.startswith("crate::"), crate).when(module.startswith("super::"), F.concat(here, F.lit("/.."))).when(module.startswith("self::"), here)
     rust = F.when(base.isNotNull(), F.array(*[_under(base, p) for p in (path, _folder(path))])).otherwise(F.array().cast("array<string>"))
 
-    family = _families()
     stems = F.when(family == "python", python).when(family == "css", css).when(family == "rust", rust).otherwise(js)
     stems = F.when(family == "js", F.flatten(F.transform(stems, lambda s: F.array(s, F.when(s.rlike(WRITTEN), F.regexp_replace(s, WRITTEN, "")))))).otherwise(stems)
     ends = F.lit(None).cast("array<string>")
     for key, values in ENDINGS.items():
         ends = F.when(family == key, F.array(*[F.lit(v) for v in values])).otherwise(ends)
-    paths = F.flatten(F.transform("_stems", lambda s: F.transform(F.col("_ends"), lambda e: normalised(F.concat(s, e)))))
-    return found.withColumns({"_stems": F.array_compact(stems), "_ends": ends}).withColumn("paths", F.array_distinct(F.array_compact(paths))).drop("_stems", "_ends")
+    found = found.withColumns({"_stems": F.array_compact(F.transform(F.array_compact(stems), normalised)), "_ends": ends})
+    paths = F.flatten(F.transform("_stems", lambda s: F.transform(F.col("_ends"), lambda e: F.concat(s, e))))
+    return found.select(*asked.columns, F.array_distinct(paths).alias("paths"))
 
 
 def resolved(found: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None, roots: tuple[str, ...] = ("", "src")) -> DataFrame:

@@ -126,7 +126,7 @@ def component_blocks(files: DataFrame) -> DataFrame:
     in their own language, with blank lines before them so that lines keep their numbers; their templates become html. A first
     script keeps the component's path, other parts have their tag behind it."""
     several = files.where("language IN ('vue', 'svelte')")
-    one = lambda tag: several.select("path", "content", F.lit(tag).alias("tag"), F.posexplode(F.regexp_extract_all("content", F.lit(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}\s*>)"), 1)).alias("whole"))
+    one = lambda tag: several.select("path", "content", F.lit(tag).alias("tag"), F.posexplode(F.regexp_extract_all("content", F.lit(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}\s*>)"), 1)).alias("n", "whole"))
     found = one("script").unionByName(one("style")).unionByName(one("template"))
     head = F.regexp_extract("whole", r"(?s)^(<[^>]*>)", 1)
     body = F.regexp_replace(F.expr(r"substr(whole, length(regexp_extract(whole, r'(?s)^(<[^>]*>)', 1)) + 1)"), r"(?is)</(?:script|style|template)\s*>$", "")
