@@ -69,6 +69,14 @@ SENTENCES = {
     "distributed under the boost software license version 1 0": "boost-ref",
 }
 
+#: Known sentences with variable parts, such as the holder's name, by identifier (patterns of fixed values, normalised).
+HOLDER = r"(?:[a-z0-9]+ ){1,16}"
+VARIABLE = {
+    "bsd-names": rf"neither the names? of {HOLDER}(?:nor|or) the names of (?:its|any|the|their|his|her) contributors may be used to endorse or promote products derived from this software without(?: specific)?(?: prior)? written permission",
+    "bsd-name-of": rf"the names? of {HOLDER}may not be used to endorse or promote products derived from this software without(?: specific)?(?: prior)? written permission",
+    "bsd-advert-of": rf"all advertising materials mentioning features or use of this software must display the following acknowledge?ment this product includes software developed by {HOLDER}?[a-z0-9]+",
+}
+
 #: What names a licence in a notice, normalised, by identifier; the first that fits counts (patterns of fixed values).
 NOTICES = {
     "agpl3-ref": r"(?:gnu )?(?:affero general public license|agpl)(?: version)? ?v?3(?: 0)?(?: only| or later)?",
@@ -89,6 +97,10 @@ NOTICES = {
     "ccbync4-ref": r"(?:creative commons )?(?:cc )?(?:by nc|attribution non ?commercial) 4 0(?: international)?",
     "ccbysa4-ref": r"(?:creative commons )?(?:cc )?(?:by sa|attribution share ?alike) 4 0(?: international)?",
     "ccbynd4-ref": r"(?:creative commons )?(?:cc )?(?:by nd|attribution no ?deriv(?:ative)?s) 4 0(?: international)?",
+    "ccbysa3-ref": r"(?:creative commons )?(?:cc )?(?:by sa|attribution share ?alike) 3 0(?: unported| international)?",
+    "ccby3-ref": r"(?:creative commons )?(?:cc )?(?:by|attribution) 3 0(?: unported| international)?",
+    "artistic2-ref": r"artistic(?: license)?(?: version)? ?v? ?2(?: 0)?",
+    "eupl12-ref": r"(?:european union public licen[sc]e|eupl)(?: version)? ?v? ?1 2",
     "ccby4-ref": r"(?:creative commons )?(?:cc )?(?:by|attribution) 4 0(?: international)?",
     "cc0-ref": r"(?:creative commons )?(?:cc0|cc zero)(?: ?1 0)?(?: universal)?(?: public domain dedication)?",
     "isc-ref": r"isc",
@@ -98,7 +110,7 @@ NOTICES = {
 }
 #: What stands before the name: a tag, or a verb with a subject of a few words, not negated.
 LEAD = (
-    r"(?:spdx license identifier "
+    r"(?:spdx license identifier |licen[sc]e[s:]?\x20"
     r"|(?:(?:this|the|all|our|these|its) (?:[a-z0-9]+ ){1,5}(?:is|are) |(?:[a-z0-9]+ )?(?:code|source|software|text|content|data|documentation|project|work|package|library|program) (?:is |are )?)?"
     r"(?:licensed|released|distributed|available|published|provided|made available) (?:under|by|with) (?:the terms (?:and conditions )?of )?(?:the |an? )?)"
 )
@@ -108,7 +120,9 @@ TAIL = r"(?: licen[sc]e)?(?: (?:see|refer|for|which|as|c|copyright|http|https|fo
 #: Licence and the identifiers that stand for it, in order; more specific rules first (fixed values).
 RULES = [
     ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert-of"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name-of"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", ["mit-title", "mit-grant"]),
@@ -156,6 +170,10 @@ RULES = [
     ("CC-BY-SA-4.0", ["ccbysa4-ref"]),
     ("CC-BY-ND-4.0", ["ccbynd4-ref"]),
     ("CC-BY-4.0", ["ccby4-ref"]),
+    ("CC-BY-SA-3.0", ["ccbysa3-ref"]),
+    ("CC-BY-3.0", ["ccby3-ref"]),
+    ("Artistic-2.0", ["artistic2-ref"]),
+    ("EUPL-1.2", ["eupl12-ref"]),
     ("CC0-1.0", ["cc0-ref"]),
     ("ISC", ["isc-ref"]),
     ("Zlib", ["zlib-ref"]),
@@ -163,13 +181,17 @@ RULES = [
     ("MIT", ["mit-ref"]),
 ]
 
-ENDS = r"(?<!\b[vV]|\b[vV]er)[.!?;](?=\s)"
+#: Short forms whose stop ends no sentence, besides an initial within a name.
+SHORT = "v|ver|inc|ltd|corp|co|llc|gmbh|univ"
+ENDS = rf"(?<!\b(?i:{SHORT}))(?<![A-Za-z] [A-Z])[.!?;](?=\s)"
+#: A notice on a line of its own isn't one where the line before ends so.
+DENIED = r"\b(?:not|never|isn t|aren t|neither|nor|without being)(?:| [a-z0-9]{1,16}| [a-z0-9]{1,16} [a-z0-9]{1,16})"
 #: What may end a sentence or not, besides a newline.
 EITHER = r"(?<=\b[vV]|\b[vV]er)\.\s+|(?<=\n)[^a-zA-Z0-9\n]*\(?(?:[0-9]{1,2}|[a-zA-Z])\)(?=\s)"
 #: A known sentence between marks; a single mark may stand for a blank, but for those of TAIL.
 KNOWN = (
     r"(?<=\|)(?:" + "|".join(s.replace(" ", "[ |]") for s in sorted(SENTENCES, key=len, reverse=True))
-    + "|" + LEAD.replace(" ", "[ |]") + "(?:" + "|".join(NOTICES.values()).replace(" ", "[ |]") + ")" + TAIL + r")(?=\|)"
+    + "|" + "|".join(VARIABLE.values()).replace(" ", "[ |]") + f"|(?<!{DENIED}\\|)" + LEAD.replace(" ", "[ |]") + "(?:" + "|".join(NOTICES.values()).replace(" ", "[ |]") + ")" + TAIL + r")(?=\|)"
 )
 
 
@@ -184,7 +206,7 @@ def identifiers(text: Column) -> Column:
     found = F.transform(F.flatten(F.transform(marked, lambda s: F.regexp_extract_all(s, F.lit(KNOWN), F.lit(0)))), lambda s: F.translate(s, "|", " "))
 
     def notice(s):
-        return F.coalesce(*[F.when(s.rlike(f"^{LEAD}{name}{TAIL}$"), id) for id, name in NOTICES.items()])
+        return F.coalesce(*[F.when(s.rlike(f"^{form}$"), id) for id, form in VARIABLE.items()], *[F.when(s.rlike(f"^{LEAD}{name}{TAIL}$"), id) for id, name in NOTICES.items()])
 
     return F.transform(found, lambda s: F.coalesce(F.try_element_at(known, s), notice(s)))
 
@@ -210,17 +232,18 @@ def _values(rows) -> str:
 OP8_SQL = f"""
 WITH known(sentence, id) AS (VALUES {_values(SENTENCES.items())}),
 rules(k, licence, ids) AS (VALUES {_values((k, name, ' ' + ' '.join(ids) + ' ') for k, (name, ids) in enumerate(RULES))}),
-notices(k, pattern, id) AS (VALUES {_values((k, f"{LEAD}{name}{TAIL}", id) for k, (id, name) in enumerate(NOTICES.items()))}),
+notices(k, pattern, id) AS (VALUES {_values((k, p, id) for k, (id, p) in enumerate([*VARIABLE.items(), *[(id, f"{LEAD}{name}{TAIL}") for id, name in NOTICES.items()]]))}),
 rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 pieces AS (
   SELECT r, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos
-  FROM (SELECT r, string_split(regexp_replace(replace(text, chr(10), chr(1)), '[.!?;]([ \\t\\r])', chr(1) || '\\1', 'g'), chr(1)) AS s FROM rows)),
-plain AS (SELECT r, pos, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM pieces),
+  FROM (SELECT r, string_split(regexp_replace(replace(regexp_replace(regexp_replace(text, '\\b((?i:{SHORT}))\\.', '\\1', 'g'), '([A-Za-z] [A-Z])\\.', '\\1', 'g'), chr(10), chr(1)), '[.!?;]([ \\t\\r])', chr(1) || '\\1', 'g'), chr(1)) AS s FROM rows)),
+bare AS (SELECT r, pos, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM pieces),
+plain AS (SELECT *, coalesce(regexp_matches(lag(sentence) OVER (PARTITION BY r ORDER BY pos), '{DENIED}$'), false) AS denied FROM bare),
 ids AS (
   SELECT r, pos, id FROM plain JOIN known USING (sentence)
   UNION ALL
   SELECT r, pos, arg_min(id, k) FROM plain JOIN notices ON regexp_full_match(sentence, pattern)
-  WHERE regexp_matches(sentence, 'licensed|released|distributed|available|published|provided|spdx') AND sentence NOT IN (SELECT sentence FROM known) GROUP BY r, pos),
+  WHERE regexp_matches(sentence, 'licen|released|distributed|available|published|provided|spdx|name|advert') AND NOT denied AND sentence NOT IN (SELECT sentence FROM known) GROUP BY r, pos),
 sequences AS (SELECT r, count(*) AS n, string_agg(id, ' ' ORDER BY pos) AS sequence FROM ids GROUP BY r),
 hits AS (SELECT r, k, licence, row_number() OVER (PARTITION BY r, licence ORDER BY k) AS first FROM sequences JOIN rules ON contains(' ' || sequence || ' ', ids)),
 best AS (SELECT r, string_agg(licence, ' ' ORDER BY k) AS matched, arg_min(licence, k) AS licence FROM hits WHERE first = 1 GROUP BY r)

@@ -17,6 +17,7 @@ identifiers; other columns are ignored.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import html as htmllib
 import io
 import re
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import pagetext, shared
+from weftline.llm.records import qualified
 
 CRLF = "\r\n"
 #: Elements that break lines, and those that go with all inside (fixed values, from the HTML standard).
@@ -88,13 +90,17 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", server: str
 
 
 SOURCE = ["record_id", "target_uri", "date", "http_headers", "body"]
+#: What a source record says of its own bytes; without them it is what ``body`` and ``http_headers`` give.
+OWN = ["payload_digest", "block_digest", "payload_length"]
 
 
 def derive(source: DataFrame) -> DataFrame:
     """Two records for each response: type, record_id, refers_to, concurrent_to, target_uri, date, content_type, source_digest, block_digest,
-    content_length, block; page_id first, if the source has it."""
+    content_length, block; page_id first, if the source has it. Digests and length of the source are those that it has (OWN), as bytes were
+    transferred, before any decoding."""
     body, head, page = F.col("body"), F.col("http_headers"), [c for c in source.columns if c == "page_id"]
-    names = [*page, *SOURCE]
+    own = OWN if set(OWN) <= set(source.columns) else []
+    names = [*page, *SOURCE, *own]
     at = names.index("body")
 
     def work(batch):
@@ -104,10 +110,11 @@ def derive(source: DataFrame) -> DataFrame:
 
     rows = source.select(*names)
     both = shared.by_batch(rows, work, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", _text string")
-    both = both.select("*", digest(body).alias("_payload"), digest(F.concat(head, F.lit(CRLF), body)).alias("_source_block"))
+    known = lambda name, made: F.coalesce(F.col(name), made) if own else made
+    both = both.select("*", known("payload_digest", digest(body)).alias("_payload"), known("block_digest", digest(F.concat(head, F.lit(CRLF), body))).alias("_source_block"), known("payload_length", F.octet_length(body).cast("long")).alias("_length"))
     both = both.select("*", identifier(F.lit("conversion"), F.col("record_id"), digest(F.col("_text"))).alias("_conversion"), identifier(F.lit("metadata"), F.col("record_id")).alias("_metadata"))
     fields = F.concat(
-        F.lit("source-payload-digest: "), F.col("_payload"), F.lit(f"{CRLF}source-block-digest: "), F.col("_source_block"), F.lit(f"{CRLF}source-content-length: "), F.octet_length(body).cast("string"),
+        F.lit("source-payload-digest: "), F.col("_payload"), F.lit(f"{CRLF}source-block-digest: "), F.col("_source_block"), F.lit(f"{CRLF}source-content-length: "), F.col("_length").cast("string"),
         F.lit(f"{CRLF}conversion: "), F.col("_conversion"), F.lit(CRLF), F.regexp_replace(head, r"(?m)^(?=[^\r\n])", "http-header: "),
     )
     records = F.array(
@@ -179,11 +186,20 @@ def http_parts(block: bytes) -> tuple[str, str]:
         return headers, body.decode("utf-8", errors="replace")
 
 
-RESPONSE = pa.schema([(n, pa.string()) for n in SOURCE])
+RESPONSE = pa.schema([(n, pa.int64() if n == "payload_length" else pa.string()) for n in [*SOURCE, *OWN]])
+
+
+def own_digests(fields: dict, block: bytes) -> tuple[str, str, int]:
+    """Payload digest, block digest and payload length of a response: the digests that the record states, else those of its bytes as they are,
+    transfer and content encodings included."""
+    payload = block.partition(b"\r\n\r\n")[2]
+    made = lambda data: f"sha256:{hashlib.sha256(data).hexdigest()}"
+    return fields.get("warc-payload-digest") or made(payload), fields.get("warc-block-digest") or made(block), len(payload)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, target_uri, date, http_headers and body of every response record of the WARC files at ``path``, one task for each file.
+    """record_id, target_uri, date, http_headers, decoded body, and payload_digest, block_digest and payload_length as transferred, of every
+    response record of the WARC files at ``path``, one task for each file.
 
     Files are streamed, so that a task holds one record at a time. A file that ends within a record fails the read.
     """
@@ -201,15 +217,15 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                         if fields.get("warc-type") != "response":
                             continue
                         headers, body = http_parts(block)
-                        rows.append((fields.get("warc-record-id", ""), fields.get("warc-target-uri", ""), fields.get("warc-date", ""), headers, body))
+                        rows.append((fields.get("warc-record-id", ""), fields.get("warc-target-uri", ""), fields.get("warc-date", ""), headers, body, *own_digests(fields, block)))
                         size += len(block)
                         if size > 8 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=RESPONSE)
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RESPONSE, strict=True)], schema=RESPONSE)
                             rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=RESPONSE)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RESPONSE, strict=True)], schema=RESPONSE)
 
-    return files.repartition("path").mapInArrow(run, ", ".join(f"{n} string" for n in SOURCE))
+    return files.repartition("path").mapInArrow(run, ", ".join(f"{n} {'long' if n == 'payload_length' else 'string'}" for n in RESPONSE.names))
 
 
 def parse(data: bytes) -> list[dict]:
@@ -223,12 +239,13 @@ def write(records: DataFrame, out_dir: str) -> DataFrame:
     A task writes under a name of its own, and moves the file into place when it is complete.
     """
     columns = [c for c in records.columns if c != "page_id"]
+    out_dir = qualified(records.sparkSession, out_dir)
 
     def run(batches):
         import pyarrow.fs as pafs
         from pyspark import TaskContext
 
-        fs, root = pafs.FileSystem.from_uri(out_dir) if re.match(r"\w+:", out_dir) else (pafs.LocalFileSystem(), out_dir)
+        fs, root = pafs.FileSystem.from_uri(out_dir)
         fs.create_dir(root, recursive=True)
         name, n, size = f"{root}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0, 0
         tmp = f"{root}/.{uuid.uuid4().hex}"
