@@ -183,7 +183,7 @@ RULES = [
 
 #: Short forms whose stop ends no sentence, besides an initial within a name.
 SHORT = "v|ver|inc|ltd|corp|co|llc|gmbh|univ"
-ENDS = rf"(?<!\b(?i:{SHORT}))(?<![A-Za-z] [A-Z])[.!?;](?=\s)"
+ENDS = rf"[.!?;](?=\s)(?<!\b(?i:{SHORT})\.)(?<![A-Za-z] [A-Z]\.)"
 #: A notice on a line of its own isn't one where the line before ends so.
 DENIED = r"\b(?:not|never|isn t|aren t|neither|nor|without being)(?:| [a-z0-9]{1,16}| [a-z0-9]{1,16} [a-z0-9]{1,16})"
 #: What may end a sentence or not, besides a newline.
