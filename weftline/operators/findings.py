@@ -20,17 +20,17 @@ LINE_RULES = [
     ("hex-token", "secrets", "critical", r"(?i)(token|secret|api_?key|passw(or)?d)[\"']?\s*[:=]\s*[\"'][0-9a-z_\-]{16,}[\"']", "a secret stands in the text"),
     ("cloud-key", "secrets", "critical", r"\bAKIA[0-9A-Z]{16}\b", "an access key of a cloud"),
     ("private-key", "secrets", "critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "a private key"),
-    ("debug-print", "debug", "warning", r"(console\.(log|debug|trace)|print)\(", "a debugging call"),
+    ("debug-print", "debug", "warning", r"(\bconsole\.(log|debug|trace)|(^|[^\w.])print)\(", "a debugging call"),
     ("debugger", "debug", "high", r"^\s*(debugger;|import pdb|breakpoint\(\))", "a breakpoint"),
     ("todo", "debug", "info", r"\b(TODO|FIXME|HACK|XXX)\b", "an open task"),
     ("skipped-test", "debug", "info", r"(it\.skip|describe\.skip|@pytest\.mark\.skip|\.only\()", "a test that is left out"),
-    ("eval", "injection", "critical", r"\b(eval|exec)\(", "code from a string"),
+    ("eval", "injection", "critical", r"(^|[^\w.])(eval|exec)\(", "code from a string"),
     ("sql-concat", "injection", "high", r"(?i)(select|insert|update|delete) .*[\"'] ?\+", "SQL put together from parts"),
     ("inner-html", "injection", "high", r"(\.innerHTML\s*=|dangerouslySetInnerHTML|document\.write\()", "markup from a string"),
     ("sync-io", "performance", "warning", r"(readFileSync|writeFileSync|execSync)\(", "input or output that blocks"),
     ("await-in-loop", "performance", "warning", r"(for|while)\s*\(.*\bawait\b", "waiting within a loop"),
     ("mutable-default", "smell", "warning", r"def \w+\(.*=\s*(\[\]|\{\})", "a mutable default"),
-    ("magic-number", "smell", "info", r"[=<>]\s*[0-9]{4,}\b", "a number without a name"),
+    ("magic-number", "smell", "info", r"[=<>]\s*([0-9]{5,}|[03-9][0-9]{3}|1[0-8][0-9]{2}|2[1-9][0-9]{2})\b", "a number without a name"),
     ("nested-callback", "smell", "warning", r"(function\s*\(.*){3,}", "callbacks within callbacks"),
     ("nested-quantifier", "regex", "high", r"\([^)]*[+*]\)[+*]", "a pattern that may take exponential time"),
     ("connection-string", "secrets", "critical", r"\b(postgres|postgresql|mysql|mongodb|redis|amqp)(\+\w+)?://[^\s:/@'\"]+:[^\s:/@'\"]+@", "a password in a connection string"),
