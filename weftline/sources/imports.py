@@ -71,7 +71,6 @@ def candidates(found: DataFrame, aliases: dict[str, str] | None = None, roots: t
     rest = F.translate(module.substr(dots + 1, F.length(module)), ".", "/")
     up = F.concat(here, F.repeat(F.lit("/.."), dots - 1))
     python = F.when(dots > 0, F.array(F.concat_ws("/", F.nullif(up, F.lit("")), F.nullif(rest, F.lit(""))))).otherwise(F.concat(F.transform(_above(file), lambda a: _under(a, rest)), F.array(*[_under(F.lit(r), rest) for r in roots])))
-    python = F.when(name.isNotNull() & (name != "*"), F.concat(F.transform(python, lambda s: F.concat_ws("/", F.nullif(s, F.lit("")), name)), python)).otherwise(python)
     # modules by colons: the last parts may be items of the module
     crate = F.regexp_extract(file, r"^((?:.*/)?src)/", 1)
     path = F.replace(F.regexp_replace(module, r"^(?:crate|self|super)::", ""), F.lit("::"), F.lit("/"))
@@ -79,11 +78,16 @@ def candidates(found: DataFrame, aliases: dict[str, str] | None = None, roots: t
     rust = F.when(base.isNotNull(), F.array(*[_under(base, p) for p in (path, _folder(path))])).otherwise(F.array().cast("array<string>"))
 
     stems = F.when(family == "python", python).when(family == "css", css).when(family == "rust", rust).otherwise(js)
-    stems = F.when(family == "js", F.flatten(F.transform(stems, lambda s: F.array(s, F.when(s.rlike(WRITTEN), F.regexp_replace(s, WRITTEN, "")))))).otherwise(stems)
+    found = found.withColumn("_stems", F.array_compact(stems))
+    # a name may be a module of a package, which comes first; a written ending may stand for another
+    named = F.concat(F.transform("_stems", lambda s: F.concat_ws("/", F.nullif(s, F.lit("")), name)), F.col("_stems"))
+    either = F.flatten(F.transform("_stems", lambda s: F.array(s, F.regexp_replace(s, WRITTEN, ""))))
+    stems = F.when((family == "python") & name.isNotNull() & (name != "*"), named).when(family == "js", either).otherwise(F.col("_stems"))
+    found = found.withColumn("_stems", F.array_distinct(stems))
     ends = F.lit(None).cast("array<string>")
     for key, values in ENDINGS.items():
         ends = F.when(family == key, F.array(*[F.lit(v) for v in values])).otherwise(ends)
-    found = found.withColumns({"_stems": F.array_compact(F.transform(F.array_compact(stems), normalised)), "_ends": ends})
+    found = found.withColumns({"_stems": F.array_compact(F.transform("_stems", normalised)), "_ends": ends})
     paths = F.flatten(F.transform("_stems", lambda s: F.transform(F.col("_ends"), lambda e: F.concat(s, e))))
     return found.select(*asked.columns, F.array_distinct(paths).alias("paths"))
 
