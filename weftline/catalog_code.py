@@ -180,9 +180,19 @@ def code_rule_findings(spark, sf_dir):
     return findings.scan(lines(spark, sf_dir), rules).select("file", "line", "rule_id")
 
 
-@_query("SELECT * FROM (VALUES ('eval', 'eval(x)', true, true, true), ('eval', 'retrieval(x)', false, false, true), ('missing-alt', '<img src=a alt=\"b\">', false, false, true), ('todo', 'TODOS', true, false, false)) t(rule_id, text, expected, found, passed)")
+#: Cases of rules by the key modulo their number: rule, text, what is expected, what the rule finds.
+_CASES = [
+    ("eval", "eval(x{k})", True, True), ("eval", "retrieval(x{k})", False, False), ("eval", "model{k}.eval()", False, False), ("eval", "re{k}.exec(s)", False, False), ("debug-print", "fingerprint(x{k})", False, False), ("debug-print", "  print(x{k})", True, True),
+    ("debug-print", "console.log({k})", True, True), ("missing-alt", "<img src=a{k} alt=\"b\">", False, False), ("magic-number", "if year{k} == 2024:", False, False), ("magic-number", "if size{k} > 4096:", True, True), ("todo", "TODOS {k}", True, False),
+]
+
+
+@_query("SELECT rule_id, replace(text, '{k}', o_orderkey::VARCHAR) AS text, expected, found, expected = found AS passed FROM orders JOIN (VALUES " + ", ".join(f"({i}, '{r}', '{t}', {e}, {f})" for i, (r, t, e, f) in enumerate(_CASES)) + f") AS v(i, rule_id, text, expected, found) ON o_orderkey % {len(_CASES)} = i")
 def rule_tests(spark, sf_dir):
-    return findings.run_rule_tests(spark, [("eval", "eval(x)", True), ("eval", "retrieval(x)", False), ("missing-alt", '<img src=a alt="b">', False), ("todo", "TODOS", True)])
+    k = F.col("o_orderkey")
+    of = lambda n: F.element_at(F.array(*[F.lit(c[n]) for c in _CASES]), (k % len(_CASES) + 1).cast("int"))
+    cases = rel.table(spark, sf_dir, "orders").select(of(0).alias("rule_id"), F.replace(of(1), F.lit("{k}"), k.cast("string")).alias("text"), of(2).alias("expected"))
+    return findings.run_rule_tests(spark, cases)
 
 
 _SCORED = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'dead_code' WHEN 1 THEN 'secrets' ELSE 'other' END AS engine, CASE o_orderkey % 5 WHEN 0 THEN 'unreachable' WHEN 1 THEN 'pattern_match' WHEN 2 THEN 'zombie_css' WHEN 3 THEN 'entropy' ELSE 'x' END AS kind, o_orderkey % 4 = 0 AS in_test, CASE o_orderkey % 7 WHEN 0 THEN 'config' WHEN 1 THEN 'library_api' WHEN 2 THEN 'test' END AS source, o_orderkey % 6 = 0 AS downgraded, CASE o_orderkey % 11 WHEN 0 THEN 'return' WHEN 1 THEN 'throw' END AS after FROM orders"
