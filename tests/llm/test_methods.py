@@ -178,6 +178,7 @@ def test_removal_equals_plain_one(spark):
 def test_removal_with_hot_anchors_equals_plain_one(spark, monkeypatch, hot, places):
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "PLACES", places)
+    monkeypatch.setattr(suffixes, "HELD", 50 * hot)
     rnd = random.Random(hot * 100 + places)
     noise = lambda n: "".join(rnd.choice("abcdefgh é\n") for _ in range(n))
     passage, other = noise(260), noise(230)
@@ -215,6 +216,35 @@ def test_hot_anchors_move_texts_no_second_time(spark, monkeypatch):
     assert moved[1] - moved[0] < sum(map(len, texts)) / 3
 
 
+def test_periodic_text_is_few_runs(spark):
+    rnd = random.Random(9)
+    for word in ("a", "ab", "abcdefghi" * 9):
+        text = word * (1_000_000 // len(word))
+        docs = spark.createDataFrame([(1, text), (2, "x" + word * (4000 // len(word)) + "y"), (3, "".join(rnd.choice("abc ") for _ in range(900)))], "doc_id long, text string")
+        assert suffixes._run_rows(suffixes._keyed(docs)).count() < 1000
+        got = suffixes.removal(docs).orderBy("doc_id").collect()
+        assert [tuple(r)[1:] for r in got[1:]] == brute.removal([text[:8000], *(r.text for r in docs.orderBy("doc_id").collect()[1:])])[1:]
+        assert (got[0].n_removed, got[0].n_spans) == (len(text), 1)
+
+
+def test_hot_keys_are_joined_in_shares(spark):
+    keys = [7] * 5000 + list(range(3000))
+    rows = spark.createDataFrame([(a, i, i % 50) for i, a in enumerate(keys)], "anchor long, k long, s int")
+    table = shared.stored(rows.groupBy("anchor").count().withColumnRenamed("count", "found").where("found > 1 or anchor < 1500").withColumn("extra", F.col("anchor") * 2))
+    got = suffixes._joined(rows, table, ["anchor"])
+    assert sorted(map(tuple, got.collect())) == sorted((a, i, i % 50, 2 * a) for i, a in enumerate(keys) if a < 1500)
+    assert suffixes._joined(rows, table, ["anchor"], "left_semi").count() == got.count()
+    assert suffixes._joined(rows, table.where("false"), ["anchor"]).count() == 0
+
+
+def test_marks_find_every_hot_anchor(spark):
+    rng = np.random.default_rng(4)
+    hot, other = (rng.integers(-(1 << 63), (1 << 63) - 1, n) for n in (3000, 20000))
+    words = suffixes._marks(spark.createDataFrame([(int(x),) for x in hot], "anchor long"))
+    assert suffixes._is_marked(words, hot.view(np.uint64)).all() and suffixes._is_marked(words, other.view(np.uint64)).mean() < 0.1
+    assert not suffixes._is_marked(suffixes._marks(spark.createDataFrame([], "anchor long")), other.view(np.uint64)).any()
+
+
 def test_posterior_bounds():
     from math import comb
 

@@ -5,6 +5,8 @@ of the window's bytes alone, so that equal windows have equal anchors at equal p
 anchor form a run, about 70 windows. What moves is a row for each run: hash of the anchor, 128 bits of hash of the run's whole bytes, place.
 Runs of the same hash are one string with a multiplicity, as copies of a text are in other operators.
 
+In text that repeats itself with a short period successive runs are the same string; they are one row with a number of times.
+
 - An anchor found once: its windows are found nowhere else.
 - All runs of an anchor are one string, found several times: there is nothing to order, and all its windows are repeated.
 - An anchor stands in different strings: one of each goes to the suffix sort. Windows of strings found several times are repeated; the sort
@@ -12,10 +14,13 @@ Runs of the same hash are one string with a multiplicity, as copies of a text ar
 
 Hot anchors. An anchor with more than HOT strings is dealt out further. Its strings are cut into pieces of the windows in which it stands at
 PLACES successive places; what all windows of such places share, the core, is hashed, and pieces meet only others with their places and
-core, where equal ones become one again. A group that still has more than HOT pieces is dealt out by single windows, where only equal ones
-meet. So no task sorts more than HOT strings of a group, and what is equal is counted before it moves. The bytes of these strings come from
+core, where equal ones become one again. The windows of a group that still has more than HOT pieces are dealt out by ranges of their bytes, so
+that one group's sort runs in many tasks, and equal ones within a task are one before they move. The bytes of these strings come from
 another scan of the texts, one of each in a task: the texts themselves move once, whether anchors are hot or not.
 
+Rows that say where strings stand are joined with what is known of a string, or an anchor, by that key. A key with more than 1/SHARES of all
+rows is cut into shares of about that size by the rows' places; there are fewer than SHARES such keys, and fewer than 2 SHARES shares.
+
 Suffix sort. Windows are sorted within their anchor by deep-shallow sorting: multikey quicksort on 8-byte words to SHALLOW bytes, all groups
 in one vectorised pass for each word, then blind tries order what still agrees. Windows next to each other that agree in 200 bytes are
 repeated.
@@ -40,8 +45,10 @@ from weftline.llm.textscan import U
 
 WINDOW, SEED, SHALLOW = 200, 64, 64
 HOT, PLACES = 2048, 8
-#: Marks by the low bits of an anchor, which say where the scan for hot anchors looks; a join tells which of these are hot.
-MARKS = 1 << 18
+SHARES = 1024
+#: Bits for each hot anchor in the marks that say where the scan for hot anchors looks (a join tells which of these are hot), and the most
+#: bits there are: 8 MB; beyond four million hot anchors the scan passes on more runs than it must, and results are the same.
+BITS_EACH, MOST_BITS = 16, 1 << 26
 NO_ID = -(1 << 63)
 
 
@@ -78,9 +85,10 @@ def seed_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def runs(buf: np.ndarray, offs: np.ndarray):
-    """Runs of a chunk of texts: (text, start within it, number of windows, anchor's offset in the run, anchor's hash, run's two hashes)."""
+    """Runs of a chunk of texts: (text, start within it, number of windows, anchor's offset in the run, anchor's hash, run's two hashes, times
+    that the run follows on itself)."""
     empty = np.zeros(0, np.int64)
-    none = empty, empty, empty, empty, empty.astype(U), empty.astype(U), empty.astype(U)
+    none = empty, empty, empty, empty, empty.astype(U), empty.astype(U), empty.astype(U), empty
     if len(buf) < WINDOW:
         return none
     p, (h, sums, inverse) = textscan.prefix_hashes(buf), seed_hashes(buf)
@@ -99,7 +107,10 @@ def runs(buf: np.ndarray, offs: np.ndarray):
     text = np.searchsorted(offs, s, "right") - 1
     run = textscan.mix(textscan.span_hashes(p, s, s + n - 1 + WINDOW) + (a - s).astype(U) * U(0x9E3779B97F4A7C15))
     other = textscan.mix((sums[s + n - 1 + WINDOW] - sums[s]) * inverse[s] + n.astype(U))
-    return text, s - offs[text], n, a - s, h[a], run, other
+    again = (text[1:] == text[:-1]) & (run[1:] == run[:-1]) & (other[1:] == other[:-1]) & (n[1:] == n[:-1]) & (h[a[1:]] == h[a[:-1]]) & (s[1:] == s[:-1] + n[:-1])
+    one = np.flatnonzero(np.concatenate([[True], ~again]))
+    times = np.diff(np.append(one, len(s)))
+    return tuple(c[one] for c in (text, s - offs[text], n, a - s, h[a], run, other)) + (times,)
 
 
 class BlindTrie:
@@ -212,7 +223,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), *shared.text_key(text, F.col("doc_id").isNull()))
 
 
-RUN = "anchor long, run long, run2 long, k long, t1 long, t2 long, s int, n int, off int"
+RUN = "anchor long, run long, run2 long, k long, t1 long, t2 long, s int, n int, off int, times int"
+
+
+def _marks(hot: DataFrame) -> np.ndarray:
+    """Words of 64 marks by the low bits of hot anchors, as many as their number asks for."""
+    bits = min(MOST_BITS, 1 << max(12, (BITS_EACH * hot.count() - 1).bit_length()))
+    mark = hot.select(F.col("anchor").bitwiseAND(F.lit(bits - 1)).alias("mark")).select(F.expr("mark div 64").alias("word"), F.expr("shiftleft(1L, cast(mark % 64 as int))").alias("bit"))
+    words = mark.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # bits / 64 rows at most
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(U)
+
+
+def _is_marked(words: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    mark = anchor & U(64 * len(words) - 1)
+    return (words[(mark >> U(6)).astype(np.int64)] >> (mark & U(63))) & U(1) == 1
 
 
 def _run_rows(keyed: DataFrame, marked: Callable[[], np.ndarray] | None = None) -> DataFrame:
@@ -221,12 +247,12 @@ def _run_rows(keyed: DataFrame, marked: Callable[[], np.ndarray] | None = None)
     def work(batch):
         k, t1, t2 = (np.asarray(batch.column(i)) for i in (1, 2, 3))
         for first, _, buf, offs in textscan.chunks(batch.column(0)):
-            text, s, n, off, anchor, run, run2 = found = runs(buf, offs)
+            text, s, n, off, anchor, run, run2, times = found = runs(buf, offs)
             if marked is not None:
-                x = np.flatnonzero(marked()[(anchor & U(MARKS - 1)).astype(np.int64)])
-                text, s, n, off, anchor, run, run2 = (c[x] for c in found)
+                x = np.flatnonzero(_is_marked(marked(), anchor))
+                text, s, n, off, anchor, run, run2, times = (c[x] for c in found)
             if len(text):
-                columns = {"anchor": anchor.view(np.int64), "run": run.view(np.int64), "run2": run2.view(np.int64), "k": k[first + text], "t1": t1[first + text], "t2": t2[first + text], "s": s, "n": n, "off": off}
+                columns = {"anchor": anchor.view(np.int64), "run": run.view(np.int64), "run2": run2.view(np.int64), "k": k[first + text], "t1": t1[first + text], "t2": t2[first + text], "s": s, "n": n, "off": off, "times": times}
                 if marked is not None:
                     begin = offs[text] + s
                     columns["bytes"] = [buf[i:j].tobytes() for i, j in zip(begin, begin + n + WINDOW - 1, strict=True)]
@@ -235,6 +261,17 @@ def _run_rows(keyed: DataFrame, marked: Callable[[], np.ndarray] | None = None)
     return shared.by_batch(keyed.where(F.octet_length("text") >= WINDOW).select("text", "k", "t1", "t2"), work, RUN if marked is None else f"{RUN}, bytes binary")
 
 
+def _joined(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows (with k and s) joined with table, which has one row for each combination of keys and their number ``found``. A key with more than
+    1 / SHARES of all that table counts is cut into shares of about that size; fewer than SHARES keys can have so many."""
+    total = F.broadcast(table.agg(F.sum("found").alias("_total")))
+    hot = table.select(*keys, "found").crossJoin(total).where(F.col("found") * SHARES > F.col("_total"))
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("found") * SHARES / F.col("_total")).cast("long").alias("_shares")))
+    left = rows.join(hot, keys, "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64("k", "s"), F.col("_shares")), F.lit(0).cast("long"))).drop("_shares")
+    right = table.drop("found").join(hot, keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_shares", F.lit(1).cast("long")) - 1))).drop("_shares")
+    return left.join(right, [*keys, "_share"], how).drop("_share")
+
+
 #: Bytes of runs that are sorted at once; a single anchor's runs may be more.
 SORT_BYTES = 1 << 20
 
@@ -322,10 +359,8 @@ def _cut_runs(rows: DataFrame) -> DataFrame:
 
 def _cut_hot(keyed: DataFrame, hot: DataFrame) -> DataFrame:
     """PIECE of the different strings of hot anchors, in pieces. Equal strings are counted where they are read, before any bytes move."""
-    marked = np.zeros(MARKS, bool)
-    marked[hot.select(F.col("anchor").bitwiseAND(F.lit(MARKS - 1)).alias("mark")).distinct().toArrow()["mark"].to_numpy()] = True  # MARKS rows at most
     one = F.min(F.struct("k", "t1", "t2", "s", "n", "off")).alias("one")
-    kinds = _run_rows(keyed, shared.sent(keyed.sparkSession, marked)).groupBy("anchor", "run", "run2").agg(F.count(F.lit(1)).alias("found"), one, F.first("bytes").alias("bytes"))
+    kinds = _run_rows(keyed, shared.sent(keyed.sparkSession, _marks(hot))).groupBy("anchor", "run", "run2").agg(F.sum("times").alias("found"), one, F.first("bytes").alias("bytes"))
 
     def work(batch):
         for anchor, k, t1, t2, s, n, off, single, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -335,20 +370,74 @@ def _cut_hot(keyed: DataFrame, hot: DataFrame) -> DataFrame:
     return _in_rows(work, kinds.join(hot, "anchor", "left_semi").select("anchor", "one.*", (F.col("found") == 1).alias("single"), "bytes"))
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """Each window of PIECE rows by itself: anchor, part, place, 128 bits of hash, k, t1, t2, s, single."""
+#: Different windows that a task holds before it passes them on.
+HELD = 50_000
+#: Bytes of windows that a task of a crowded group's sort is to have.
+RANGE_BYTES = 1 << 25
+OWNED = "anchor long, part long, place int, window binary, k long, t1 long, t2 long, s int, single boolean"
 
-    def work(batch):
-        out = []
-        for anchor, part, k, t1, t2, s, n, off, single, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for i in range(n):
-                h = hashlib.blake2b(data[i : i + WINDOW], digest_size=16).digest()
-                out.append((anchor, part, off - i, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), k, t1, t2, s + i, single))
-        if out:
-            yield dict(zip(names, zip(*out, strict=True), strict=True))
 
-    names = ["anchor", "part", "place", "w1", "w2", "k", "t1", "t2", "s", "single"]
-    return shared.by_batch(rows.select(*PIECE), work, "anchor long, part long, place int, w1 long, w2 long, k long, t1 long, t2 long, s int, single boolean")
+def _owned_windows(rows: DataFrame) -> DataFrame:
+    """The different windows of PIECE rows and one owner of each, which is single if its string is found once and a task has seen no other
+    window like it. Owners of windows that a task sees twice come by themselves, without a window."""
+
+    def run(batches):
+        def table(owners):
+            columns = list(zip(*owners, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        held: dict[tuple, tuple] = {}
+        for batch in batches:
+            seen = []
+            for anchor, part, k, t1, t2, s, n, off, single, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i in range(n):
+                    key, mine = (anchor, part, off - i, data[i : i + WINDOW]), (k, t1, t2, s + i, single)
+                    other = held.setdefault(key, mine)
+                    if other is mine:
+                        continue
+                    seen += [(None, None, None, None, *x) for x in (other, mine) if x[4]]
+                    held[key] = (*other[:4], False)
+            if seen:
+                yield table(seen)
+            if len(held) > HELD:
+                yield table([(*w, *x) for w, x in held.items()])
+                held = {}
+        if held:
+            yield table([(*w, *x) for w, x in held.items()])
+
+    names = [c.split()[0] for c in OWNED.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+    return rows.select(*PIECE).mapInArrow(run, OWNED)
+
+
+def _sort_windows(windows: DataFrame) -> DataFrame:
+    """SPAN of single owners of windows that another row has too. windows: OWNED, stored. Ranges of (anchor, part, place, window) are sorted
+    each by itself, so that a group of any size lies over several tasks and equal windows over one."""
+
+    def solve(held):
+        anchor, part, place, window, k, t1, t2, s, single = zip(*held, strict=True)
+        key = list(zip(anchor, part, place, strict=True))
+        group = np.cumsum([True] + [a != b for a, b in zip(key[1:], key[:-1], strict=True)])
+        found = repeated(np.frombuffer(b"".join(window), np.uint8), np.arange(len(held)) * WINDOW, group) & np.array(single)
+        x = np.flatnonzero(found)
+        if len(x):
+            columns = [np.array(c)[x] for c in (k, t1, t2, s)] + [np.ones(len(x))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.int32(),) * 2, strict=True)], names=["k", "t1", "t2", "s", "n"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(held) * WINDOW > SORT_BYTES and row[:3] != held[-1][:3]:
+                    yield from solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from solve(held)
+
+    place = ["anchor", "part", "place"]
+    tasks = max(windows.sparkSession.sparkContext.defaultParallelism, -(-windows.count() * WINDOW // RANGE_BYTES))
+    return windows.repartitionByRange(tasks, *place, "window").sortWithinPartitions(*place).mapInArrow(run, SPAN)
 
 
 def _spans_of_hot(cut: DataFrame) -> DataFrame:
@@ -358,15 +447,15 @@ def _spans_of_hot(cut: DataFrame) -> DataFrame:
     first = F.min(F.struct("k", "t1", "t2", "s")).alias("one")
     kinds = shared.stored(all_pieces.groupBy(*same).agg(F.count(F.lit(1)).alias("found"), first, F.bool_and("single").alias("alone"), F.first("bytes").alias("bytes")))
     span = ["k", "t1", "t2", "s", "n"]
-    whole = all_pieces.where("single").join(kinds.where("found > 1").select(*same), same, "left_semi").select(*span)
+    whole = _joined(all_pieces.where("single").select(*same, "k", "t1", "t2", "s"), kinds.where("found > 1").select(*same, "found"), same, "left_semi").select(*span)
     crowded = shared.stored(kinds.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") > HOT).select("anchor", "part"))
     one_each = kinds.select("anchor", "part", "one.*", "n", "off", (F.col("alone") & (F.col("found") == 1)).alias("single"), "bytes")
-    partly = _sort_runs(one_each.join(crowded, ["anchor", "part"], "left_anti"))
-    place = ["anchor", "part", "place", "w1", "w2"]
-    windows = shared.stored(_windows(one_each.join(crowded, ["anchor", "part"], "left_semi")))
-    several = shared.stored(windows.groupBy(*place).agg(F.count(F.lit(1)).alias("found")).where("found > 1").select(*place))
-    alone = windows.where("single").join(several, place, "left_semi").select("k", "t1", "t2", "s", F.lit(1).alias("n"))
-    return whole.unionByName(partly).unionByName(alone)
+    found = whole.unionByName(_sort_runs(one_each.join(crowded, ["anchor", "part"], "left_anti")))
+    if crowded.isEmpty():
+        return found
+    windows = shared.stored(_owned_windows(one_each.join(crowded, ["anchor", "part"], "left_semi")))
+    seen = windows.where("window is null").select("k", "t1", "t2", "s", F.lit(1).alias("n"))
+    return found.unionByName(seen).unionByName(_sort_windows(windows.where("window is not null")))
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -374,15 +463,16 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = _keyed(docs)
     rows = _run_rows(keyed)
     # counts are written out before they are joined: a join between two plain exchanges is one whose hot keys Spark can split
-    anchors = shared.stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("found"), F.min("run").alias("lo"), F.max("run").alias("hi"), F.min("run2").alias("lo2"), F.max("run2").alias("hi2")).where("found > 1"))
-    many = shared.stored(rows.join(anchors, "anchor").select("anchor", "run", "run2", "k", "t1", "t2", "s", "n", "off", ((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2"))).alias("alike")))
+    anchors = shared.stored(rows.groupBy("anchor").agg(F.sum("times").alias("found"), F.min("run").alias("lo"), F.max("run").alias("hi"), F.min("run2").alias("lo2"), F.max("run2").alias("hi2")).where("found > 1"))
+    many = shared.stored(_joined(rows, anchors, ["anchor"]).select("anchor", "run", "run2", "k", "t1", "t2", "s", "n", "off", "times", ((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2"))).alias("alike")))
     unlike = many.where(~F.col("alike"))
-    kinds = shared.stored(unlike.groupBy("anchor", "run", "run2").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("k", "t1", "t2", "s", "n", "off")).alias("one")))
-    whole = unlike.join(kinds.where("found > 1").select("anchor", "run", "run2"), ["anchor", "run", "run2"], "left_semi").select("k", "t1", "t2", "s", "n")
+    string, stretch = ["anchor", "run", "run2"], (F.col("n") * F.col("times")).alias("n")
+    kinds = shared.stored(unlike.groupBy(*string).agg(F.sum("times").alias("found"), F.min(F.struct("k", "t1", "t2", "s", "n", "off")).alias("one")))
+    whole = _joined(unlike, kinds.where("found > 1").select(*string, "found"), string, "left_semi").select("k", "t1", "t2", "s", stretch)
     hot = shared.stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") > HOT).select("anchor"))
     asked = kinds.join(hot, "anchor", "left_anti").select("one.k", "one.t1", "one.t2", F.struct("anchor", "one.s", "one.n", "one.off", (F.col("found") == 1).alias("single")).alias("w"))
     cut = _cut_runs(keyed.join(asked.groupBy("k", "t1", "t2").agg(F.collect_list("w").alias("wanted")), ["k", "t1", "t2"]).select("doc_id", "text", "k", "t1", "t2", "wanted"))
-    found = many.where("alike").select("k", "t1", "t2", "s", "n").unionByName(whole).unionByName(_sort_runs(cut))
+    found = many.where("alike").select("k", "t1", "t2", "s", stretch).unionByName(whole).unionByName(_sort_runs(cut))
     if not hot.isEmpty():
         found = found.unionByName(_spans_of_hot(shared.stored(_cut_hot(keyed, hot))))
     return keyed, found.groupBy("k", "t1", "t2").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
