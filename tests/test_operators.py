@@ -8,6 +8,8 @@ from weftline.streaming import watch
 from pyspark.sql import functions as F
 
 import json
+import random
+import re
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -207,3 +209,58 @@ def test_event_extensions(spark):
     events = spark.createDataFrame(pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 00:00", "2024-01-01 00:10", "2024-01-01 02:00"]), "user_id": [1, 1, 1], "event_type": ["a"] * 3, "value": [1.0, 2.0, 3.0]}))
     assert sorted(r.n for r in watch.sessions(events).collect()) == [1, 2]
     assert sorted(r.total for r in watch.event_windows(events).collect()) == [3.0, 3.0]
+
+
+@pytest.mark.parametrize(("pattern", "literals", "fold"), [
+    (r"(^|[^\w.])(eval|exec)\(", {"eval(", "exec("}, False),
+    (r"(?i)Passw(or)?d\s*=", {"passwd", "password"}, True),
+    (r"\bconsole\.(log|debug)\(|\bvar_dump\(", {"console.log(", "console.debug(", "var_dump("}, False),
+    (r"(abc)+x?", {"abc"}, False),
+    (r"(abc)*x?", None, False),
+    (r"foo|\d+", None, False),
+    (r"ab[cd]\d{3,}", {"abc", "abd"}, False),
+    (r"(?=hello)\w+", None, False),
+    (r"(?i:secret)", None, False),
+    (r"it.skip", {"skip"}, False),
+    ("(", None, False),
+])
+def test_required_literals(pattern, literals, fold):
+    assert search.required_literals(pattern) == (literals, fold)
+
+
+def test_required_literals_miss_no_match():
+    rnd = random.Random(7)
+
+    def part(depth):
+        kind = rnd.randrange(9 if depth else 5)
+        if kind < 4:
+            return "".join(rnd.choice("abAB") for _ in range(rnd.randint(1, 4)))
+        if kind == 4:
+            return rnd.choice(["[ab]", "[^a]", ".", r"\b", "a?", "b+", "[A-B]"])
+        if kind < 7:
+            return "(" + "|".join(part(depth - 1) + part(depth - 1) for _ in range(rnd.randint(1, 3))) + ")"
+        return "(" + part(depth - 1) + ")" + rnd.choice(["*", "+", "?", "{2}", "{0,2}", "+?", "{1,3}"])
+
+    with_literals = hits = 0
+    for _ in range(3000):
+        pattern = rnd.choice(["", "(?i)"]) + "".join(part(2) for _ in range(rnd.randint(1, 3)))
+        found, fold = search.required_literals(pattern)
+        if found is None:
+            continue
+        with_literals += 1
+        for _ in range(20):
+            text = "".join(rnd.choice("abAB ") for _ in range(rnd.randint(3, 40)))
+            if re.search(pattern, text):
+                hits += 1
+                assert any(x in (text.lower() if fold else text) for x in found), (pattern, text, found)
+    assert with_literals > 500 and hits > 500
+
+
+def test_rules_over_files_equal_rules_over_lines(spark):
+    from weftline.operators import findings
+
+    texts = ["x = EVAL(1)\n eval(y)\nprint(z)", "PassWord = 'abcdefgh01234567'", "a\nSELECT * FROM t", "", None, "for (x) { await y }", "ſecret passwd", "x\n  except :\n== null"]
+    files = spark.createDataFrame(list(zip("abcdefgh", texts, strict=True)), "file string, content string")
+    lines = files.select("file", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("file", (F.col("at") + 1).cast("long").alias("line"), "text")
+    got, plain = (sorted(map(tuple, x.collect())) for x in (findings.scan_files(files), findings.scan(lines)))
+    assert got == plain and len(got) >= 6

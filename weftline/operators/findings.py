@@ -73,14 +73,11 @@ def scan(lines: DataFrame, rules=LINE_RULES) -> DataFrame:
 
 
 def scan_files(files: DataFrame, rules=LINE_RULES) -> DataFrame:
-    """``scan`` over files (file, content). A rule is tried on the lines of those files only whose whole text has the rule's longest literal,
-    or, where it has none, fits the rule; files without any such rule aren't cut into lines."""
-    from weftline.operators.search import prefilter
-
-    asked = []
-    for _, _, _, p, _ in rules:
-        literal = "" if "(?i)" in p else prefilter([p])
-        asked.append(F.col("content").contains(literal) if literal else F.col("content").rlike(f"(?m){p}"))
+    """``scan`` over files (file, content). A rule is tried on the lines of those files only whose whole text has one of the literals that a
+    match must have, or, where the rule asks for none, fits the rule; files without any such rule aren't cut into lines."""
+    from weftline.operators.search import may_match
+
+    asked = [may_match(F.col("content"), p) for _, _, _, p, _ in rules]
     marked = files.select("file", "content", F.array(*asked).alias("asked")).where(F.array_contains("asked", True))
     lines = marked.select("file", "asked", F.posexplode(F.split("content", "\n")).alias("at", "text"))
     hits = lines.select("file", (F.col("at") + 1).cast("long").alias("line"), _hits(rules, "text", F.col("asked")).alias("hits"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from re import _parser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,3 +99,82 @@ def prefilter(patterns: list[str]) -> str:
             return ""
         literals.append(max(words, key=len))
     return "|".join(sorted(set(literals)))
+
+
+#: Strings that one part of a pattern may stand for before it counts as open, and the shortest literal worth looking for.
+MOST_STRINGS, LEAST_LITERAL = 32, 3
+
+
+def required_literals(pattern: str) -> tuple[set[str] | None, bool]:
+    """(literals, whether case is ignored): any text that the pattern matches holds one of the literals, in lower case where case is ignored.
+    None if the pattern asks for no literal of LEAST_LITERAL characters, or can't be read.
+
+    Parts of the parsed pattern stand for a few whole strings, which are put together with their neighbours' (words of an alternation,
+    optional letters, small classes), or are open; the set whose shortest literal is longest is taken.
+    """
+    try:
+        tree = _parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return None, False
+    fold = bool(tree.state.flags & re.IGNORECASE)
+    whole, best = _strings(tree, fold)
+    found = _better([whole, best])
+    if found is None or min(map(len, found)) < LEAST_LITERAL or (fold and not all(x.isascii() for x in found)):
+        return None, fold
+    return found, fold
+
+
+def _better(sets: list[set[str] | None]) -> set[str] | None:
+    given = [x for x in sets if x]
+    return max(given, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def _strings(parts, fold: bool) -> tuple[set[str] | None, set[str] | None]:
+    """Of a sequence: all strings that it stands for, if they are few; literals of which any match has one."""
+    now, candidates, closed = {""}, [], True
+    for part in parts:
+        whole, some = _strings_of(part, fold)
+        candidates.append(some)
+        if whole is not None and len(now) * len(whole) <= MOST_STRINGS:
+            now = {a + b for a in now for b in whole}
+        else:
+            candidates.append(now)
+            now, closed = whole or {""}, False
+    return (now, _better(candidates)) if closed else (None, _better([*candidates, now]))
+
+
+def _strings_of(part, fold: bool) -> tuple[set[str] | None, set[str] | None]:
+    kind, value = part
+    name = str(kind)
+    if name == "LITERAL":
+        return {chr(value).lower() if fold else chr(value)}, None
+    if name == "AT":
+        return {""}, None  # a place, no text
+    if name == "IN" and len(value) <= 4 and all(str(k) == "LITERAL" for k, _ in value):
+        return {chr(v).lower() if fold else chr(v) for _, v in value}, None
+    if name == "SUBPATTERN":
+        _, added, taken, inner = value
+        return (None, None) if (added | taken) & re.IGNORECASE else _strings(inner, fold)
+    if name == "BRANCH":
+        ways = [_strings(way, fold) for way in value[1]]
+        wholes, somes = [w for w, _ in ways], [_better([w, s]) for w, s in ways]
+        whole = set().union(*wholes) if all(w is not None for w in wholes) else None
+        some = set().union(*somes) if all(x is not None for x in somes) else None
+        return whole if whole is not None and len(whole) <= MOST_STRINGS else None, some
+    if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+        least, most, inner = value
+        whole, some = _strings(inner, fold)
+        if whole is not None and int(most) == 1:
+            return (whole if least else whole | {""}), None
+        return None, _better([whole, some]) if least else None
+    return None, None
+
+
+def may_match(text, pattern: str):
+    """Can the pattern match in the text or one of its lines? Literals are looked for; a pattern without any is tried itself."""
+    found, fold = required_literals(pattern)
+    if found is None:
+        return text.rlike(f"(?m){pattern}")
+    # of two literals one of which holds the other, the shorter is enough
+    least = sorted(x for x in found if not any(y != x and y in x for y in found))
+    return reduce(lambda a, b: a | b, [(F.lower(text) if fold else text).contains(x) for x in least])
