@@ -264,3 +264,15 @@ def test_rules_over_files_equal_rules_over_lines(spark):
     lines = files.select("file", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("file", (F.col("at") + 1).cast("long").alias("line"), "text")
     got, plain = (sorted(map(tuple, x.collect())) for x in (findings.scan_files(files), findings.scan(lines)))
     assert got == plain and len(got) >= 6
+
+
+def test_indexed_symbols_equal_a_scan(spark):
+    rnd = random.Random(3)
+    names = ["".join(rnd.choice("abAB_") for _ in range(rnd.randint(0, 9))) for _ in range(300)] + [None, "Ünï_code", "load_config", "load_confg", "LOAD_CONFIGS"]
+    nodes = spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "node_id string, name string")
+    index = search.name_index(nodes)
+    for name, fuzzy in (("ab", None), ("abA", None), ("b_a", 1), ("aabb_ab", 2), ("load_config", None), ("load_config", 1), ("ünï", None), ("", None)):
+        got, plain = search.indexed_symbols(index, nodes, name, 500, fuzzy), search.symbols(nodes, name, 500, fuzzy)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in plain.collect()], (name, fuzzy)
+    plan = search.indexed_symbols(index, nodes, "load_config")._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: .*In\(gram, \[", plan)

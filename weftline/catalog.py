@@ -270,6 +270,12 @@ def symbol_search(spark, sf_dir):
     return search.symbols(rel.nodes(spark, sf_dir), "Customer#00000000", 20)
 
 
+@_query(f"WITH {G} SELECT node_id, node_type, name, file, line FROM nodes WHERE contains(lower(name), 'customer#000000017') OR levenshtein(lower(name), 'customer#000000017') <= 1 ORDER BY name <> 'Customer#000000017', node_id LIMIT 50")
+def symbol_search_indexed(spark, sf_dir):
+    nodes = rel.nodes(spark, sf_dir)
+    return search.indexed_symbols(search.name_index(nodes), nodes, "Customer#000000017", 50, 1)
+
+
 _STOP = ", ".join(f"'{w}'" for w in fn.STOPWORDS)
 _TFIDF = f"""t0 AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: strlen(x) >= 2 AND NOT list_contains([{_STOP}], x)) AS t FROM documents),
 t1 AS (SELECT doc_id, len(t) AS total, unnest(t) AS term FROM t0), tf AS (SELECT doc_id, term, count(*) / any_value(total) AS tf FROM t1 GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 from re import _parser
 
@@ -41,6 +42,42 @@ def symbols(nodes: DataFrame, name: str, top: int = 20, fuzzy: int | None = None
     return nodes.where(close).orderBy(*order).limit(top)
 
 
+def _grams(column):
+    """The different substrings of three characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - 2, F.lit(1))), lambda i: F.substring(column, i, F.lit(3))))
+
+
+def name_index(nodes: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """Names in lower case, and which names hold three characters in a row, as Parquet tables below ``path`` or in the shared folder, written
+    once for many searches: names (low), postings (gram, low). Postings lie in order of gram, so that a search reads its own grams' row
+    groups; a frequent gram lies over several files."""
+    from weftline.operators.graph import shared_folder
+
+    spark = nodes.sparkSession
+    path = path or f"{shared_folder(spark)}/weftline-names-{uuid.uuid4().hex}"
+    nodes.where("name is not null").select(F.lower("name").alias("low")).distinct().write.parquet(f"{path}/names")
+    names = spark.read.schema("low string").parquet(f"{path}/names")
+    postings = names.where(F.length("low") >= 3).select(F.explode(_grams(F.col("low"))).alias("gram"), "low")
+    postings.repartitionByRange("gram", "low").sortWithinPartitions("gram", "low").write.parquet(f"{path}/postings")
+    return {"names": names, "postings": spark.read.schema("gram string, low string").parquet(f"{path}/postings")}
+
+
+def indexed_symbols(index: dict[str, DataFrame], nodes: DataFrame, name: str, top: int = 20, fuzzy: int | None = None) -> DataFrame:
+    """``symbols`` by way of an index: names that share enough of the asked name's grams are looked up and compared. An edit changes three
+    grams at most; where that leaves no gram that must be there, or the name has fewer than three characters, all names are compared."""
+    low = name.lower()
+    grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    needed = len(grams) - 3 * (fuzzy or 0)
+    names = index["names"]
+    if needed > 0:
+        names = index["postings"].where(F.col("gram").isin(grams)).groupBy("low").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= needed).select("low")
+    close = F.col("low").contains(low)
+    if fuzzy is not None:
+        close = close | (F.levenshtein("low", F.lit(low)) <= fuzzy)
+    found = nodes.join(names.where(close), F.lower(nodes["name"]) == F.col("low"), "left_semi")
+    return symbols(found, name, top, fuzzy)
+
+
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, DataFrame]:
     """What searches need, written out once: weights (key, term, w), norms (key, norm), terms (term, idf) and n. Build it once for many
     searches: a search then reads the query's terms only."""
