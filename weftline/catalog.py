@@ -32,15 +32,15 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from weftline import catalog_code, catalog_source
+    from weftline import catalog_code, catalog_flow, catalog_source
 
-    return _QUERIES | catalog_code.QUERIES | catalog_source.QUERIES
+    return _QUERIES | catalog_code.QUERIES | catalog_flow.QUERIES | catalog_source.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from weftline import catalog_code, catalog_source
+    from weftline import catalog_code, catalog_flow, catalog_source
 
-    return _SQL | catalog_code.SQL | catalog_source.SQL
+    return _SQL | catalog_code.SQL | catalog_flow.SQL | catalog_source.SQL
 
 
 # --- the pattern language -------------------------------------------------------------------------------------------------------------
