@@ -102,11 +102,14 @@ def large_files(lines: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(lines: DataFrame, run: int = 6) -> DataFrame:
-    """Stretches of ``run`` lines, blanks aside, that stand at several places: hash, n, and one place. Counts only; places are not paired."""
+    """Stretches of ``run`` lines, blanks aside, that stand at several places: hash, n, and the first place. Counts only; places are not paired.
+    Places are in the order of ``file|line`` with nine digits of the line, so that ``a10`` stands before ``a1``."""
     solid = lines.where(F.trim("text") != "")
     w = Window.partitionBy("file").orderBy("line")
     block = solid.select("file", "line", F.collect_list(F.trim("text")).over(w.rowsBetween(0, run - 1)).alias("block")).where(F.size("block") == run)
-    return block.select(F.xxhash64("block").alias("hash"), "file", "line").groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "line")).alias("first")).where("n > 1").select("hash", "n", "first.file", "first.line")
+    place = F.concat("file", F.lit("|"), F.lpad(F.col("line").cast("string"), 9, "0"))
+    hashed = block.select(F.xxhash64("block").alias("hash"), F.xxhash64(F.lit(1), "block").alias("hash2"), F.struct(place.alias("place"), "file", "line").alias("at"))
+    return hashed.groupBy("hash", "hash2").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1").select("hash", "n", "first.file", "first.line")
 
 
 def unreachable(lines: DataFrame) -> DataFrame:
