@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import dataflow, taint
-from weftline.operators.graph import saved
+from weftline.operators.graph import saved_large
 from weftline.sources import imports, lexer, markup, relations as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,7 +84,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all files, written once: what follows reads them several times."""
-    return saved(lexer.tokens(files(spark, sf_dir)))
+    return saved_large(lexer.tokens(files(spark, sf_dir)))
 
 
 def _by_template(columns: str, rows: list[tuple], select: str) -> str:
