@@ -30,7 +30,7 @@ def flows(lines: DataFrame, sources=SOURCES, sinks=SINKS, sanitizers=SANITIZERS)
     A source reaches a sink on its own line, or on a later one that names a variable which got its value from it, by any number of assignments
     between. lines: file, line, text and maybe scope, the function around each; variables of two scopes are different ones. A variable keeps what
     it was given; branches and loops aren't looked at."""
-    from weftline.operators.graph import saved
+    from weftline.operators.graph import saved_large
 
     lines = lines if "scope" in lines.columns else lines.withColumn("scope", F.lit(""))
     lines = lines.select("file", F.coalesce("scope", F.lit("")).alias("scope"), F.col("line").cast("long").alias("line"), "text")
@@ -38,22 +38,22 @@ def flows(lines: DataFrame, sources=SOURCES, sinks=SINKS, sanitizers=SANITIZERS)
     one, several = F.regexp_extract("text", ASSIGNED, 1), F.regexp_extract("text", TAKEN_APART, 1)
     given = F.filter(F.concat(F.array(one), F.transform(F.split(several, ","), lambda x: F.regexp_extract(x, r"([A-Za-z_$][\w$]*)\s*(?:=.*)?$", 1))), lambda x: x != "")
     kinds = lambda table: F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in table]))
-    lines = saved(lines.select("file", "scope", "line", "text", clean.alias("clean"), given.alias("given"), kinds(sources).alias("sources"), kinds(sinks).alias("sinks")))
+    lines = saved_large(lines.select("file", "scope", "line", "text", clean.alias("clean"), given.alias("given"), kinds(sources).alias("sources"), kinds(sinks).alias("sinks")))
     assigned = lines.where(F.size("given") > 0).select("file", "scope", F.explode("given").alias("variable")).distinct()
     named = lines.where((F.size("given") > 0) | (F.size("sinks") > 0)).select("file", "scope", "line", "clean", "given", "sinks", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][\w$]*)"), 1))).alias("variable"))
-    named = saved(named.join(assigned, ["file", "scope", "variable"]))
+    named = saved_large(named.join(assigned, ["file", "scope", "variable"]))
     start = lines.where(F.size("sources") > 0).select("file", "scope", "line", "clean", "given", "sinks", F.explode("sources").alias("source"))
     key = ["file", "scope", "variable", "source_line", "source", "clean"]
-    new = saved(start.select("file", "scope", F.explode("given").alias("variable"), F.col("line").alias("source_line"), "source", "clean", F.col("line").alias("since")).groupBy(*key).agg(F.min("since").alias("since")))
+    new = saved_large(start.select("file", "scope", F.explode("given").alias("variable"), F.col("line").alias("source_line"), "source", "clean", F.col("line").alias("since")).groupBy(*key).agg(F.min("since").alias("since")))
     total = new
     while True:
         # what is given on later lines that name what was reached; of the ways to a variable the earliest line is kept
         step = new.join(named.withColumnRenamed("clean", "here"), ["file", "scope", "variable"]).where("line > since").select("file", "scope", F.explode("given").alias("variable"), "source_line", "source", (F.col("clean") | F.col("here")).alias("clean"), F.col("line").alias("since"))
         step = step.groupBy(*key).agg(F.min("since").alias("since"))
-        new = saved(step.join(total.withColumnRenamed("since", "known"), key, "left").where("known IS NULL OR since < known").drop("known"))
+        new = saved_large(step.join(total.withColumnRenamed("since", "known"), key, "left").where("known IS NULL OR since < known").drop("known"))
         if new.isEmpty():
             break
-        total = saved(total.unionByName(new).groupBy(*key).agg(F.min("since").alias("since")))
+        total = saved_large(total.unionByName(new).groupBy(*key).agg(F.min("since").alias("since")))
     by_name = total.join(named.withColumnRenamed("clean", "here"), ["file", "scope", "variable"]).where("line > since").select("file", "source_line", "source", F.col("line").alias("sink_line"), F.explode("sinks").alias("sink"), (F.col("clean") | F.col("here")).alias("sanitized"))
     at_once = start.select("file", F.col("line").alias("source_line"), "source", F.col("line").alias("sink_line"), F.explode("sinks").alias("sink"), F.col("clean").alias("sanitized"))
     return by_name.unionByName(at_once).groupBy("file", "source_line", "source", "sink_line", "sink").agg(F.min("sanitized").alias("sanitized"))
