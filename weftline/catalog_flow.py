@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import control, deadcode
-from weftline.operators.graph import saved
+from weftline.operators.graph import saved_large
 from weftline.sources import imports, lexer, markup, relations as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +66,7 @@ SELECT file, 2::BIGINT, 'v', how, 'variable' FROM p WHERE c = 2""")
 def flow_unread(spark, sf_dir):
     k = F.col("p_partkey")
     text = F.concat(F.lit("def f(p):\n  "), _pick(FIRST, k), F.lit("\n  "), _pick(SECOND, F.floor(k / 4)), F.lit("\n  "), _pick(LAST, F.floor(k / 24)), F.lit("\n"))
-    found = saved(control.facts(_files(spark, sf_dir, text, ".py")))
+    found = saved_large(control.facts(_files(spark, sf_dir, text, ".py")))
     both = control.dead_stores(found).withColumn("kind", F.lit("store")).unionByName(control.unused_variables(found).withColumn("kind", F.lit("variable")))
     return both.select("file", F.col("line").cast("long").alias("line"), "name", "how", "kind")
 
@@ -115,8 +115,8 @@ def unused_exports(spark, sf_dir):
     k = F.col("p_partkey")
     what = F.when(k % 2 == 0, "given").otherwise("other")
     rows = F.array(*[F.struct(F.replace(F.lit(p), F.lit("{k}"), k.cast("string")).alias("path"), F.replace(F.lit(t), F.lit("{what}"), what).alias("content")) for p, t in PACKAGE])
-    files = saved(rel.table(spark, sf_dir, "part").select(F.inline(rows)))
-    found = saved(lexer.tokens(files.withColumn("language", F.lit("javascript"))))
+    files = saved_large(rel.table(spark, sf_dir, "part").select(F.inline(rows)))
+    found = saved_large(lexer.tokens(files.withColumn("language", F.lit("javascript"))))
     bound = imports.resolved(imports.bindings(files), files.select("path"))
     return deadcode.unused_exports(deadcode.exports(found), bound, uses=deadcode.uses(found))
 
