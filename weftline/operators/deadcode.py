@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import is_test_file
-from weftline.operators.graph import saved
+from weftline.operators.graph import saved_large
 from weftline.sources.lexer import KEYWORDS
+from weftline.sources.scanned import large
 
 DECLARE = ("const", "let", "var")
 #: Files whose exports are for others (patterns of their paths), and names that frameworks call (fixed values).
@@ -27,7 +28,7 @@ def _near(found: DataFrame) -> DataFrame:
     code = found.where("k IS NOT NULL").select("file", "k", "line", "kind", "text", "owner", "pair")
     t = code.select("*", *[F.lag("text", n).over(by).alias(f"b{n}") for n in (1, 2)], F.lead("text", 1).over(by).alias("a1"))
     started = F.when(F.col("text").isin(*DECLARE, ";"), F.col("text"))
-    t = saved(t.withColumn("started", F.last(started, True).over(Window.partitionBy("file", "owner").orderBy("k"))))
+    t = saved_large(t.withColumn("started", F.last(started, True).over(Window.partitionBy("file", "owner").orderBy("k"))))
     holds = t.where("kind = 'punct' AND text IN ('{', '[', '(')").select("file", F.col("k").alias("owner"), F.col("text").alias("held"), F.col("b1").alias("before"), F.col("b2").alias("before2"), F.col("pair").alias("closes"), F.col("owner").alias("outer"))
     return t.join(holds, ["file", "owner"], "left")
 
@@ -56,7 +57,7 @@ def unused_bindings(found: DataFrame) -> DataFrame:
     by = Window.partitionBy("file", "text").orderBy("k")
     read = F.when(F.col("role") == "read", F.col("k"))
     names = names.select("*", F.min(read).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("later"), F.max(read).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("sooner"))
-    ends = found.where("k IS NOT NULL AND kind = 'punct' AND text IN ('{', '[', '(')").select("file", F.col("k").alias("around"), F.col("pair").alias("until"))
+    ends = large(found).where("k IS NOT NULL AND kind = 'punct' AND text IN ('{', '[', '(')").select("file", F.col("k").alias("around"), F.col("pair").alias("until"))
     seen = names.where("role = 'declared'").join(ends, ["file", "around"], "left")
     used = F.coalesce(F.col("later") < F.coalesce("until", F.lit((1 << 31) - 1)), F.lit(False)) | F.coalesce(F.col("sooner") > F.col("around"), F.lit(False))
     return seen.where(~used & ~F.coalesce("exported", F.lit(False)) & ~F.col("text").startswith("_")).select("file", F.col("line").cast("long").alias("line"), F.col("text").alias("name"))
@@ -65,7 +66,7 @@ def unused_bindings(found: DataFrame) -> DataFrame:
 def exports(found: DataFrame) -> DataFrame:
     """file, line and name of what JavaScript and TypeScript export by declaration, list or default."""
     by = Window.partitionBy("file").orderBy("k")
-    code = found.where("k IS NOT NULL")
+    code = large(found).where("k IS NOT NULL")
     t = code.select("file", "k", "line", "kind", "text", "owner", *[F.lag("text", n).over(by).alias(f"b{n}") for n in (1, 2, 3)], *[F.lead("text", n).over(by).alias(f"a{n}") for n in (1, 2)])
     kinds = ("function", "class", "interface", "type", "enum", *DECLARE)
     b1, b2, b3 = (F.coalesce(f"b{n}", F.lit("")) for n in (1, 2, 3))
@@ -75,8 +76,8 @@ def exports(found: DataFrame) -> DataFrame:
     lists = t.where("text = '{' AND b1 = 'export'").select("file", F.col("k").alias("owner"))
     closed = code.where("text = '{'").select("file", F.col("k").alias("owner"), F.col("pair").alias("end"))
     after = t.select("file", F.col("k").alias("end"), F.col("a1").alias("next"))
-    own = lists.join(closed, ["file", "owner"]).join(after, ["file", "end"]).where("next IS NULL OR next != 'from'").select("file", "owner")
-    listed = t.where("kind = 'name' AND (a1 IN (',', '}')) AND text != 'as'").join(own, ["file", "owner"], "left_semi").select("file", "line", F.col("text").alias("name"))
+    own = lists.join(closed, ["file", "owner"]).join(large(after), ["file", "end"]).where("next IS NULL OR next != 'from'").select("file", "owner")
+    listed = t.where("kind = 'name' AND (a1 IN (',', '}')) AND text != 'as'").join(large(own), ["file", "owner"], "left_semi").select("file", "line", F.col("text").alias("name"))
     return named.unionByName(default).unionByName(listed).groupBy("file", "name").agg(F.min("line").cast("long").alias("line"))
 
 
@@ -87,11 +88,11 @@ def unused_exports(exported: DataFrame, bound: DataFrame, entries: str = ENTRY_F
     asked = exported.where(~F.col("file").rlike(entries) & ~is_test_file(F.col("file")) & ~F.col("name").isin(*names))
     taken = bound.where("name NOT IN ('*', '')").select(F.col("target").alias("file"), "name").distinct()
     whole = bound.where("name = '*'").select(F.col("target").alias("file")).distinct()
-    left = asked.join(taken, ["file", "name"], "left_anti").join(whole, "file", "left_anti")
+    left = asked.join(large(taken), ["file", "name"], "left_anti").join(large(whole), "file", "left_anti")
     if uses is None:
         return left.select("file", "line", "name", F.lit("warning").alias("severity"))
     here = uses.select("file", "name").distinct().withColumn("_used", F.lit(True))
-    return left.join(here, ["file", "name"], "left").select("file", "line", "name", F.when(F.col("_used"), "info").otherwise("warning").alias("severity"))
+    return left.join(large(here), ["file", "name"], "left").select("file", "line", "name", F.when(F.col("_used"), "info").otherwise("warning").alias("severity"))
 
 
 def uses(found: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def dead_listeners(found: DataFrame, refs: DataFrame) -> DataFrame:
     variable that holds it, and that no page has. refs: entry_type and name, as ``markup.references`` gives them."""
     by = Window.partitionBy("file").orderBy("k")
     code = found.where("k IS NOT NULL").select("file", "k", "line", "kind", "text")
-    t = saved(code.select("*", *[F.lag("text", n).over(by).alias(f"b{n}") for n in (1, 2, 3, 4)], *[F.lead("text", n).over(by).alias(f"a{n}") for n in (1, 2, 3, 4, 5, 6)], F.lead("kind", 2).over(by).alias("argument")))
+    t = saved_large(code.select("*", *[F.lag("text", n).over(by).alias(f"b{n}") for n in (1, 2, 3, 4)], *[F.lead("text", n).over(by).alias(f"a{n}") for n in (1, 2, 3, 4, 5, 6)], F.lead("kind", 2).over(by).alias("argument")))
     listens = lambda c: F.coalesce(F.col(c).isin("addEventListener", "on"), F.lit(False))
     looked = t.where(F.col("text").isin(*LOOKUPS) & (F.col("a1") == "(") & (F.col("argument") == "string") & (F.col("a3") == ")"))
     value = F.expr("substring(a2, 2, length(a2) - 2)")
@@ -119,4 +120,4 @@ def dead_listeners(found: DataFrame, refs: DataFrame) -> DataFrame:
     both = held.select("file", "variable", "k", F.lit(None).cast("int").alias("line"), F.struct("entry_type", "name").alias("e")).unionByName(heard.select("file", "variable", "k", "line", F.lit(None).cast("struct<entry_type:string,name:string>").alias("e")))
     last = F.last("e", True).over(Window.partitionBy("file", "variable").orderBy("k"))
     through = both.withColumn("e", last).where("line IS NOT NULL AND e IS NOT NULL").select("file", "line", "e.*")
-    return direct.unionByName(through).join(refs.select("entry_type", "name").distinct(), ["entry_type", "name"], "left_anti").select("file", F.col("line").cast("long").alias("line"), "entry_type", "name").distinct()
+    return direct.unionByName(through).join(large(refs.select("entry_type", "name").distinct()), ["entry_type", "name"], "left_anti").select("file", F.col("line").cast("long").alias("line"), "entry_type", "name").distinct()
