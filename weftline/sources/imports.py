@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.graph import saved
+from weftline.operators.graph import saved_large
 from weftline.sources.code import language
+from weftline.sources.scanned import dealt, large
 
 #: Endings that are tried, by language of the importing file, best first; endings that a module may name though the file has another (fixed values).
 ENDINGS = {
@@ -55,6 +56,15 @@ def _families() -> Column:
 def candidates(found: DataFrame, aliases: dict[str, str] | None = None, roots: tuple[str, ...] = ("", "src")) -> DataFrame:
     """found (file, module and, where it is known, name) with ``paths``, the paths that the module may be, best first. aliases: beginnings of
     modules and what stands for them, as configuration files of projects have them; roots: folders from which bare modules are looked for."""
+    ends = F.lit(None).cast("array<string>")
+    for key, values in ENDINGS.items():
+        ends = F.when(F.col("_family") == key, F.array(*[F.lit(v) for v in values])).otherwise(ends)
+    paths = F.flatten(F.transform("_stems", lambda s: F.transform(F.col("_ends"), lambda e: F.concat(s, e))))
+    return _stems(found, aliases, roots).withColumn("_ends", ends).select(*found.columns, F.array_distinct(paths).alias("paths"))
+
+
+def _stems(found: DataFrame, aliases: dict[str, str] | None, roots: tuple[str, ...]) -> DataFrame:
+    """found with ``_family`` and ``_stems``, what the paths of candidates have before their endings, best first."""
     # what is used several times is a column, so that it is found once a row
     asked, found = found, found.withColumns({"_here": _folder(F.col("file")), "_family": _families()})
     file, module, here, family = F.col("file"), F.col("module"), F.col("_here"), F.col("_family")
@@ -84,20 +94,20 @@ def candidates(found: DataFrame, aliases: dict[str, str] | None = None, roots: t
     either = F.flatten(F.transform("_stems", lambda s: F.array(s, F.regexp_replace(s, WRITTEN, ""))))
     stems = F.when((family == "python") & name.isNotNull() & (name != "*"), named).when(family == "js", either).otherwise(F.col("_stems"))
     found = found.withColumn("_stems", F.array_distinct(stems))
-    ends = F.lit(None).cast("array<string>")
-    for key, values in ENDINGS.items():
-        ends = F.when(family == key, F.array(*[F.lit(v) for v in values])).otherwise(ends)
-    found = found.withColumns({"_stems": F.array_compact(F.transform("_stems", normalised)), "_ends": ends})
-    paths = F.flatten(F.transform("_stems", lambda s: F.transform(F.col("_ends"), lambda e: F.concat(s, e))))
-    return found.select(*asked.columns, F.array_distinct(paths).alias("paths"))
+    return found.withColumn("_stems", F.array_compact(F.transform("_stems", normalised))).select(*asked.columns, "_family", "_stems")
 
 
 def resolved(found: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None, roots: tuple[str, ...] = ("", "src")) -> DataFrame:
     """found (file, module and maybe name) with ``target``, the file that the module is; modules outside files are left out."""
     keys = [c for c in ("file", "module", "name") if c in found.columns]
-    tried = candidates(found.select(*keys).distinct(), aliases, roots).select(*keys, F.posexplode("paths").alias("rank", "path"))
-    best = tried.join(files.select("path").distinct(), "path").where("path != file").groupBy(*keys).agg(F.min_by("path", "rank").alias("target"))
-    best = best.select(*[F.col(k).alias(f"_{k}") for k in keys], "target")
+    found = saved_large(found)  # read twice: what finds bindings costs more than this copy
+    tried = _stems(found.select(*keys).distinct(), aliases, roots).select(*keys, "_family", F.posexplode("_stems").alias("_nth", "_stem"))
+    # a file is found by its path without an ending: a module has few stems, but some twenty paths for each
+    ends = F.array(*[F.struct(F.lit(family).alias("_family"), F.lit(n).alias("_end"), F.lit(e).alias("e")) for family, values in ENDINGS.items() for n, e in enumerate(values)])
+    there = files.select("path").distinct().select("path", F.inline(F.filter(ends, lambda x: F.endswith("path", x["e"]))))
+    there = there.select("path", "_family", "_end", F.col("path").substr(F.lit(1), F.length("path") - F.length("e")).alias("_stem"))
+    best = tried.join(large(there), ["_family", "_stem"]).where("path != file").groupBy(*keys).agg(F.min_by("path", F.struct("_nth", "_end")).alias("target"))
+    best = large(best.select(*[F.col(k).alias(f"_{k}") for k in keys], "target"))
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -113,6 +123,7 @@ def _pairs(files: DataFrame, pattern: str, what: str) -> DataFrame:
 def bindings(files: DataFrame) -> DataFrame:
     """Of files (path, content): file, what (import, export), name (in the module; ``*`` all of it, ``default``, empty: only run), local (what it
     is called in the file) and module. Python's imports are bindings that others may import again."""
+    files = dealt(files.select("path", "content"), "path")
     lang = language(F.col("path"))
     js = files.where(lang.isin(*_JS)).select(F.col("path").alias("file"), F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", " "), r"(?m)^\s*//.*$", "").alias("content"))
     quoted = r"""\s*['"]([^'"]+)['"]"""
@@ -144,28 +155,29 @@ def definitions_behind(bound: DataFrame, defined: DataFrame) -> DataFrame:
     """The definition behind every imported name. bound: bindings with ``target``; defined: file and name of definitions. Gives file, local, name,
     target (the file that defines it) and origin (what it is called there). Re-exports are followed to their end, ``export *`` among them;
     chains that run in a circle end nowhere and are left out."""
+    bound = saved_large(bound)  # read in every step
     none = bound.where("what = 'export'").unionByName(bound.where("what = 'import' AND file RLIKE '[.]pyi?$'"))
-    defined = defined.select("file", "name").distinct()
+    defined = large(defined.select("file", "name").distinct())
     own = none.where("name != '*' AND name != ''").select("file", F.col("local").alias("name"), F.col("target").alias("to_file"), F.col("name").alias("to_name"))
     own = own.join(defined, ["file", "name"], "left_anti").groupBy("file", "name").agg(F.min(F.struct("to_file", "to_name")).alias("to")).select("file", "name", "to.*")
     # whole modules passed on: reach by doubling, then a pointer for each name that they have
     stars = none.where("name = '*' AND local IN ('', '*')").select(F.col("file").alias("a"), F.col("target").alias("b")).where("a != b").distinct()
     if not stars.isEmpty():
-        reach, before = saved(stars.withColumn("far", F.lit(1))), -1
+        reach, before = saved_large(stars.withColumn("far", F.lit(1))), -1
         while (n := reach.count()) != before:
             before = n
             far = reach.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("far").alias("more"))
-            reach = saved(reach.unionByName(reach.join(far, "b").where("a != c").select("a", F.col("c").alias("b"), (F.col("far") + F.col("more")).alias("far"))).groupBy("a", "b").agg(F.min("far").alias("far")))
-        has = defined.unionByName(own.select("file", "name"))
+            reach = saved_large(reach.unionByName(reach.join(far, "b").where("a != c").select("a", F.col("c").alias("b"), (F.col("far") + F.col("more")).alias("far"))).groupBy("a", "b").agg(F.min("far").alias("far")))
+        has = large(defined.unionByName(own.select("file", "name")))
         passed = reach.join(has.withColumnRenamed("file", "b"), "b").where("name != 'default'").select(F.col("a").alias("file"), "name", "far", F.col("b").alias("to_file"), F.col("name").alias("to_name"))
         passed = passed.join(has, ["file", "name"], "left_anti").groupBy("file", "name").agg(F.min(F.struct("far", "to_file", "to_name")).alias("to")).select("file", "name", "to.to_file", "to.to_name")
         own = own.unionByName(passed)
-    pointers, rounds = saved(own), 0
+    pointers, rounds = saved_large(own), 0
     open_ = lambda p: p.join(p.select(F.col("file").alias("to_file"), F.col("name").alias("to_name")), ["to_file", "to_name"], "left_semi")
     longest = pointers.count()
     while not open_(pointers).isEmpty() and 2**rounds <= longest:
         onward = pointers.select(F.col("file").alias("to_file"), F.col("name").alias("to_name"), F.col("to_file").alias("next_file"), F.col("to_name").alias("next_name"))
-        pointers = saved(pointers.join(onward, ["to_file", "to_name"], "left").select("file", "name", F.coalesce("next_file", "to_file").alias("to_file"), F.when(F.col("next_file").isNull(), F.col("to_name")).otherwise(F.col("next_name")).alias("to_name")))
+        pointers = saved_large(pointers.join(onward, ["to_file", "to_name"], "left").select("file", "name", F.coalesce("next_file", "to_file").alias("to_file"), F.when(F.col("next_file").isNull(), F.col("to_name")).otherwise(F.col("next_name")).alias("to_name")))
         rounds += 1
     taken = bound.where("what = 'import' AND name NOT IN ('*', '')").select("file", "local", "name", F.col("target").alias("at"))
     via = pointers.select(F.col("file").alias("at"), "name", "to_file", "to_name")
