@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftline.operators import findings
+from weftline.operators import findings, search
 
 
 def plan(df):
@@ -28,3 +28,12 @@ def test_findings_by_priority_are_scanned_once(spark):
     assert made.value == 7
     assert sorted(r.line for r in findings.top_by_priority(found, 1).collect()) == [1, 4]
     assert sorted(r.line for r in findings.top_by_priority(found, 9).collect()) == list(range(7))
+
+
+def test_a_task_sorts_a_bounded_number_of_postings(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(search, "SORTED_POSTINGS", 1000, raising=False)
+    nodes = spark.range(2000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("node_id"), F.concat(F.lit("Name#"), F.col("id").cast("string")).alias("name"))
+    index = search.name_index(nodes, str(tmp_path / "index"))
+    sizes = [r["count"] for r in index["postings"].groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) > 8000 and max(sizes) < 2000
+    assert [r.name for r in search.indexed_symbols(index, nodes, "name#1999", 5, 0).collect()] == ["Name#1999"]
