@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from weftline.functions.text import term_counts, tokens
 from weftline.operators import findings, search
+from weftline.sources.scanned import scanned
 
 
 def plan(df):
@@ -37,3 +39,21 @@ def test_a_task_sorts_a_bounded_number_of_postings(spark, monkeypatch, tmp_path)
     sizes = [r["count"] for r in index["postings"].groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) > 8000 and max(sizes) < 2000
     assert [r.name for r in search.indexed_symbols(index, nodes, "name#1999", 5, 0).collect()] == ["Name#1999"]
+
+
+ODD = ["getHTTPResponse aB2C x1Y", "The the THE of  a b", "", None, "İstanbul KelvinK ſtop naïve", "a_b-c'd e9F", "IT\nis\tlicensedUnder\r\nx"]
+
+
+def test_terms_are_counted_as_tokens_gives_them(spark):
+    rows = spark.createDataFrame(list(enumerate(ODD)), "k long, text string")
+    for k, text, given in rows.select("k", "text", tokens(F.col("text"))).collect():
+        assert {t: (n, total) for t, n, total in term_counts(text)} == {t: (given.count(t), len(given)) for t in given or []}, k
+
+
+def test_terms_are_counted_without_a_shuffle_of_all_terms(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(search, "scanned", lambda docs, *rest: asked.append(docs.columns) or scanned(docs, *rest), raising=False)
+    index = search.build_index(spark.createDataFrame([(1, "red red blue"), (2, "blue"), (3, None)], "doc_id long, text string"))
+    assert asked == [["doc_id", "text"]]
+    assert {(r.doc_id, r.term) for r in index["weights"].collect()} == {(1, "red"), (1, "blue"), (2, "blue")}
+    assert [r.doc_id for r in search.tfidf(index, "red", 5).collect()] == [1]
