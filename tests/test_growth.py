@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import term_counts, tokens
 from weftline.operators import findings, search
+from weftline.plans import pattern
 from weftline.sources.scanned import scanned
 
 
@@ -57,3 +58,23 @@ def test_terms_are_counted_without_a_shuffle_of_all_terms(spark, monkeypatch):
     assert asked == [["doc_id", "text"]]
     assert {(r.doc_id, r.term) for r in index["weights"].collect()} == {(1, "red"), (1, "blue"), (2, "blue")}
     assert [r.doc_id for r in search.tfidf(index, "red", 5).collect()] == [1]
+
+
+def test_exists_is_semi_joins_over_ids(spark):
+    nodes = spark.createDataFrame([("a", "class", "A", "f", 1), ("b", "class", "B", "f", 2), ("t", "type", "T", "g", 3), ("u", "type", "U", "g", 9), ("m", "module", "M", "h", 0)], "node_id string, node_type string, name string, file string, line long")
+    edges = spark.createDataFrame([("a", "t", "IMPORTS"), ("b", "u", "IMPORTS"), ("u", "m", "DEFINES"), ("t", "t", "CALLS")], "source_id string, target_id string, edge_type string")
+
+    def ids(where, semi=True):
+        df = pattern.run(f"MATCH (c) WHERE {where} RETURN c.id", nodes, edges)
+        assert ("Join Inner" not in df._jdf.queryExecution().optimizedPlan().toString()) == semi
+        return sorted(r[0] for r in df.collect())
+
+    assert ids("EXISTS { (c)-[:IMPORTS]->(p:Type) WHERE p.line < 5 }") == ["a"]
+    assert ids("NOT EXISTS { (c)-[:IMPORTS]->(p:Type) WHERE p.line < 5 }") == ["b", "m", "t", "u"]
+    assert ids("EXISTS { (p:Class)-[:IMPORTS]->(c) WHERE p.line = 2 AND c.line > 5 }") == ["u"]
+    assert ids("EXISTS { (c)-[:IMPORTS]->(p)-[:DEFINES]->(q:Module) }") == ["b"]
+    assert ids("EXISTS { (q:Module)<-[:DEFINES]-(p)<-[:IMPORTS]-(c:Class) } OR c.line = 3") == ["b", "t"]
+    assert ids("EXISTS { (c)-[:IMPORTS]-(p) WHERE p.line > 5 }") == ["b"]
+    assert ids("EXISTS { (p)-[:CALLS]-(c) }") == ["t"]
+    assert ids("EXISTS { (a)-[:IMPORTS]->(c)-[:DEFINES]->(q) }", semi=False) == ["u"]
+    assert ids("EXISTS { (c)-[:IMPORTS]->(p) WHERE p.line = 3 OR p.line = 9 }", semi=False) == ["a", "b"]
