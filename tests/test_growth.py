@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline.functions.text import term_counts, tokens
-from weftline.operators import findings, search
+from weftline.operators import dataflow, findings, graph, search, taint
 from weftline.plans import pattern
 from weftline.sources.scanned import scanned
 
@@ -78,3 +78,10 @@ def test_exists_is_semi_joins_over_ids(spark):
     assert ids("EXISTS { (p)-[:CALLS]-(c) }") == ["t"]
     assert ids("EXISTS { (a)-[:IMPORTS]->(c)-[:DEFINES]->(q) }", semi=False) == ["u"]
     assert ids("EXISTS { (c)-[:IMPORTS]->(p) WHERE p.line = 3 OR p.line = 9 }", semi=False) == ["a", "b"]
+
+
+def test_python_files_are_dealt_to_all_tasks(spark):
+    files = spark.range(40, numPartitions=1).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".py")).alias("path"), F.lit("def f():\n  return input()\n").alias("content"))
+    found = taint.facts(files, dataflow.SOURCES, dataflow.SINKS, dataflow.SANITIZERS)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert found.where("what = 'def'").count() == 40

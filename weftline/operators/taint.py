@@ -15,11 +15,11 @@ from __future__ import annotations
 import ast
 import re
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import saved
+from weftline.sources.scanned import scanned
 
 FACT = "file string, fn string, what string, target string, origin string"
 #: Keywords whose values a query takes apart from its text.
@@ -186,18 +186,8 @@ def facts_of(path: str, content: str | None, tables: tuple) -> list[tuple]:
 def facts(files: DataFrame, sources, sinks, sanitizers) -> DataFrame:
     """file, fn, what, target and origin from Python files (path, content). what: flow (target: return, arg or sink; origin: source, param or
     call), call (target: the call, origin: what is called), param (target: slot, origin: name), def (target: name)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema, tables = to_arrow_schema(StructType.fromDDL(FACT)), (sources, sinks, sanitizers)
-
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows := facts_of(path, content, tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=schema)
-
-    return files.select("path", "content").mapInArrow(run, FACT)
+    tables = (sources, sinks, sanitizers)
+    return scanned(files, ["path", "content"], lambda path, content: facts_of(path, content, tables), FACT)
 
 
 def callees(found: DataFrame, behind: DataFrame | None = None, modules: DataFrame | None = None) -> DataFrame:
