@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline.functions.text import term_counts, tokens
-from weftline.operators import dataflow, findings, graph, search, taint
+from weftline.operators import dataflow, findings, search, taint
 from weftline.plans import pattern
 from weftline.sources.scanned import scanned
 
