@@ -1,9 +1,12 @@
 """What decides how a query's time and memory grow with its tables: how often rows are read, how many a task holds, what is joined."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.text import term_counts, tokens
-from weftline.operators import dataflow, findings, search, taint
+from weftline.operators import dataflow, findings, graph, search, taint
 from weftline.plans import pattern
 from weftline.sources.scanned import scanned
 
@@ -85,3 +88,58 @@ def test_python_files_are_dealt_to_all_tasks(spark):
     found = taint.facts(files, dataflow.SOURCES, dataflow.SINKS, dataflow.SANITIZERS)
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert found.where("what = 'def'").count() == 40
+
+
+def shuffled(spark, job):
+    """What job gives, and how many rows it wrote to shuffles."""
+
+    def written():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    return job(), written() - before
+
+
+@pytest.fixture
+def sorting(spark):
+    """Joins as of large tables, none broadcast by its size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_closure_joins_only_edges_of_inner_nodes(spark, sorting):
+    many = [(f"a{k}", f"b{k}") for k in range(3000)]
+    edges = spark.createDataFrame([*many, ("a1", "m"), ("m", "n"), ("n", "z"), ("n", "m")], "source_id string, target_id string")
+    found, moved = shuffled(spark, lambda: graph.closure(edges).collect())
+    assert {(r.source_id, r.target_id): r.dist for r in found if r.target_id[0] != "b"} == {("a1", "m"): 1, ("a1", "n"): 2, ("a1", "z"): 3, ("m", "n"): 1, ("m", "m"): 2, ("m", "z"): 2, ("n", "m"): 1, ("n", "n"): 2, ("n", "z"): 1}
+    assert len(found) == 3009 and moved < 4 * len(many)
+
+
+def least_distances(edges):
+    near = {}
+    for a, b in edges:
+        if b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+    found = {}
+    for start in near:
+        level, depth = near[start], 1
+        while level:
+            found |= {(start, n): depth for n in level}
+            level, depth = {m for n in level for m in near.get(n, ()) if (start, m) not in found}, depth + 1
+    return found
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_closure_of_any_graph(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", most, raising=False)
+    for seed, (nodes, n) in enumerate([(12, 10), (10, 18), (30, 25)]):
+        dice = random.Random(seed)
+        edges = [(f"n{dice.randrange(nodes)}", f"n{dice.randrange(nodes)}") for _ in range(n)]
+        edges += [*edges[:3], ("n1", None)]
+        found = graph.closure(spark.createDataFrame(edges, "source_id string, target_id string")).collect()
+        assert {(r.source_id, r.target_id): r.dist for r in found} == least_distances(edges) and len(found) == len(least_distances(edges))
+    assert graph.closure(spark.createDataFrame([], "source_id string, target_id string")).count() == 0
