@@ -143,3 +143,24 @@ def test_closure_of_any_graph(spark, monkeypatch, most):
         found = graph.closure(spark.createDataFrame(edges, "source_id string, target_id string")).collect()
         assert {(r.source_id, r.target_id): r.dist for r in found} == least_distances(edges) and len(found) == len(least_distances(edges))
     assert graph.closure(spark.createDataFrame([], "source_id string, target_id string")).count() == 0
+
+
+def test_fans_move_edges_to_no_file_once(spark, sorting):
+    nodes = spark.createDataFrame([*[(f"s{k}", f"f{k % 3}") for k in range(30)], *[(f"t{k}", None) for k in range(30)]], "node_id string, file string")
+    many = [(f"s{k % 30}", f"t{k // 30 % 30}") for k in range(900)]
+    edges = spark.createDataFrame([*many, ("s0", "s1"), ("s0", "s4"), ("s3", "s1"), ("s1", "s0"), ("s0", "s1"), ("s2", "s5"), ("s2", None), ("x", "s2")], "source_id string, target_id string")
+    found, moved = shuffled(spark, lambda: graph.fan_metrics(nodes, edges, 0, 1).collect())
+    assert {(r.file, r.fan_in, r.fan_out, r.instability, r.god_module) for r in found} == {("f0", 1, 2, 0.6667, True), ("f1", 2, 1, 0.3333, False), ("f2", 0, 0, 0.0, False)}
+    assert moved < 1.5 * len(many)
+
+
+@pytest.mark.parametrize("files", [False, True])
+def test_fans_of_any_graph(spark, files):
+    dice = random.Random(4)
+    at = {f"n{k}": dice.choice(["f", "g", "h", "i", None]) for k in range(20)}
+    edges = [(f"n{dice.randrange(22)}", f"n{dice.randrange(22)}") for _ in range(150)]
+    between = {(a, at[a], b, at[b]) for a, b in edges if at.get(a) and at.get(b) and at[a] != at[b]}
+    out = {(None if files else a, f, g) for a, f, b, g in between}
+    into = {(None if files else b, g, f) for a, f, b, g in between}
+    found = graph.fan_metrics(spark.createDataFrame([*at.items()], "node_id string, file string"), spark.createDataFrame(edges, "source_id string, target_id string"), distinct_files=files).collect()
+    assert {(r.file, r.fan_in, r.fan_out) for r in found} == {(f, sum(f == x[1] for x in into), sum(f == x[1] for x in out)) for f in "fghi"}
