@@ -164,3 +164,11 @@ def test_fans_of_any_graph(spark, files):
     into = {(None if files else b, g, f) for a, f, b, g in between}
     found = graph.fan_metrics(spark.createDataFrame([*at.items()], "node_id string, file string"), spark.createDataFrame(edges, "source_id string, target_id string"), distinct_files=files).collect()
     assert {(r.file, r.fan_in, r.fan_out) for r in found} == {(f, sum(f == x[1] for x in into), sum(f == x[1] for x in out)) for f in "fghi"}
+
+
+def test_edges_between_files_leave_others_early(spark, sorting):
+    nodes = spark.createDataFrame([*[(f"s{k}", f"f{k % 3}") for k in range(30)], *[(f"t{k}", None) for k in range(30)]], "node_id string, file string")
+    many = [(f"s{k % 30}", f"t{k // 30 % 30}") for k in range(900)]
+    edges = spark.createDataFrame([*many, ("s0", "s1"), ("s0", "s4"), ("s1", "s0"), ("s2", "s5"), ("s2", None), ("x", "s2")], "source_id string, target_id string")
+    found, moved = shuffled(spark, lambda: graph.module_edges(nodes, edges).collect())
+    assert sorted((r.source_id, r.target_id) for r in found) == [("f0", "f1"), ("f1", "f0")] and moved < 1.5 * len(many)
