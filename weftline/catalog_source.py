@@ -129,7 +129,7 @@ _MEASURES = [(0, "load#", 3, 8, 10, 3), (1, "get#", 1, 1, 0, 0), (1, "short#", 1
 
 @_query(_by_template("t, name, parameters, cyclomatic, cognitive, nesting", _MEASURES, "file, replace(name, '#', k::VARCHAR) AS name, parameters, cyclomatic, cognitive, nesting"))
 def code_complexity(spark, sf_dir):
-    return lexer.symbols(_tokens(spark, sf_dir)).select("file", "name", "parameters", "cyclomatic", "cognitive", "nesting")
+    return lexer.symbols(files(spark, sf_dir)).select("file", "name", "parameters", "cyclomatic", "cognitive", "nesting")
 
 
 # --- imports ----------------------------------------------------------------------------------------------------------------------------------

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Rows of a batch, but for what one file gives.
+#: Rows of a batch.
 ROWS = 8192
 
 
@@ -22,25 +23,27 @@ def large(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def scanned(files: DataFrame, columns: list[str], rows_of: Callable[..., Iterable[tuple]], ddl: str) -> DataFrame:
-    """The rows (as ddl has them) that ``rows_of`` gives for the columns of each file, the first of which is its key."""
+def batched(rows_of: Callable[[Iterable], Iterable[tuple]], ddl: str) -> Callable[[Iterable], Iterable]:
+    """A function of Arrow batches that gives what ``rows_of`` makes of them (rows, as ddl has them) in batches of ROWS rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
-    def packed(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
     def run(batches):
-        held: list = []
+        rows = iter(rows_of(batches))
+        while held := list(islice(rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def scanned(files: DataFrame, columns: list[str], rows_of: Callable[..., Iterable[tuple]], ddl: str) -> DataFrame:
+    """The rows (as ddl has them) that ``rows_of`` gives for the columns of each file, the first of which is its key."""
+
+    def rows(batches):
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held += rows_of(*values)
-                if len(held) >= ROWS:
-                    yield packed(held)
-                    held = []
-        if held:
-            yield packed(held)
-
-    return large(dealt(files.select(*columns), columns[0]).mapInArrow(run, ddl))
+                yield from rows_of(*values)
+
+    return large(dealt(files.select(*columns), columns[0]).mapInArrow(batched(rows, ddl), ddl))
