@@ -26,3 +26,13 @@ def test_files_give_what_their_tokens_give(spark, of):
     files = spark.createDataFrame([(f"{k}.js", text, "javascript") for k, text in enumerate(texts)] + [("a.py", "f()", "python"), ("n.js", None, "javascript")], "path string, content string, language string")
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(of(files)) == rows(of(lexer.tokens(files))) != []
+
+
+def test_calls_are_found_in_the_scan(spark, sf_dir):
+    assert scanned_once(catalog.queries()["code_scoped_calls"](spark, sf_dir))
+
+
+def test_a_call_that_begins_a_file_is_found_and_each_once(spark):
+    files = spark.createDataFrame([("a.js", "go();", "javascript"), ("b.kt", "enum class E { x = f() }", "kotlin")], "path string, content string, language string")
+    got = sorted((r.file, r.to_fn) for r in lexer.calls(files).collect())
+    assert got == [("a.js", "go"), ("b.kt", "f")]

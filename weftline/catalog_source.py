@@ -121,7 +121,7 @@ _CALLS = [
 
 @_query(_by_template("t, line, to_fn, from_id", _CALLS, "file, line::BIGINT AS line, replace(to_fn, '#', k::VARCHAR) AS to_fn, file || ':' || replace(from_id, '#', k::VARCHAR) AS from_id"))
 def code_scoped_calls(spark, sf_dir):
-    return lexer.calls(_tokens(spark, sf_dir)).drop("call_id")
+    return lexer.calls(files(spark, sf_dir)).drop("call_id")
 
 
 _MEASURES = [(0, "load#", 3, 8, 10, 3), (1, "get#", 1, 1, 0, 0), (1, "short#", 1, 1, 0, 0), (1, "svc#.list", 0, 1, 0, 0), (1, "svc#.make", 0, 1, 0, 0), (2, "run#", 2, 2, 1, 0), (2, "constructor", 1, 1, 0, 0), (2, "find", 1, 1, 0, 0), (3, "main#", 2, 5, 3, 1), (3, "new", 0, 1, 0, 0)]
