@@ -36,3 +36,7 @@ def test_a_call_that_begins_a_file_is_found_and_each_once(spark):
     files = spark.createDataFrame([("a.js", "go();", "javascript"), ("b.kt", "enum class E { x = f() }", "kotlin")], "path string, content string, language string")
     got = sorted((r.file, r.to_fn) for r in lexer.calls(files).collect())
     assert got == [("a.js", "go"), ("b.kt", "f")]
+
+
+def test_scopes_are_found_in_the_scan(spark, sf_dir):
+    assert scanned_once(catalog.queries()["code_scopes"](spark, sf_dir))

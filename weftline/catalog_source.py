@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import dataflow, taint
-from weftline.operators.graph import saved_large
 from weftline.sources import imports, lexer, markup, relations as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,11 +81,6 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.table(spark, sf_dir, "part").select(F.concat(F.lit("src/f"), k.cast("string"), of([".js", ".js", ".ts", ".rs"])).alias("path"), text.alias("content"), of([x for x, _ in TEMPLATES]).alias("language"))
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of all files, written once: what follows reads them several times."""
-    return saved_large(lexer.tokens(files(spark, sf_dir)))
-
-
 def _by_template(columns: str, rows: list[tuple], select: str) -> str:
     """SQL of rows (template, ...) joined to the files that follow the template; ``#`` in a value is the key."""
     values = ", ".join("(" + ", ".join(repr(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
@@ -109,7 +103,7 @@ _SCOPES = [
 
 @_query(_by_template("t, kind, name, line, end_line, parent", _SCOPES, "file, kind, replace(name, '#', k::VARCHAR) AS name, line::BIGINT AS line, end_line::BIGINT AS end_line, nullif(replace(parent, '#', k::VARCHAR), '') AS parent"))
 def code_scopes(spark, sf_dir):
-    return lexer.scopes(_tokens(spark, sf_dir)).select("file", "kind", "name", F.col("line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"), "parent")
+    return lexer.scopes(files(spark, sf_dir)).select("file", "kind", "name", F.col("line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"), "parent")
 
 
 _CALLS = [
