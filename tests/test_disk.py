@@ -3,6 +3,7 @@
 import pytest
 
 from weftline import catalog
+from weftline.operators import deadcode
 from weftline.sources import lexer
 
 
@@ -40,3 +41,12 @@ def test_a_call_that_begins_a_file_is_found_and_each_once(spark):
 
 def test_scopes_are_found_in_the_scan(spark, sf_dir):
     assert scanned_once(catalog.queries()["code_scopes"](spark, sf_dir))
+
+
+def test_bindings_are_found_in_the_scan(spark, sf_dir):
+    assert scanned_once(catalog.queries()["unused_bindings"](spark, sf_dir))
+
+
+def test_a_name_that_a_chain_sets_is_not_read(spark):
+    files = spark.createDataFrame([("a.js", "let x; y = x = 3;", "javascript")], "path string, content string, language string")
+    assert [r.name for r in deadcode.unused_bindings(files).collect()] == ["x"]

@@ -97,7 +97,7 @@ def unused_bindings(spark, sf_dir):
     k = F.col("p_partkey")
     text = F.replace(F.replace(F.lit(SCRIPT), F.lit("{late}"), F.when(k % 2 == 0, "'r{k}'").otherwise("r{k}")), F.lit("{read}"), F.when(k % 3 == 0, "x.s{k}").otherwise("s{k}"))
     files = _files(spark, sf_dir, text, ".js").withColumn("language", F.lit("javascript"))
-    return deadcode.unused_bindings(lexer.tokens(files))
+    return deadcode.unused_bindings(files)
 
 
 #: A package for each key: what it exports, and who takes it.

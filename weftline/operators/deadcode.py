@@ -1,17 +1,20 @@
 """Dead code beyond control flow: bindings that nothing reads, exports that nothing imports, listeners on elements that no page has.
 
-All of it is windows by file over the token relation (``sources.lexer``) and equi or anti joins; a name within a string, a comment or behind a dot
-is no use. Python's variables within functions are in ``operators.control``.
+What one file says is found from its tokens in the task that scans it (``sources.lexer``), all else is equi or anti joins; a name within a string,
+a comment or behind a dot is no use. Python's variables within functions are in ``operators.control``.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import is_test_file
 from weftline.operators.graph import saved_large
-from weftline.sources.lexer import KEYWORDS
+from weftline.sources.lexer import KEYWORDS, Code, by_file
 from weftline.sources.scanned import large
 
 DECLARE = ("const", "let", "var")
@@ -22,73 +25,90 @@ ENTRY_NAMES = ("default", "handler", "app", "server", "router", "main", "configu
 LOOKUPS = {"getElementById": "id", "getElementsByClassName": "class", "querySelector": "", "querySelectorAll": ""}
 
 
-def _near(found: DataFrame) -> DataFrame:
-    """Tokens with the texts around them, and what stands before the bracket that holds them."""
-    by = Window.partitionBy("file").orderBy("k")
-    code = found.where("k IS NOT NULL").select("file", "k", "line", "kind", "text", "owner", "pair")
-    t = code.select("*", *[F.lag("text", n).over(by).alias(f"b{n}") for n in (1, 2)], F.lead("text", 1).over(by).alias("a1"))
-    started = F.when(F.col("text").isin(*DECLARE, ";"), F.col("text"))
-    t = saved_large(t.withColumn("started", F.last(started, True).over(Window.partitionBy("file", "owner").orderBy("k"))))
-    holds = t.where("kind = 'punct' AND text IN ('{', '[', '(')").select("file", F.col("k").alias("owner"), F.col("text").alias("held"), F.col("b1").alias("before"), F.col("b2").alias("before2"), F.col("pair").alias("closes"), F.col("owner").alias("outer"))
-    return t.join(holds, ["file", "owner"], "left")
-
-
-def _declared(t: DataFrame) -> DataFrame:
-    """Rows with ``role``: declared, write, key or read (null: no name of a variable)."""
-    b1, a1 = F.coalesce("b1", F.lit("")), F.coalesce("a1", F.lit(""))
-    name = (F.col("kind") == "name") & ~F.col("text").isin(*KEYWORDS, *DECLARE) & ~b1.isin(".", "?.")
-    pattern = F.col("before").isin(*DECLARE) & F.col("held").isin("{", "[")
-    declared = b1.isin(*DECLARE) | (b1 == ",") & F.col("started").isin(*DECLARE) & (a1 == "=") & F.coalesce(F.col("held") != "(", F.lit(True))
-    declared = declared | pattern & (b1 != "=") & ~a1.isin(":", "(", ".", "[")
-    key = (a1 == ":") & b1.isin("{", ",") | (b1 == "as") & F.coalesce(F.col("before").isin("import", "export"), F.lit(False))
-    role = F.when(declared, "declared").when(key, "key").when((a1 == "=") & ~(pattern & (b1 == "=")), "write").otherwise("read")
-    return t.withColumn("role", F.when(name, role)).withColumn("_pattern", F.coalesce(pattern, F.lit(False)))
+def _roles(t: Code) -> Iterable[tuple]:
+    """k and role of each name of a variable: declared, write, key or read; whether it stands in a pattern that is taken apart; the brackets that
+    hold it (-1: none)."""
+    started: dict[int, str] = {}
+    for i, (kind, text, owner) in enumerate(zip(t.kinds, t.texts, t.owners, strict=True)):
+        if text in DECLARE or text == ";":
+            started[owner] = text
+        b1, a1 = t.text(i - 1), t.text(i + 1)
+        if kind != "name" or text in KEYWORDS or text in DECLARE or b1 in (".", "?."):
+            continue
+        held, before = (t.text(owner), t.text(owner - 1)) if owner >= 0 else (None, None)
+        pattern = before in DECLARE and held in ("{", "[")
+        declared = b1 in DECLARE or b1 == "," and a1 == "=" and started.get(owner) in DECLARE and held != "("
+        if declared or pattern and b1 != "=" and a1 not in (":", "(", ".", "["):
+            role = "declared"
+        elif a1 == ":" and b1 in ("{", ",") or b1 == "as" and before in ("import", "export"):
+            role = "key"
+        else:
+            role = "write" if a1 == "=" and not (pattern and b1 == "=") else "read"
+        yield i, role, pattern, owner
 
 
 def unused_bindings(found: DataFrame) -> DataFrame:
     """file, line and name of ``const``, ``let`` and ``var`` (destructured ones too) that nothing between the brackets around them reads. Exported
-    names, and those that begin with ``_``, don't count. found: tokens of JavaScript and TypeScript."""
-    t = _declared(_near(found))
-    # brackets around a pattern are those of its statement, around a loop's head those of the loop
-    head = F.coalesce((F.col("held") == "(") & F.col("before").isin("for", "await"), F.lit(False))
-    around = F.when(F.col("_pattern") | head, F.col("outer")).otherwise(F.col("owner"))
-    word = F.when(F.col("_pattern"), F.col("before2")).when(F.col("b1").isin(*DECLARE), F.col("b2"))
-    names = t.where("role IN ('declared', 'read')").select("file", "k", "line", "text", "role", around.alias("around"), (word == "export").alias("exported"))
-    by = Window.partitionBy("file", "text").orderBy("k")
-    read = F.when(F.col("role") == "read", F.col("k"))
-    names = names.select("*", F.min(read).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("later"), F.max(read).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("sooner"))
-    ends = large(found).where("k IS NOT NULL AND kind = 'punct' AND text IN ('{', '[', '(')").select("file", F.col("k").alias("around"), F.col("pair").alias("until"))
-    seen = names.where("role = 'declared'").join(ends, ["file", "around"], "left")
-    used = F.coalesce(F.col("later") < F.coalesce("until", F.lit((1 << 31) - 1)), F.lit(False)) | F.coalesce(F.col("sooner") > F.col("around"), F.lit(False))
-    return seen.where(~used & ~F.coalesce("exported", F.lit(False)) & ~F.col("text").startswith("_")).select("file", F.col("line").cast("long").alias("line"), F.col("text").alias("name"))
-
-
-def exports(found: DataFrame) -> DataFrame:
-    """file, line and name of what JavaScript and TypeScript export by declaration, list or default."""
-    by = Window.partitionBy("file").orderBy("k")
-    code = large(found).where("k IS NOT NULL")
-    t = code.select("file", "k", "line", "kind", "text", "owner", *[F.lag("text", n).over(by).alias(f"b{n}") for n in (1, 2, 3)], *[F.lead("text", n).over(by).alias(f"a{n}") for n in (1, 2)])
-    kinds = ("function", "class", "interface", "type", "enum", *DECLARE)
-    b1, b2, b3 = (F.coalesce(f"b{n}", F.lit("")) for n in (1, 2, 3))
-    named = t.where((F.col("kind") == "name") & (b1.isin(*kinds) & ((b2 == "export") | b2.isin("async", "abstract", "declare") & (b3 == "export")) | (b1 == "*") & (b2 == "function") & (b3 == "export"))).select("file", "line", F.col("text").alias("name"))
-    default = t.where((F.col("text") == "default") & (b1 == "export")).select("file", "line", F.lit("default").alias("name"))
-    # export { a, b as c }, but for those that pass on another module's names
-    lists = t.where("text = '{' AND b1 = 'export'").select("file", F.col("k").alias("owner"))
-    closed = code.where("text = '{'").select("file", F.col("k").alias("owner"), F.col("pair").alias("end"))
-    after = t.select("file", F.col("k").alias("end"), F.col("a1").alias("next"))
-    own = lists.join(closed, ["file", "owner"]).join(large(after), ["file", "end"]).where("next IS NULL OR next != 'from'").select("file", "owner")
-    listed = t.where("kind = 'name' AND (a1 IN (',', '}')) AND text != 'as'").join(large(own), ["file", "owner"], "left_semi").select("file", "line", F.col("text").alias("name"))
-    return named.unionByName(default).unionByName(listed).groupBy("file", "name").agg(F.min("line").cast("long").alias("line"))
+    names, and those that begin with ``_``, don't count. found: files or tokens of JavaScript and TypeScript, as ``lexer.by_file`` takes them."""
+    return by_file(found, _unused_bindings, "file string, line long, name string")
+
+
+def _unused_bindings(path: str, language: str, t: Code) -> Iterable[tuple]:
+    names = list(_roles(t))
+    reads: dict[str, list[int]] = {}
+    for i, role, _, _ in names:
+        if role == "read":
+            reads.setdefault(t.texts[i], []).append(i)
+    for i, role, pattern, owner in names:
+        if role != "declared" or t.texts[i].startswith("_"):
+            continue
+        # brackets around a pattern are those of its statement, around a loop's head those of the loop
+        head = owner >= 0 and t.texts[owner] == "(" and t.text(owner - 1) in ("for", "await")
+        around = t.owners[owner] if pattern or head else owner
+        word = t.text(owner - 2) if pattern else t.text(i - 2) if t.text(i - 1) in DECLARE else None
+        until = t.pairs[around] if around >= 0 else None
+        of = reads.get(t.texts[i], [])
+        n = bisect_left(of, i)
+        used = n < len(of) and of[n] < (t.size if until is None else until) or n > 0 and of[n - 1] > around
+        if not used and word != "export":
+            yield path, t.lines[i], t.texts[i]
+
+
+def exports(found: DataFrame, used: bool = False) -> DataFrame:
+    """file, line and name of what JavaScript and TypeScript export by declaration, list or default; with ``used`` also whether ``uses`` has it, which
+    is found in the same pass. found: files or tokens, as ``lexer.by_file`` takes them."""
+
+    def rows(path, language, t):
+        read = _uses(t) if used else ()
+        return ((path, name, line, name in read)[: 3 + used] for name, line in _exports(t).items())
+
+    return by_file(found, rows, "file string, name string, line long" + ", used boolean" * used)
+
+
+def _exports(t: Code) -> dict[str, int]:
+    """The first line of each name."""
+    kinds, out, own = ("function", "class", "interface", "type", "enum", *DECLARE), {}, set()
+    for i, (kind, text) in enumerate(zip(t.kinds, t.texts, strict=True)):
+        b1, b2, b3 = (t.text(i - n) for n in (1, 2, 3))
+        # export { a, b as c }, but for those that pass on another module's names
+        if text == "{" and b1 == "export" and t.pairs[i] is not None and t.text(t.pairs[i] + 1) != "from":
+            own.add(i)
+        declared = b1 in kinds and (b2 == "export" or b2 in ("async", "abstract", "declare") and b3 == "export") or b1 == "*" and b2 == "function" and b3 == "export"
+        if kind == "name" and declared or text == "default" and b1 == "export" or kind == "name" and t.text(i + 1) in (",", "}") and text != "as" and t.owners[i] in own:
+            out.setdefault(text, t.lines[i])
+    return out
 
 
 def unused_exports(exported: DataFrame, bound: DataFrame, entries: str = ENTRY_FILES, names: tuple = ENTRY_NAMES, uses: DataFrame | None = None) -> DataFrame:
     """file, line, name and severity of exported (file, line, name) that no import of another file takes, by its name or with the whole module.
     bound: ``imports.bindings`` with ``target``. Re-exports count as imports. Files that fit ``entries``, tests, and ``names`` are left out.
-    uses (file, name): what files use themselves; such exports are only an info."""
+    uses (file, name), or a column ``used`` of exported: what files use themselves; such exports are only an info."""
     asked = exported.where(~F.col("file").rlike(entries) & ~is_test_file(F.col("file")) & ~F.col("name").isin(*names))
     taken = bound.where("name NOT IN ('*', '')").select(F.col("target").alias("file"), "name").distinct()
     whole = bound.where("name = '*'").select(F.col("target").alias("file")).distinct()
     left = asked.join(large(taken), ["file", "name"], "left_anti").join(large(whole), "file", "left_anti")
+    if "used" in exported.columns:
+        return left.select("file", "line", "name", F.when(F.col("used"), "info").otherwise("warning").alias("severity"))
     if uses is None:
         return left.select("file", "line", "name", F.lit("warning").alias("severity"))
     here = uses.select("file", "name").distinct().withColumn("_used", F.lit(True))
@@ -96,8 +116,13 @@ def unused_exports(exported: DataFrame, bound: DataFrame, entries: str = ENTRY_F
 
 
 def uses(found: DataFrame) -> DataFrame:
-    """file and name of all that tokens read."""
-    return _declared(_near(found)).where("role = 'read' AND NOT coalesce(b1, '') IN ('function', 'class', 'interface', 'type', 'enum') AND NOT (coalesce(b1, '') = '*' AND b2 = 'function')").select("file", F.col("text").alias("name")).distinct()
+    """file and name of all that tokens read. found: files or tokens, as ``lexer.by_file`` takes them."""
+    return by_file(found, lambda path, language, t: ((path, name) for name in sorted(_uses(t))), "file string, name string")
+
+
+def _uses(t: Code) -> set[str]:
+    named = ("function", "class", "interface", "type", "enum")
+    return {t.texts[i] for i, role, _, _ in _roles(t) if role == "read" and t.text(i - 1) not in named and not (t.text(i - 1) == "*" and t.text(i - 2) == "function")}
 
 
 def dead_listeners(found: DataFrame, refs: DataFrame) -> DataFrame:
