@@ -115,10 +115,9 @@ def unused_exports(spark, sf_dir):
     k = F.col("p_partkey")
     what = F.when(k % 2 == 0, "given").otherwise("other")
     rows = F.array(*[F.struct(F.replace(F.lit(p), F.lit("{k}"), k.cast("string")).alias("path"), F.replace(F.lit(t), F.lit("{what}"), what).alias("content")) for p, t in PACKAGE])
-    files = saved_large(rel.table(spark, sf_dir, "part").select(F.inline(rows)))
-    found = saved_large(lexer.tokens(files.withColumn("language", F.lit("javascript"))))
+    files = rel.table(spark, sf_dir, "part").select(F.inline(rows))
     bound = imports.resolved(imports.bindings(files), files.select("path"))
-    return deadcode.unused_exports(deadcode.exports(found), bound, uses=deadcode.uses(found))
+    return deadcode.unused_exports(deadcode.exports(files.withColumn("language", F.lit("javascript")), used=True), bound)
 
 
 LISTEN = """document.getElementById('{name}').addEventListener('click', go);
