@@ -3,7 +3,7 @@
 import pytest
 
 from weftline import catalog
-from weftline.operators import deadcode
+from weftline.operators import dataflow, deadcode
 from weftline.sources import lexer
 
 
@@ -61,3 +61,16 @@ def test_exports_and_their_uses_come_of_one_scan(spark, sf_dir):
     read = {tuple(r) for r in deadcode.uses(tokens).select("file", "name").collect()}
     assert {(r.file, r.name, r.line): r.used for r in found.collect()} == {(r.file, r.name, r.line): (r.file, r.name) in read for r in deadcode.exports(tokens).collect()}
     assert plan(catalog.queries()["unused_exports"](spark, sf_dir)).count("MapInArrow") == 1
+
+
+def test_flows_deal_lines_once(spark, sf_dir):
+    p = plan(catalog.queries()["variable_flows"](spark, sf_dir))
+    # lines by scope, results by place; nothing is joined or read from a copy
+    assert p.count("Exchange ") == 2 and "Join" not in p and "ExistingRDD" not in p
+
+
+def test_flows_of_odd_lines(spark):
+    texts = ["x = req.query", "x = req.query; db.query(x)", "y = x", "[y, z] = escape(x)", "db.query(z + y)", None, "eval(y) // no"]
+    lines = [("a", line, text) for line, text in zip([1, 1, 2, 2, 3, 3, 4], texts, strict=True)] + [("b", None, "db.query(req.query)"), ("b", 2, "db.query(x)")]
+    got = {tuple(r) for r in dataflow.flows(spark.createDataFrame(lines, "file string, line long, text string")).collect()}
+    assert got == {("a", 1, "request", 1, "sql", False), ("a", 1, "request", 3, "sql", False), ("a", 1, "request", 4, "code", False), ("b", None, "request", None, "sql", False)}

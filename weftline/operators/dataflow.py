@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterable
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.scanned import batched, dealt, large
+
 #: Taint rules: kind, name, pattern (fixed values).
 SOURCES = [("request", r"request\.(args|form|json|query|body|params|GET|POST)|req\.(query|body|params)"), ("input", r"\binput\(|sys\.argv|process\.argv|os\.environ")]
 SINKS = [("sql", r"\.execute\(|\.query\("), ("command", r"os\.system\(|subprocess\.\w+\(|child_process|\bexec\("), ("code", r"\beval\("), ("html", r"innerHTML\s*=|document\.write\(|render_template_string\(")]
@@ -29,34 +33,47 @@ def flows(lines: DataFrame, sources=SOURCES, sinks=SINKS, sanitizers=SANITIZERS)
     """Sources and the sinks that they reach by variables: file, source_line, source, sink_line, sink, sanitized (a sanitizer stands on every way).
     A source reaches a sink on its own line, or on a later one that names a variable which got its value from it, by any number of assignments
     between. lines: file, line, text and maybe scope, the function around each; variables of two scopes are different ones. A variable keeps what
-    it was given; branches and loops aren't looked at."""
-    from weftline.operators.graph import saved_large
-
+    it was given; branches and loops aren't looked at. A value only goes to later lines, so that one pass over a scope's lines in their order finds all:
+    lines are dealt by scope once, and a task holds the variables that were reached in one scope and the sources they got their values from."""
     lines = lines if "scope" in lines.columns else lines.withColumn("scope", F.lit(""))
     lines = lines.select("file", F.coalesce("scope", F.lit("")).alias("scope"), F.col("line").cast("long").alias("line"), "text")
     clean = F.array_join(F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit("x")) for _, p in sanitizers])), "") != ""
     one, several = F.regexp_extract("text", ASSIGNED, 1), F.regexp_extract("text", TAKEN_APART, 1)
     given = F.filter(F.concat(F.array(one), F.transform(F.split(several, ","), lambda x: F.regexp_extract(x, r"([A-Za-z_$][\w$]*)\s*(?:=.*)?$", 1))), lambda x: x != "")
     kinds = lambda table: F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in table]))
-    lines = saved_large(lines.select("file", "scope", "line", "text", clean.alias("clean"), given.alias("given"), kinds(sources).alias("sources"), kinds(sinks).alias("sinks")))
-    assigned = lines.where(F.size("given") > 0).select("file", "scope", F.explode("given").alias("variable")).distinct()
-    named = lines.where((F.size("given") > 0) | (F.size("sinks") > 0)).select("file", "scope", "line", "clean", "given", "sinks", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][\w$]*)"), 1))).alias("variable"))
-    named = saved_large(named.join(assigned, ["file", "scope", "variable"]))
-    start = lines.where(F.size("sources") > 0).select("file", "scope", "line", "clean", "given", "sinks", F.explode("sources").alias("source"))
-    key = ["file", "scope", "variable", "source_line", "source", "clean"]
-    new = saved_large(start.select("file", "scope", F.explode("given").alias("variable"), F.col("line").alias("source_line"), "source", "clean", F.col("line").alias("since")).groupBy(*key).agg(F.min("since").alias("since")))
-    total = new
-    while True:
-        # what is given on later lines that name what was reached; of the ways to a variable the earliest line is kept
-        step = new.join(named.withColumnRenamed("clean", "here"), ["file", "scope", "variable"]).where("line > since").select("file", "scope", F.explode("given").alias("variable"), "source_line", "source", (F.col("clean") | F.col("here")).alias("clean"), F.col("line").alias("since"))
-        step = step.groupBy(*key).agg(F.min("since").alias("since"))
-        new = saved_large(step.join(total.withColumnRenamed("since", "known"), key, "left").where("known IS NULL OR since < known").drop("known"))
-        if new.isEmpty():
-            break
-        total = saved_large(total.unionByName(new).groupBy(*key).agg(F.min("since").alias("since")))
-    by_name = total.join(named.withColumnRenamed("clean", "here"), ["file", "scope", "variable"]).where("line > since").select("file", "source_line", "source", F.col("line").alias("sink_line"), F.explode("sinks").alias("sink"), (F.col("clean") | F.col("here")).alias("sanitized"))
-    at_once = start.select("file", F.col("line").alias("source_line"), "source", F.col("line").alias("sink_line"), F.explode("sinks").alias("sink"), F.col("clean").alias("sanitized"))
-    return by_name.unionByName(at_once).groupBy("file", "source_line", "source", "sink_line", "sink").agg(F.min("sanitized").alias("sanitized"))
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][\w$]*)"), 1))
+    # only lines that give a value or are a sink matter; what their texts say is found where they are dealt to, on all cores
+    told = F.col("text").contains("=")
+    for _, pattern in sinks:
+        told = told | F.col("text").rlike(pattern)
+    lines = dealt(lines.where(told), "file", "scope").sortWithinPartitions("file", "scope", "line")
+    lines = lines.select("file", "scope", "line", clean.alias("clean"), given.alias("given"), kinds(sources).alias("sources"), kinds(sinks).alias("sinks"), names.alias("names"))
+    found = lines.mapInArrow(batched(_flows, FLOW), FLOW)
+    return large(found).groupBy("file", "source_line", "source", "sink_line", "sink").agg(F.min("sanitized").alias("sanitized"))
+
+
+#: What ``_flows`` gives.
+FLOW = "file string, source_line long, source string, sink_line long, sink string, sanitized boolean"
+
+
+def _flows(batches) -> Iterable[tuple]:
+    """Rows as FLOW has them. batches: lines in the order of file, scope and line."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for (file, _), scope in groupby(rows, lambda r: r[:2]):
+        reached: dict[str, set[tuple]] = {}  # for each variable (source line, source, sanitized)
+        for line, same in groupby(scope, lambda r: r[2]):
+            new, found = [], {}  # lines of one number don't see each other
+            for _, _, _, clean, given, sources, sinks, names in same:
+                here = {(line, source, clean) for source in sources}
+                if line is not None:
+                    here.update((at, source, was or clean) for name in names for at, source, was in reached.get(name, ()))
+                    new += [(variable, value) for variable in given for value in here]
+                for at, source, sanitized in here:
+                    for sink in sinks:
+                        found[at, source, sink] = found.get((at, source, sink), True) and sanitized
+            for variable, value in new:
+                reached.setdefault(variable, set()).add(value)
+            yield from ((file, at, source, line, sink, sanitized) for (at, source, sink), sanitized in found.items())
 
 
 def across_imports(lines: DataFrame, imports: DataFrame, sources=SOURCES, sinks=SINKS, sanitizers=SANITIZERS) -> DataFrame:

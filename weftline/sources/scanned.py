@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 ROWS = 8192
 
 
-def dealt(files: DataFrame, key: str) -> DataFrame:
-    """Files by the hash of a key in as many parts as shuffles have: a table that is small on disk is one split, and one task would scan it all."""
-    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+def dealt(files: DataFrame, *keys: str) -> DataFrame:
+    """Files by the hash of keys in as many parts as shuffles have: a table that is small on disk is one split, and one task would scan it all."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def large(df: DataFrame) -> DataFrame:
